@@ -82,7 +82,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _bit_count(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    return np.bitwise_count(x.view(np.uint64))  # of signed numbers it counts the bits of the absolute value
 
 
 class _Forest:
