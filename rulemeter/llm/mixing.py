@@ -137,7 +137,9 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.when(F.exists("takes", lambda t: ~t["whole"]), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     cut = lambda t: F.array_join(F.flatten(F.transform(t["parts"], lambda p: F.slice(F.col("_words"), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), " ")
-    told = numbered.join(takes, "_row").withColumn("_words", words).withColumn("text", F.array_join(F.transform("takes", lambda t: F.when(t["whole"], text).otherwise(cut(t))), "\n"))
+    told = numbered.join(takes, "_row").withColumn("_words", words)
+    whole = F.array_join(F.transform("takes", lambda t: text), "\n")
+    told = told.withColumn("text", F.when(F.col("_words").isNull(), whole).otherwise(F.array_join(F.transform("takes", lambda t: F.when(t["whole"], text).otherwise(cut(t))), "\n")))
     if "n_chars" in docs.columns:
         told = told.withColumn("n_chars", F.length("text").cast("long"))
     return told.select(*docs.columns)

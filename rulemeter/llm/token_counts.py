@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import bound_batches
-from .words import MOST_WORDS, split_words
+from .words import MOST_WORDS, byte_chars, split_words
 
 LIMIT = 2048
 #: Symbols in a chunk of the prefix scan.
@@ -106,9 +106,7 @@ class MergeTransducer:
 
     def __init__(self, spec: dict) -> None:
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
-        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level vocabularies
-        rest = [b for b in range(256) if b not in set(letters)]
-        char = {b: chr(b) for b in letters} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        char = byte_chars()
         self.inner, self.final = [vocab[char[b]] for b in range(256)], [vocab[char[b] + suffix] for b in range(256)]
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         spell: dict[int, tuple[int, ...]] = {i: (i,) for i in (*self.inner, *self.final)}

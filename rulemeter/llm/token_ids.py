@@ -45,7 +45,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     """Encode (doc_id, text) and write blocks and index below ``path``, in ascending doc_id order (null first).
 
     A null text is empty: the document is its end id alone. Rows that share a doc_id stand one after another, ordered by
-    their ids; an empty table writes no block. Other columns are not read."""
+    the hash of their text; an empty table writes no block. Other columns are not read."""
     spark = docs.sparkSession
     bound_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -54,62 +54,48 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     top = max(tokenizer(tokenizer_path).get_vocab_size() - 1, end_id)
     width = max(1, top.bit_length())
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .words import id_table
-
-        known = id_table(tokenizer_path)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            ids, counts = known.encode(texts)
-            stops = np.cumsum(counts).tolist()
-            end = np.array([end_id], np.uint32)
-            each = [np.concatenate((ids[s:e], end)) for s, e in zip([0, *stops], stops, strict=False)]
-            yield pa.record_batch([b.column(0), pa.array([pack(x, width) for x in each], pa.binary()), pa.array([len(x) for x in each], pa.int64())], names=["doc_id", "ids", "n"])
-
-    coded = f"{path}/coded"
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, n long")
-    encoded.write.parquet(coded)
-    # equal ids of rows that share a doc_id may part, so no doc_id is bound to one task
-    salted = spark.read.parquet(coded).withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    # equal ids of rows that share a doc_id may part, so no doc_id is bound to one task; text is dealt out, not what is
+    # made of it, as the ranges are found in a first reading which would otherwise encode everything twice
+    salted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
     dealt = salted.repartitionByRange(n, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        before, held = 0, []
+        from .words import id_table
+
+        part, known = TaskContext.get().partitionId(), id_table(tokenizer_path)
+        before, held, some = 0, [], 0
 
         def close() -> pa.RecordBatch:
-            nonlocal before
-            sizes = [k for _, _, k in held]
-            ids = np.concatenate([unpack(p, width, 0, k) for _, p, k in held])
+            nonlocal before, some
+            sizes = [len(x) for _, x in held]
+            ids = np.concatenate([x for _, x in held])
             row = pa.record_batch(
-                [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([width], pa.int32()), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(ids, width)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([width], pa.int32()), pa.array([[d for d, _ in held]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(ids, width)], pa.binary())],
                 names=["part", "before", "n_ids", "width", "doc_ids", "sizes", "payload"],
             )
-            before += len(ids)
+            before, some = before + len(ids), 0
             held.clear()
             return row
 
-        some = 0
+        end = np.array([end_id], np.uint32)
         for b in batches:
-            for d, p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held.append((d, p, k))
-                some += k
+            ids, counts = known.encode(b.column(1).to_pylist())
+            stops = np.cumsum(counts).tolist()
+            for d, s, e in zip(b.column(0).to_pylist(), [0, *stops], stops, strict=False):
+                held.append((d, np.concatenate((ids[s:e], end))))
+                some += e - s + 1
                 if some >= block_ids:
                     yield close()
-                    some = 0
         if held:
             yield close()
 
-    made = dealt.select("doc_id", "ids", "n").mapInArrow(block, "part int, before long, n_ids long, width int, doc_ids array<long>, sizes array<long>, payload binary")
+    made = dealt.select("doc_id", "text").mapInArrow(block, "part int, before long, n_ids long, width int, doc_ids array<long>, sizes array<long>, payload binary")
     made.write.parquet(f"{path}/blocks")
     parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     upto = F.sum("n_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     parts.select("part", F.coalesce(upto, F.lit(0)).cast("long").alias("base")).write.parquet(f"{path}/index")
-    from .common import delete_path
-
-    delete_path(spark, coded)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -9,8 +9,8 @@ from functools import cache
 
 import numpy as np
 
-#: Words remembered by a worker; about 250 bytes each.
-MOST_WORDS = 600_000
+#: Words and pieces remembered by a worker; about 200 bytes each.
+MOST_WORDS, MOST_PIECES = 600_000, 1_200_000
 
 
 def split_words(text: str) -> list[str]:
@@ -32,70 +32,79 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def byte_chars() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    themselves = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in themselves else chr(next(rest)) for b in range(256)]
+
+
 class IdTable:
-    """Token ids of words, from the tokenizers library, as rows of one growing array."""
+    """Token ids of pieces, from the tokenizers library's model, as rows of one growing array."""
 
     def __init__(self, path: str) -> None:
         import json
+        import re
+
+        import regex
 
         self.t = tokenizer(path)
         spec = json.loads(self.t.to_str())
-        pre = [x for x in spec["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
-        special = [x["content"] for x in spec["added_tokens"]]
-        self.special = lambda w: any(s in w for s in special)
-        self.piece = None
-        norm = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        if len(pre) == 1 and pre[0]["invert"] and norm == ["NFC", "Replace", "Lowercase"]:
-            import regex
-
-            self.piece = regex.compile(pre[0]["pattern"]["Regex"]).findall
-            from tokenizers.pre_tokenizers import ByteLevel
-
-            level = ByteLevel(add_prefix_space=False, use_regex=False)
-            self.level = lambda p: level.pre_tokenize_str(p)[0][0]
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], split["type"], split["invert"], level["type"], level["add_prefix_space"]
+        if kinds != (["NFC", "Replace", "Lowercase"], "Split", True, "ByteLevel", False):
+            raise ValueError(f"not a word-level byte-pair tokenizer of the kind that is cut into pieces here: {kinds}")
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        pattern = split["pattern"]["Regex"]
+        self.any = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+        # the same pattern where all is ASCII: no two alternatives but the last begin alike
+        self.ascii = re.compile(pattern.replace(r"[\p{L}]+", "[a-z]+").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", r"[^ \t-\ra-z0-9]")).findall
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _piece(self, p: str) -> list[int]:
-        got = self.pieces.get(p)
-        if got is None:
-            got = self.pieces[p] = [x.id for x in self.t.model.tokenize(p if p.isascii() else self.level(p))]
-        return got
-
-    def _word(self, w: str) -> list[int]:
-        # the library's own model on the library's own pieces; whatever is not plain ASCII text goes through all of it
-        if self.piece is None or not (w.isascii() and w.isprintable()) or self.special(w):
-            return self.t.encode(w, add_special_tokens=False).ids
-        found = self.piece(w.lower())
-        return self._piece(found[0]) if len(found) == 1 else [i for p in found for i in self._piece(p)]
-
-    def _add(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > MOST_WORDS or len(self.pieces) > MOST_WORDS:
+    def pieces(self, text: str) -> list[str]:
+        """The normalised text's pieces; a text that holds a special string is one, to be encoded by the whole library."""
+        if any(s in text for s in self.special):
+            return [text]
+        if text.isascii():
+            return self.ascii(text.lower())
+        import unicodedata
+
+        return self.any(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())  # the library lowers each code point by itself
+
+    def _add(self, pieces: set[str]) -> None:
+        if len(self.at) + len(pieces) > MOST_PIECES:
             self.clear()
-        for w in words:
-            ids, n = self._word(w), len(self.at)
+        chars, tokenize, special = byte_chars(), self.t.model.tokenize, self.special
+        for p in pieces:
+            if "<|" in p and any(s in p for s in special):
+                ids = self.t.encode(p, add_special_tokens=False).ids
+            else:
+                ids = [x.id for x in tokenize(p if p.isascii() and p.isprintable() and " " not in p else "".join([chars[b] for b in p.encode("utf-8")]))]
+            n = len(self.at)
             if n == len(self.start):
                 self.start, self.size = np.resize(self.start, 2 * n), np.resize(self.size, 2 * n)
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
             self.ids[self.used : self.used + len(ids)] = ids
-            self.at[w], self.start[n], self.size[n] = n, self.used, len(ids)
+            self.at[p], self.start[n], self.size[n] = n, self.used, len(ids)
             self.used += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
-        cut = [split_words(t) for t in texts]
-        words = [w for c in cut for w in c]
-        if new := set(words) - self.at.keys():
+        cut = [self.pieces(t) for t in texts]
+        every = [p for c in cut for p in c]
+        known = self.at
+        if new := set(every).difference(known):
             self._add(new)
-            if any(w not in self.at for w in (words if len(self.at) == len(new) else ())):  # the table was emptied
-                self._add(set(words) - self.at.keys())
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            if self.at is not known:  # the table was emptied
+                self._add(set(every).difference(self.at))
+        at = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
