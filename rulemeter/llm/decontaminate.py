@@ -31,32 +31,35 @@ NUMBER, NAME, UNIT = "\u0001number", "\u0001name", "\u0001unit"
 def _templates(df: DataFrame, key: str) -> DataFrame:
     """(key, _t): arrays of (token, value), where value is null but for placeholders; words without content are left out.
 
-    Each step is a column of its own, read more than once by the next, so that none is worked out again per word."""
+    No lambda reads a whole array: the optimizer moves expressions into one another, and would have such an array worked
+    out again for every element. Each word stands beside the one before it instead."""
     raw = df.select(key, F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), lambda w: w != "").alias("_w"))
     bare = raw.select(key, "_w", F.transform("_w", lambda w: F.btrim(w, F.lit(_EDGE))).alias("_c"))
+    start = F.array(F.lit(""))
+    beside = F.arrays_zip(F.col("_c").alias("c"), F.concat(start, F.col("_c")).alias("p"), F.concat(start, F.col("_w")).alias("q"))
 
-    def kind(c: Column, i: Column) -> Column:
+    def one(z: Column) -> Column:
+        c, p, q = z["c"], z["p"], z["q"]
         number = lambda x: (x >= "0") & (x < ":")  # noqa: E731  by the first character
-        before, raw_before = F.get("_c", i - 1), F.get("_w", i - 1)
-        ended = F.substring(raw_before, -1, 1).isin(".", "!", "?", ":")
         first = F.substring(c, 1, 1)
-        name = (i > 0) & (F.lower(first) != first) & ~ended & (F.length(c) > 1) & (F.upper(c) != c)
-        return F.when(number(c), F.lit(NUMBER)).when((i > 0) & number(before) & F.lower(c).isin(UNITS), F.lit(UNIT)).when(name, F.lit(NAME))
+        name = (q != "") & (F.lower(first) != first) & ~F.substring(q, -1, 1).isin(".", "!", "?", ":") & (F.length(c) > 1) & (F.upper(c) != c)
+        kind = F.when(number(c), F.lit(NUMBER)).when(number(p) & F.lower(c).isin(UNITS), F.lit(UNIT)).when(name, F.lit(NAME))
+        return F.struct(F.coalesce(kind, F.lower(c)).alias("token"), F.when(kind.isNotNull(), F.lower(c)).alias("value"))
 
-    kinds = bare.select(key, "_c", F.transform("_c", kind).alias("_k"), F.transform("_c", lambda c: F.lower(c)).alias("_l"))
-    zipped = F.zip_with("_k", "_l", lambda k, v: F.struct(F.coalesce(k, v).alias("token"), F.when(k.isNotNull(), v).alias("value")))
-    return kinds.select(key, F.filter(zipped, lambda t: t["token"] != "").alias("_t"))
+    return bare.select(key, F.filter(F.transform(beside, one), lambda t: t["token"] != "").alias("_t"))
 
 
-def _windows(df: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, pos, hash, tokens in the whole, slots): one row for each window; slots are (place in the text, kind, value)."""
-    t = _templates(df, key)
-    marks = F.filter(F.transform("_t", lambda x, i: F.struct(i.alias("at"), x["token"].alias("kind"), x["value"].alias("value"))), lambda s: s["value"].isNotNull())
-    t = t.filter(F.size("_t") >= window).select(key, F.transform("_t", lambda x: F.xxhash64(x["token"])).alias("_h"), marks.alias("slots"), F.size("_t").alias("n"))
-    # shifted copies side by side: a lambda that reads the whole array would have it worked out again for every element
-    shifted = F.arrays_zip(*[F.slice(F.col("_h"), k + 1, F.col("n") - window + 1).alias(f"h{k}") for k in range(window)])
-    hashes = F.transform(shifted, lambda w: F.xxhash64(w))
-    return t.select(key, "n", "slots", F.posexplode(hashes).alias("pos", "hash"))
+def _windows(templates: DataFrame, key: str, window: int) -> DataFrame:
+    """(key, pos, hash): one row for each window of a text."""
+    t = templates.select(key, F.transform("_t", lambda x: F.xxhash64(x["token"])).alias("_h"), F.size("_t").alias("n"))
+    shifted = F.arrays_zip(*[F.slice(F.col("_h"), k + 1, F.greatest(F.col("n") - window + 1, F.lit(0))).alias(f"h{k}") for k in range(window)])
+    return t.select(key, F.posexplode(F.transform(shifted, lambda w: F.xxhash64(w))).alias("pos", "hash"))
+
+
+def _slots(templates: DataFrame, key: str) -> DataFrame:
+    """(key, at, kind, value): one row for each placeholder of a text."""
+    placed = F.filter(F.transform("_t", lambda t, i: F.struct(i.alias("at"), t["token"].alias("kind"), t["value"].alias("value"))), lambda t: t["value"].isNotNull())
+    return templates.select(key, F.explode(placed).alias("t")).select(key, "t.at", "t.kind", "t.value")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
@@ -66,27 +69,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     found in the document. Items and documents with fewer than ``window`` template tokens match nothing, null and empty
     texts neither. Rows that share an id are taken together; null ids are left out. Empty tables give no rows. Columns
     other than the ids and texts are not read."""
-    items = _windows(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id", window)
-    here = F.filter("slots", lambda s: (s["at"] >= F.col("pos")) & (s["at"] < F.col("pos") + window))
+    ours = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    asked = materialize(_templates(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id"))
+    slots = materialize(_slots(asked, "item_id"))
+    places = _windows(asked, "item_id", window)
+    held = places.join(slots.select("item_id", "at"), "item_id", "left").withColumn("in", ((F.col("at") >= F.col("pos")) & (F.col("at") < F.col("pos") + window)).cast("int"))
+    held = held.groupBy("item_id", "pos", "hash").agg(F.coalesce(F.sum("in"), F.lit(0)).alias("n_slots")).filter(F.col("n_slots") <= window - LITERALS)
     # equal windows of an item are one; its first place stands for it
-    items = items.select("item_id", "pos", "hash", F.transform(here, lambda s: F.struct((s["at"] - F.col("pos")).alias("at"), s["kind"].alias("kind"), s["value"].alias("value"))).alias("asked"))
-    items = items.filter(F.size("asked") <= window - LITERALS).groupBy("item_id", "hash").agg(F.min(F.struct("pos", "asked")).alias("first"))
-    items = materialize(items.select("item_id", "hash", F.col("first.asked").alias("asked")))
+    items = materialize(held.groupBy("item_id", "hash").agg(F.min("pos").alias("item_pos"), F.max("n_slots").alias("n_slots")))
     few = items.count() <= FEW_WINDOWS
-    asked = F.broadcast(items) if few else items
-    rows = _windows(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", window)
-    # an item's slots find the document's value at the same distance from the window's start
-    value = lambda s: F.try_element_at(F.filter("slots", lambda d: d["at"] == s["at"] + F.col("pos")), F.lit(1))["value"]
-    pairs = F.transform("asked", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("asked"), value(s).alias("told")))
-    hits = rows.join(asked, "hash").select("doc_id", "item_id", "hash", pairs.alias("pairs"))
-    hits = materialize(hits.groupBy("doc_id", "item_id", "hash").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
+    near = F.broadcast if few else lambda df: df
+    hits = _windows(_templates(ours, "doc_id"), "doc_id", window).join(near(items), "hash")
+    hits = materialize(hits.groupBy("doc_id", "item_id", "hash", "item_pos", "n_slots").agg(F.min("pos").alias("pos")))
     total = items.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    found = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows")).join(F.broadcast(total) if few else total, "item_id")
-    slots = hits.select("doc_id", "item_id", F.explode("pairs").alias("p")).select("doc_id", "item_id", "p.kind", "p.asked", "p.told").distinct()
-    slots = slots.groupBy("doc_id", "item_id", "kind", "asked").agg(F.count("*").alias("told")).groupBy("doc_id", "item_id").agg(F.avg((F.col("told") == 1).cast("double")).alias("slot_agreement"))
     share = F.col("n_windows") / F.col("item_windows")
-    told = found.filter(share >= coverage).join(slots, ["doc_id", "item_id"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
-    return told.filter(F.col("slot_agreement") >= consistent).select("doc_id", "item_id", "n_windows", "item_windows", share.alias("coverage"), "slot_agreement")
+    found = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows")).join(near(total), "item_id").filter(share >= coverage)
+
+    # which value of the document stands where the item has its own: only documents with such windows are read again
+    wanted = hits.filter("n_slots > 0").join(near(slots), "item_id").filter((F.col("at") >= F.col("item_pos")) & (F.col("at") < F.col("item_pos") + window))
+    wanted = materialize(wanted.select("doc_id", "item_id", "kind", F.col("value").alias("asked"), (F.col("pos") + F.col("at") - F.col("item_pos")).alias("at")).distinct())
+    again = ours.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    told = wanted.join(_slots(_templates(again, "doc_id"), "doc_id").select("doc_id", "at", "value"), ["doc_id", "at"])
+    agree = told.select("doc_id", "item_id", "kind", "asked", "value").distinct().groupBy("doc_id", "item_id", "kind", "asked").agg(F.count("*").alias("n"))
+    agree = agree.groupBy("doc_id", "item_id").agg(F.avg((F.col("n") == 1).cast("double")).alias("slot_agreement"))
+    result = found.join(agree, ["doc_id", "item_id"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
+    return result.filter(F.col("slot_agreement") >= consistent).select("doc_id", "item_id", "n_windows", "item_windows", share.alias("coverage"), "slot_agreement")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
