@@ -224,3 +224,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
     member = materialize(grouped.join(least, "root").select("fp", "component_id"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(member, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are the first of their group: doc_id = component_id.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id stay."""
+    found = materialize(near_duplicates(docs, shingle, most))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(materialize(gone), "doc_id", "left_anti").select(*docs.columns)
+    if found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

@@ -128,6 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS, curve_do
     return {"toxic": toxic.hex(), "ordinary": ordinary.hex(), "base": base} | _fit(x, y)
 
 
+def _scores(texts: list[str | None], m: dict) -> np.ndarray:
+    if "w" not in m or not texts:
+        return np.full(len(texts), m["base"])
+    toxic, ordinary = bytes.fromhex(m["toxic"]), bytes.fromhex(m["ordinary"])
+    z = (np.array([features(t or "", toxic, ordinary) for t in texts]) - m["m"]) / np.array(m["sd"])
+    return 1 / (1 + np.exp(-np.clip(z @ np.array(m["w"][1:]) + m["w"][0], -30, 30)))
+
+
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text), without a shuffle.
 
@@ -138,15 +146,21 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = json.loads(told)
-        toxic, ordinary = bytes.fromhex(m["toxic"]), bytes.fromhex(m["ordinary"])
         for b in batches:
-            texts = b.column(1).to_pylist()
-            if "w" in m and texts:
-                z = (np.array([features(t or "", toxic, ordinary) for t in texts]) - m["m"]) / np.array(m["sd"])
-                s = 1 / (1 + np.exp(-np.clip(z @ np.array(m["w"][1:]) + m["w"][0], -30, 30)))
-            else:
-                s = np.full(len(texts), m["base"])
-            yield pa.record_batch([b.column(0), pa.array(s)], names=["doc_id", "score"])
+            yield pa.record_batch([b.column(0), pa.array(_scores(b.column(1).to_pylist(), m), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``; no shuffle."""
+    bound_batches(docs.sparkSession)
+    told, at = json.dumps(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = json.loads(told)
+        for b in batches:
+            yield b.filter(pa.array(_scores(b.column(at).to_pylist(), m) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
