@@ -29,7 +29,7 @@ NUMBER, NAME, UNIT = "\u0001number", "\u0001name", "\u0001unit"
 
 
 def _templates(df: DataFrame, key: str) -> DataFrame:
-    """(key, _t): arrays of (token, value), where value is null but for placeholders; words without content are left out.
+    """(key, _t): arrays of (kind, word), where kind is null but for placeholders; words without content are left out.
 
     No lambda reads a whole array: the optimizer moves expressions into one another, and would have such an array worked
     out again for every element. Each word stands beside the one before it instead."""
@@ -43,22 +43,24 @@ def _templates(df: DataFrame, key: str) -> DataFrame:
         number = lambda x: (x >= "0") & (x < ":")  # noqa: E731  by the first character
         first = F.substring(c, 1, 1)
         name = (q != "") & (F.lower(first) != first) & ~F.substring(q, -1, 1).isin(".", "!", "?", ":") & (F.length(c) > 1) & (F.upper(c) != c)
-        kind = F.when(number(c), F.lit(NUMBER)).when(number(p) & F.lower(c).isin(UNITS), F.lit(UNIT)).when(name, F.lit(NAME))
-        return F.struct(F.coalesce(kind, F.lower(c)).alias("token"), F.when(kind.isNotNull(), F.lower(c)).alias("value"))
+        unit = F.when(number(p), F.when(F.lower(c).isin(UNITS), F.lit(UNIT)))
+        # most words begin with a small letter: they are neither numbers nor names
+        kind = F.when((c >= "a") & (c < "{"), unit).when(number(c), F.lit(NUMBER)).when(name, F.lit(NAME)).otherwise(unit)
+        return F.struct(kind.alias("kind"), F.lower(c).alias("word"))
 
-    return bare.select(key, F.filter(F.transform(beside, one), lambda t: t["token"] != "").alias("_t"))
+    return bare.select(key, F.filter(F.transform(beside, one), lambda t: t["word"] != "").alias("_t"))
 
 
 def _windows(templates: DataFrame, key: str, window: int) -> DataFrame:
     """(key, pos, hash): one row for each window of a text."""
-    t = templates.select(key, F.transform("_t", lambda x: F.xxhash64(x["token"])).alias("_h"), F.size("_t").alias("n"))
+    t = templates.select(key, F.transform("_t", lambda x: F.xxhash64(F.coalesce(x["kind"], x["word"]))).alias("_h"), F.size("_t").alias("n"))
     shifted = F.arrays_zip(*[F.slice(F.col("_h"), k + 1, F.greatest(F.col("n") - window + 1, F.lit(0))).alias(f"h{k}") for k in range(window)])
     return t.select(key, F.posexplode(F.transform(shifted, lambda w: F.xxhash64(w))).alias("pos", "hash"))
 
 
 def _slots(templates: DataFrame, key: str) -> DataFrame:
     """(key, at, kind, value): one row for each placeholder of a text."""
-    placed = F.filter(F.transform("_t", lambda t, i: F.struct(i.alias("at"), t["token"].alias("kind"), t["value"].alias("value"))), lambda t: t["value"].isNotNull())
+    placed = F.filter(F.transform("_t", lambda t, i: F.struct(i.alias("at"), t["kind"].alias("kind"), t["word"].alias("value"))), lambda t: t["kind"].isNotNull())
     return templates.select(key, F.explode(placed).alias("t")).select(key, "t.at", "t.kind", "t.value")
 
 
