@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import exam
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**exam.QUERIES}
+ORACLES: dict[str, str] = {**exam.ORACLES}
