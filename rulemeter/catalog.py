@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import exam
+from .plans import analytics, exam
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**exam.QUERIES}
-ORACLES: dict[str, str] = {**exam.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES, **exam.QUERIES}
+ORACLES: dict[str, str] = {**analytics.ORACLES, **exam.ORACLES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,8 +66,6 @@ def rank_quartile(order: W, by: list[str]) -> Column:
 
 def binomial_sf(tests: DataFrame, k: str = "k", n: str = "n", p: str = "p") -> DataFrame:
     """Adds ``tail``, the probability of k or more successes in n at rate p; Spark has no such function."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(ks: pd.Series, ns: pd.Series, ps: pd.Series) -> pd.Series:
         return pd.Series([upper_tail(a, b, c) for a, b, c in zip(ks, ns, ps, strict=True)], dtype="float64")
