@@ -99,12 +99,13 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Dat
     base = F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bases = materialize(sums.select("sid", "bucket", base.alias("base")))
     within = W.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "row").rowsBetween(W.unboundedPreceding, -1)
-    laid = placed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["sid", "bucket"])
+    laid = placed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases.hint("merge"), ["sid", "bucket"])
     o = F.col("base") + F.col("inner")
     spans = laid.select("row", "sid", "size", o.alias("o"), F.explode(F.sequence(F.floor(o / F.lit(block)).cast("long"), F.floor((o + F.col("size") - 1) / F.lit(block)).cast("long"))).alias("block"))
     low, high = F.greatest(F.col("o") - F.col("block") * block, F.lit(0)), F.least(F.col("o") + F.col("size") - F.col("block") * block, F.lit(block))
     spans = spans.select("row", "sid", "block", low.alias("low"), high.alias("high"), (F.col("block") * block - F.col("o")).alias("shift"))
-    met = spans.join(slots(goals, block), ["sid", "block"])
+    # slots compress so well in a shuffle that their size would be misjudged and all of them sent to every task
+    met = spans.join(slots(goals, block).hint("merge"), ["sid", "block"])
     end = F.least("high", "take")
     pieces = met.filter(end > F.col("low")).select("row", "shard", "turn", "i", (F.col("low") + F.col("shift")).alias("start"), (end + F.col("shift")).alias("end"))
     return keyed, goals, pieces
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed, goals, pieces = plan(docs, block)
     got = pieces.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
     few = goals.count() <= FEW_SOURCES
-    told = keyed.join(got, "row", "left").join((F.broadcast(goals) if few else goals).select("sid", "source_size", "target"), "sid")
+    told = keyed.join(got.hint("merge"), "row", "left").join((F.broadcast(goals) if few else goals).select("sid", "source_size", "target"), "sid")
     return told.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -132,12 +133,12 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed, _, pieces = plan(docs, block)
     # pieces of one pass over a document stand next to each other
     runs = pieces.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("parts"), F.sum(F.col("end") - F.col("start")).alias("words"))
-    takes = runs.join(keyed.select("row", "size"), "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("turn", (F.col("words") == F.col("size")).alias("whole"), "parts"))).alias("takes"))
+    takes = runs.join(keyed.select("row", "size").hint("merge"), "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("turn", (F.col("words") == F.col("size")).alias("whole"), "parts"))).alias("takes"))
     takes = materialize(takes.withColumnRenamed("row", "_row"))
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.when(F.exists("takes", lambda t: ~t["whole"]), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     cut = lambda t: F.array_join(F.flatten(F.transform(t["parts"], lambda p: F.slice(F.col("_words"), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), " ")
-    told = numbered.join(takes, "_row").withColumn("_words", words)
+    told = numbered.join(takes.hint("merge"), "_row").withColumn("_words", words)
     whole = F.array_join(F.transform("takes", lambda t: text), "\n")
     told = told.withColumn("text", F.when(F.col("_words").isNull(), whole).otherwise(F.array_join(F.transform("takes", lambda t: F.when(t["whole"], text).otherwise(cut(t))), "\n")))
     if "n_chars" in docs.columns:
