@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary documents: each holds the character segments
-(words and six- and eight-byte pieces) that stand in many different contexts of its class and far fewer of the other's.
-Counting contexts (pairs of a word and the one before it), not documents, keeps copied passages out. A text is cut into
+Two zstandard dictionaries are trained, one on toxic and one on ordinary documents: each holds the word beginnings that
+stand in many different contexts of its class and far fewer of the other's. Counting contexts (pairs of a word and the one
+before it), not documents, keeps copied passages out; a beginning takes its space along, so that no word's middle matches. A text is cut into
 windows, each is compressed with either dictionary, and the differences of the lengths are the only features; a logistic
 curve fitted on other labelled documents turns them into a score. Literals are left uncompressed, so a window's
 difference is what its matches with the dictionaries save."""
@@ -25,16 +25,25 @@ from .common import bound_batches
 #: holds. A document of the sample has at most SAMPLE_CHARS code points, longer ones are not taken into it.
 DICT_DOCS, CURVE_DOCS, SAMPLE_CHARS = 1500, 6000, 20_000
 WINDOW, DICT_BYTES, MIN_MATCH = 512, 4096, 6
-#: A segment is a class's own if it is RATIO times as frequent as in the other, in enough contexts.
-RATIO, MIN_CONTEXTS, CONTEXT_SHARE = 10.0, 3, 7.5e-5
+#: A segment is a class's own if it is RATIO times as frequent as in the other, in enough contexts, and SIGMAS standard
+#: deviations above the count that the other's rate would give.
+RATIO, MIN_CONTEXTS, CONTEXT_SHARE, SIGMAS, PREFIX = 5.0, 3, 7.5e-5, 4.0, 7
 THRESHOLD = 0.3
 
-_SPACED = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
+_SPACED = bytes(32 if c < 32 or chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
+#: Between the segments of a dictionary; plain() gives no such byte.
+_GAP = b"\x01"
 
 
 def plain(text: str) -> bytes:
-    """Lower case, ASCII punctuation and white space as single spaces, a space at either end."""
-    return b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()) + b" "
+    """Lower case, one byte for each code point, ASCII punctuation and white space as single spaces, a space at either end."""
+    low = text.lower()
+    try:
+        b = low.encode("latin-1")
+    except UnicodeEncodeError:  # other scripts share the upper half
+        c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        b = np.where(c < 256, c, 128 + c % 128).astype(np.uint8).tobytes()
+    return b" " + b" ".join(b.translate(_SPACED).split()) + b" "
 
 
 def _segments(texts: list[str]) -> tuple[Counter, int]:
@@ -42,21 +51,21 @@ def _segments(texts: list[str]) -> tuple[Counter, int]:
     for t in texts:
         words = plain(t).split()
         seen.update(zip([b"", *words], words, strict=False))
-    out: Counter = Counter()
-    for _, w in seen:
-        w = b" " + w[:64] + b" "
-        out.update({w, *(w[i : i + n] for n in (6, 8) for i in range(max(1, len(w) - n + 1)))})
-    return out, len(seen)
+    return Counter((b" " + w + b" ")[:PREFIX] for _, w in seen), len(seen)
 
 
 def _own(mine: tuple[Counter, int], other: tuple[Counter, int]) -> bytes:
     (c, n), (d, m) = mine, other
     least = max(MIN_CONTEXTS, CONTEXT_SHARE * n)
-    words = [w for w, k in c.items() if k >= least and (k + 0.5) / (n + 1) > RATIO * (d[w] + 0.5) / (m + 1)]
+    words = []
+    for w, k in c.items():
+        chance = (d[w] + 0.5) / (m + 1) * n
+        if k >= least and k + 0.5 > RATIO * chance and k - chance > SIGMAS * (chance + 1) ** 0.5:
+            words.append(w)
     out = b""
-    for w in sorted(words, key=lambda w: (-c[w], -len(w), w)):
-        if w not in out and len(out) + len(w) <= DICT_BYTES:
-            out += w
+    for w in sorted(words, key=lambda w: (-c[w], w)):
+        if len(out) + len(w) < DICT_BYTES:
+            out += _GAP + w
     return out
 
 
