@@ -149,3 +149,60 @@ SELECT program, train_n, round(a::DOUBLE / train_n, 6) AS train_rate, held_n, ro
 
 QUERIES = {"rule_chance": rule_chance, "first_witness": witnesses, "eligible_bypass": eligible_bypass, "option_features": option_features, "program_search": program_search}
 ORACLES = {"rule_chance": RULE_CHANCE_SQL, "first_witness": WITNESS_SQL, "eligible_bypass": ELIGIBLE_SQL, "option_features": FEATURES_SQL, "program_search": SEARCH_SQL}
+
+
+def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Computation items made of parts: a stem of one of four kinds, four numbers to choose from."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"))
+    kinds = [F.concat(F.lit(a), F.col(x).cast("string"), F.lit(b), F.col(y).cast("string"), F.lit(c)) for a, x, b, y, c in PART_STEMS]
+    stem = F.element_at(F.array(*kinds), (F.col("id") % 4 + 1).cast("int"))
+    cents = [F.col("p") * F.col("n"), F.col("n") * (100 - F.col("p")), F.col("p") * F.col("n") * 100, (F.col("p") + F.col("n")) * 50]
+    text = lambda v: (v.cast("decimal(18,2)") / 100).cast("decimal(18,2)").cast("string")
+    options = F.array(*[F.struct(F.lit("ABCD"[i]).alias("letter"), text(v).alias("text")) for i, v in enumerate(cents)])
+    return part.select("id", "p", "n", stem.alias("stem"), options.alias("options"))
+
+
+PART_STEMS = [("What is ", "p", "% of ", "n", "?"), ("A discount of ", "p", "% on ", "n", " zeds"), ("The area of a rectangle, ", "p", " by ", "n", "."), ("The average of ", "p", " and ", "n", ".")]
+
+
+def formula_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which option each formula rule gives, by kind of stem."""
+    from ..functions import formulas
+
+    items = part_items(spark, sf_dir)
+    told = formulas.answers(F.col("stem"), F.col("options"))
+    names = ["percent-of", "percent-change", "area-lw", "mean-of-listed-numbers"]
+    rows = items.select((F.col("id") % 4).alias("kind"), F.explode(F.array(*[F.struct(F.lit(k).alias("program"), told[k].alias("answer")) for k in names])).alias("t"))
+    return rows.select("kind", "t.*").filter("answer is not null").groupBy("kind", "program", "answer").agg(F.count("*").alias("n"))
+
+
+FORMULA_SQL = """WITH i AS (SELECT p_partkey AS id, p_partkey % 4 AS kind, p_size::DOUBLE AS p, (p_partkey % 90 + 10)::DOUBLE AS n FROM part),
+o AS (SELECT *, [p * n / 100, n * (100 - p) / 100, p * n, (p + n) / 2] AS c, CASE WHEN p = n THEN NULL ELSE n END AS other FROM i),
+v AS (SELECT kind, c, 'percent-of' AS program, p / 100 * other AS v FROM o WHERE kind IN (0, 1) UNION ALL SELECT kind, c, 'percent-change', other * (1 - p / 100) FROM o WHERE kind = 1
+ UNION ALL SELECT kind, c, 'area-lw', p * n FROM o WHERE kind = 2 UNION ALL SELECT kind, c, 'mean-of-listed-numbers', (p + n) / 2 FROM o WHERE kind = 3),
+h AS (SELECT kind, program, list_filter([1, 2, 3, 4], lambda k: abs(c[k] - v) <= 1e-4 * greatest(1, abs(c[k])) OR abs(c[k] - v) < 0.01)[1] AS k FROM v WHERE v IS NOT NULL)
+SELECT kind, program, ['A', 'B', 'C', 'D'][k] AS answer, count(*) AS n FROM h WHERE k IS NOT NULL GROUP BY ALL"""
+
+
+def transform_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-degrees of options under numeric slips."""
+    from ..operators import strategies
+
+    return strategies.transform_edges(part_items(spark, sf_dir))
+
+
+HUB_SQL = """WITH i AS (SELECT p_partkey AS id, p_size::DOUBLE AS p, (p_partkey % 90 + 10)::DOUBLE AS n FROM part),
+o AS (SELECT id, unnest(['A', 'B', 'C', 'D']) AS letter, unnest([p * n / 100, n * (100 - p) / 100, p * n, (p + n) / 2]) AS v FROM i),
+e AS (SELECT a.id, a.letter, b.letter AS other FROM o a JOIN o b ON a.id = b.id AND a.letter <> b.letter AND a.v <> b.v WHERE len(list_filter([a.v * 2, a.v / 2, a.v * 10, a.v / 10, a.v + 1, a.v - 1, -a.v, CASE WHEN a.v <> 0 THEN 1 / a.v END, a.v * a.v, CASE WHEN a.v >= 0 THEN sqrt(a.v) END, round_even(a.v * 1.1, 0), round_even(a.v * 0.9, 0)], lambda t: abs(b.v - t) <= 1e-4 * greatest(1, abs(b.v)) OR abs(b.v - t) < 0.01)) > 0)
+SELECT o.id, o.letter, count(e.other)::INT AS out_degree FROM o LEFT JOIN e ON e.id = o.id AND e.letter = o.letter GROUP BY ALL"""
+
+
+def arithmetic_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the closure strategy by depth; its bound on values has no SQL."""
+    from ..operators import strategies
+
+    return strategies.closure_answers(part_items(spark, sf_dir)).groupBy("answer", "depth").agg(F.count("*").alias("n"))
+
+
+QUERIES |= {"formula_rules": formula_rules, "transform_hub": transform_hub, "arithmetic_closure": arithmetic_closure}
+ORACLES |= {"formula_rules": FORMULA_SQL, "transform_hub": HUB_SQL}
