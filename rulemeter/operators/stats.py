@@ -82,3 +82,22 @@ def upper_tail(k: int, n: int, p: float) -> float:
         return 0.0
     log_term = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)
     return min(1.0, fsum(exp(log_term(i)) for i in range(k, n + 1)))
+
+
+def sequential_bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], n_boot: int = 1000, seed: int = 21) -> DataFrame:
+    """(keys, n, lo, hi) with draws of Python's own generator, seed + n for a group of n, and indices int(q (B - 1)).
+
+    The generator runs on from draw to draw, so a group is one task; use bootstrap_ci where groups are large. Differences
+    of pairs go through the same function."""
+    fields = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        import random
+
+        vs = part.sort_values(order)[value].astype(float).tolist()
+        n = len(vs)
+        draw = random.Random(seed + n).randrange
+        means = sorted(sum(vs[draw(n)] for _ in range(n)) / n for _ in range(n_boot))
+        return pd.DataFrame([(*part[keys].iloc[0].tolist(), n, means[int(0.025 * (n_boot - 1))], means[int(0.975 * (n_boot - 1))])], columns=[*keys, "n", "lo", "hi"])
+
+    return rows.filter(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(run, f"{fields}, n long, lo double, hi double")
