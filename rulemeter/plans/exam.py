@@ -83,7 +83,7 @@ SELECT id, arg_min(program, list_position({ORDER!r}, program)) AS witness, count
 def eligible_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items answered by a program that beats chance in its cell with at least ten trials: semi-join, then roll-up by cell."""
     items = order_items(spark, sf_dir)
-    scored = I.score(items, I.answers(items)).select("id", "authority", "claim", "program", "correct", "skipped", "chance")
+    scored = I.score(items, I.answers(items)).select("id", "authority", "claim", "program", "correct", "skipped", "chance").cache()
     good = I.rule_chance(scored).filter("n_scored >= 10 and pass_rate > chance + 1e-9").select("authority", "claim", "program")
     hit = scored.filter("correct").join(good, ["authority", "claim", "program"], "left_semi").select("id").distinct().withColumn("hit", F.lit(1))
     return items.select("id", "authority", "claim").join(hit, "id", "left").groupBy("authority", "claim").agg(F.count("*").alias("items"), F.count("hit").alias("bypassed"), F.round(F.count("hit") / F.count("*"), 6).alias("bypass_rate"))
@@ -206,3 +206,58 @@ def arithmetic_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"formula_rules": formula_rules, "transform_hub": transform_hub, "arithmetic_closure": arithmetic_closure}
 ORACLES |= {"formula_rules": FORMULA_SQL, "transform_hub": HUB_SQL}
+
+# fixed values: what a claim asks for, and what a program does without
+OPERATIONS = {"1-URGENT": ["retrieve", "execute"], "2-HIGH": ["execute", "bind"], "3-MEDIUM": ["bind", "explain"], "5-LOW": ["retrieve", "transfer"]}
+LACKS = {
+    "longest-option": ["retrieve", "execute", "bind", "distinguish", "explain", "transfer"],
+    "stem-option-overlap": ["bind", "distinguish", "explain"],
+    "option-repeating-stem-numbers": ["bind", "distinguish", "explain"],
+    "avoid-absolute-terms": ["retrieve", "execute", "bind", "distinguish", "explain", "transfer"],
+    "middle-value-option": ["retrieve", "execute", "bind", "distinguish", "explain", "transfer"],
+    "position-c": ["retrieve", "execute", "bind", "distinguish", "explain", "transfer"],
+    "most-qualified-hedged-option": ["retrieve", "execute", "bind", "distinguish", "explain", "transfer"],
+    "convergence-option": ["retrieve", "execute", "bind", "distinguish", "explain", "transfer"],
+    "mean-of-other-options": ["retrieve", "execute", "bind", "distinguish", "explain", "transfer"],
+    "grammatical-fit-option": ["retrieve", "execute", "bind", "distinguish", "explain", "transfer"],
+}
+# end of fixed values
+
+
+def _census(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ..operators import census as C
+
+    items = order_items(spark, sf_dir)
+    scored = I.score(items, I.answers(items)).cache()  # read three times; the rules are the dear part
+    good = I.rule_chance(scored).filter("n_scored >= 10 and pass_rate > chance + 1e-9")
+    claims = spark.createDataFrame([(a, c, ops) for a in "FOP" for c, ops in OPERATIONS.items()], "authority string, code string, operations array<string>")
+    programs = spark.createDataFrame([(p, i, LACKS[p]) for i, p in enumerate(ORDER)], "program string, ord int, lacks array<string>")
+    return items, C.cells(items, claims, scored, good, programs)
+
+
+def census_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requirement matrix: a value and the first witness for each item and operation."""
+    return _census(spark, sf_dir)[1]
+
+
+def census_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import census as C
+
+    t = C.comparisons(*_census(spark, sf_dir))
+    return t.withColumn("bypass_rate", F.round("bypass_rate", 6))
+
+
+_CELLS_SQL = f"""WITH {ITEMS_SQL}, {TRIALS_SQL}, n AS (SELECT id, count(*) AS k FROM opt GROUP BY id),
+good AS (SELECT authority, claim, program FROM trial JOIN item USING (id) JOIN n USING (id) WHERE answer IS NOT NULL GROUP BY ALL HAVING count(*) >= 10 AND avg((answer = key)::INT) > avg(1.0::DOUBLE / k) + 1e-9),
+ops AS ({" UNION ALL ".join(f"SELECT '{c}' AS claim, unnest({o!r}) AS operation" for c, o in OPERATIONS.items())}),
+lacks AS ({" UNION ALL ".join(f"SELECT '{p}' AS program, {i} AS ord, unnest({LACKS[p]!r}) AS operation" for i, p in enumerate(ORDER))}),
+w AS (SELECT id, operation, arg_min(program, ord) AS witness FROM trial JOIN item USING (id) JOIN good USING (authority, claim, program) JOIN lacks USING (program) WHERE answer = key GROUP BY ALL),
+tried AS (SELECT id, max((answer IS NOT NULL)::INT) AS t FROM trial GROUP BY id),
+cells AS (SELECT id, authority, claim, operation, CASE WHEN witness IS NULL THEN 1 ELSE 0 END AS value, witness, coalesce(t, 0) = 1 AS attempted FROM item JOIN ops USING (claim) LEFT JOIN w USING (id, operation) LEFT JOIN tried USING (id))"""
+CENSUS_CELLS_SQL = f"{_CELLS_SQL} SELECT * FROM cells"
+CENSUS_COMPARISONS_SQL = f"""{_CELLS_SQL}, b AS (SELECT id, count(*) FILTER (attempted) AS a, count(*) FILTER (attempted AND value = 0) AS z, min(value) AS low FROM cells GROUP BY id)
+SELECT authority, claim, count(*) AS n_items, count(*) FILTER (a > 0) AS n_attempted, round(coalesce(sum(z)::DOUBLE / nullif(sum(a), 0), 0), 6) AS bypass_rate, coalesce(sum(z), 0)::BIGINT AS n_witnesses, count(*) FILTER (low = 1 AND a > 0) AS n_positive
+FROM item LEFT JOIN b USING (id) GROUP BY ALL"""
+
+QUERIES |= {"census_cells": census_cells, "census_comparisons": census_comparisons}
+ORACLES |= {"census_cells": CENSUS_CELLS_SQL, "census_comparisons": CENSUS_COMPARISONS_SQL}
