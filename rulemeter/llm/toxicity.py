@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained, one on toxic and one on ordinary documents: each holds the word beginnings that
 stand in many different contexts of its class and far fewer of the other's. Counting contexts (pairs of a word and the one
 before it), not documents, keeps copied passages out; a beginning takes its space along, so that no word's middle matches. A text is cut into
-windows, each is compressed with either dictionary, and the differences of the lengths are the only features; a logistic
-curve fitted on other labelled documents turns them into a score. Literals are left uncompressed, so a window's
+windows, each is compressed behind a run of one byte with either dictionary, and the differences of the lengths are the
+only features; a logistic curve fitted on other labelled documents turns them into a score. Literals are left uncompressed, so a window's
 difference is what its matches with the dictionaries save."""
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ THRESHOLD = 0.3
 _SPACED = bytes(32 if c < 32 or chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 #: Between the segments of a dictionary; plain() gives no such byte.
 _GAP = b"\x01"
+#: Stands before every window: a block that saves nothing would be stored raw, and its matches would not show.
+_SAVES = b"\x02" * 128
 
 
 def plain(text: str) -> bytes:
@@ -90,7 +92,7 @@ def features(text: str, toxic: bytes, ordinary: bytes) -> list[float]:
         return [0.0] * 12
     # a last piece of less than half a window goes with the one before
     ends = [*range(WINDOW, len(b) - WINDOW // 2, WINDOW), len(b)]
-    d = sorted((len(by_ordinary(w)) - len(by_toxic(w)) for w in (b[s:e] for s, e in zip([0, *ends], ends, strict=False))), reverse=True)
+    d = sorted((len(by_ordinary(w)) - len(by_toxic(w)) for w in (_SAVES + b[s:e] for s, e in zip([0, *ends], ends, strict=False))), reverse=True)
     mean, top = sum(d) / len(d), [float(x) for x in (*d[:4], *[0] * (4 - len(d)))]
     return [mean, *top, float(np.log1p(len(d))), *(min(max(x, 0.0), 12.0) for x in top), mean * (len(d) + 1), float(mean > 0.5)]
 
