@@ -51,9 +51,9 @@ def _templates(df: DataFrame, key: str) -> DataFrame:
     return bare.select(key, F.filter(F.transform(beside, one), lambda t: t["word"] != "").alias("_t"))
 
 
-def _windows(templates: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, pos, hash): one row for each window of a text."""
-    t = templates.select(key, F.transform("_t", lambda x: F.xxhash64(F.coalesce(x["kind"], x["word"]))).alias("_h"), F.size("_t").alias("n"))
+def _windows(templates: DataFrame, key: str, window: int, exact: bool = False) -> DataFrame:
+    """(key, pos, hash): one row for each window of a text; ``exact`` takes the words of placeholders as they are."""
+    t = templates.select(key, F.transform("_t", lambda x: F.xxhash64(x["word"] if exact else F.coalesce(x["kind"], x["word"]))).alias("_h"), F.size("_t").alias("n"))
     shifted = F.arrays_zip(*[F.slice(F.col("_h"), k + 1, F.greatest(F.col("n") - window + 1, F.lit(0))).alias(f"h{k}") for k in range(window)])
     return t.select(key, F.posexplode(F.transform(shifted, lambda w: F.xxhash64(w))).alias("pos", "hash"))
 
@@ -64,12 +64,32 @@ def _slots(templates: DataFrame, key: str) -> DataFrame:
     return templates.select(key, F.explode(placed).alias("t")).select(key, "t.at", "t.kind", "t.value")
 
 
+def _word_for_word(ours: DataFrame, asked: DataFrame, window: int) -> DataFrame | None:
+    """(doc_id, item_id) where a document holds all words of an item in a row, numbers and names as they are; None without items.
+
+    An item is laid out in windows of ``window`` words, the last of them at its end, a shorter item in one of its own
+    length; a document must hold them all from one start."""
+    step = F.least(F.size("_t"), F.lit(window))
+    item = F.struct("item_id", F.xxhash64(F.transform("_t", lambda x: x["word"])).alias("which"), F.size("_t").alias("n"))
+    left = materialize(asked.filter(F.size("_t") > 0).select(item.alias("item"), step.alias("step"), "_t").dropDuplicates(["item"]))
+    found = None
+    for n in [r.step for r in left.select("step").distinct().collect()]:  # at most ``window`` of them
+        pieces = _windows(left.filter(F.col("step") == n), "item", n, True).filter((F.col("pos") % n == 0) | (F.col("pos") == F.col("item.n") - n))
+        pieces = materialize(pieces.select("item", F.col("pos").alias("at"), "hash", F.ceil(F.col("item.n") / n).alias("pieces")))
+        near = F.broadcast if pieces.count() <= FEW_WINDOWS else lambda df: df
+        hits = _windows(_templates(ours, "doc_id"), "doc_id", n, True).join(near(pieces), "hash")
+        hits = hits.groupBy("doc_id", "item", "pieces", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("held")).filter("held = pieces")
+        hits = hits.select("doc_id", "item.item_id")
+        found = hits if found is None else found.unionByName(hits)
+    return found if found is None else found.distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, slot_agreement) of the pairs that are leaks.
 
     item_windows counts the item's distinct windows with at least LITERALS words beside placeholders, n_windows those
-    found in the document. Items and documents with fewer than ``window`` template tokens match nothing, null and empty
-    texts neither. Rows that share an id are taken together; null ids are left out. Empty tables give no rows. Columns
+    found in the document. An item without such a window (a short one, or one of names and numbers) is one window of its
+    own length, which a leak holds word for word. Null and empty texts match nothing. Rows that share an id are taken together; null ids are left out. Empty tables give no rows. Columns
     other than the ids and texts are not read."""
     ours = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = materialize(_templates(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id"))
@@ -95,7 +115,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     agree = told.select("doc_id", "item_id", "kind", "asked", "value").distinct().groupBy("doc_id", "item_id", "kind", "asked").agg(F.count("*").alias("n"))
     agree = agree.groupBy("doc_id", "item_id").agg(F.avg((F.col("n") == 1).cast("double")).alias("slot_agreement"))
     result = found.join(agree, ["doc_id", "item_id"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
-    return result.filter(F.col("slot_agreement") >= consistent).select("doc_id", "item_id", "n_windows", "item_windows", share.alias("coverage"), "slot_agreement")
+    result = result.filter(F.col("slot_agreement") >= consistent).select("doc_id", "item_id", "n_windows", "item_windows", share.alias("coverage"), "slot_agreement")
+    whole = _word_for_word(ours, asked.join(total.select("item_id"), "item_id", "left_anti"), window)
+    if whole is None:
+        return result
+    one = F.lit(1).cast("long")
+    return result.unionByName(whole.select("doc_id", "item_id", one.alias("n_windows"), one.alias("item_windows"), F.lit(1.0).alias("coverage"), F.lit(1.0).alias("slot_agreement")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
