@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+import re
+from itertools import chain, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,10 @@ from ..functions import text as T
 
 #: Values that the closure makes at most, in order of depth; the bound is part of the rule.
 MOST_VALUES = 4000
+#: Stems of which pi and halved products belong to the closure.
+GEOMETRY = re.compile(
+    r"\b(triangle|circle|radius|diameter|circumference|rectangle|square|trapezoid|parallelogram|prism|cylinder|sphere|hypotenuse|base|height|width|length|perimeter|area|volume)\b", re.I
+)
 
 
 def transforms(v: Column) -> Column:
@@ -36,36 +42,46 @@ def hub(items: DataFrame) -> DataFrame:
     return top.select("id", F.when(F.col("m") > 0, F.get(best, F.floor((F.size(best) - 1) / 2).cast("int"))).alias("answer"))
 
 
-def closure(numbers: list[float], depth: int = 2, most: int = MOST_VALUES) -> dict[float, int]:
-    """Values that + - * / make of the numbers, each used as often as one likes, with the least depth, in order of making."""
+def closure(numbers: list[float], depth: int = 2, most: int = MOST_VALUES, geometry: bool = False) -> dict[float, int]:
+    """Values that + - * / make of the numbers, each used as often as one likes, with the least depth, in order of making.
+
+    The first step also takes roots and, with ``geometry``, multiples of pi and halves of products."""
     found = {round(x, 8): 0 for x in numbers}
     for d in range(1, depth + 1):
-        for a, b in [*combinations(list(found), 2), *((x, x) for x in list(found))]:
-            for v in (a + b, a - b, b - a, a * b, a / b if b else None, b / a if a else None):
-                if v is not None and abs(v) < 1e12 and (r := round(v, 8)) not in found:
-                    found[r] = d
-                    if len(found) >= most:
-                        return found
+        have = list(found)
+        made = (v for a, b in product(have, have) for v in (a + b, a - b, a * b, a / b if abs(b) > 1e-12 else None))
+        if d == 1:
+            made = chain(made, (x**0.5 for x in have if x >= 0))
+            if geometry:
+                made = chain(made, (x * math.pi for x in have), (a * b / 2 for a, b in product(have, have)))
+        for v in made:
+            if v is not None and abs(v) <= 1e12 and (r := round(v, 8)) not in found:
+                if len(found) >= most:
+                    return found
+                found[r] = d
     return found
 
 
 def closure_answers(items: DataFrame, depth: int = 2) -> DataFrame:
-    """(id, answer, depth): the only option that the closure of the stem's numbers reaches at its least depth.
+    """(id, answer, depth): the option that the closure of all the stem's numbers reaches at the least depth; of several
+    the lower central one by value, the first letter where values are equal.
 
     The bound on values depends on their order, so this is no join; it runs in Arrow batches, item by item."""
     o = F.transform("options", lambda x: F.struct(x["letter"].alias("letter"), T.option_number(x["text"]).alias("v")))
 
     @F.pandas_udf("answer string, depth int")
-    def run(numbers: pd.Series, options: pd.Series) -> pd.DataFrame:
+    def run(stems: pd.Series, numbers: pd.Series, options: pd.Series) -> pd.DataFrame:
         out = []
-        for ns, opts in zip(numbers, options, strict=True):
-            have = closure([float(x) for x in (ns if ns is not None else []) if x == x][:6], depth)
-            hits = sorted((have[round(x["v"], 8)], x["letter"]) for x in (opts if opts is not None else []) if x["v"] is not None and round(x["v"], 8) in have)
-            alone = bool(hits) and (len(hits) == 1 or hits[1][0] > hits[0][0])
-            out.append((hits[0][1] if alone else None, hits[0][0] if alone else None))
+        for stem, ns, opts in zip(stems, numbers, options, strict=True):
+            have = closure([float(x) for x in (ns if ns is not None else []) if x == x], depth, geometry=bool(GEOMETRY.search(stem or "")))
+            hits = [(have[round(x["v"], 8)], x["v"], x["letter"]) for x in (opts if opts is not None else []) if x["v"] is not None and round(x["v"], 8) in have]
+            least = min((h[0] for h in hits), default=None)
+            tied = sorted(h[1:] for h in hits if h[0] == least)
+            middle = tied[(len(tied) - 1) // 2][0] if tied else None
+            out.append((next((letter for v, letter in tied if v == middle), None), least))
         return pd.DataFrame(out, columns=["answer", "depth"])
 
-    return items.select("id", run(T.numbers(F.col("stem")), o).alias("r")).select("id", "r.*")
+    return items.select("id", run(F.col("stem"), T.numbers(F.col("stem")), o).alias("r")).select("id", "r.*")
 
 
 def portfolio(items: DataFrame, branches: list[tuple[str, DataFrame]], fallback: str = "B") -> DataFrame:
