@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, fresh_path, materialize
@@ -50,24 +50,34 @@ def _told(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+def _blob() -> Column:
+    """A version's address: the SHA-256 of its text, a null text being empty."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def pending_texts(docs: DataFrame, pending: DataFrame) -> DataFrame:
+    """(blob, text): the texts of the pending blobs (blob, holder), one row for each row of their holders that is that blob.
+
+    Both sides carry the address, so a path of v versions gives v rows, and a null id is a path like any other."""
+    versions = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("holder"), _blob().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    return versions.join(pending, ["holder", "blob"]).select("blob", "text")
+
+
 def scan_pending(docs: DataFrame, pending: DataFrame, rule_version: int) -> DataFrame:
-    """Ledger rows of the pending blobs (blob, holder): the holder's text is read, and scanned if it is that blob."""
+    """Ledger rows of the pending blobs (blob, holder)."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for blob, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest() != blob:
-                    continue
                 spans = spans_of(text)
                 base = [s for s in spans if s[0] in BASE_KINDS]
                 rows.append((blob, *(sum(s[0] == k for s in base) for k in BASE_KINDS), hashlib.sha256(_told(base).encode()).hexdigest(), _told(spans)))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    held = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("holder"), F.coalesce("text", F.lit("")).alias("text")).join(pending, "holder")
-    found = held.select("blob", "text").mapInArrow(run, "blob binary, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    found = pending_texts(docs, pending).mapInArrow(run, "blob binary, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return found.dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
 
 
@@ -79,9 +89,9 @@ def scan(docs: DataFrame, ledger: str | None = None, rule_version: int = RULE_VE
     versions of their own; a null doc_id stays null. An empty table gives no rows. Other columns are not read."""
     spark = docs.sparkSession
     at = ledger or fresh_path(spark, "secret_ledger")
-    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    versions = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob.alias("blob")))
-    pending = versions.groupBy("blob").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("holder"))
+    versions = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _blob().alias("blob")))
+    # a row with an id is preferred: the rows without one all share a key
+    pending = versions.groupBy("blob").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("holder"))
     kind = "blob binary, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, rule_version int"
     spark.createDataFrame([], kind).write.mode("append").parquet(at)
     known = spark.read.schema(kind).parquet(at).filter(F.col("rule_version") == rule_version)

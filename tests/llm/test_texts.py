@@ -47,6 +47,18 @@ def test_ledger_scans_only_what_is_new(spark, docs, tmp_path):
     assert spark.read.parquet(at).count() == 5
 
 
+def test_versions_of_a_path_are_scanned_once_each(spark):
+    """The joined rows grow with the versions, whether they share an id or have none."""
+    from pyspark.sql import functions as F
+
+    for key in (F.lit(7).cast("long"), F.lit(None).cast("long")):
+        docs = spark.range(3000).select(key.alias("doc_id"), F.concat(F.lit("token=abcdefgh"), "id").alias("text"))
+        pending = docs.select(secrets._blob().alias("blob"), F.coalesce("doc_id", F.lit(-1)).alias("holder"))
+        assert secrets.pending_texts(docs, pending).count() == 3000
+        got = secrets.scan(docs)
+        assert got.count() == 3000 and got.filter("n_assign = 1").count() == 3000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h2>Site name</h2></header>
 <nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><div class="ad">Buy this now and save a lot.</div>
 <article><h1>Title &amp; more</h1><p><b>Lead   text<br><p>First paragraph with a fair number of words in it, &quot;quoted&quot; &#233;.</p><p>Be.</p><form><input><button>Go</button></form></article>
