@@ -1,16 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary documents: each holds the word beginnings that
-stand in many different contexts of its class and far fewer of the other's. Counting contexts (pairs of a word and the one
-before it), not documents, keeps copied passages out; a beginning takes its space along, so that no word's middle matches. A text is cut into
-windows, each is compressed behind a run of one byte with either dictionary, and the differences of the lengths are the
-only features; a logistic curve fitted on other labelled documents turns them into a score. Literals are left uncompressed, so a window's
-difference is what its matches with the dictionaries save."""
+Two zstandard dictionaries, one of toxic and one of ordinary text: each holds the word beginnings that stand in many
+different contexts of its class and far fewer of the other's. Counting contexts (pairs of a word and the one before it),
+not documents, keeps copied passages out; a beginning takes its space along, so that no word's middle matches. Their content
+is chosen by this contrast because zstandard's own trainer, which knows one class only, fills both with the prose that
+the classes share (its held-out recall is 0.03, see the README). A text is cut into windows at spaces, each is compressed
+behind a run of one byte with either dictionary, and the differences of the lengths are the only features: the bytes that
+the toxic dictionary saves, those that the ordinary one saves, and the number of windows. A logistic curve fitted on other
+labelled documents turns them into a score. Literals are left uncompressed, so a window's difference is what its matches
+with the dictionaries save."""
 
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, materialize
 
-#: Labelled documents that the dictionaries (of each class) and the curve are fitted on; the bound of what the driver
-#: holds. A document of the sample has at most SAMPLE_CHARS code points, longer ones are not taken into it.
-DICT_DOCS, CURVE_DOCS, SAMPLE_CHARS = 1500, 6000, 20_000
-WINDOW, DICT_BYTES, MIN_MATCH = 512, 4096, 6
-#: A segment is a class's own if it is RATIO times as frequent as in the other, in enough contexts, and SIGMAS standard
+#: Labelled documents that the dictionaries (of each class) and the curve are fitted on. Their texts stay on the executors
+#: and are taken whole; the driver gets ids, chosen beginnings and three features a document.
+DICT_DOCS, CURVE_DOCS = 1500, 6000
+WINDOW, DICT_BYTES, MIN_MATCH = 48, 4096, 5
+#: A beginning is a class's own if it is RATIO times as frequent as in the other, in enough contexts, and SIGMAS standard
 #: deviations above the count that the other's rate would give.
 RATIO, MIN_CONTEXTS, CONTEXT_SHARE, SIGMAS, PREFIX = 5.0, 3, 7.5e-5, 4.0, 7
 THRESHOLD = 0.3
@@ -33,6 +35,8 @@ THRESHOLD = 0.3
 _SPACED = bytes(32 if c < 32 or chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 #: Between the segments of a dictionary; plain() gives no such byte.
 _GAP = b"\x01"
+#: Ends a dictionary, whose last bytes zstandard doesn't look up.
+_TAIL = b"\x03" * 16
 #: Stands before every window: a block that saves nothing would be stored raw, and its matches would not show.
 _SAVES = b"\x02" * 128
 
@@ -48,27 +52,36 @@ def plain(text: str) -> bytes:
     return b" " + b" ".join(b.translate(_SPACED).split()) + b" "
 
 
-def _segments(texts: list[str]) -> tuple[Counter, int]:
-    seen = set()
-    for t in texts:
-        words = plain(t).split()
-        seen.update(zip([b"", *words], words, strict=False))
-    return Counter((b" " + w + b" ")[:PREFIX] for _, w in seen), len(seen)
+def _contexts(texts: DataFrame) -> DataFrame:
+    """(use, begin, context) of every word of rows (use, text): its beginning, and a hash of it with the word before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            for use, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = plain(text or "").split()
+                told = {((b" " + w + b" ")[:PREFIX], xxhash.xxh64_intdigest(v + b" " + w) - (1 << 63)) for v, w in zip([b"", *words], words, strict=False)}
+                yield pa.record_batch([pa.array([use] * len(told), pa.int32()), pa.array([w for w, _ in told], pa.binary()), pa.array([c for _, c in told], pa.int64())], names=["use", "begin", "context"])
+
+    return texts.mapInArrow(run, "use int, begin binary, context long")
 
 
-def _own(mine: tuple[Counter, int], other: tuple[Counter, int]) -> bytes:
-    (c, n), (d, m) = mine, other
-    least = max(MIN_CONTEXTS, CONTEXT_SHARE * n)
-    words = []
-    for w, k in c.items():
-        chance = (d[w] + 0.5) / (m + 1) * n
-        if k >= least and k + 0.5 > RATIO * chance and k - chance > SIGMAS * (chance + 1) ** 0.5:
-            words.append(w)
-    out = b""
-    for w in sorted(words, key=lambda w: (-c[w], w)):
-        if len(out) + len(w) < DICT_BYTES:
-            out += _GAP + w
-    return out
+def _own(texts: DataFrame) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, from rows (use, text) with use 1 and 0. At most 1 / CONTEXT_SHARE beginnings of
+    a class pass the test, so what reaches the driver is bounded."""
+    seen = materialize(_contexts(texts).distinct().groupBy("begin").agg(F.count_if(F.col("use") == 1).alias("c1"), F.count_if(F.col("use") == 0).alias("c0")))
+    n1, n0 = seen.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first()
+    out = []
+    for mine, n, other, m in (("c1", n1, "c0", n0), ("c0", n0, "c1", n1)):
+        k, chance = F.col(mine), (F.col(other) + 0.5) / (m + 1) * n
+        ok = (k >= max(MIN_CONTEXTS, CONTEXT_SHARE * n)) & (k + 0.5 > RATIO * chance) & (k - chance > SIGMAS * F.sqrt(chance + 1))
+        content = b""
+        for r in sorted(seen.filter(ok).collect(), key=lambda r: (-r[mine], bytes(r.begin))):
+            if len(content) + len(r.begin) < DICT_BYTES:
+                content += _GAP + bytes(r.begin)
+        out.append(content)
+    return out[0], out[1]
 
 
 @cache
@@ -79,7 +92,7 @@ def _coders(toxic: bytes, ordinary: bytes):
     shape = zs.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=6, min_match=MIN_MATCH, target_length=1, strategy=zs.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
     out = []
     for content in (toxic, ordinary):
-        d = zs.ZstdCompressionDict(content.rjust(size, b"\0"), dict_type=zs.DICT_TYPE_RAWCONTENT)
+        d = zs.ZstdCompressionDict(content.rjust(size, b"\0") + _TAIL, dict_type=zs.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=shape)
         out.append(zs.ZstdCompressor(dict_data=d, compression_params=shape).compress)
     return tuple(out)
@@ -88,13 +101,14 @@ def _coders(toxic: bytes, ordinary: bytes):
 def features(text: str, toxic: bytes, ordinary: bytes) -> list[float]:
     by_toxic, by_ordinary = _coders(toxic, ordinary)
     b = plain(text)
-    if len(b) <= 2:
-        return [0.0] * 12
-    # a last piece of less than half a window goes with the one before
-    ends = [*range(WINDOW, len(b) - WINDOW // 2, WINDOW), len(b)]
-    d = sorted((len(by_ordinary(w)) - len(by_toxic(w)) for w in (_SAVES + b[s:e] for s, e in zip([0, *ends], ends, strict=False))), reverse=True)
-    mean, top = sum(d) / len(d), [float(x) for x in (*d[:4], *[0] * (4 - len(d)))]
-    return [mean, *top, float(np.log1p(len(d))), *(min(max(x, 0.0), 12.0) for x in top), mean * (len(d) + 1), float(mean > 0.5)]
+    saved = lost = n = at = 0
+    while at < len(b) - 1:  # windows share the space between them
+        end = b.find(b" ", at + WINDOW)
+        w = _SAVES + b[at : end + 1 if end >= 0 else len(b)]
+        d = len(by_ordinary(w)) - len(by_toxic(w))
+        saved, lost, n = saved + max(d, 0), lost + max(-d, 0), n + 1
+        at = end if end >= 0 else len(b)
+    return [float(np.log1p(x)) for x in (saved, lost, n)] if len(b) > 2 else [0.0] * 3
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> dict:
@@ -123,19 +137,25 @@ def fit(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS, curve_do
     picked.append(known.filter(half == 1).orderBy(*order).limit(curve_docs).withColumn("use", F.lit(2)))
     ids = [tuple(r) for p in picked for r in p.select("doc_id", "toxic", "use").collect()]  # bounded by the parameters
     spark = docs.sparkSession
+    bound_batches(spark)
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int, use int"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= SAMPLE_CHARS)
-    rows = text.join(chosen, "doc_id").select("doc_id", "toxic", "use", "text").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    split = [[r.text for r in rows if r.use == k] for k in (0, 1)]
-    curve = [r for r in rows if r.use == 2]
-    y = np.array([float(r.toxic) for r in curve])
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # of rows that share an id the least text is taken
+    rows = materialize(text.join(chosen, "doc_id").groupBy("doc_id", "toxic", "use").agg(F.min("text").alias("text")))
     base = float(np.mean([t for _, t, _ in ids])) if ids else 0.0
-    if not split[0] or not split[1] or len(set(y.tolist())) < 2:
+    held = {(r.use, r.toxic) for r in rows.select("use", "toxic").distinct().collect()}
+    if not {(0, 0), (1, 1), (2, 0), (2, 1)} <= held:
         return {"toxic": "", "ordinary": "", "base": base}
-    a, b = _segments(split[1]), _segments(split[0])
-    toxic, ordinary = _own(a, b), _own(b, a)
-    x = np.array([features(r.text, toxic, ordinary) for r in curve])
+    toxic, ordinary = _own(rows.filter("use < 2").select("use", "text"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features(t or "", toxic, ordinary) for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+
+    curve = rows.filter("use = 2").select("doc_id", "toxic", "text").mapInArrow(told, "doc_id long, toxic int, x array<double>").collect()
+    curve.sort(key=lambda r: r.doc_id)
+    x, y = np.array([r.x for r in curve]), np.array([float(r.toxic) for r in curve])
     return {"toxic": toxic.hex(), "ordinary": ordinary.hex(), "base": base} | _fit(x, y)
 
 
@@ -165,7 +185,10 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``; no shuffle."""
+    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``; no shuffle.
+
+    A null text is empty, ids are not looked at, repeated rows are kept or dropped together, a text of any length is scored
+    whole, an empty table stays empty."""
     bound_batches(docs.sparkSession)
     told, at = json.dumps(model), docs.columns.index("text")
 

@@ -1,12 +1,35 @@
+import numpy as np
+
 from rulemeter.llm import toxicity
 
+TOXIC, ORDINARY = b"\x01 vermin\x01 grubby\x01 rotten\x01 bad ", b"\x01 window\x01 garden\x01 yellow\x01 cup "
+
 
 def test_one_word_of_a_dictionary_shows_in_a_short_text():
-    toxic, ordinary = b"\x01 vermin\x01 grubby\x01 rotten", b"\x01 window\x01 garden\x01 yellow"
     rest = "q7 zx kj vb 93 lw py 51 mh dt 08 ce gu oi 64 nf"
-    plain = toxicity.features(rest, toxic, ordinary)
-    assert plain[1] == 0
+    assert toxicity.features(rest, TOXIC, ORDINARY)[:2] == [0, 0]
     for at in (0, 5, 20, 38):
         text = rest[:at] + " vermin " + rest[at:]
-        assert toxicity.features(text, toxic, ordinary)[1] > 0
-        assert toxicity.features(text.replace("vermin", "window"), toxic, ordinary)[1] < 0
+        saved, lost, _ = toxicity.features(text, TOXIC, ORDINARY)
+        assert saved > 0 and lost == 0
+        saved, lost, _ = toxicity.features(text.replace("vermin", "window"), TOXIC, ORDINARY)
+        assert saved == 0 and lost > 0
+        assert toxicity.features(text.replace("vermin", "bad"), TOXIC, ORDINARY)[0] > 0
+
+
+def test_savings_are_those_of_the_windows_one_by_one():
+    r = np.random.default_rng(4)
+    words = ["vermin", "window", "grubby", "cup", "bad", "zq", "xylo", "ok", "a", "longerword"]
+    by_toxic, by_ordinary = toxicity._coders(TOXIC, ORDINARY)
+    for n in (1, 3, 40, 3000):
+        text = " ".join(r.choice(words, n))
+        saved = lost = windows = 0
+        rest = toxicity.plain(text)
+        while len(rest) > 1:
+            end = rest.find(b" ", toxicity.WINDOW)
+            w = rest if end < 0 else rest[: end + 1]
+            d = len(by_ordinary(toxicity._SAVES + w)) - len(by_toxic(toxicity._SAVES + w))
+            saved, lost, windows = saved + max(0, d), lost + max(0, -d), windows + 1
+            rest = rest[len(w) - 1 :] if end >= 0 else b""
+        assert np.allclose(toxicity.features(text, TOXIC, ORDINARY), np.log1p([saved, lost, windows]))
+    assert toxicity.features("", TOXIC, ORDINARY) == toxicity.features(" .!", TOXIC, ORDINARY) == [0.0] * 3
