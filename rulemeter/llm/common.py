@@ -43,12 +43,9 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a table that this library wrote into the shared folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one made of it, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

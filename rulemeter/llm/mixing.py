@@ -1,12 +1,13 @@
 """Mixing sources to target weights, in native operators.
 
-Each source's words, in a fixed order of its documents, are cut into blocks of BLOCK words. A source's target is met by
-slots: whole passes over its blocks, then a part of one more. A slot is drawn into an output shard by its hash, so a
-shard's source counts are multinomial with the targets as weights, while the totals are exact. Within a pass, slot i
-takes block p(i), where p is a pseudorandom permutation of the source's full blocks computed for each index by itself
-(swap-or-not rounds: a bijection on any range, without a table); the short last block comes last. Slots and the
-documents' pieces meet in a join on (source, block). Nothing is sorted or numbered within a whole source: offsets are
-prefix sums over hash buckets of documents, then over the documents of a bucket."""
+Each source's words, in a fixed order of its documents, are cut into blocks of BLOCK words, and its target is so many
+slots. The slots of all sources stand in a line; a pseudorandom permutation of that line, cut into output shards of SHARD
+words, draws each shard's source counts: multinomial with the targets as weights, given that the sources' totals are met
+exactly. The counts, summed up over the shards, tell which of a source's slots a shard holds. Slots go through whole passes
+over the source's blocks, then a part of one more; within a pass slot i takes block p(i), where p is a pseudorandom
+permutation of the source's full blocks (the short last block comes last). Permutations are computed for each index by
+itself (swap-or-not rounds: a bijection on any range, without a table). Slots and the documents' pieces meet in a join on
+(source, block). Nothing is sorted or numbered within a whole source: offsets are prefix sums over buckets, then within them."""
 
 from __future__ import annotations
 
@@ -14,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_path, materialize, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2
-BUCKETS, ROUNDS, PRIME, SEED = 4096, 24, 65521, 7
-#: Words in an output shard, about.
-SHARD = 1 << 22
+BUCKETS, ROUNDS, PRIME = 4096, 20, 65521
+#: Words in an output shard; slots that one row counts out.
+SHARD, RUN = 1 << 18, 4096
 #: Sources up to which the table of targets is sent to every task; beyond, it is joined like any table.
 FEW_SOURCES = 10_000
 
@@ -53,47 +54,72 @@ def permuted(i: Column, n: Column, sid: Column, turn: Column) -> Column:
     """Place of i under a pseudorandom permutation of 0..n-1: each round swaps x with k - x or not, by a bit of the larger."""
 
     def once(x: Column, r: Column) -> Column:
-        k = F.pmod((r + 1) * F.lit(2654435761) + sid * F.lit(40503) + turn * F.lit(69069) + F.lit(SEED), n)
+        p = F.lit(PRIME)
+        h = F.pmod(r * F.lit(7919) + F.lit(104729) + sid * F.lit(613) + turn * F.lit(1009), p)
+        h2 = F.pmod(h * h, p)
+        h3 = F.pmod(h2 * h, p)
+        k = F.pmod((h3 * p + h2) * p + h, n)
         y = F.pmod(k + n - x, n)
         m = F.greatest(x, y)
-        a = F.pmod(m, F.lit(PRIME)) * F.pmod(r * F.lit(7919) + F.lit(104729), F.lit(PRIME))
-        b = F.pmod(F.floor(m / F.lit(PRIME)).cast("long"), F.lit(PRIME)) * F.pmod(r * F.lit(31337) + F.lit(271), F.lit(PRIME))
-        bit = F.pmod(a + b + r * F.lit(7927) + sid * F.lit(613) + turn * F.lit(1009), F.lit(PRIME)) > F.lit(PRIME // 2)
+        v = F.pmod(m + F.pmod(F.floor(m / p).cast("long"), p) * h2 + h, p)
+        bit = F.pmod(F.pmod(v * v, p) * v + h3, p) > F.lit(PRIME // 2)
         return F.when(bit, y).otherwise(x)
 
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), i, once)
 
 
-def slots(goals: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(sid, turn, i, block, take, shard): every block that the mix takes, and how many of its first words."""
-    n = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _passes(goals: DataFrame, block: int) -> DataFrame:
+    """(sid, size, want, per, slots, before, all): slots of a pass, of the source, of the sources before it, of all."""
     size, want = F.col("source_size"), F.floor(F.col("target") + 0.5).cast("long")
-    t = goals.filter(size > 0).select("sid", size.alias("size"), want.alias("want"), F.sum(want).over(W.partitionBy()).alias("all"))
-    t = t.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("want") / F.col("size")).cast("long"))))
-    t = t.withColumn("words", F.least(F.col("size"), F.col("want") - F.col("turn") * F.col("size"))).filter("words > 0")
-    t = t.withColumn("n", F.ceil(F.col("words") / F.lit(block)).cast("long"))
-    # slots are counted out in runs, so that a large source is counted out by many tasks
-    t = t.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 4096).cast("long")))).repartition(n, "sid", "turn", "run")
-    t = t.withColumn("i", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("n") - 1))))
-    full = F.floor(F.col("size") / F.lit(block)).cast("long")
-    at = F.when(F.col("i") < full, permuted(F.col("i"), full, F.col("sid"), F.col("turn"))).otherwise(full)
-    drawn = F.pmod(F.xxhash64(F.lit(SEED), "sid", "turn", "i"), F.greatest(F.lit(1), F.ceil(F.col("all") / F.lit(shard)).cast("long")))
-    return t.select("sid", "turn", "i", at.alias("block"), F.least(F.lit(block), F.col("words") - F.col("i") * block).cast("long").alias("take"), drawn.alias("shard"))
+    t = goals.filter(size > 0).select("sid", size.alias("size"), want.alias("want"), F.ceil(size / F.lit(block)).cast("long").alias("per"))
+    turns, rest = F.floor(F.col("want") / F.col("size")).cast("long"), F.col("want") % F.col("size")
+    t = t.withColumn("slots", turns * F.col("per") + F.ceil(rest / F.lit(block)).cast("long")).filter("slots > 0")
+    before = F.coalesce(F.sum("slots").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return t.withColumn("before", before).withColumn("all", F.sum("slots").over(W.partitionBy()))
+
+
+def _counted(rows: DataFrame, n: Column, name: str, *keep: str) -> DataFrame:
+    """Rows with ``name`` from 0 to n - 1, in runs of RUN, so that many tasks count out a long one."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / RUN).cast("long")))).repartition(parts, *keep, "run")
+    return runs.withColumn(name, F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN - 1, n - 1)))).drop("run")
 
 
 def shard_counts(goals: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(shard, sid, blocks): how many blocks of each source an output shard draws."""
-    return slots(goals, block, shard).groupBy("shard", "sid").agg(F.count("*").alias("blocks"))
+    """(shard, sid, n): how many blocks of each source an output shard draws. The counts of a source add up to its slots."""
+    line = _counted(_passes(goals, block), F.col("slots"), "j", "sid")
+    zero = F.lit(0).cast("long")
+    place = permuted(F.col("before") + F.col("j"), F.col("all"), zero, zero)
+    return line.groupBy(F.floor(place / F.lit(max(1, shard // block))).cast("long").alias("shard"), "sid").agg(F.count("*").alias("n"))
+
+
+def slots(goals: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """(sid, turn, i, block, take, shard): every block that the mix takes, how many of its first words, and where it goes."""
+    drawn = materialize(shard_counts(goals, block, shard).withColumn("part", F.floor(F.col("shard") / RUN)))
+    before = lambda n, *by: F.coalesce(F.sum(n).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = drawn.groupBy("sid", "part").agg(F.sum("n").alias("m")).select("sid", "part", before("m", "sid", "part").alias("base"))
+    first = drawn.withColumn("inner", before("n", "sid", "part", "shard")).join(sums, ["sid", "part"]).select("sid", "shard", "n", (F.col("base") + F.col("inner")).alias("first"))
+    t = _counted(first, F.col("n"), "k", "sid", "shard").join(_passes(goals, block).select("sid", "size", "want", "per"), "sid")
+    j = F.col("first") + F.col("k")
+    t = t.withColumn("turn", F.floor(j / F.col("per")).cast("long")).withColumn("i", j % F.col("per"))
+    words = F.least(F.col("size"), F.col("want") - F.col("turn") * F.col("size"))
+    full = F.floor(F.col("size") / F.lit(block)).cast("long")
+    at = F.when(F.col("i") < full, permuted(F.col("i"), full, F.col("sid"), F.col("turn"))).otherwise(full)
+    return t.select("sid", "turn", "i", at.alias("block"), F.least(F.lit(block), words - F.col("i") * block).cast("long").alias("take"), "shard")
 
 
-def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(docs: DataFrame, block: int = BLOCK, row: str | None = None, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents (doc_id, source, size, row, no text), the targets, and the pieces of documents that the mix takes:
-    (row, shard, turn, i, start, end) in words of the document."""
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), F.monotonically_increasing_id().alias("row")))
+    (row, sid, shard, turn, i, at, start, end), start and end in words of the document, at in words of the block.
+
+    ``row`` names a column that numbers the rows of a written table; without it they are numbered here, once."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), number.alias("row")))
     goals = materialize(targets(sized))
     few = goals.count() <= FEW_SOURCES
     keyed = sized.withColumnRenamed("source", "s").join((F.broadcast(goals) if few else goals).select("source", "sid"), F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    place = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(1000003)) * 7919, F.lit(BUCKETS))
+    # rows without an id are dealt by their sizes
+    place = F.pmod(F.pmod(F.coalesce("doc_id", "size"), F.lit(1000003)) * 7919, F.lit(BUCKETS))
     placed = keyed.filter("size > 0").withColumn("bucket", place)
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     base = F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -105,42 +131,67 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Dat
     low, high = F.greatest(F.col("o") - F.col("block") * block, F.lit(0)), F.least(F.col("o") + F.col("size") - F.col("block") * block, F.lit(block))
     spans = spans.select("row", "sid", "block", low.alias("low"), high.alias("high"), (F.col("block") * block - F.col("o")).alias("shift"))
     # slots compress so well in a shuffle that their size would be misjudged and all of them sent to every task
-    met = spans.join(slots(goals, block).hint("merge"), ["sid", "block"])
+    met = spans.join(slots(goals, block, shard).hint("merge"), ["sid", "block"])
     end = F.least("high", "take")
-    pieces = met.filter(end > F.col("low")).select("row", "shard", "turn", "i", (F.col("low") + F.col("shift")).alias("start"), (end + F.col("shift")).alias("end"))
+    pieces = met.filter(end > F.col("low")).select("row", "sid", "shard", "turn", "i", F.col("low").alias("at"), (F.col("low") + F.col("shift")).alias("start"), (end + F.col("shift")).alias("end"))
     return keyed, goals, pieces
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, shard) of every row of ``docs`` (doc_id, text, source).
 
-    taken counts the document's words in the mix, repeats too. A null or empty text has no words and none are taken. A
+    taken counts the document's words in the mix, repeats too; shard is the first output shard with words of it, -1
+    if none are taken. A null or empty text has no words and none are taken. A
     null source is a source, the last. Null and repeated doc_ids are documents of their own, in an order fixed by id and
     size. An empty table gives no rows. Other columns are not read."""
     keyed, goals, pieces = plan(docs, block)
-    got = pieces.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
+    got = pieces.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"), F.min("shard").alias("shard"))
     few = goals.count() <= FEW_SOURCES
     told = keyed.join(got.hint("merge"), "row", "left").join((F.broadcast(goals) if few else goals).select("sid", "source_size", "target"), "sid")
-    return told.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return told.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shard", F.lit(-1)).cast("long").alias("shard"))
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written to the shared folder with numbered rows, and the number's column: an unwritten plan may number its
+    rows anew each time it runs."""
+    row, at = unused(docs, "row"), fresh_path(docs.sparkSession, "mixed_rows")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(at)
+    return docs.sparkSession.read.parquet(at), row
+
+
+def mixed_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """(shard, sid, turn, i, text): the mix itself, one row for each block of words of an output shard.
+
+    A block's words are joined by spaces, in the order of the source. Rows as in mix()."""
+    numbered, row = _numbered(docs)
+    _, _, pieces = plan(numbered, block, row, shard)
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))
+    cut = pieces.join(numbered.select(F.col(row).alias("row"), words.alias("w")), "row")
+    part = F.array_join(F.slice("w", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), " ")
+    whole = F.array_sort(F.collect_list(F.struct("at", part.alias("text"))))  # of at most a block's words
+    return cut.groupBy("shard", "sid", "turn", "i").agg(F.array_join(F.transform(whole, lambda x: x["text"]), " ").alias("text"))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` with the text that the mix takes of each; documents of which it takes nothing go.
 
     A document taken whole keeps its text as it is, once for each time; a part is its words joined by spaces. Several
-    takes are joined by a line feed, and n_chars, where there is one, counts the new text's code points."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    keyed, _, pieces = plan(docs, block)
+    takes are joined by a line feed, and n_chars, where there is one, counts the new text's code points. Null and empty
+    texts have no words and go; null ids and sources, repeated rows and empty tables as in mix(). Other columns, whatever
+    their names, stay as they are. The rows are written once, so that numbers and texts belong together on any plan."""
+    numbered, row = _numbered(docs)
+    held, split = unused(numbered, "takes"), unused(numbered, "words")
+    keyed, _, pieces = plan(numbered, block, row)
     # pieces of one pass over a document stand next to each other
     runs = pieces.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("parts"), F.sum(F.col("end") - F.col("start")).alias("words"))
-    takes = runs.join(keyed.select("row", "size").hint("merge"), "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("turn", (F.col("words") == F.col("size")).alias("whole"), "parts"))).alias("takes"))
-    takes = materialize(takes.withColumnRenamed("row", "_row"))
+    takes = runs.join(keyed.select("row", "size").hint("merge"), "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("turn", (F.col("words") == F.col("size")).alias("whole"), "parts"))).alias(held))
+    takes = materialize(takes.withColumnRenamed("row", row))
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.when(F.exists("takes", lambda t: ~t["whole"]), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    cut = lambda t: F.array_join(F.flatten(F.transform(t["parts"], lambda p: F.slice(F.col("_words"), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), " ")
-    told = numbered.join(takes.hint("merge"), "_row").withColumn("_words", words)
-    whole = F.array_join(F.transform("takes", lambda t: text), "\n")
-    told = told.withColumn("text", F.when(F.col("_words").isNull(), whole).otherwise(F.array_join(F.transform("takes", lambda t: F.when(t["whole"], text).otherwise(cut(t))), "\n")))
+    words = F.when(F.exists(held, lambda t: ~t["whole"]), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    cut = lambda t: F.array_join(F.flatten(F.transform(t["parts"], lambda p: F.slice(F.col(split), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), " ")
+    told = numbered.join(takes.hint("merge"), row).withColumn(split, words)
+    whole = F.array_join(F.transform(held, lambda t: text), "\n")
+    told = told.withColumn("text", F.when(F.col(split).isNull(), whole).otherwise(F.array_join(F.transform(held, lambda t: F.when(t["whole"], text).otherwise(cut(t))), "\n")))
     if "n_chars" in docs.columns:
         told = told.withColumn("n_chars", F.length("text").cast("long"))
     return told.select(*docs.columns)
@@ -154,22 +205,34 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER
       FROM w WINDOW b AS (ORDER BY cap::DOUBLE / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, cap <= level * weight AS fullup FROM l),
 goals AS (SELECT source, sid, source_size, CASE WHEN fullup THEN cap::DOUBLE ELSE max(CASE WHEN NOT fullup THEN level END) OVER () * weight END AS target FROM f),
-passes AS (SELECT sid, source_size AS size, floor(target + 0.5)::BIGINT AS want, unnest(range(0, floor(target + 0.5)::BIGINT // source_size + 1)) AS turn FROM goals WHERE source_size > 0),
-p2 AS (SELECT sid, size, turn, least(size, want - turn * size) AS words FROM passes),
-s AS (SELECT sid, size, turn, words, size // 256 AS nfull, unnest(range(0, (words + 255) // 256)) AS i FROM p2 WHERE words > 0),
+p AS (SELECT sid, source_size AS size, floor(target + 0.5)::BIGINT AS want, (source_size + 255) // 256 AS per, source_size // 256 AS nfull FROM goals WHERE source_size > 0),
+q AS (SELECT *, want // size * per + (want % size + 255) // 256 AS slots FROM p),
+line AS (SELECT sid, coalesce(sum(slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, sum(slots) OVER ()::BIGINT AS n, slots FROM q WHERE slots > 0),
+draw AS (
+  SELECT sid, n, before + j AS x, 0::BIGINT AS r FROM (SELECT *, unnest(range(0, slots)) AS j FROM line)
+  UNION ALL
+  SELECT sid, n, CASE WHEN (v * v % 65521 * v + h3) % 65521 > 32760 THEN y ELSE x END, r + 1
+  FROM (SELECT *, (m + m // 65521 % 65521 * h2 + h) % 65521 AS v FROM (SELECT *, greatest(x, y) AS m FROM (SELECT *, (((h3 * 65521 + h2) * 65521 + h) % n + n - x) % n AS y
+    FROM (SELECT *, h2 * h % 65521 AS h3 FROM (SELECT *, h * h % 65521 AS h2 FROM (SELECT *, (r * 7919 + 104729 + 0 * 613 + 0 * 1009) % 65521 AS h FROM draw WHERE r < 20))))))
+),
+counts AS (SELECT x // 1024 AS shard, sid, count(*) AS c FROM draw WHERE r = 20 GROUP BY ALL),
+firsts AS (SELECT shard, sid, c, coalesce(sum(c) OVER (PARTITION BY sid ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f FROM counts),
+js AS (SELECT shard, sid, unnest(range(f, f + c)) AS j FROM firsts),
+s AS (SELECT shard, sid, j // per AS turn, j % per AS i, least(size, want - j // per * size) AS words, nfull FROM js JOIN q USING (sid)),
 walk AS (
-  SELECT sid, turn, words, nfull, i, i AS x, 0::BIGINT AS r FROM s WHERE i < nfull
+  SELECT shard, sid, turn, words, nfull, i, i AS x, 0::BIGINT AS r FROM s WHERE i < nfull
   UNION ALL
-  SELECT sid, turn, words, nfull, i,
-    CASE WHEN ((m % 65521) * ((r * 7919 + 104729) % 65521) + (m // 65521 % 65521) * ((r * 31337 + 271) % 65521) + r * 7927 + sid * 613 + turn * 1009) % 65521 > 32760 THEN y ELSE x END, r + 1
-  FROM (SELECT *, greatest(x, y) AS m FROM (SELECT *, (((r + 1) * 2654435761 + sid * 40503 + turn * 69069 + 7) % nfull + nfull - x) % nfull AS y FROM walk WHERE r < 24))
+  SELECT shard, sid, turn, words, nfull, i, CASE WHEN (v * v % 65521 * v + h3) % 65521 > 32760 THEN y ELSE x END, r + 1
+  FROM (SELECT *, (m + m // 65521 % 65521 * h2 + h) % 65521 AS v FROM (SELECT *, greatest(x, y) AS m FROM (SELECT *, (((h3 * 65521 + h2) * 65521 + h) % nfull + nfull - x) % nfull AS y
+    FROM (SELECT *, h2 * h % 65521 AS h3 FROM (SELECT *, h * h % 65521 AS h2 FROM (SELECT *, (r * 7919 + 104729 + sid * 613 + turn * 1009) % 65521 AS h FROM walk WHERE r < 20))))))
 ),
-slots AS (SELECT sid, turn, i, x AS block, least(256, words - i * 256) AS take FROM walk WHERE r = 24
-          UNION ALL SELECT sid, turn, i, nfull, least(256, words - i * 256) FROM s WHERE i >= nfull),
-k AS (SELECT d.doc_id, d.size, g.sid, g.source_size, g.target, ((coalesce(d.doc_id, 0) % 1000003 + 1000003) % 1000003 * 7919) % 4096 AS bucket
+slots AS (SELECT shard, sid, turn, i, x AS block, least(256, words - i * 256) AS take FROM walk WHERE r = 20
+          UNION ALL SELECT shard, sid, turn, i, nfull, least(256, words - i * 256) FROM s WHERE i >= nfull),
+k AS (SELECT d.doc_id, d.size, g.sid, g.source_size, g.target, ((coalesce(d.doc_id, d.size) % 1000003 + 1000003) % 1000003 * 7919) % 4096 AS bucket
       FROM d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY bucket, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o, row_number() OVER () AS rid FROM k),
 b AS (SELECT rid, sid, size, o, unnest(range(o // 256, (o + size - 1) // 256 + 1)) AS block FROM o WHERE size > 0),
-t AS (SELECT rid, sum(greatest(0, least(o + size - b.block * 256, 256, take) - greatest(o - b.block * 256, 0))) AS taken FROM b JOIN slots USING (sid, block) GROUP BY rid)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o LEFT JOIN t USING (rid)
+e AS (SELECT rid, shard, greatest(0, least(o + size - b.block * 256, 256, take) - greatest(o - b.block * 256, 0)) AS w FROM b JOIN slots USING (sid, block)),
+t AS (SELECT rid, sum(w) AS taken, min(shard) AS shard FROM e WHERE w > 0 GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shard, -1)::BIGINT AS shard FROM o LEFT JOIN t USING (rid)
 """

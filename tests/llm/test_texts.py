@@ -105,16 +105,64 @@ def test_mix_meets_targets(docs):
     assert mixing.mix(docs([])).count() == 0
 
 
-def test_mixed_documents_hold_the_words(spark, docs, tmp_path):
-    rows = [(i, " ".join(f"w{i}_{k}" for k in range(40 * (i % 9))), "ABCD"[i % 4]) for i in range(90)]
-    docs(rows).write.parquet(str(tmp_path / "d"))
-    d = spark.read.parquet(str(tmp_path / "d"))
+def test_shards_draw_sources_by_their_targets(spark):
+    goals = spark.createDataFrame([("a", 1, 300_000, 600_000.0), ("b", 2, 900_000, 250_000.0), ("c", 3, 500, 777.0), ("d", 4, 0, 0.0)], "source string, sid long, source_size long, target double")
+    got = {}
+    for r in mixing.shard_counts(goals, 64, 64 * 500).collect():
+        got.setdefault(r.shard, {})[r.sid] = r.n
+    total = {k: sum(c.get(k, 0) for c in got.values()) for k in (1, 2, 3)}
+    assert total == {1: 2 * -(-300_000 // 64), 2: -(-250_000 // 64), 3: 8 + -(-277 // 64)}
+    n = sum(total.values())
+    assert sorted(got) == list(range(-(-n // 500))) and all(sum(c.values()) == 500 for k, c in got.items() if k < max(got))
+    share = total[1] / n
+    drawn = [c[1] for k, c in got.items() if k < max(got)]
+    assert len(set(drawn)) > 5
+    # multinomial: the mean is the target's share, the variance n p (1 - p)
+    assert abs(sum(drawn) / len(drawn) / 500 - share) < 0.02
+    var = sum((x - 500 * share) ** 2 for x in drawn) / len(drawn)
+    assert 0.3 < var / (500 * share * (1 - share)) < 2.5
+
+
+def _mix_rows():
+    return [(i, " ".join(f"w{i}_{k}" for k in range(40 * (i % 9))), "ABCD"[i % 4]) for i in range(90)] + [(None, "n_1 n_2", "A"), (91, None, "B"), (92, "", None), (93, "x_1", None)]
+
+
+@pytest.mark.parametrize("how", ["plain", "repartition", "join", "sort", "clash"])
+def test_mixed_documents_hold_their_own_words(spark, docs, how):
+    from pyspark.sql import functions as F
+
+    rows = _mix_rows()
+    d = docs(rows)
+    d = {
+        "plain": lambda: d,
+        "repartition": lambda: d.repartition(6),
+        "join": lambda: d.join(spark.range(100).withColumnRenamed("id", "k"), F.col("doc_id").eqNullSafe(F.col("k")), "left").drop("k"),
+        "sort": lambda: d.orderBy(F.rand(3)),
+        "clash": lambda: d.select("*", F.lit(1).alias("takes"), F.lit(2).alias("_row"), F.lit(3).alias("words"), F.lit(4).alias("Turn")),
+    }[how]()
     taken = {g.doc_id: g.taken for g in mixing.mix(d, block=64).collect()}
     got = {g.doc_id: g for g in mixing.mixed_documents(d, block=64).collect()}
     assert {i for i, n in taken.items() if n} == set(got)
+    text = {i: t for i, t, _ in rows}
     for i, g in got.items():
         words = g.text.split()
-        assert len(words) == taken[i] and g.n_chars == len(g.text) and set(words) <= set(rows[i][1].split())
+        assert len(words) == taken[i] and g.n_chars == len(g.text) and set(words) <= set((text[i] or "").split())
+    if how == "clash":
+        assert {(g.takes, g._row, g.words, g.Turn) for g in got.values()} == {(1, 2, 3, 4)}
+
+
+def test_mixed_blocks_hold_what_the_mix_takes(docs):
+    from collections import Counter
+
+    d = docs(_mix_rows())
+    taken = {g.doc_id: (g.taken, g.shard) for g in mixing.mix(d, block=64).collect()}
+    seen = Counter()
+    for r in mixing.mixed_blocks(d, block=64).collect():
+        words = r.text.split()
+        assert 0 < len(words) <= 64
+        seen.update(w.split("_")[0] for w in words)
+    assert all(seen[f"w{i}"] == n for i, (n, _) in taken.items() if i is not None and i < 90)
+    assert all((s < 0) == (n == 0) for n, s in taken.values())
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
