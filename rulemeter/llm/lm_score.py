@@ -1,14 +1,20 @@
 """Language-model scores by masked pseudo-likelihood.
 
-The vocabulary's counts come from the whole corpus. A small window network predicts every token from WIDTH tokens on
-either side, never from itself: the neighbours' vectors, one table for each distance, are added up, and a softmax over
-CLASSES word classes of like total frequency times a word's share of its class gives the conditional probability. Training
-is in numpy, data-parallel over all documents: each task makes one pass over its own documents from the same start,
-by minibatch steps, and the tasks' parameters are averaged by the number of tokens they saw; this is repeated for ROUNDS
-rounds. A document's score is the sum of its tokens' conditional log-probabilities."""
+Counts of all words of the corpus are a distributed table. A window network, trained in numpy, predicts every token from
+WIDTH tokens on either side, never from itself: the neighbours' vectors go through a matrix for each distance and are added
+up; one softmax tells the word's class, a second one, of the class's own weights, the word in it. The VOCABULARY most
+frequent words are dealt to CLASSES classes; every other word stands in one of GROUPS groups by its ending, of which it has
+the share that its count in the whole corpus gives. So the conditional probabilities of all words add up to one.
+
+Training is data-parallel over all documents. A document's hash names its trainer, the number of trainers follows from the
+number of tokens; each makes one pass over its documents in the order of their hashes, and every row of the parameters is
+averaged by how often a trainer used it. This is done ROUNDS times. Scores thus don't depend on the partitions of the
+input. A document's score is the sum of its tokens' conditional log-probabilities."""
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,163 +22,365 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, fresh_path, materialize
 
-#: Words with a class of their own rank; rarer words share the last class by a hash of their spelling.
-VOCABULARY, CLASSES, WIDTH, DIM, ROUNDS = 8192, 64, 2, 12, 1
-RATE, BATCH, SEED = 0.5, 4096, 11
-#: Distinct rare words are told apart by this many hash values.
-RARE = 1 << 12
+#: Words with weights of their own, words whose counts every task holds, classes of the former, groups of all others.
+VOCABULARY, KNOWN, CLASSES, GROUPS = 4096, 65_536, 64, 64
+WIDTH, DIM, ROUNDS, RATE, BATCH, SEED = 2, 16, 2, 0.5, 4096, 11
+#: Tokens for each trainer, and most trainers; a trainer's parameters are 0.6 MB.
+TRAINER_TOKENS, MAX_TRAINERS = 4_000_000, 1024
+#: Rows of parameters that travel together, and distinct words that a task counts before it hands them on.
+SLICE, HELD = 512, 200_000
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[list[tuple[str, int]], int]:
-    """The most frequent lower-cased words with their counts in the whole corpus (ties by spelling), and the count of all.
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
+
+
+def _hash(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+def _group(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % GROUPS
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(hash, word, grp, n) of every lower-cased word of all texts; partial sums are taken before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            words = list(held)
+            return pa.record_batch([pa.array([_hash(w) for w in words], pa.int64()), pa.array(words, pa.binary()), pa.array([held[w] for w in words], pa.int64())], names=["hash", "word", "n"])
+
+        held: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.update(_words(t))
+            if len(held) > HELD:
+                yield told()
+                held = Counter()
+        yield told()
+
+    rows = docs.select("text").mapInArrow(run, "hash long, word binary, n long")
+    return rows.groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n")).select("hash", "word", (F.crc32(F.substring("word", -2, 2)) % GROUPS).cast("int").alias("grp"), "n")
 
-    Counted over all rows, with partial sums before the shuffle; what reaches the driver is bounded by ``size``."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
-    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return [(r.w, r.n) for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()], int(total)
+
+class Words:
+    """What every task knows of the words: (word, count) of the most frequent ones, and each group's count and types."""
+
+    def __init__(self, known: list[tuple[bytes, int]], mass: list[int], types: list[int], vocabulary: int = VOCABULARY) -> None:
+        self.known, self.mass, self.types, self.size = known, mass, types, min(vocabulary, len(known))
+        self._index: dict[bytes, tuple[int, float]] | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_index": None}
+
+    def share(self, group: int, n: int) -> float:
+        """Log share of its group of a word that occurs n times; 0 for any word never seen."""
+        return float(np.log((n + 1) / (self.mass[group] + self.types[group] + 1)))
+
+    def index(self) -> dict[bytes, tuple[int, float]]:
+        """Id and log share of each known word; ids 1.. are the vocabulary, then come the groups, 0 pads the ends."""
+        if self._index is None:
+            first = 1 + self.size
+            self._index = {w: (i + 1, 0.0) if i < self.size else (first + (g := _group(w)), self.share(g, n)) for i, (w, n) in enumerate(self.known)}
+        return self._index
+
+    def read(self, text: str | None) -> tuple[np.ndarray, float, Counter]:
+        """Ids of a text's tokens, the log shares of its known words, and its other words' counts."""
+        index, rare, own, ids = self.index(), Counter(), 0.0, []
+        first = 1 + self.size
+        for w in _words(text):
+            hit = index.get(w)
+            if hit is None:
+                rare[w] += 1
+                ids.append(first + _group(w))
+            else:
+                ids.append(hit[0])
+                own += hit[1]
+        return np.array(ids, np.uint16), own, rare
 
 
 class Network:
-    """Parameters and passes of the window network. Token 0 pads the text's ends; 1..V are words, then RARE hash values."""
-
-    def __init__(self, vocab: list[tuple[str, int]], total: int, classes: int = CLASSES, width: int = WIDTH, dim: int = DIM) -> None:
-        self.index = {w: i + 1 for i, (w, _) in enumerate(vocab)}
-        self.width, self.dim, self.n = width, dim, len(vocab) + 1 + RARE
-        counts = np.array([c for _, c in vocab], float)
-        rest = max(1.0, total - counts.sum())
-        # runs of the frequency order with about equal mass; all rare words are the last class
-        cls = np.minimum((np.cumsum(counts) - counts / 2) / max(1.0, counts.sum()) * (classes - 1), classes - 2).astype(np.int64) if len(vocab) else np.empty(0, np.int64)
-        self.cls = np.concatenate(([classes - 1], cls, np.full(RARE, classes - 1)))
-        freq = np.concatenate(([1.0], counts + 1.0, np.full(RARE, rest / RARE + 1.0)))
-        mass = np.bincount(self.cls, freq, classes)
-        self.within = np.log(freq / mass[self.cls])
-        self.bias = np.log((mass + 1) / (mass.sum() + classes))
+    """Parameters and passes of the window network over ids 0 (pad), 1..size (vocabulary), then GROUPS groups."""
+
+    def __init__(self, size: int, classes: int = CLASSES, width: int = WIDTH, dim: int = DIM) -> None:
+        self.size, self.width, self.dim = size, width, dim
+        self.per = max(1, -(-size // classes))
+        self.classes = -(-size // self.per)
+        self.n = 1 + size + GROUPS
         rng = np.random.default_rng(SEED)
-        self.e = (rng.standard_normal((2 * width, self.n, dim)) * 0.1).astype(np.float32)
-        self.u = (rng.standard_normal((dim, classes)) * 0.1).astype(np.float32)
-        self.b = self.bias.astype(np.float32)
+        draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+        self.e = draw(self.n, dim)
+        self.m = np.tile(np.eye(dim, dtype=np.float32), (2 * width, 1, 1)) + draw(2 * width, dim, dim)
+        self.u = np.concatenate((draw(self.classes + GROUPS, dim), np.zeros((self.classes + GROUPS, 1), np.float32)), axis=1)
+        self.w = np.concatenate((draw(self.classes * self.per, dim), np.zeros((self.classes * self.per, 1), np.float32)), axis=1)
+        self.w[size:, dim] = -1e9  # places of the last class that no word has
+        self.used = np.zeros(self.n + self.classes * self.per, np.float64)
 
-    def params(self) -> np.ndarray:
-        return np.concatenate([self.e.ravel(), self.u.ravel(), self.b])
+    def start(self, words: Words) -> None:
+        """Biases that give every word its share of the corpus before any training."""
+        counts = np.array([n for _, n in words.known[: self.size]], np.float64)
+        self.w[: self.size, -1] = np.log(counts)
+        mass = np.concatenate(([counts[c * self.per : (c + 1) * self.per].sum() for c in range(self.classes)], words.mass))
+        self.u[:, -1] = np.log((mass + 1) / (mass + 1).sum())
 
-    def load(self, flat: np.ndarray) -> None:
-        a, b = self.e.size, self.e.size + self.u.size
-        self.e, self.u, self.b = flat[:a].reshape(self.e.shape).astype(np.float32), flat[a:b].reshape(self.u.shape).astype(np.float32), flat[b:].astype(np.float32)
+    def rows(self) -> np.ndarray:
+        """All parameters, one row each of DIM weights and a bias."""
+        wide = lambda x: np.concatenate((x, np.zeros((len(x), 1), np.float32)), axis=1)
+        return np.concatenate((wide(self.e), self.w, self.u, wide(self.m.reshape(-1, self.dim))))
 
-    def ids(self, text: str) -> np.ndarray:
-        import zlib
+    def load(self, rows: np.ndarray) -> None:
+        rows = rows.astype(np.float32)
+        a, b, c = self.n, self.n + len(self.w), self.n + len(self.w) + len(self.u)
+        self.e, self.w, self.u, self.m = rows[:a, :-1].copy(), rows[a:b].copy(), rows[b:c].copy(), rows[c:, :-1].reshape(self.m.shape).copy()
 
-        get, first = self.index.get, len(self.index) + 1
-        return np.array([get(w) or first + zlib.crc32(w.encode("utf-8")) % RARE for w in _words(text)], np.int64)
+    def weights(self, seen: int) -> np.ndarray:
+        """How often each row was used."""
+        return np.concatenate((self.used, np.full(len(self.u) + 2 * self.width * self.dim, float(seen))))
 
-    def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Centre tokens, their neighbours (2 * width each) and the text they belong to."""
+    def stream(self, texts: list[np.ndarray]) -> np.ndarray:
         pad = np.zeros(self.width, np.int64)
-        each = [self.ids(t) for t in texts]
-        flat = np.concatenate([x for ids in each for x in (ids, pad)]) if each else pad[:0]
-        flat = np.concatenate((pad, flat))
-        sizes = np.array([len(x) for x in each], np.int64)
-        begin = np.cumsum(sizes + self.width) - sizes
-        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        around = [flat[at + d] for d in (*range(-self.width, 0), *range(1, self.width + 1))]
-        return flat[at], np.stack(around, axis=1) if len(at) else np.empty((0, 2 * self.width), np.int64), np.repeat(np.arange(len(each)), sizes)
-
-    def logits(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = self.e[0][around[:, 0]]
-        for d in range(1, 2 * self.width):
-            h = h + self.e[d][around[:, d]]
-        h = np.tanh(h)
-        z = h @ self.u + self.b
+        return np.concatenate([pad, *(x for t in texts for x in (t.astype(np.int64), pad))])
+
+    def _hidden(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of all ids, and the hidden layer of those that have WIDTH ids on either side."""
+        v, k, n = self.e[ids], self.width, len(ids) - 2 * self.width
+        a = np.zeros((n, self.dim), np.float32)
+        for d, m in zip((*range(-k, 0), *range(1, k + 1)), self.m, strict=True):
+            a += v[k + d : k + d + n] @ m
+        return v, np.tanh(a)
+
+    def _class_of(self, centre: np.ndarray) -> np.ndarray:
+        return np.where(centre <= self.size, (centre - 1) // self.per, centre - 1 - self.size + self.classes)
+
+    @staticmethod
+    def _soft(z: np.ndarray) -> np.ndarray:
+        """Log of the softmax of each row."""
         z -= z.max(axis=1, keepdims=True)
-        return h, z
-
-    def log_prob(self, centre: np.ndarray, around: np.ndarray) -> np.ndarray:
-        out = np.empty(len(centre))
-        for s in range(0, len(centre), BATCH * 4):
-            c = centre[s : s + BATCH * 4]
-            _, z = self.logits(around[s : s + BATCH * 4])
-            cls = self.cls[c]
-            out[s : s + BATCH * 4] = z[np.arange(len(c)), cls] - np.log(np.exp(z).sum(axis=1)) + self.within[c]
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def _by_class(self, centre: np.ndarray, cls: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(rows of w, places of the tokens of that class, which of the class's words each is)."""
+        order = np.argsort(cls, kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
+            at = order[ends[c] : ends[c + 1]]
+            if len(at):
+                yield slice(c * self.per, (c + 1) * self.per), at, (centre[at] - 1) % self.per
+
+    def log_prob(self, ids: np.ndarray) -> np.ndarray:
+        """Log-probability of every token of a stream given its neighbours (of pads: 0); groups without a word's share."""
+        k, out = self.width, np.zeros(len(ids))
+        for s in range(k, len(ids) - k, BATCH * 4):
+            part = ids[s - k : min(s + BATCH * 4, len(ids) - k) + k]
+            centre = part[k : len(part) - k]
+            _, h = self._hidden(part)
+            real = np.flatnonzero(centre)
+            centre, h = centre[real], h[real]
+            cls = self._class_of(centre)
+            got = self._soft(h @ self.u[:, :-1].T + self.u[:, -1])[np.arange(len(h)), cls].astype(np.float64)
+            for rows, at, which in self._by_class(centre, cls):
+                got[at] += self._soft(h[at] @ self.w[rows, :-1].T + self.w[rows, -1])[np.arange(len(at)), which]
+            out[s + real] = got
         return out
 
-    def step(self, centre: np.ndarray, around: np.ndarray, rate: float) -> None:
-        h, z = self.logits(around)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(centre)), self.cls[centre]] -= 1
-        g = (p @ self.u.T) * (1 - h * h)
-        self.u -= rate * (h.T @ p) / len(centre)
-        self.b -= rate * p.sum(axis=0) / len(centre)
-        # a word's rows move by the mean of its own gradients in the batch
-        for d in range(2 * self.width):
-            order = np.argsort(around[:, d], kind="stable")
-            words, first, n = np.unique(around[order, d], return_index=True, return_counts=True)
-            self.e[d][words] -= rate * np.add.reduceat(g[order], first, axis=0) / n[:, None]
+    def step(self, ids: np.ndarray, rate: float = RATE) -> int:
+        """One step on a piece of a stream; its first and last WIDTH ids are context only. How many tokens it predicted."""
+        k = self.width
+        v, full = self._hidden(ids)
+        real = np.flatnonzero(ids[k : len(ids) - k])
+        centre, h = ids[k : len(ids) - k][real], full[real]
+        n = len(centre)
+        if not n:
+            return 0
+        cls = self._class_of(centre)
+        p = np.exp(self._soft(h @ self.u[:, :-1].T + self.u[:, -1]))
+        p[np.arange(n), cls] -= 1
+        g = p @ self.u[:, :-1]
+        self.u[:, :-1] -= rate / n * (p.T @ h)
+        self.u[:, -1] -= rate / n * p.sum(axis=0)
+        for rows, at, which in self._by_class(centre, cls):
+            x = h[at]
+            q = np.exp(self._soft(x @ self.w[rows, :-1].T + self.w[rows, -1]))
+            q[np.arange(len(at)), which] -= 1
+            g[at] += q @ self.w[rows, :-1]
+            self.w[rows, :-1] -= rate / len(at) * (q.T @ x)
+            self.w[rows, -1] -= rate / len(at) * q.sum(axis=0)
+            self.used[self.n + rows.start : self.n + rows.stop] += len(at)
+        a = np.zeros_like(full)
+        a[real] = g * (1 - h * h)
+        back, m = np.zeros_like(v), self.m.copy()
+        for i, d in enumerate((*range(-k, 0), *range(1, k + 1))):
+            at = slice(k + d, k + d + len(a))
+            back[at] += a @ m[i].T
+            self.m[i] -= rate / n * (v[at].T @ a)
+        # a word's row moves by the mean of its own gradients in the batch
+        order = np.argsort(ids, kind="stable")
+        words, first, times = np.unique(ids[order], return_index=True, return_counts=True)
+        self.e[words] -= rate * np.add.reduceat(back[order], first, axis=0) / times[:, None]
+        self.used[words] += times
+        return n
 
 
-def _words(text: str) -> list[str]:
-    return [w.decode("utf-8") for w in text.lower().encode("utf-8").split()]
+class _Trainer:
+    """Steps over documents one after another, in minibatches that depend on nothing else."""
 
+    def __init__(self, net: Network) -> None:
+        self.net, self.texts, self.held, self.seen = net, [], 0, 0
 
-def train(docs: DataFrame, vocab: list[tuple[str, int]], total: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after ``rounds`` passes over all documents. The average is taken in Spark, slice by slice of the
-    parameters, so a task's result is bounded by the network and no task holds those of all others."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast((vocab, total))  # bounded by VOCABULARY
-    params = None
+    def add(self, ids: np.ndarray) -> None:
+        self.texts.append(ids)
+        self.held += len(ids)
+        if self.held >= BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        ids, k = self.net.stream(self.texts), self.net.width
+        for s in range(k, len(ids) - k, BATCH):
+            self.seen += self.net.step(ids[s - k : min(s + BATCH, len(ids) - k) + k])
+        self.texts, self.held = [], 0
+
+
+def _averaged(told: DataFrame, start: np.ndarray) -> np.ndarray:
+    """Parameters from trainers' slices (slice, trainer, weights, rows), each row averaged by its weights in the order of the
+    trainers; a row that none used stays. A task holds one slice at a time."""
+    n = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, weight = None, None, None
+
+        def out() -> pa.RecordBatch:
+            rows = np.where(weight[:, None] > 0, total / np.maximum(weight, 1e-300)[:, None], np.nan)
+            return pa.record_batch([pa.array([at], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["slice", "rows"])
+
+        for b in batches:
+            for s, _, ws, rs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if s != at:
+                    if at is not None:
+                        yield out()
+                    at, total, weight = s, 0.0, 0.0
+                w = np.frombuffer(ws, np.float64)
+                total = total + w[:, None] * np.frombuffer(rs, np.float32).reshape(len(w), -1)
+                weight = weight + w
+        if at is not None:
+            yield out()
+
+    rows = start.astype(np.float64)
+    met = told.repartition(n, "slice").sortWithinPartitions("slice", "trainer").mapInArrow(run, "slice int, rows binary")
+    for r in met.collect():  # one network
+        part = np.frombuffer(r.rows, np.float64).reshape(-1, rows.shape[1])
+        at = slice(r.slice * SLICE, r.slice * SLICE + len(part))
+        rows[at] = np.where(np.isnan(part), rows[at], part)
+    return rows.astype(np.float32)
+
+
+def train(tokens: DataFrame, words: Words, trainers: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters after ``rounds`` passes over all rows (trainer, place, ids), each trainer's in the order of ``place``."""
+    bound_batches(tokens.sparkSession)
+    size, first = words.size, Network(words.size)
+    first.start(words)
+    params = first.rows()
     for _ in range(rounds):
-        start = params
 
-        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            net = Network(*shared.value)
-            if start is not None:
-                net.load(start)
-            seen = 0
+        def run(batches: Iterator[pa.RecordBatch], start=params) -> Iterator[pa.RecordBatch]:
+            def told() -> pa.RecordBatch:
+                work.flush()
+                rows, weights = work.net.rows(), work.net.weights(work.seen)
+                cuts = range(0, len(rows), SLICE)
+                return pa.record_batch(
+                    [pa.array(list(range(len(cuts))), pa.int32()), pa.array([at] * len(cuts), pa.int32()), pa.array([weights[c : c + SLICE].tobytes() for c in cuts], pa.binary()), pa.array([rows[c : c + SLICE].tobytes() for c in cuts], pa.binary())],
+                    names=["slice", "trainer", "weights", "rows"],
+                )
+
+            at, work = None, None
             for b in batches:
-                centre, around, _ = net.stream([t or "" for t in b.column(0).to_pylist()])
-                for s in range(0, len(centre), BATCH):
-                    net.step(centre[s : s + BATCH], around[s : s + BATCH], RATE)
-                seen += len(centre)
-            if seen:
-                flat = net.params()
-                cuts = range(0, len(flat), 4096)
-                yield pa.record_batch([pa.array(list(range(len(cuts))), pa.int32()), pa.array([seen] * len(cuts), pa.int64()), pa.array([flat[c : c + 4096].tolist() for c in cuts], pa.list_(pa.float32()))], names=["slice", "seen", "part"])
-
-        told = docs.select("text").mapInArrow(run, "slice int, seen long, part array<float>")
-        n = F.col("seen").cast("double")
-        each = told.select("slice", n.alias("n"), F.posexplode("part").alias("at", "v"))
-        mean = each.groupBy("slice", "at").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v"))
-        got = mean.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("part")).collect()  # one network
-        if not got:
-            return Network(vocab, total).params()
-        params = np.concatenate([np.array([x["v"] for x in r["part"]], np.float32) for r in sorted(got, key=lambda r: r["slice"])])
+                for t, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if t != at:
+                        if at is not None:
+                            yield told()
+                        net = Network(size)
+                        net.load(start)
+                        at, work = t, _Trainer(net)
+                    work.add(np.frombuffer(ids, np.uint16))
+            if at is not None:
+                yield told()
+
+        dealt = tokens.filter("n_tokens > 0").repartitionById(trainers, F.col("trainer")).sortWithinPartitions("trainer", "place").select("trainer", "ids")
+        params = _averaged(dealt.mapInArrow(run, "slice int, trainer int, weights binary, rows binary"), params)
     return params
 
 
+def words_of(counts: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN) -> Words:
+    """The most frequent words (ties by spelling); what reaches the driver is bounded by ``known`` and GROUPS."""
+    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(known).select("word", "n").collect()]
+    mass, types = [0] * GROUPS, [0] * GROUPS
+    for r in counts.groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        mass[r.grp], types[r.grp] = r.n, r.k
+    for w, n in top[:vocabulary]:
+        mass[_group(w)] -= n
+        types[_group(w)] -= 1
+    return Words(top, mass, types, vocabulary)
+
+
+def _tokens(docs: DataFrame, words: Words, trainers: int) -> DataFrame:
+    """(row, doc_id, trainer, place, n_tokens, ids, own, rare) of every document, written to the shared folder."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared, at = spark.sparkContext.broadcast(words), fresh_path(spark, "lm_tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know = shared.value
+        for b in batches:
+            read = [know.read(t) for t in b.column(3).to_pylist()]
+            rare = [[{"hash": _hash(w), "grp": _group(w), "times": n} for w, n in r.items()] for _, _, r in read]
+            yield pa.record_batch(
+                [b.column(0), b.column(1), b.column(2), pa.array([len(i) for i, _, _ in read], pa.int64()), pa.array([i.tobytes() for i, _, _ in read], pa.binary()), pa.array([o for _, o, _ in read], pa.float64()), pa.array(rare, pa.list_(pa.struct([("hash", pa.int64()), ("grp", pa.int32()), ("times", pa.int32())])))],
+                names=["row", "doc_id", "place", "n_tokens", "ids", "own", "rare"],
+            )
+
+    text = F.coalesce("text", F.lit(""))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("place"), text.alias("text"))
+    told = numbered.mapInArrow(run, "row long, doc_id long, place long, n_tokens long, ids binary, own double, rare array<struct<hash:long,grp:int,times:int>>")
+    told.withColumn("trainer", F.pmod("place", F.lit(trainers)).cast("int")).write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, log_prob, per_token) of every row of ``docs`` (doc_id, text).
 
-    log_prob is the sum of the conditional log-probabilities of all tokens of the whole text, per_token its mean. A null
-    or empty text has no tokens, log_prob 0 and per_token null. Repeated rows get equal scores, an empty table gives no
-    rows, a null doc_id stays null. Other columns are not read."""
+    log_prob is the sum of the conditional log-probabilities of all tokens of the whole text, however long, per_token its
+    mean. A null or empty text has no tokens, log_prob 0 and per_token null. Repeated rows get equal scores, an empty table
+    gives no rows, a null doc_id stays null. Other columns are not read. The table of counts and the rare words' part of the
+    sums grow with the corpus and are never gathered."""
     spark = docs.sparkSession
-    vocab, total = vocabulary(docs)
-    shared = spark.sparkContext.broadcast((vocab, total, train(docs, vocab, total, rounds)))
+    bound_batches(spark)
+    counts = materialize(word_counts(docs))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = words_of(counts)
+    trainers = max(1, min(MAX_TRAINERS, total // TRAINER_TOKENS))
+    tokens = _tokens(docs, words, trainers)
+    params = train(tokens, words, trainers, rounds)
+    shared = spark.sparkContext.broadcast((words.size, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, params = shared.value
-        net = Network(words, n)
-        net.load(params)
+        size, rows = shared.value
+        net = Network(size)
+        net.load(rows)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            centre, around, owner = net.stream(texts)
-            size = np.bincount(owner, minlength=len(texts))
-            told = np.bincount(owner, net.log_prob(centre, around), len(texts))
-            mean = [float(x / k) if k else None for x, k in zip(told, size, strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(told, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_prob", "per_token"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, per_token double")
+            texts = [np.frombuffer(t, np.uint16) for t in b.column(3).to_pylist()]
+            ends = np.cumsum([len(t) + net.width for t in texts])
+            told = np.add.reduceat(net.log_prob(net.stream(texts))[net.width :], np.concatenate(([0], ends[:-1]))) if texts else np.empty(0)
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(told + b.column(4).to_numpy(), pa.float64())], names=["row", "doc_id", "n_tokens", "told"])
+
+    told = tokens.select("row", "doc_id", "n_tokens", "ids", "own").mapInArrow(run, "row long, doc_id long, n_tokens long, told double")
+    rest = [F.array(*(F.lit(m + t + 1) for m, t in zip(words.mass, words.types, strict=True)))]
+    rare = tokens.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts.select("hash", "n"), "hash")
+    share = F.col("times") * F.log((F.col("n") + 1) / F.element_at(rest[0], F.col("grp") + 1))
+    # added in steps of a fixed size, so that the order doesn't matter
+    sums = rare.groupBy("row").agg((F.sum(F.round(share * 1e6).cast("long")) / 1e6).alias("rare"))
+    log_prob = F.col("told") + F.coalesce("rare", F.lit(0.0))
+    return told.join(sums.hint("merge"), "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("per_token"))

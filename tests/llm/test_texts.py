@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from rulemeter.llm import decontaminate, html_text, lm_score, mixing, secrets, toxicity
+from rulemeter.llm import decontaminate, html_text, mixing, secrets, toxicity
 
 NO = secrets.EMPTY_SHA256
 
@@ -227,18 +227,3 @@ def test_toxicity_never_learns_held_out_labels(spark, docs):
     flipped = labels.withColumn("toxic", (labels.toxic + toxicity.is_held_out().cast("int")) % 2)
     assert toxicity.fit(d, labels) == toxicity.fit(d, flipped)
     assert toxicity.fit(d, labels.limit(0)) == {"toxic": "", "ordinary": "", "base": 0.0}
-
-
-def test_language_model_prefers_known_order(spark, docs):
-    r = random.Random(10)
-    cycle = [f"w{i}" for i in range(30)]
-    text = lambda: " ".join(cycle[(k + i) % 30] for k in [r.randrange(30)] for i in range(120))
-    rows = [(i, text(), "s") for i in range(150)]
-    shuffled = text().split()
-    r.shuffle(shuffled)
-    rows += [(1000, " ".join(shuffled), "s"), (1001, None, "s"), (1002, "", "s"), (1003, "unseen words only", "s"), (None, text(), "s")]
-    got = {x.doc_id: x for x in lm_score.score(docs(rows), rounds=2).collect()}
-    assert len(got) == len(rows)
-    assert got[1000].per_token < min(got[i].per_token for i in range(150))
-    assert got[1001].n_tokens == 0 and got[1001].log_prob == 0 and got[1001].per_token is None
-    assert lm_score.score(docs([])).count() == 0
