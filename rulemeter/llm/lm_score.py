@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, fresh_path, materialize
 
 #: Words with weights of their own, words whose counts every task holds, classes of the former, groups of all others.
-VOCABULARY, KNOWN, CLASSES, GROUPS = 4096, 65_536, 64, 64
-WIDTH, DIM, ROUNDS, RATE, BATCH, SEED = 2, 16, 2, 0.5, 4096, 11
-#: Tokens for each trainer, and most trainers; a trainer's parameters are 0.6 MB.
+VOCABULARY, KNOWN, CLASSES, GROUPS = 2048, 65_536, 32, 16
+WIDTH, DIM, ROUNDS, RATE, BATCH, SEED = 2, 12, 2, 0.5, 8192, 11
+#: Tokens for each trainer, and most trainers; a trainer's parameters are 0.2 MB.
 TRAINER_TOKENS, MAX_TRAINERS = 4_000_000, 1024
 #: Rows of parameters that travel together, and distinct words that a task counts before it hands them on.
 SLICE, HELD = 512, 200_000
