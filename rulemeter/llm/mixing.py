@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2
 BUCKETS, ROUNDS, PRIME = 4096, 20, 65521
+#: The rounds' shifts: powers modulo PRIME of an odd sequence, as digits.
+KEYS = [(pow(h, 3, PRIME) * PRIME + pow(h, 2, PRIME)) * PRIME + h for h in ((r * 7919 + 104729) % PRIME for r in range(ROUNDS))]
 #: Words in an output shard; slots that one row counts out.
 SHARD, RUN = 1 << 18, 4096
 #: Sources up to which the table of targets is sent to every task; beyond, it is joined like any table.
@@ -51,21 +53,15 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
 
 
 def permuted(i: Column, n: Column, sid: Column, turn: Column) -> Column:
-    """Place of i under a pseudorandom permutation of 0..n-1: each round swaps x with k - x or not, by a bit of the larger."""
+    """Place of i under a pseudorandom permutation of 0..n-1: each round swaps x with k - x or not, by a bit of a hash of the
+    larger. Nothing is used twice but the pair, since a lambda works out what it names as often as it names it."""
 
-    def once(x: Column, r: Column) -> Column:
-        p = F.lit(PRIME)
-        h = F.pmod(r * F.lit(7919) + F.lit(104729) + sid * F.lit(613) + turn * F.lit(1009), p)
-        h2 = F.pmod(h * h, p)
-        h3 = F.pmod(h2 * h, p)
-        k = F.pmod((h3 * p + h2) * p + h, n)
-        y = F.pmod(k + n - x, n)
-        m = F.greatest(x, y)
-        v = F.pmod(m + F.pmod(F.floor(m / p).cast("long"), p) * h2 + h, p)
-        bit = F.pmod(F.pmod(v * v, p) * v + h3, p) > F.lit(PRIME // 2)
-        return F.when(bit, y).otherwise(x)
+    def once(x: Column, key: Column) -> Column:
+        y = F.pmod(key + sid * F.lit(40503) + turn * F.lit(69069) - x, n)
+        told = F.md5(F.concat_ws(":", F.greatest(x, y).cast("string"), key.cast("string"), sid.cast("string"), turn.cast("string")).cast("binary"))
+        return F.when(told < "8", y).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), i, once)
+    return F.aggregate(F.array(*(F.lit(k).cast("long") for k in KEYS)), i, once)
 
 
 def _passes(goals: DataFrame, block: int) -> DataFrame:
@@ -197,7 +193,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return told.select(*docs.columns)
 
 
-ORACLE = """
+ORACLE = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][((sid - 1) % 3 + 1)::INT] AS weight, 2 * source_size AS cap FROM per),
@@ -211,9 +207,8 @@ line AS (SELECT sid, coalesce(sum(slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUND
 draw AS (
   SELECT sid, n, before + j AS x, 0::BIGINT AS r FROM (SELECT *, unnest(range(0, slots)) AS j FROM line)
   UNION ALL
-  SELECT sid, n, CASE WHEN (v * v % 65521 * v + h3) % 65521 > 32760 THEN y ELSE x END, r + 1
-  FROM (SELECT *, (m + m // 65521 % 65521 * h2 + h) % 65521 AS v FROM (SELECT *, greatest(x, y) AS m FROM (SELECT *, (((h3 * 65521 + h2) * 65521 + h) % n + n - x) % n AS y
-    FROM (SELECT *, h2 * h % 65521 AS h3 FROM (SELECT *, h * h % 65521 AS h2 FROM (SELECT *, (r * 7919 + 104729 + 0 * 613 + 0 * 1009) % 65521 AS h FROM draw WHERE r < 20))))))
+  SELECT sid, n, CASE WHEN md5(concat_ws(':', greatest(x, y), k, 0, 0)) < '8' THEN y ELSE x END, r + 1
+  FROM (SELECT *, ((k - x) % n + n) % n AS y FROM (SELECT *, {KEYS}[r + 1]::BIGINT AS k FROM draw WHERE r < 20))
 ),
 counts AS (SELECT x // 1024 AS shard, sid, count(*) AS c FROM draw WHERE r = 20 GROUP BY ALL),
 firsts AS (SELECT shard, sid, c, coalesce(sum(c) OVER (PARTITION BY sid ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f FROM counts),
@@ -222,9 +217,8 @@ s AS (SELECT shard, sid, j // per AS turn, j % per AS i, least(size, want - j //
 walk AS (
   SELECT shard, sid, turn, words, nfull, i, i AS x, 0::BIGINT AS r FROM s WHERE i < nfull
   UNION ALL
-  SELECT shard, sid, turn, words, nfull, i, CASE WHEN (v * v % 65521 * v + h3) % 65521 > 32760 THEN y ELSE x END, r + 1
-  FROM (SELECT *, (m + m // 65521 % 65521 * h2 + h) % 65521 AS v FROM (SELECT *, greatest(x, y) AS m FROM (SELECT *, (((h3 * 65521 + h2) * 65521 + h) % nfull + nfull - x) % nfull AS y
-    FROM (SELECT *, h2 * h % 65521 AS h3 FROM (SELECT *, h * h % 65521 AS h2 FROM (SELECT *, (r * 7919 + 104729 + sid * 613 + turn * 1009) % 65521 AS h FROM walk WHERE r < 20))))))
+  SELECT shard, sid, turn, words, nfull, i, CASE WHEN md5(concat_ws(':', greatest(x, y), k, sid, turn)) < '8' THEN y ELSE x END, r + 1
+  FROM (SELECT *, ((k + sid * 40503 + turn * 69069 - x) % nfull + nfull) % nfull AS y FROM (SELECT *, {KEYS}[r + 1]::BIGINT AS k FROM walk WHERE r < 20))
 ),
 slots AS (SELECT shard, sid, turn, i, x AS block, least(256, words - i * 256) AS take FROM walk WHERE r = 20
           UNION ALL SELECT shard, sid, turn, i, nfull, least(256, words - i * 256) FROM s WHERE i >= nfull),
