@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 STEP, MASK = 0x6D2B79F5, 0xFFFFFFFF
 
 
+def _let(x: Column, fn) -> Column:
+    """fn(x) with x worked out once: an expression that names another several times would hold as many copies of it."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def _imul(x: Column, y: Column) -> Column:
     """The low 32 bits of a product of two 32-bit numbers, split so that it stays within a long."""
-    high = F.shiftleft(F.pmod(F.shiftright(x, 16) * y, F.lit(65536)), 16)
-    return (high + x.bitwiseAND(F.lit(65535)) * y).bitwiseAND(F.lit(MASK))
 
+    def product(x: Column, y: Column) -> Column:
+        high = F.shiftleft(F.pmod(F.shiftright(x, 16) * y, F.lit(65536)), 16)
+        return (high + x.bitwiseAND(F.lit(65535)) * y).bitwiseAND(F.lit(MASK))
 
-def mulberry32(seed: Column, k: Column) -> Column:
-    """A double in [0, 1)."""
-    a = (seed + k * F.lit(STEP)).bitwiseAND(F.lit(MASK))
-    t = _imul(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
-    u = t.bitwiseXOR((t + _imul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
-    return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
+    return _let(F.struct(x.alias("x"), y.alias("y")), lambda p: product(p["x"], p["y"]))
 
 
+def mulberry32(seed: Column, k: Column) -> Column:
+    """A double in [0, 1)."""
+    first = lambda a: _imul(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
+    second = lambda t: t.bitwiseXOR((t + _imul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
+    last = lambda u: u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
+    return _let(_let(_let((seed + k * F.lit(STEP)).bitwiseAND(F.lit(MASK)), first), second), last)
 
 
 def sql(seed: str, k: str) -> str:

@@ -58,8 +58,8 @@ def answers_match(expected: Column, got: Column) -> Column:
 
 
 def near(a: Column, b: Column) -> Column:
-    """Within 1e-4 of ``a`` (of 1 if less), or 0.01."""
-    return (F.abs(a - b) <= 1e-4 * F.greatest(F.lit(1.0), F.abs(a))) | (F.abs(a - b) < 0.01)
+    """Within 1e-4 of the larger one (of 1 if less), or 0.01."""
+    return (F.abs(a - b) <= 1e-4 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))) | (F.abs(a - b) < 0.01)
 
 
 def jaccard(a: Column, b: Column) -> Column:

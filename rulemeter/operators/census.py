@@ -13,11 +13,10 @@ def first_claims(claims: DataFrame, order: list[str]) -> DataFrame:
 
 
 def item_operations(items: DataFrame, claims: DataFrame) -> DataFrame:
-    """(id, authority, claim, operation): the operations of an item's claim; an item whose claim is unknown has none.
-
-    ``claims`` is a dimension of at most one row for each (authority, code)."""
-    ops = claims.select("authority", F.col("code").alias("claim"), "operations")
-    return items.join(ops, ["authority", "claim"]).select("id", "authority", "claim", F.explode("operations").alias("operation"))
+    """(id, authority, claim, operation): the operations of an item's claim; an item whose claim is unknown or asks for
+    nothing keeps a row with a null operation. Of claims that share an (authority, code) the least operations are taken."""
+    ops = claims.groupBy("authority", F.col("code").alias("claim")).agg(F.min("operations").alias("operations"))
+    return items.join(ops, ["authority", "claim"], "left").select("id", "authority", "claim", F.explode_outer("operations").alias("operation"))
 
 
 def cells(items: DataFrame, claims: DataFrame, scored: DataFrame, eligible: DataFrame, programs: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def cells(items: DataFrame, claims: DataFrame, scored: DataFrame, eligible: Data
     found = good.join(F.broadcast(programs), "program").select("id", F.explode("lacks").alias("operation"), "program", "ord")  # a catalog of programs
     first = found.groupBy("id", "operation").agg(F.min_by("program", "ord").alias("witness"))
     tried = scored.groupBy("id").agg(F.max((~F.col("skipped")).cast("int")).alias("_tried"))
-    t = item_operations(items, claims).join(first, ["id", "operation"], "left").join(tried, "id", "left")
+    t = item_operations(items, claims).filter("operation is not null").join(first, ["id", "operation"], "left").join(tried, "id", "left")
     return t.select("id", "authority", "claim", "operation", F.when(F.col("witness").isNull(), 1).otherwise(0).alias("value"), "witness", (F.coalesce("_tried", F.lit(0)) == 1).alias("attempted"))
 
 

@@ -5,8 +5,13 @@ reaches a rule: answers() drops it before scoring and score() joins it back."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
 
@@ -27,56 +32,119 @@ def unique_max(scores: Column, positive: bool = True) -> Column:
 
 
 def _scored(options: Column, fn) -> Column:
-    return F.transform(options, lambda o: F.struct(o["letter"].alias("letter"), fn(o["text"]).alias("s")))
+    return F.transform(options, lambda o: F.struct(o["letter"].alias("letter"), fn(o).alias("s")))
 
 
 def order_statistic(options: Column, which: str = "lower", least: int = 3) -> Column:
     """First letter whose leading number is the lower or upper central, smallest or largest one, of at least ``least``."""
-    held = F.filter(_scored(options, T.leading_number), lambda o: o["s"].isNotNull())
+    return _central(_scored(options, lambda o: T.leading_number(o["text"])), which, least)
+
+
+def _central(valued: Column, which: str = "lower", least: int = 3) -> Column:
+    held = F.filter(valued, lambda o: o["s"].isNotNull())
     values = F.array_sort(F.transform(held, lambda o: o["s"]))
     n = F.size(values)
     at = {"lower": F.floor((n - 1) / 2), "upper": F.ceil((n - 1) / 2), "smallest": F.lit(0), "largest": n - 1}[which].cast("int")
     return F.when(n >= least, F.get(F.filter(held, lambda o: o["s"] == F.get(values, at)), F.lit(0))["letter"])
 
 
+def _elements(text: Column, tokens: Column, value: Column) -> Column:
+    """What two options can share: words, and the leading number and all digits of an option that has one."""
+    more = F.array(F.concat(F.lit("num:"), value.cast("string")), F.concat(F.lit("digits:"), F.regexp_replace(text, "[^0-9-]", "")))
+    return F.when(value.isNull(), F.array_distinct(tokens)).otherwise(F.array_distinct(F.concat(tokens, more)))
+
+
+def prepared(items: DataFrame, *keep: str) -> DataFrame:
+    """(keep.., p): of each item the stem and the options with their words and numbers, worked out once; not the key.
+
+    ``p`` comes out of a generator, which the optimizer doesn't look through: the arrays would otherwise be worked out again
+    for every element of a lambda that names them. Null option texts and stems are empty."""
+    stem = F.coalesce(F.col("stem"), F.lit(""))
+
+    def bare(x: Column) -> Column:
+        t = F.coalesce(x["text"], F.lit(""))
+        return F.struct(x["letter"].alias("letter"), t.alias("text"), F.length(t).alias("n"), T.tokens(t).alias("t"), T.leading_number(t).alias("v"), t.rlike(T.ABSOLUTE).alias("absolute"))
+
+    first = F.struct(stem.alias("stem"), F.trim(stem).alias("bare"), T.tokens(stem, 4).alias("tokens"), T.number_tokens(stem).alias("numbers"), F.transform("options", bare).alias("o"))
+    once = items.select(*keep, F.explode(F.array(first)).alias("q"))
+
+    def more(x: Column) -> Column:
+        return F.struct(*(x[c].alias(c) for c in ("letter", "text", "n", "t", "v", "absolute")), F.array_distinct(x["t"]).alias("u"), _elements(F.trim(x["text"]), x["t"], x["v"]).alias("e"))
+
+    q = F.col("q")
+    second = F.struct(*(q[c].alias(c) for c in ("stem", "bare", "tokens", "numbers")), F.transform(q["o"], more).alias("o"))
+    return once.select(*keep, F.explode(F.array(second)).alias("p"))
+
+
+def _stage(df: DataFrame, name: str, **parts: Column) -> DataFrame:
+    """``df`` with a struct of columns that are worked out once, behind a generator."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in parts.items())))).alias(name))
+
+
+def _with_rules(t: DataFrame) -> DataFrame:
+    """Prepared items with what the rules need, in three steps: scores of options, their best values, who holds them."""
+    p = F.col("p")
+    o = p["o"]
+    wants_an, wants_a = p["bare"].rlike(r"(?i)\ban(\s+_+)?\s*$"), p["bare"].rlike(r"(?i)\ba(\s+_+)?\s*$")
+    vowel, consonant = (lambda x: F.trim(x).rlike("(?i)^[aeiou]")), (lambda x: F.trim(x).rlike("(?i)^[b-df-hj-np-tv-z]"))
+    both = lambda x: F.aggregate(o, F.lit(0), lambda acc, y: acc + F.when(y["letter"] != x["letter"], F.size(F.array_intersect(x["e"], y["e"]))).otherwise(0))
+    t = _stage(
+        t,
+        "a",
+        length=_scored(o, lambda x: x["n"]),
+        overlap=_scored(o, lambda x: F.size(F.filter(x["t"], lambda w: F.array_contains(p["tokens"], w)))),
+        hedge=_scored(o, lambda x: F.regexp_count(x["text"], F.lit(T.HEDGE))),
+        shared=_scored(o, both),
+        held=F.filter(_scored(o, lambda x: x["v"]), lambda x: x["s"].isNotNull()),
+        total=F.aggregate(o, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["v"], F.lit(0.0))),
+        without=F.filter(o, lambda x: ~x["absolute"]),
+        fits=F.filter(o, lambda x: (wants_an & vowel(x["text"])) | (wants_a & consonant(x["text"]))),
+    )
+    a = F.col("a")
+    best = lambda name: F.array_max(F.transform(a[name], lambda x: x["s"]))
+    n = F.size(a["held"])
+    away = F.transform(a["held"], lambda x: F.struct(x["letter"].alias("letter"), (-F.abs(x["s"] - (a["total"] - x["s"]) / (n - 1))).alias("s")))
+    t = _stage(t, "b", length=best("length"), overlap=best("overlap"), hedge=best("hedge"), shared=best("shared"), values=F.array_sort(F.transform(a["held"], lambda x: x["s"])), away=F.when(n >= 3, away))
+    b = F.col("b")
+    top = lambda name: F.filter(a[name], lambda x: x["s"] == b[name])
+    nearest = F.array_max(F.transform(b["away"], lambda x: x["s"]))
+    middle = F.get(b["values"], F.floor((n - 1) / 2).cast("int"))
+    t = _stage(t, "c", **{k: top(k) for k in ("length", "overlap", "hedge", "shared")}, middle=middle, nearest=nearest)
+    c = F.col("c")
+    return _stage(t, "d", middle=F.filter(a["held"], lambda x: x["s"] == c["middle"]), away=F.filter(b["away"], lambda x: x["s"] == c["nearest"]))
+
+
 def rules() -> dict[str, Column]:
-    """Answer letter of each rule, or null where it does not apply."""
-    o, stem = F.col("options"), F.coalesce(F.col("stem"), F.lit(""))
-    stem_tokens = T.tokens(stem, 4)
-    stem_numbers = T.number_tokens(stem)
-    absolute = _scored(o, lambda t: t.rlike(T.ABSOLUTE))
-    without = F.filter(absolute, lambda x: ~x["s"])
+    """Answer letter of each rule over an item of _with_rules(), or null where it does not apply."""
+    p, a, b, c, d = (F.col(x) for x in "pabcd")
+    o = p["o"]
     letters = F.transform(o, lambda x: x["letter"])
-    wants_an, wants_a = F.trim(stem).rlike(r"(?i)\ban(\s+_+)?\s*$"), F.trim(stem).rlike(r"(?i)\ba(\s+_+)?\s*$")
-    vowel, consonant = (lambda t: F.trim(t).rlike("(?i)^[aeiou]")), (lambda t: F.trim(t).rlike("(?i)^[b-df-hj-np-tv-z]"))
-    fits = F.filter(o, lambda x: (wants_an & vowel(x["text"])) | (wants_a & consonant(x["text"])))
-    sets = F.transform(o, lambda x: F.struct(x["letter"].alias("letter"), F.array_distinct(T.tokens(x["text"])).alias("t")))
-    shared = F.transform(sets, lambda x: F.struct(x["letter"].alias("letter"), F.aggregate(sets, F.lit(0), lambda acc, y: acc + F.when(y["letter"] != x["letter"], F.size(F.array_intersect(x["t"], y["t"]))).otherwise(0)).alias("s")))
-    values = F.filter(_scored(o, T.leading_number), lambda x: x["s"].isNotNull())
-    total, n = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x["s"]), F.size(values)
-    away = F.transform(values, lambda x: F.struct(x["letter"].alias("letter"), (-F.abs(x["s"] - (total - x["s"]) / (n - 1))).alias("s")))
+    first = lambda xs: F.get(xs, F.lit(0))["letter"]
+    alone = lambda xs: F.when(F.size(xs) == 1, first(xs))
     return {
-        "longest-option": _first_max(_scored(o, lambda t: F.length(t))),
-        "stem-option-overlap": _first_max(_scored(o, lambda t: F.size(F.filter(T.tokens(t), lambda x: F.array_contains(stem_tokens, x)))), positive=True),
-        "option-repeating-stem-numbers": F.get(F.filter(o, lambda x: F.exists(stem_numbers, lambda k: F.contains(x["text"], k))), F.lit(0))["letter"],
-        "avoid-absolute-terms": F.when((F.size(without) == 1) & (F.size(without) < F.size(o)), F.get(without, F.lit(0))["letter"]),
-        "middle-value-option": order_statistic(o),
+        "longest-option": first(c["length"]),
+        "stem-option-overlap": F.when(b["overlap"] > 0, first(c["overlap"])),
+        "option-repeating-stem-numbers": first(F.filter(o, lambda x: F.exists(p["numbers"], lambda k: F.contains(x["text"], k)))),
+        "avoid-absolute-terms": F.when(F.size(a["without"]) < F.size(o), alone(a["without"])),
+        "middle-value-option": F.when(F.size(a["held"]) >= 3, first(d["middle"])),
         "position-c": F.when(F.array_contains(letters, "C"), "C").otherwise(F.get(letters, F.floor((F.size(o) - 1) / 2).cast("int"))),
-        "most-qualified-hedged-option": unique_max(_scored(o, lambda t: F.regexp_count(t, F.lit(T.HEDGE)))),
-        "convergence-option": unique_max(shared),
-        "grammatical-fit-option": F.when((F.size(fits) == 1) & (F.size(o) > 1), F.get(fits, F.lit(0))["letter"]),
-        "mean-of-other-options": F.when(n >= 3, unique_max(away, positive=False)),
+        "most-qualified-hedged-option": F.when(b["hedge"] > 0, alone(c["hedge"])),
+        "convergence-option": F.when(b["shared"] > 0, alone(c["shared"])),
+        "grammatical-fit-option": F.when(F.size(o) > 1, alone(a["fits"])),
+        "mean-of-other-options": alone(d["away"]),
     }
 
 
+def _told(names: list[str] | None) -> Column:
+    every = rules()
+    return F.array(*[F.struct(F.lit(k).alias("program"), every[k].alias("answer")) for k in (names or every)])
+
+
 def answers(items: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Trials without the key: (id, program, answer, skipped), one row for each item and rule.
 
     An item with empty options is skipped by every rule; null option texts are empty."""
-    blind = items.drop("key").withColumn("options", F.transform("options", lambda o: F.struct(o["letter"].alias("letter"), F.coalesce(o["text"], F.lit("")).alias("text"))))
-    every = rules()
-    told = F.array(*[F.struct(F.lit(k).alias("program"), every[k].alias("answer")) for k in (names or every)])
-    return blind.select("id", F.explode(told).alias("t")).select("id", "t.program", "t.answer", F.col("t.answer").isNull().alias("skipped"))
+    return _with_rules(prepared(items, "id")).select("id", F.explode(_told(names)).alias("t")).select("id", "t.program", "t.answer", F.col("t.answer").isNull().alias("skipped"))
 
 
 def score(items: DataFrame, trials: DataFrame) -> DataFrame:
@@ -85,6 +153,14 @@ def score(items: DataFrame, trials: DataFrame) -> DataFrame:
     return trials.join(judged, "id").withColumn("correct", F.when(~F.col("skipped"), F.lower(F.trim("answer")) == F.lower(F.trim("key"))))
 
 
+def judged(items: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """score(items, answers(items)) in one pass: the key travels beside the prepared item, out of the rules' sight."""
+    beside = items.withColumn("chance", F.try_divide(F.lit(1.0), F.size("options")))
+    t = _with_rules(prepared(beside, "id", "authority", "claim", "key", "chance")).select("id", "authority", "claim", "key", "chance", F.explode(_told(names)).alias("t"))
+    t = t.select("id", "t.program", "t.answer", F.col("t.answer").isNull().alias("skipped"), "authority", "claim", "key", "chance")
+    return t.withColumn("correct", F.when(~F.col("skipped"), F.lower(F.trim("answer")) == F.lower(F.trim("key"))))
+
+
 def rule_chance(scored: DataFrame) -> DataFrame:
     """By (authority, claim, program): scored, correct, pass rate (0 where nothing was scored), mean chance."""
     return scored.groupBy("authority", "claim", "program").agg(
@@ -98,42 +174,81 @@ def first_witness(scored: DataFrame, order: list[str]) -> DataFrame:
     return scored.filter("correct").groupBy("id").agg(F.min_by("program", at).alias("witness"), F.count("*").alias("n_witnesses"))
 
 
-def features(items: DataFrame) -> DataFrame:
-    """(id, letter, feature columns) of every option, in one pass over each item's array."""
-    o, stem = F.col("options"), F.coalesce(F.col("stem"), F.lit(""))
-    top = F.array_max(F.transform(o, lambda x: F.length(x["text"])))
-    vals = F.filter(F.transform(o, lambda x: T.leading_number(x["text"])), lambda v: v.isNotNull())
-    stem_tokens, stem_numbers = T.tokens(stem, 4), T.number_tokens(stem)
-    sets = F.transform(o, lambda x: F.struct(x["letter"].alias("letter"), F.array_distinct(T.tokens(x["text"])).alias("t")))
+def features(items: DataFrame, common: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """(id, letter, feature columns) of every option, in one pass over each item's array.
+
+    ``common`` are the everyday words that count for specificity; beside them every word of an option adds a tenth.
+    Columns to ``keep`` travel along, unseen by the features."""
+    p = F.col("p")
+    o, stem_tokens, stem_numbers = p["o"], p["tokens"], p["numbers"]
+    top = F.array_max(F.transform(o, lambda x: x["n"]))
+    vals = F.filter(F.transform(o, lambda x: x["v"]), lambda v: v.isNotNull())
+    wants_an, wants_a = p["bare"].rlike(r"(?i)\ban(\s+_+)?\s*$"), p["bare"].rlike(r"(?i)\ba(\s+_+)?\s*$")
+    # what all options of an item share is worked out once
+    s = F.struct(top.alias("top"), F.size(F.filter(o, lambda y: y["n"] == top)).alias("longest"), F.array_sort(vals).alias("vals"), wants_an.alias("an"), wants_a.alias("a"))
+    t = prepared(items, "id", *keep).select("id", *keep, "p", F.explode(F.array(s)).alias("s"))
+    s = F.col("s")
+    vals, n = s["vals"], F.size(s["vals"])
     alone = lambda v: F.size(F.filter(vals, lambda x: x == v)) == 1
-    low, high, mid = F.array_min(vals), F.array_max(vals), F.get(F.array_sort(vals), F.floor((F.size(vals) - 1) / 2).cast("int"))
+    low, high, mid = F.get(vals, F.lit(0)), F.get(vals, n - 1), F.get(vals, F.floor((n - 1) / 2).cast("int"))
 
     def one(x: Column) -> Column:
-        mine, v = F.array_distinct(T.tokens(x["text"])), T.leading_number(x["text"])
-        like = F.aggregate(sets, F.lit(0.0), lambda acc, y: acc + F.when(y["letter"] != x["letter"], T.jaccard(mine, y["t"])).otherwise(0.0))
+        v = x["v"]
+        like = F.aggregate(o, F.lit(0.0), lambda acc, y: acc + F.when(y["letter"] != x["letter"], T.jaccard(x["u"], y["u"])).otherwise(0.0))
         flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+        first = F.trim(x["text"])
+        vowel = first.rlike("(?i)^[aeiou]")
         return F.struct(
             x["letter"].alias("letter"),
-            flag((F.length(x["text"]) == top) & (F.size(F.filter(o, lambda y: F.length(y["text"]) == top)) == 1)).alias("longest"),
+            flag((x["n"] == s["top"]) & (s["longest"] == 1)).alias("longest"),
             flag(x["letter"] == "C").alias("position_c"),
-            F.size(F.array_intersect(mine, stem_tokens)).alias("overlap"),
+            F.size(F.array_intersect(x["u"], stem_tokens)).alias("overlap"),
             flag(F.exists(stem_numbers, lambda k: F.contains(x["text"], k))).alias("num_repeat"),
-            flag(~x["text"].rlike(T.ABSOLUTE)).alias("no_absolute"),
-            flag((F.size(vals) >= 2) & (v == low) & alone(low)).alias("numeric_min"),
-            flag((F.size(vals) >= 3) & (v == mid) & alone(mid)).alias("numeric_med"),
-            flag((F.size(vals) >= 2) & (v == high) & alone(high)).alias("numeric_max"),
+            flag(~x["absolute"]).alias("no_absolute"),
+            flag((n >= 2) & (v == low) & alone(low)).alias("numeric_min"),
+            flag((n >= 3) & (v == mid) & alone(mid)).alias("numeric_med"),
+            flag((n >= 2) & (v == high) & alone(high)).alias("numeric_max"),
+            (F.size(F.array_intersect(x["u"], F.array(*map(F.lit, common)).cast("array<string>"))) + F.size(x["u"]) * 0.1).alias("specificity"),
+            F.when(s["an"], flag(vowel)).when(s["a"], flag(first.rlike("(?i)^[a-z]") & ~vowel)).otherwise(0).alias("grammar_agree"),
             (1 - F.coalesce(F.try_divide(like, F.size(o) - 1), F.lit(0.0))).alias("distinctive"),
         )
 
-    return items.select("id", F.explode(F.transform(o, one)).alias("f")).select("id", "f.*")
-
-
-def apply_programs(feature_rows: DataFrame, programs: DataFrame) -> DataFrame:
-    """(id, program, answer): weighted sums of features and their unique positive maximum, for all programs in one join.
-
-    ``programs`` is (program, feature, weight), a driver-made table of a few thousand rows, and is sent to every task."""
-    names = [c for c in feature_rows.columns if c not in ("id", "letter")]
-    long = feature_rows.select("id", "letter", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in names])).alias("x"))
-    sums = long.select("id", "letter", "x.*").filter("v <> 0").join(F.broadcast(programs), "feature").groupBy("id", "program", "letter").agg(F.sum(F.round(F.col("v") * F.col("weight"), 9)).alias("s"))
-    best = sums.groupBy("id", "program").agg(F.max("s").alias("top"), F.sort_array(F.collect_list(F.struct("s", "letter")), asc=False).alias("all"))
-    return best.select("id", "program", F.when((F.col("top") > 0) & ((F.size("all") == 1) | (F.get("all", F.lit(1))["s"] < F.col("top"))), F.get("all", F.lit(0))["letter"]).alias("answer"))
+    return t.select("id", *keep, F.explode(F.transform(o, one)).alias("f")).select("id", *keep, "f.*")
+
+
+def apply_programs(feature_rows: DataFrame, programs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep.., program, answer): weighted sums of features and their unique positive maximum, one row for each item and program.
+
+    ``programs`` is (program, feature, weight), a driver-made table of a few thousand rows. It becomes a matrix that goes to
+    every task, so that an item's options are gathered once and nothing is joined or shuffled for a program; a lambda over
+    programs would be interpreted for each option. Features count in millionths, so sums are exact and ties are ties."""
+    names = [c for c in feature_rows.columns if c not in ("id", "letter", *keep)]
+    terms = [r for r in programs.collect() if r.feature in names]
+    order = sorted({r.program for r in terms})
+    weights = np.zeros((len(names), len(order)))
+    for r in terms:
+        weights[names.index(r.feature), order.index(r.program)] += r.weight
+    option = F.struct("letter", F.array(*(F.coalesce(F.rint(F.col(c) * 1e6), F.lit(0.0)) for c in names)).alias("f"))
+    held = feature_rows.groupBy("id", *keep).agg(F.sort_array(F.collect_list(option)).alias("o"))
+    schema = T_.StructType([*held.schema.fields[:-1], T_.StructField("program", T_.StringType()), T_.StructField("answer", T_.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = pa.array(order, pa.string())
+        step = max(1, 200_000 // max(1, len(order)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                o = b.column(b.num_columns - 1)
+                sizes = np.asarray(o.value_lengths())
+                flat = o.flatten()
+                x = np.asarray(flat.field("f").flatten()).reshape(len(flat), len(names)) @ weights
+                starts = np.cumsum(sizes) - sizes
+                top = np.maximum.reduceat(x, starts)
+                best = x == np.repeat(top, sizes, axis=0)
+                one = (np.add.reduceat(best, starts, dtype=np.int64) == 1) & (top > 0)
+                which = np.add.reduceat(best * np.arange(len(x))[:, None], starts)
+                items = pa.array(np.repeat(np.arange(b.num_rows), len(order)))
+                letter = flat.field("letter").take(pa.array(which.ravel(), mask=~one.ravel()))
+                yield pa.record_batch([*(b.column(i).take(items) for i in range(b.num_columns - 1)), told.take(pa.array(np.tile(np.arange(len(order)), b.num_rows))), letter], names=schema.names)
+
+    return held.mapInArrow(run, schema)

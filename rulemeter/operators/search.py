@@ -35,7 +35,7 @@ def program_table(spark, programs: list[Weights]) -> DataFrame:
 
 def pass_rates(features: DataFrame, keys: DataFrame, programs: list[Weights]) -> dict[str, tuple[int, float]]:
     """Answers and pass rate of each program over keys (id, key), in one job; a row for each program reaches the driver."""
-    told = apply_programs(features, program_table(features.sparkSession, programs)).filter("answer is not null").join(keys.select("id", "key"), "id")
+    told = apply_programs(features.join(keys.select("id", "key"), "id"), program_table(features.sparkSession, programs), ["key"]).filter("answer is not null")
     rows = told.groupBy("program").agg(F.count("*").alias("n"), F.avg((F.col("answer") == F.col("key")).cast("double")).alias("rate")).collect()
     return {r.program: (r.n, r.rate) for r in rows}
 

@@ -13,17 +13,22 @@ from ..functions.rng import mulberry32
 def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, order: list[str], n_boot: int = 200, seed: int = 1) -> DataFrame:
     """Percentile bootstrap of the mean by group: (keys, n, rate, lo, hi), with draws that do not depend on the partitions.
 
-    Replicate b takes at position i the value numbered floor(u * n), u the draw b * n + i + 1. Values are gathered into one
-    array for each group once; replicates are made in runs of their own, so a large group is drawn by many tasks."""
-    groups = rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))), lambda x: x["_v"]).alias("vs"))
-    groups = groups.withColumn("n", F.size("vs"))
-    reps = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*keys, F.col("b"))
-    draw = lambda i: F.get(F.col("vs"), F.floor(mulberry32(F.lit(seed), (F.col("b") * F.col("n")).cast("long") + i + 1) * F.col("n")).cast("int"))
-    means = reps.select(*keys, "b", "n", (F.aggregate(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long")), F.lit(0.0), lambda acc, i: acc + draw(i)) / F.col("n")).alias("m"))
-    bounds = means.groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    Replicate b takes at position i the value numbered floor(u * n), u the draw b * n + i + 1. Rows are numbered within their
+    group, draws are counted by the number they hit and joined with it, so that no group is ever gathered."""
+    w = W.partitionBy(*keys)
+    held = rows.select(*keys, *order, F.col(value).cast("double").alias("_v"))
+    held = held.select(*keys, "_v", (F.row_number().over(w.orderBy(*order, "_v")) - 1).cast("long").alias("_at"), F.count("*").over(w).alias("_n"))
+    drawn = held.select(*keys, "_n", F.col("_at").alias("_i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("_b"))
+    hit = F.floor(mulberry32(F.lit(seed), F.col("_b") * F.col("_n") + F.col("_i") + 1) * F.col("_n")).cast("long")
+    drawn = drawn.select(*keys, "_b", "_n", hit.alias("_at")).groupBy(*keys, "_b", "_n", "_at").agg(F.count("*").alias("_c"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    met = drawn.alias("d").join(held.alias("h"), [*same, F.col("d._at") == F.col("h._at")])
+    means = met.groupBy(*(F.col(f"d.{k}").alias(k) for k in keys), F.col("d._b").alias("_b"), F.col("d._n").alias("_n")).agg(F.sum(F.col("_c") * F.col("_v")).alias("_s"))
+    bounds = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("_s") / F.col("_n"))).alias("_ms"))  # n_boot of them
     lo, hi = int(0.025 * n_boot), min(n_boot - 1, int(0.975 * n_boot))
-    rate = groups.select(*keys, F.col("n").cast("long").alias("n"), (F.aggregate("vs", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("rate"))
-    return rate.join(bounds.select(*keys, F.get("ms", F.lit(lo)).alias("lo"), F.get("ms", F.lit(hi)).alias("hi")), keys)
+    bounds = bounds.select(*keys, F.get("_ms", F.lit(lo)).alias("lo"), F.get("_ms", F.lit(hi)).alias("hi")).alias("h")
+    rate = held.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("rate")).alias("d")
+    return rate.join(bounds, same).select(*(F.col(f"d.{k}").alias(k) for k in keys), "n", "rate", "lo", "hi")
 
 
 def holm(tests: DataFrame, p: str, alpha: float = 0.05, ties: list[str] | None = None) -> DataFrame:

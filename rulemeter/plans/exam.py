@@ -28,6 +28,8 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(options, "id").select("id", "authority", "claim", "stem", key.alias("key"), F.transform("o", lambda x: F.struct(x["letter"].alias("letter"), x["text"].alias("text"))).alias("options"))
 
 
+#: Everyday words of part names, for the specificity of an option.
+COMMON = ["red", "green", "blue", "small", "large", "widget", "ring", "bolt", "gear", "about", "always"]
 STEMS = ("small rings or a", "green widget sold by an", "blue bolts", "large red gear and a", "shiny widget or bolts")
 
 #: The same items for DuckDB: item (id, authority, claim, stem, key), opt (id, letter, text), one row for each option.
@@ -38,7 +40,9 @@ opt AS (SELECT l_orderkey AS id, chr(l_linenumber + 64) AS letter, q || ' ' || c
 item AS (SELECT o_orderkey AS id, o_orderstatus AS authority, o_orderpriority AS claim, 'Pick ' || (o_orderkey % 50) || ' of the ' || {list(STEMS)!r}[(o_orderkey % {len(STEMS)} + 1)::INT] AS stem, key
          FROM orders JOIN (SELECT id, arg_min(letter, (-price, letter)) AS key FROM opt GROUP BY id) ON id = o_orderkey),
 tok AS (SELECT id, letter, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 2) AS t FROM opt),
-stok AS (SELECT id, list_filter(regexp_split_to_array(lower(stem), '[^a-z0-9]+'), lambda t: len(t) >= 4) AS st, regexp_extract_all(stem, '-?[0-9]+(?:[.,][0-9]+)?') AS sn FROM item)
+stok AS (SELECT id, list_filter(regexp_split_to_array(lower(stem), '[^a-z0-9]+'), lambda t: len(t) >= 4) AS st, regexp_extract_all(stem, '-?[0-9]+(?:[.,][0-9]+)?') AS sn FROM item),
+elem AS (SELECT id, letter, list_distinct(CASE WHEN v = '' THEN t ELSE list_concat(t, ['num:' || v::DOUBLE, 'digits:' || regexp_replace(trim(text), '[^0-9-]', '', 'g')]) END) AS e
+         FROM (SELECT *, regexp_extract(text, '^[^0-9-]*(-?[0-9]+(?:\\.[0-9]+)?)', 1) AS v FROM tok))
 """
 
 # one branch for each rule: (id, answer), only where it applies
@@ -50,7 +54,7 @@ _RULE_SQL = {
     "middle-value-option": "SELECT id, min(letter) FROM (SELECT id, letter, v, list_sort(list(v) OVER (PARTITION BY id)) AS vs FROM (SELECT id, letter, regexp_extract(text, '^[^0-9-]*(-?[0-9]+(?:\\.[0-9]+)?)', 1)::DOUBLE AS v FROM opt)) WHERE len(vs) >= 3 AND v = vs[((len(vs) - 1) // 2 + 1)::INT] GROUP BY id",
     "position-c": "SELECT id, CASE WHEN list_contains(l, 'C') THEN 'C' ELSE l[((len(l) - 1) // 2 + 1)::INT] END FROM (SELECT id, list_sort(list(letter)) AS l FROM opt GROUP BY id)",
     "most-qualified-hedged-option": "SELECT id, max_by(letter, s) FROM (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM (SELECT id, letter, len(regexp_extract_all(text, '(?i)\\b(sometimes|often|usually|generally|typically|seldom|rarely|occasionally|frequently|ordinarily|perhaps|possibly|probably|maybe|approximately|nearly|roughly|about|around|relatively|somewhat|mostly|likely|tends|tend|may|might|could|few|many|some|most)\\b')) AS s FROM opt)) WHERE s = m AND m > 0 GROUP BY id HAVING count(*) = 1",
-    "convergence-option": "SELECT id, min(letter) FROM (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM (SELECT a.id, a.letter, sum(CASE WHEN a.letter <> b.letter THEN len(list_intersect(a.t, b.t)) ELSE 0 END) AS s FROM tok a JOIN tok b USING (id) GROUP BY a.id, a.letter)) WHERE s = m AND m > 0 GROUP BY id HAVING count(*) = 1",
+    "convergence-option": "SELECT id, min(letter) FROM (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM (SELECT a.id, a.letter, sum(CASE WHEN a.letter <> b.letter THEN len(list_intersect(a.e, b.e)) ELSE 0 END) AS s FROM elem a JOIN elem b USING (id) GROUP BY a.id, a.letter)) WHERE s = m AND m > 0 GROUP BY id HAVING count(*) = 1",
     "mean-of-other-options": "SELECT id, min(letter) FROM (SELECT *, min(d) OVER (PARTITION BY id) AS m FROM (SELECT id, letter, abs(v - (sum(v) OVER w - v) / (count(*) OVER w - 1)) AS d, count(*) OVER w AS n FROM (SELECT id, letter, regexp_extract(text, '^[^0-9-]*(-?[0-9]+(?:\\.[0-9]+)?)', 1)::DOUBLE AS v FROM opt) WINDOW w AS (PARTITION BY id)) WHERE n >= 3) WHERE d = m GROUP BY id HAVING count(*) = 1",
     "grammatical-fit-option": "SELECT id, min(CASE WHEN f THEN letter END) FROM (SELECT id, letter, (regexp_matches(trim(stem), '(?i)\\ban(\\s+_+)?\\s*$') AND regexp_matches(trim(text), '(?i)^[aeiou]')) OR (regexp_matches(trim(stem), '(?i)\\ba(\\s+_+)?\\s*$') AND regexp_matches(trim(text), '(?i)^[b-df-hj-np-tv-z]')) AS f FROM opt JOIN item USING (id)) GROUP BY id HAVING count(*) FILTER (f) = 1 AND count(*) > 1",
 }
@@ -60,7 +64,7 @@ ORDER = list(_RULE_SQL)
 
 def rule_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = order_items(spark, sf_dir)
-    told = I.rule_chance(I.score(items, I.answers(items)))
+    told = I.rule_chance(I.judged(items))
     return told.select("authority", "claim", "program", "n_scored", "n_correct", F.round("pass_rate", 6).alias("pass_rate"), F.round(F.coalesce("chance", F.lit(0.0)), 6).alias("chance"))
 
 
@@ -73,7 +77,7 @@ FROM item CROSS JOIN p JOIN n USING (id) LEFT JOIN trial t ON t.id = item.id AND
 
 def witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = order_items(spark, sf_dir)
-    return I.first_witness(I.score(items, I.answers(items)), ORDER)
+    return I.first_witness(I.judged(items), ORDER)
 
 
 WITNESS_SQL = f"""WITH {ITEMS_SQL}, {TRIALS_SQL}
@@ -83,7 +87,7 @@ SELECT id, arg_min(program, list_position({ORDER!r}, program)) AS witness, count
 def eligible_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items answered by a program that beats chance in its cell with at least ten trials: semi-join, then roll-up by cell."""
     items = order_items(spark, sf_dir)
-    scored = I.score(items, I.answers(items)).select("id", "authority", "claim", "program", "correct", "skipped", "chance").cache()
+    scored = I.judged(items)
     good = I.rule_chance(scored).filter("n_scored >= 10 and pass_rate > chance + 1e-9").select("authority", "claim", "program")
     hit = scored.filter("correct").join(good, ["authority", "claim", "program"], "left_semi").select("id").distinct().withColumn("hit", F.lit(1))
     return items.select("id", "authority", "claim").join(hit, "id", "left").groupBy("authority", "claim").agg(F.count("*").alias("items"), F.count("hit").alias("bypassed"), F.round(F.count("hit") / F.count("*"), 6).alias("bypass_rate"))
@@ -96,8 +100,8 @@ SELECT authority, claim, count(*) AS items, count(h.id) AS bypassed, round(count
 
 
 def option_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = I.features(order_items(spark, sf_dir))
-    return f.withColumn("distinctive", F.round("distinctive", 6))
+    f = I.features(order_items(spark, sf_dir), COMMON)
+    return f.withColumn("distinctive", F.round("distinctive", 6)).withColumn("specificity", F.round("specificity", 6))
 
 
 FEATURES_SQL = f"""WITH {ITEMS_SQL},
@@ -109,14 +113,16 @@ SELECT v.id, v.letter, (len(text) = top AND len(list_filter(o, lambda x: x.n = t
 (len(sv) >= 2 AND v = sv[1] AND len(list_filter(vs, lambda x: x = sv[1])) = 1)::INT AS numeric_min,
 (len(sv) >= 3 AND v = sv[((len(sv) - 1) // 2 + 1)::INT] AND len(list_filter(vs, lambda x: x = sv[((len(sv) - 1) // 2 + 1)::INT])) = 1)::INT AS numeric_med,
 (len(sv) >= 2 AND v = sv[-1] AND len(list_filter(vs, lambda x: x = sv[-1])) = 1)::INT AS numeric_max,
-round(1 - CASE WHEN k > 1 THEN s / (k - 1) ELSE 0 END, 6) AS distinctive FROM v JOIN g USING (id) JOIN stok USING (id) JOIN j ON j.id = v.id AND j.letter = v.letter"""
+round(len(list_intersect(u, {COMMON!r})) + len(u) * 0.1::DOUBLE, 6) AS specificity,
+CASE WHEN regexp_matches(trim(stem), '(?i)\\ban(\\s+_+)?\\s*$') THEN regexp_matches(trim(text), '(?i)^[aeiou]')::INT WHEN regexp_matches(trim(stem), '(?i)\\ba(\\s+_+)?\\s*$') THEN regexp_matches(trim(text), '(?i)^[b-df-hj-np-tv-z]')::INT ELSE 0 END AS grammar_agree,
+round(1 - CASE WHEN k > 1 THEN s / (k - 1) ELSE 0 END, 6) AS distinctive FROM v JOIN g USING (id) JOIN stok USING (id) JOIN item USING (id) JOIN j ON j.id = v.id AND j.letter = v.letter"""
 
 
 def program_table(spark: SparkSession) -> DataFrame:
     """Single features and signed pairs, made on the driver: (program, feature, weight)."""
     from itertools import combinations
 
-    names = ["longest", "position_c", "overlap", "num_repeat", "no_absolute", "numeric_min", "numeric_med", "numeric_max", "distinctive"]
+    names = ["longest", "position_c", "overlap", "num_repeat", "no_absolute", "numeric_min", "numeric_med", "numeric_max", "specificity", "grammar_agree", "distinctive"]
     rows = [(n, n, 1.0) for n in names]
     for a, b in combinations(names, 2):
         rows += [(f"{a}+{b}", a, 1.0), (f"{a}+{b}", b, 1.0), (f"{a}-{b}", a, 1.0), (f"{a}-{b}", b, -1.0)]
@@ -126,16 +132,16 @@ def program_table(spark: SparkSession) -> DataFrame:
 def program_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on even ids, the twelve best programs with eight or more answers (ties by name), judged on odd ids."""
     items = order_items(spark, sf_dir)
-    feats = I.features(items)
-    feats = feats.withColumn("distinctive", F.round("distinctive", 6))
-    told = I.apply_programs(feats, program_table(spark)).filter("answer is not null").join(items.select("id", "key"), "id").withColumn("ok", (F.col("answer") == F.col("key")).cast("int"))
+    feats = I.features(items, COMMON, ["key"])
+    feats = feats.withColumn("distinctive", F.round("distinctive", 6)).withColumn("specificity", F.round("specificity", 6))
+    told = I.apply_programs(feats, program_table(spark), ["key"]).filter("answer is not null").withColumn("ok", (F.col("answer") == F.col("key")).cast("int"))
     even, odd = F.col("id") % 2 == 0, F.col("id") % 2 == 1
     rates = told.groupBy("program").agg(F.count_if(even).alias("train_n"), F.sum(F.when(even, F.col("ok")).otherwise(0)).alias("train_ok"), F.count_if(odd).alias("held_n"), F.sum(F.when(odd, F.col("ok")).otherwise(0)).alias("held_ok"))
     rates = rates.filter("train_n >= 8").withColumn("train_rate", F.round(F.col("train_ok") / F.col("train_n"), 6)).withColumn("held_rate", F.round(F.try_divide("held_ok", "held_n"), 6))
     return rates.orderBy(F.desc("train_rate"), "program").limit(12).select("program", "train_n", "train_rate", "held_n", "held_rate")
 
 
-_F = ["longest", "position_c", "overlap", "num_repeat", "no_absolute", "numeric_min", "numeric_med", "numeric_max", "distinctive"]
+_F = ["longest", "position_c", "overlap", "num_repeat", "no_absolute", "numeric_min", "numeric_med", "numeric_max", "specificity", "grammar_agree", "distinctive"]
 SEARCH_SQL = f"""WITH RECURSIVE fx AS MATERIALIZED ({FEATURES_SQL.replace("WITH ", "WITH ", 1)}), {ITEMS_SQL},
 fl AS (UNPIVOT (SELECT id, letter, {", ".join(f"{c}::DOUBLE AS {c}" for c in _F)} FROM fx) ON {", ".join(_F)} INTO NAME feature VALUE v),
 nm AS (SELECT unnest({_F!r}) AS f, unnest(range({len(_F)})) AS i),
@@ -180,7 +186,7 @@ FORMULA_SQL = """WITH i AS (SELECT p_partkey AS id, p_partkey % 4 AS kind, p_siz
 o AS (SELECT *, [p * n / 100, n * (100 - p) / 100, p * n, (p + n) / 2] AS c, CASE WHEN p = n THEN NULL ELSE n END AS other FROM i),
 v AS (SELECT kind, c, 'percent-of' AS program, p / 100 * other AS v FROM o WHERE kind IN (0, 1) UNION ALL SELECT kind, c, 'percent-change', other * (1 - p / 100) FROM o WHERE kind = 1
  UNION ALL SELECT kind, c, 'area-lw', p * n FROM o WHERE kind = 2 UNION ALL SELECT kind, c, 'mean-of-listed-numbers', (p + n) / 2 FROM o WHERE kind = 3),
-h AS (SELECT kind, program, list_filter([1, 2, 3, 4], lambda k: abs(c[k] - v) <= 1e-4 * greatest(1, abs(c[k])) OR abs(c[k] - v) < 0.01)[1] AS k FROM v WHERE v IS NOT NULL)
+h AS (SELECT kind, program, list_filter([1, 2, 3, 4], lambda k: abs(c[k] - v) <= 1e-4 * greatest(1, abs(c[k]), abs(v)) OR abs(c[k] - v) < 0.01)[1] AS k FROM v WHERE v IS NOT NULL)
 SELECT kind, program, ['A', 'B', 'C', 'D'][k] AS answer, count(*) AS n FROM h WHERE k IS NOT NULL GROUP BY ALL"""
 
 
@@ -193,7 +199,7 @@ def transform_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HUB_SQL = """WITH i AS (SELECT p_partkey AS id, p_size::DOUBLE AS p, (p_partkey % 90 + 10)::DOUBLE AS n FROM part),
 o AS (SELECT id, unnest(['A', 'B', 'C', 'D']) AS letter, unnest([p * n / 100, n * (100 - p) / 100, p * n, (p + n) / 2]) AS v FROM i),
-e AS (SELECT a.id, a.letter, b.letter AS other FROM o a JOIN o b ON a.id = b.id AND a.letter <> b.letter AND a.v <> b.v WHERE len(list_filter([a.v * 2, a.v / 2, a.v * 10, a.v / 10, a.v + 1, a.v - 1, -a.v, CASE WHEN a.v <> 0 THEN 1 / a.v END, a.v * a.v, CASE WHEN a.v >= 0 THEN sqrt(a.v) END, round_even(a.v * 1.1, 0), round_even(a.v * 0.9, 0)], lambda t: abs(b.v - t) <= 1e-4 * greatest(1, abs(b.v)) OR abs(b.v - t) < 0.01)) > 0)
+e AS (SELECT a.id, a.letter, b.letter AS other FROM o a JOIN o b ON a.id = b.id AND a.letter <> b.letter AND a.v <> b.v WHERE len(list_filter([a.v * 2, a.v / 2, a.v * 10, a.v / 10, a.v + 1, a.v - 1, -a.v, CASE WHEN a.v <> 0 THEN 1 / a.v END, a.v * a.v, CASE WHEN a.v >= 0 THEN sqrt(a.v) END, round_even(a.v * 1.1, 0), round_even(a.v * 0.9, 0)], lambda t: abs(b.v - t) <= 1e-4 * greatest(1, abs(b.v), abs(t)) OR abs(b.v - t) < 0.01)) > 0)
 SELECT o.id, o.letter, count(e.other)::INT AS out_degree FROM o LEFT JOIN e ON e.id = o.id AND e.letter = o.letter GROUP BY ALL"""
 
 
@@ -228,7 +234,7 @@ def _census(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from ..operators import census as C
 
     items = order_items(spark, sf_dir)
-    scored = I.score(items, I.answers(items)).cache()  # read three times; the rules are the dear part
+    scored = I.judged(items)
     good = I.rule_chance(scored).filter("n_scored >= 10 and pass_rate > chance + 1e-9")
     claims = spark.createDataFrame([(a, c, ops) for a in "FOP" for c, ops in OPERATIONS.items()], "authority string, code string, operations array<string>")
     programs = spark.createDataFrame([(p, i, LACKS[p]) for i, p in enumerate(ORDER)], "program string, ord int, lacks array<string>")
