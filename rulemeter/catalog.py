@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, exam
+from .plans import analytics, exam, rollups
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES, **exam.QUERIES}
-ORACLES: dict[str, str] = {**analytics.ORACLES, **exam.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES, **exam.QUERIES, **rollups.QUERIES}
+ORACLES: dict[str, str] = {**analytics.ORACLES, **exam.ORACLES, **rollups.ORACLES}

@@ -16,13 +16,6 @@ from pyspark.sql import types as T_
 from ..functions import text as T
 
 
-def _first_max(scores: Column, positive: bool = False) -> Column:
-    """Letter of the largest score, the first on a tie; scores is an array of (letter, s) in letter order."""
-    best = F.array_max(F.transform(scores, lambda o: o["s"]))
-    letter = F.get(F.filter(scores, lambda o: o["s"] == best), F.lit(0))["letter"]
-    return F.when(best > 0, letter) if positive else letter
-
-
 def unique_max(scores: Column, positive: bool = True) -> Column:
     """Letter of the largest score if no other has it (and it is positive); else null."""
     best = F.array_max(F.transform(scores, lambda o: o["s"]))
