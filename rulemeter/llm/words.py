@@ -9,8 +9,9 @@ from functools import cache
 
 import numpy as np
 
-#: Words and pieces remembered by a worker; about 200 bytes each.
-MOST_WORDS, MOST_PIECES = 600_000, 1_200_000
+#: Words and pieces remembered by a worker, about 250 bytes each. Spark deals tasks to its idle workers in turn, so an
+#: executor may hold several tables beside each other.
+MOST_WORDS, MOST_PIECES = 600_000, 250_000
 
 
 def split_words(text: str) -> list[str]:
