@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes handed to a Python worker at once; they bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Rows of a few numbers each that one task writes.
+TASK_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows of a few numbers each, in no more tasks than they need: a small table is few files."""
+    return df.coalesce(rows // TASK_ROWS + 1)
+
+
 def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -4,7 +4,8 @@ Each round every root takes its smallest smaller neighbour as parent (a map-side
 nothing), the parent chains are shortened by pointer jumping until they are flat, and the edges are rewritten between
 roots. Every root that has a smaller neighbour vanishes, so the roots at least halve each round. All tables are
 checkpointed between steps, which also leaves both sides of each lookup as plain exchanges that AQE may split when one
-root is the parent of very many nodes. Nothing but row counts reaches the driver.
+root is the parent of very many nodes. The tables shrink from round to round, and so do their numbers of tasks and files.
+Nothing but row counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,17 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized
 
 
-def _flatten(parents: DataFrame) -> DataFrame:
-    """(node, root) from (node, parent) whose parents are strictly smaller."""
+def _flatten(parents: DataFrame, rows: int) -> DataFrame:
+    """(node, root) from at most ``rows`` rows (node, parent) whose parents are strictly smaller."""
     flat = parents.select("node", F.col("parent").alias("root"))
     while True:
         up = flat.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        joined = materialize(
-            flat.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
-        )
+        joined = flat.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+        joined = materialize(sized(joined, rows))
         flat = joined.select("node", "root")
         if joined.filter("moved").isEmpty():
             return flat
@@ -34,20 +34,21 @@ def components(edges: DataFrame) -> DataFrame:
     Self-links are ignored; nodes without another neighbour have no row. Nulls are ignored."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
     rest = materialize(edges.filter("a <> b").select(low.alias("lo"), high.alias("hi")).distinct())
-    total = None
-    while not rest.isEmpty():
-        parents = materialize(rest.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")))
-        flat = _flatten(parents)
+    total, nodes = None, 0
+    while rows := rest.count():
+        nodes = nodes or 2 * rows
+        parents = materialize(sized(rest.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")), rows))
+        flat = _flatten(parents, rows)
         if total is None:
             total = flat
         else:
             up = flat.select(F.col("node").alias("root"), F.col("root").alias("above"))
             moved = total.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-            total = materialize(moved.unionByName(flat.join(total.select("node"), "node", "left_anti")))
+            total = materialize(sized(moved.unionByName(flat.join(total.select("node"), "node", "left_anti")), nodes))
         up_hi = flat.select(F.col("node").alias("hi"), F.col("root").alias("r_hi"))
         up_lo = flat.select(F.col("node").alias("lo"), F.col("root").alias("r_lo"))
         ends = rest.join(up_hi, "hi", "left").join(up_lo, "lo", "left").select(F.coalesce("r_lo", "lo").alias("a"), F.coalesce("r_hi", "hi").alias("b"))
-        rest = materialize(ends.filter("a <> b").select(low.alias("lo"), high.alias("hi")).distinct())
+        rest = materialize(sized(ends.filter("a <> b").select(low.alias("lo"), high.alias("hi")).distinct(), rows))
     if total is None:
         return edges.filter("false").select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = total.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
