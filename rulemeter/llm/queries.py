@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, html_text, lm_score, mixing, secrets, simhash, token_counts, token_ids, toxicity
+from . import decontaminate, embeddings, html_text, lexical, line_dedup, lm_score, mixing, secrets, simhash, spelling, token_counts, token_ids, toxicity
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op12_lexical_search": lexical.ORACLE, "op13_line_dedup": line_dedup.ORACLE}
