@@ -168,7 +168,12 @@ def first_witness(scored: DataFrame, order: list[str]) -> DataFrame:
 
 
 def features(items: DataFrame, common: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
-    """(id, letter, feature columns) of every option, in one pass over each item's array.
+    """(id, letter, feature columns) of every option, in one pass over each item's array: feature_arrays() as rows."""
+    return feature_arrays(items, common, keep).select("id", *keep, F.explode("features").alias("f")).select("id", *keep, "f.*")
+
+
+def feature_arrays(items: DataFrame, common: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep.., features): an array of (letter, feature columns) in the order of the item's options.
 
     ``common`` are the everyday words that count for specificity; beside them every word of an option adds a tenth.
     Columns to ``keep`` travel along, unseen by the features."""
@@ -206,7 +211,7 @@ def features(items: DataFrame, common: Sequence[str] = (), keep: Sequence[str] =
             (1 - F.coalesce(F.try_divide(like, F.size(o) - 1), F.lit(0.0))).alias("distinctive"),
         )
 
-    return t.select("id", *keep, F.explode(F.transform(o, one)).alias("f")).select("id", *keep, "f.*")
+    return t.select("id", *keep, F.transform(o, one).alias("features"))
 
 
 def apply_programs(feature_rows: DataFrame, programs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -71,22 +72,75 @@ def rank_quartile(order: W, by: list[str]) -> Column:
 
 def binomial_sf(tests: DataFrame, k: str = "k", n: str = "n", p: str = "p") -> DataFrame:
     """Adds ``tail``, the probability of k or more successes in n at rate p; Spark has no such function."""
-    @F.pandas_udf("double")
-    def tail(ks: pd.Series, ns: pd.Series, ps: pd.Series) -> pd.Series:
-        return pd.Series([upper_tail(a, b, c) for a, b, c in zip(ks, ns, ps, strict=True)], dtype="float64")
-
+    tail = F.pandas_udf(lambda ks, ns, ps: pd.Series(upper_tails(ks.to_numpy(), ns.to_numpy(), ps.to_numpy())), "double")
     return tests.withColumn("tail", tail(F.col(k).cast("long"), F.col(n).cast("long"), F.col(p).cast("double")))
 
 
+def with_interval(rates: DataFrame, n: str = "n_scored", correct: str = "n_correct", level: float = 0.95) -> DataFrame:
+    """Adds lo and hi, the percentile bootstrap interval of ``correct`` of ``n``, exact in law; null where n is 0.
+
+    A bootstrap mean of n zeros and ones is a binomial count over n, so its percentiles are binomial quantiles: no replicate is
+    drawn, and a group of any size costs one row. bootstrap_ci is the form with draws."""
+
+    def bound(q: float) -> Column:
+        at = F.pandas_udf(lambda ns, cs: pd.Series(binomial_quantiles(q, ns.to_numpy(), cs.to_numpy() / np.maximum(ns.to_numpy(), 1)) / np.maximum(ns.to_numpy(), 1)), "double")
+        return F.when(F.col(n) > 0, at(F.coalesce(F.col(n).cast("long"), F.lit(0)), F.coalesce(F.col(correct).cast("long"), F.lit(0))))
+
+    return rates.withColumn("lo", bound((1 - level) / 2)).withColumn("hi", bound((1 + level) / 2))
+
+
+def _beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function for a, b > 0 and 0 < x < 1, by its continued fraction."""
+    from math import lgamma
+
+    log_gamma = np.frompyfunc(lgamma, 1, 1)
+    front = np.exp((log_gamma(a + b) - log_gamma(a) - log_gamma(b)).astype(float) + a * np.log(x) + b * np.log1p(-x))
+    far = x >= (a + 1) / (a + b + 2)  # there the fraction of the other side converges faster
+    a, b, x = np.where(far, b, a), np.where(far, a, b), np.where(far, 1 - x, x)
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h, m = d.copy(), 0
+    going = np.ones(len(x), bool)
+    while going.any():
+        m += 1
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + num / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            step = d * c
+            h = np.where(going, h * step, h)
+        going &= np.abs(step - 1) > 1e-15
+        if m > 200_000:
+            break
+    told = front * h / a
+    return np.clip(np.where(far, 1 - told, told), 0.0, 1.0)
+
+
+def upper_tails(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X >= k) of binomial counts, for arrays."""
+    k, n, p = (np.asarray(v, float) for v in (k, n, p))
+    out = np.where((k <= 0) | (p >= 1), 1.0, 0.0)
+    out = np.where((k > n) & (k > 0), 0.0, out)
+    on = (k > 0) & (k <= n) & (p > 0) & (p < 1)
+    out[on] = _beta(k[on], n[on] - k[on] + 1, p[on])
+    return out
+
+
 def upper_tail(k: int, n: int, p: float) -> float:
-    from math import exp, fsum, lgamma, log
-
-    if k <= 0 or p >= 1:
-        return 1.0
-    if p <= 0 or k > n:
-        return 0.0
-    log_term = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)
-    return min(1.0, fsum(exp(log_term(i)) for i in range(k, n + 1)))
+    return float(upper_tails(np.array([k]), np.array([n]), np.array([p]))[0])
+
+
+def binomial_quantiles(q: float, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The smallest k with P(X <= k) >= q, by halving."""
+    low, high = np.full(len(n), -1, np.int64), np.asarray(n, np.int64).copy()
+    while (on := high - low > 1).any():
+        mid = (low + high) // 2
+        enough = np.zeros(len(n), bool)
+        enough[on] = 1 - upper_tails(mid[on] + 1, n[on], p[on]) >= q
+        high, low = np.where(on & enough, mid, high), np.where(on & ~enough, mid, low)
+    return high
 
 
 def sequential_bootstrap(rows: DataFrame, keys: list[str], value: str, order: list[str], n_boot: int = 1000, seed: int = 21) -> DataFrame:
