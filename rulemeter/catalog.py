@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, exam, programs, rollups
+from .plans import analytics, exam, fitted, programs, rollups
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES, **exam.QUERIES, **rollups.QUERIES, **programs.QUERIES}
-ORACLES: dict[str, str] = {**analytics.ORACLES, **exam.ORACLES, **rollups.ORACLES, **programs.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES, **exam.QUERIES, **rollups.QUERIES, **programs.QUERIES, **fitted.QUERIES}
+ORACLES: dict[str, str] = {**analytics.ORACLES, **exam.ORACLES, **rollups.ORACLES, **programs.ORACLES, **fitted.ORACLES}
