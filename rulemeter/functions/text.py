@@ -11,11 +11,12 @@ HEDGE_WORDS = (
     "sometimes often usually generally typically seldom rarely occasionally frequently ordinarily perhaps possibly probably maybe approximately nearly roughly about around relatively somewhat "
     "mostly likely tends tend may might could few many some most"
 ).split()
+NUMBER_TOKEN = r"-?[0-9]+(?:[.,][0-9]+)?"
+LEADING_NUMBER = r"^[^0-9-]*(-?[0-9]+(?:\.[0-9]+)?)"
 # end of fixed values
 
 ABSOLUTE = r"(?i)\b(" + "|".join(ABSOLUTE_WORDS) + r")\b"
 HEDGE = r"(?i)\b(" + "|".join(HEDGE_WORDS) + r")\b"
-NUMBER_TOKEN = r"-?[0-9]+(?:[.,][0-9]+)?"
 
 
 def tokens(s: Column, least: int = 2) -> Column:
@@ -34,7 +35,26 @@ def numbers(s: Column) -> Column:
 
 def leading_number(s: Column) -> Column:
     """The first number if nothing but non-digits comes before it; null if there is none."""
-    return F.nullif(F.regexp_extract(F.trim(s), r"^[^0-9-]*(-?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(F.trim(s), LEADING_NUMBER, 1), F.lit("")).try_cast("double")
+
+
+def clean_number(s: Column) -> Column:
+    """A trimmed text with one kind of minus sign and no commas between digits; null is empty."""
+    return F.regexp_replace(F.translate(F.trim(F.coalesce(s, F.lit(""))), "\u2212\u2013\u2014", "---"), r"(?<=[0-9]),(?=[0-9])", "")
+
+
+def distinct_near(values: Column, most: int = 12) -> Column:
+    """The first ``most`` numbers of an array of which none is near() an earlier one, in order."""
+    fresh = lambda kept, x: (F.size(kept) < most) & ~F.exists(kept, lambda y: near(x, y))
+    return F.aggregate(F.filter(values, lambda x: x.isNotNull()), F.array().cast("array<double>"), lambda kept, x: F.when(fresh(kept, x), F.array_append(kept, x)).otherwise(kept))
+
+
+def stem_numbers(s: Column) -> Column:
+    """The numbers of a stem, its fractions first, each kept unless it is near an earlier one; at most twelve."""
+    s = F.coalesce(s, F.lit(""))
+    parts = F.transform(F.regexp_extract_all(s, F.lit(r"-?[0-9]+\s*/\s*-?[0-9]+"), F.lit(0)), lambda t: F.transform(F.split(t, "/"), lambda x: F.trim(x).try_cast("double")))
+    plain = F.transform(F.regexp_extract_all(s, F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda t: t.try_cast("double"))
+    return distinct_near(F.concat(F.transform(parts, lambda p: F.try_divide(F.get(p, F.lit(0)), F.get(p, F.lit(1)))), plain))
 
 
 def fraction(s: Column) -> Column:

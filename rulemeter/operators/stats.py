@@ -32,10 +32,13 @@ def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, order: list[str],
     return rate.join(bounds, same).select(*(F.col(f"d.{k}").alias(k) for k in keys), "n", "rate", "lo", "hi")
 
 
-def holm(tests: DataFrame, p: str, alpha: float = 0.05, ties: list[str] | None = None) -> DataFrame:
-    """Adds m, rank (from 0), holm and bonferroni flags. The family must fit one task: it is a table of tests, not of rows."""
-    order = W.orderBy(F.col(p), *(ties or []))
-    ranked = tests.withColumn("m", F.count("*").over(W.partitionBy())).withColumn("rank", F.row_number().over(order) - 1)
+def holm(tests: DataFrame, p: str, alpha: float = 0.05, ties: list[str] | None = None, family: list[str] | None = None) -> DataFrame:
+    """Adds m, rank (from 0), holm and bonferroni flags, within each ``family`` of tests (all are one if None).
+
+    A family must fit one task: it is a table of tests, not of rows."""
+    whole = W.partitionBy(*(family or []))
+    order = whole.orderBy(F.col(p), *(ties or []))
+    ranked = tests.withColumn("m", F.count("*").over(whole)).withColumn("rank", F.row_number().over(order) - 1)
     over = F.max((F.col(p) > alpha / (F.col("m") - F.col("rank"))).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
     return ranked.withColumn("holm", over == 0).withColumn("bonferroni", F.col(p) <= alpha / F.col("m"))
 

@@ -14,32 +14,64 @@ from ..functions import text as T
 
 #: Values that the closure makes at most, in order of depth; the bound is part of the rule.
 MOST_VALUES = 4000
-#: Stems of which pi and halved products belong to the closure.
+# fixed values: words of stems of which pi and halved products belong to the closure
 GEOMETRY = re.compile(
     r"\b(triangle|circle|radius|diameter|circumference|rectangle|square|trapezoid|parallelogram|prism|cylinder|sphere|hypotenuse|base|height|width|length|perimeter|area|volume)\b", re.I
 )
+# end of fixed values
 
 
-def transforms(v: Column) -> Column:
-    """What a slip makes of a number: doubled, halved, shifted, off by one, negated, inverted, squared, rooted."""
-    return F.array_compact(F.array(v * 2, v / 2, v * 10, v / 10, v + 1, v - 1, -v, F.when(v != 0, 1 / v), v * v, F.when(v >= 0, F.sqrt(v)), F.rint(v * 1.1), F.rint(v * 0.9)))
+def slips(v: Column, text: Column) -> Column:
+    """The fifteen values that a slip makes of a number ``v`` written as ``text``: doubled, halved, a place up or down, one more or
+    less, negated, inverted, squared, rooted, two neighbouring digits swapped, a last zero dropped or added, ten percent more or
+    less in the decimals it was written with."""
+    body = F.regexp_replace(text, "^-", "")
+    digits = F.when(body.rlike(r"^[0-9]*\.?[0-9]*$"), F.replace(body, F.lit("."), F.lit("")))
+    sign, n = F.when(text.startswith("-"), -1.0).otherwise(1.0), F.length(digits)
+    unit, written = F.pow(F.lit(10.0), F.length(F.regexp_extract(body, r"^[0-9]*\.([0-9]*)$", 1))), F.pow(F.lit(10.0), F.length(F.regexp_extract(text, r"\.([0-9]+)", 1)))
+    swapped = lambda j: F.concat(F.substring(digits, F.lit(1), j - 1), F.substring(digits, j + 1, F.lit(1)), F.substring(digits, j, F.lit(1)), F.substring(digits, j + 2, n)).try_cast("double")
+    swaps = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda j: sign * swapped(j) / unit)).otherwise(F.array().cast("array<double>"))
+    shorter = F.when((F.abs(v - F.rint(v)) < 1e-9) & (F.abs(F.rint(v)) >= 10) & (F.rint(v) % 10 == 0), F.rint(v) / 10)
+    trimmed = F.when(body.endswith("0") & (F.length(F.regexp_replace(body, "[^0-9]", "")) >= 2), sign * F.regexp_replace(body, r"0$", "").try_cast("double"))
+    plain = F.array(v * 2, v / 2, v * 10, v / 10, v + 1, v - 1, -v, F.when(v != 0, 1 / v), v * v, F.when(v >= 0, F.sqrt(v)), shorter, trimmed, F.rint(v * 1.1 * written) / written, F.rint(v * 0.9 * written) / written)
+    return F.filter(F.concat(plain, swaps), lambda x: F.abs(x) <= 1e12)
+
+
+def _numeric_options(items: DataFrame) -> DataFrame:
+    """(id, o): the options that are numbers, as (letter, v, reached), the values that slips make of each worked out once."""
+    o = F.transform("options", lambda x: F.struct(x["letter"].alias("letter"), T.clean_number(x["text"]).alias("text")))
+    o = F.filter(F.transform(o, lambda x: F.struct(x["letter"].alias("letter"), x["text"].alias("text"), T.option_number(x["text"]).alias("v"))), lambda x: x["v"].isNotNull())
+    once = items.select("id", F.explode(F.array(F.struct(o.alias("o")))).alias("s")).select("id", F.col("s.o").alias("o"))
+    made = F.transform("o", lambda x: F.struct(x["letter"].alias("letter"), x["v"].alias("v"), slips(x["v"], x["text"]).alias("reached")))
+    return once.select("id", F.explode(F.array(F.struct(made.alias("o")))).alias("s")).select("id", F.col("s.o").alias("o"))
+
+
+def _degrees(held: DataFrame) -> DataFrame:
+    """(id, o): numeric options as (letter, v, out_degree)."""
+    degree = lambda x: F.size(F.filter("o", lambda y: (y["letter"] != x["letter"]) & F.exists(x["reached"], lambda t: T.near(t, y["v"]))))
+    e = F.transform("o", lambda x: F.struct(x["letter"].alias("letter"), x["v"].alias("v"), degree(x).alias("out_degree")))
+    return held.select("id", F.explode(F.array(F.struct(e.alias("o")))).alias("s")).select("id", F.col("s.o").alias("o"))
 
 
 def transform_edges(items: DataFrame) -> DataFrame:
     """(id, letter, out_degree): how many other options a slip turns the option into."""
-    o = F.transform("options", lambda x: F.struct(x["letter"].alias("letter"), T.option_number(x["text"]).alias("v")))
-    held = items.select("id", F.filter(o, lambda x: x["v"].isNotNull()).alias("o"))
-    reached = lambda a, b: F.exists(transforms(a), lambda t: T.near(b, t))
-    degree = lambda x: F.size(F.filter("o", lambda y: (y["letter"] != x["letter"]) & (y["v"] != x["v"]) & reached(x["v"], y["v"])))
-    return held.select("id", F.explode(F.transform("o", lambda x: F.struct(x["letter"].alias("letter"), degree(x).alias("out_degree")))).alias("e")).select("id", "e.*")
+    return _degrees(_numeric_options(items)).select("id", F.explode("o").alias("e")).select("id", "e.letter", "e.out_degree")
+
+
+def lower_central(options: Column) -> Column:
+    """Of (letter, v) options that are all numbers, the first letter that has the lower central value; null if there are none."""
+    pairs = F.array_sort(F.transform(options, lambda x: F.struct(x["v"].alias("v"), x["letter"].alias("letter"))))
+    middle = F.get(pairs, F.floor((F.size(pairs) - 1) / 2).cast("int"))["v"]
+    return F.get(F.filter(pairs, lambda x: x["v"] == middle), F.lit(0))["letter"]
 
 
-def hub(items: DataFrame) -> DataFrame:
-    """(id, answer): the option with the most edges, null where there is none; ties take the middle letter of them."""
-    e = transform_edges(items)
-    top = e.groupBy("id").agg(F.max("out_degree").alias("m"), F.sort_array(F.collect_list(F.struct("out_degree", "letter"))).alias("all"))
-    best = F.transform(F.filter("all", lambda x: x["out_degree"] == F.col("m")), lambda x: x["letter"])
-    return top.select("id", F.when(F.col("m") > 0, F.get(best, F.floor((F.size(best) - 1) / 2).cast("int"))).alias("answer"))
+def hub(items: DataFrame, least: int = 3) -> DataFrame:
+    """(id, answer, tied) of items with ``least`` numeric options: the option with the most edges, the lower central one by value
+    where several have them, null where there is no edge. ``tied`` are those options' letters, in order."""
+    t = _degrees(_numeric_options(items)).filter(F.size("o") >= least)
+    top = F.array_max(F.transform("o", lambda x: x["out_degree"]))
+    t = t.select("id", F.filter("o", lambda x: (x["out_degree"] == top) & (top > 0)).alias("best"))
+    return t.select("id", lower_central(F.col("best")).alias("answer"), F.array_sort(F.transform("best", lambda x: x["letter"])).alias("tied"))
 
 
 def closure(numbers: list[float], depth: int = 2, most: int = MOST_VALUES, geometry: bool = False) -> dict[float, int]:
@@ -63,13 +95,13 @@ def closure(numbers: list[float], depth: int = 2, most: int = MOST_VALUES, geome
 
 
 def closure_answers(items: DataFrame, depth: int = 2) -> DataFrame:
-    """(id, answer, depth): the option that the closure of all the stem's numbers reaches at the least depth; of several
-    the lower central one by value, the first letter where values are equal.
+    """(id, answer, depth, tied): the option that the closure of all the stem's numbers reaches at the least depth; of several
+    (tied, in order) the lower central one by value, the first letter where values are equal.
 
     The bound on values depends on their order, so this is no join; it runs in Arrow batches, item by item."""
     o = F.transform("options", lambda x: F.struct(x["letter"].alias("letter"), T.option_number(x["text"]).alias("v")))
 
-    @F.pandas_udf("answer string, depth int")
+    @F.pandas_udf("answer string, depth int, tied array<string>")
     def run(stems: pd.Series, numbers: pd.Series, options: pd.Series) -> pd.DataFrame:
         out = []
         for stem, ns, opts in zip(stems, numbers, options, strict=True):
@@ -78,8 +110,8 @@ def closure_answers(items: DataFrame, depth: int = 2) -> DataFrame:
             least = min((h[0] for h in hits), default=None)
             tied = sorted(h[1:] for h in hits if h[0] == least)
             middle = tied[(len(tied) - 1) // 2][0] if tied else None
-            out.append((next((letter for v, letter in tied if v == middle), None), least))
-        return pd.DataFrame(out, columns=["answer", "depth"])
+            out.append((next((letter for v, letter in tied if v == middle), None), least, sorted(letter for _, letter in tied)))
+        return pd.DataFrame(out, columns=["answer", "depth", "tied"])
 
     return items.select("id", run(F.col("stem"), T.numbers(F.col("stem")), o).alias("r")).select("id", "r.*")
 

@@ -197,10 +197,26 @@ def transform_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strategies.transform_edges(part_items(spark, sf_dir))
 
 
-HUB_SQL = """WITH i AS (SELECT p_partkey AS id, p_size::DOUBLE AS p, (p_partkey % 90 + 10)::DOUBLE AS n FROM part),
-o AS (SELECT id, unnest(['A', 'B', 'C', 'D']) AS letter, unnest([p * n / 100, n * (100 - p) / 100, p * n, (p + n) / 2]) AS v FROM i),
-e AS (SELECT a.id, a.letter, b.letter AS other FROM o a JOIN o b ON a.id = b.id AND a.letter <> b.letter AND a.v <> b.v WHERE len(list_filter([a.v * 2, a.v / 2, a.v * 10, a.v / 10, a.v + 1, a.v - 1, -a.v, CASE WHEN a.v <> 0 THEN 1 / a.v END, a.v * a.v, CASE WHEN a.v >= 0 THEN sqrt(a.v) END, round_even(a.v * 1.1, 0), round_even(a.v * 0.9, 0)], lambda t: abs(b.v - t) <= 1e-4 * greatest(1, abs(b.v), abs(t)) OR abs(b.v - t) < 0.01)) > 0)
-SELECT o.id, o.letter, count(e.other)::INT AS out_degree FROM o LEFT JOIN e ON e.id = o.id AND e.letter = o.letter GROUP BY ALL"""
+def _slips_sql(v: str, t: str) -> str:
+    """The values that slips make of a number v written as t, as a list."""
+    body, sign = f"regexp_replace({t}, '^-', '')", f"(CASE WHEN {t} LIKE '-%' THEN -1.0 ELSE 1.0 END)"
+    d = f"replace({body}, '.', '')"
+    written = f"pow(10.0, len(regexp_extract({t}, '\\.([0-9]+)', 1)))"
+    swaps = f"list_transform(range(1, len({d})), lambda j: {sign} * ({d}[1:j-1] || {d}[j+1:j+1] || {d}[j:j] || {d}[j+2:])::DOUBLE / {written})"
+    zero = f"CASE WHEN abs({v} - round_even({v}, 0)) < 1e-9 AND abs(round_even({v}, 0)) >= 10 AND round_even({v}, 0) % 10 = 0 THEN round_even({v}, 0) / 10 END, CASE WHEN {body} LIKE '%0' AND len({d}) >= 2 THEN {sign} * TRY_CAST(regexp_replace({body}, '0$', '') AS DOUBLE) END"
+    plain = f"[{v} * 2, {v} / 2, {v} * 10, {v} / 10, {v} + 1, {v} - 1, -{v}, CASE WHEN {v} <> 0 THEN 1 / {v} END, {v} * {v}, CASE WHEN {v} >= 0 THEN sqrt({v}) END, {zero}, round_even({v} * 1.1 * {written}, 0) / {written}, round_even({v} * 0.9 * {written}, 0) / {written}]"
+    return f"list_filter(list_concat({plain}, {swaps}), lambda x: x IS NOT NULL AND abs(x) <= 1e12)"
+
+
+def edges_sql(options: str) -> str:
+    """(id, letter, v, out_degree) of a table of numeric options (id, letter, v, t)."""
+    return f"""sl AS MATERIALIZED (SELECT id, letter, v, {_slips_sql('v', 't')} AS made FROM {options}),
+ed AS (SELECT a.id, a.letter, any_value(a.v) AS v, count(*) FILTER (a.letter <> b.letter AND len(list_filter(a.made, lambda x: abs(b.v - x) <= 1e-4 * greatest(1, abs(b.v), abs(x)) OR abs(b.v - x) < 0.01)) > 0)::INT AS out_degree FROM sl a JOIN sl b USING (id) GROUP BY a.id, a.letter)"""
+
+
+HUB_SQL = f"""WITH i AS (SELECT p_partkey AS id, p_size AS p, p_partkey % 90 + 10 AS n FROM part),
+o AS (SELECT id, unnest(['A', 'B', 'C', 'D']) AS letter, unnest([p * n, n * (100 - p), p * n * 100, (p + n) * 50]) AS c FROM i), w AS (SELECT id, letter, (c::DECIMAL(18, 2) / 100)::DECIMAL(18, 2)::VARCHAR AS t FROM o), q AS (SELECT *, t::DOUBLE AS v FROM w),
+{edges_sql('q')} SELECT id, letter, out_degree FROM ed"""
 
 
 def arithmetic_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
