@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..operators import channels as C
+from ..operators import isomorphs as N
 from ..operators import strategies as S
 from .exam import edges_sql, read
 from .programs import INTERVAL_SQL
@@ -115,7 +116,18 @@ def closure_tie_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("n", "n_tied", *(F.round(c, 6).alias(c) for c in ("rule_rate", "expected_rate", "lo", "hi")))
 
 
-QUERIES = {"elimination": elimination, "elimination_shares": elimination_shares, "hub_answers": hub_answers, "strategy_channels": strategy_channels, "hub_tie_null": hub_tie_null, "closure_tie_null": closure_tie_null}
+def numeral_isomorphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every problem's options with redrawn numerals, in both arms, and what the redraw kept; the draws have no SQL."""
+    items, out = part_problems(spark, sf_dir).select("id", "options"), None
+    for arm in (N.KEPT, N.SCRAMBLED):
+        told = N.isomorphs(items, arm)
+        texts = told.select("id", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options"))
+        t = N.checked(items, told).join(texts, "id").withColumn("arm", F.lit(arm))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+QUERIES = {"elimination": elimination, "elimination_shares": elimination_shares, "hub_answers": hub_answers, "strategy_channels": strategy_channels, "hub_tie_null": hub_tie_null, "closure_tie_null": closure_tie_null, "numeral_isomorphs": numeral_isomorphs}
 ORACLES = {
     "elimination": f"WITH {PROBLEMS_SQL} SELECT id, answer, round(chance, 6) AS chance, 1 AS n_constraints, n_left, array_to_string(letters, '') AS letters FROM el",
     "elimination_shares": f"""WITH {PROBLEMS_SQL} SELECT authority, claim, count(*) AS n_items, round(avg(n_left), 6) AS mean_left, round(avg((n_left = 1)::INT), 6) AS one_left, round(avg(list_contains(letters, key)::INT), 6) AS key_left, 1.0::DOUBLE AS constrained,
