@@ -9,6 +9,7 @@ from ..functions import rng
 from ..operators import channels as C
 from ..operators import isomorphs as N
 from ..operators import strategies as S
+from ..operators import systems as Y
 from .exam import edges_sql, read
 from .programs import INTERVAL_SQL
 
@@ -116,6 +117,35 @@ def closure_tie_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("n", "n_tied", *(F.round(c, 6).alias(c) for c in ("rule_rate", "expected_rate", "lo", "hi")))
 
 
+def part_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item with equations for each part: a system, a line, an inequality, one equation of two variables; four options."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"), (F.col("p_partkey") % 4).cast("int").alias("kind"))
+    say = lambda *xs: F.concat(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in xs))
+    p, n = F.col("p"), F.col("n")
+    stems = F.array(say("If 2x + 3y = ", 2 * p + 3 * n, " and x - y = ", p - n, ", what is (x, y)?"), say("Solve 3x + 4 = ", 3 * p + 4, "."), say("Which pair satisfies y > 2x + ", p, "?"), say("If a + b = ", p + n, ", which (a, b) is right?"))
+    pair = lambda x, y: say("(", x, ", ", y, ")")
+    texts = F.array(
+        F.array(pair(p, n), pair(n, p), say("x = ", p + 1, ", y = ", n), pair(p, n - 1)), F.array(say(p), say("x = ", p + 1), say("-", p), say(p, "/2")),
+        F.array(pair(F.lit(1), p + 2), pair(F.lit(1), p + 3), pair(n, p), pair(F.lit(0), p)), F.array(pair(p, n), pair(p + 1, n), pair(n, p + 2), pair(p - 1, n)),
+    )
+    t = part.select("id", F.element_at(stems, F.col("kind") + 1).alias("stem"), F.element_at(texts, F.col("kind") + 1).alias("texts"))
+    return t.select("id", "stem", F.array(*(F.struct(F.lit("ABCD"[i]).alias("letter"), F.get("texts", ((i + F.col("id")) % 4).cast("int")).alias("text")) for i in range(4))).alias("options"))
+
+
+def equation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options put into the stems' equations: the only one that satisfies them, and what elimination gives."""
+    t = Y.substitution(part_systems(spark, sf_dir))
+    return t.select("id", "answer", "kind", "n_equations", F.array_join("hits", "").alias("hits"), F.round("solution.x", 6).alias("x"), F.round("solution.y", 6).alias("y"))
+
+
+_SYSTEMS_SQL = """WITH i AS (SELECT p_partkey AS id, p_size::BIGINT AS p, p_partkey % 90 + 10 AS n, p_partkey % 4 AS kind FROM part),
+o AS (SELECT *, unnest(range(4)) AS k FROM i), v AS (SELECT *, (k + id) % 4 AS j FROM o),
+w AS (SELECT id, p, n, kind, 'ABCD'[k+1:k+1] AS letter, CASE kind WHEN 0 THEN [p, n, p + 1, p][(j + 1)::INT] WHEN 1 THEN [p, p + 1, -p, p / 2.0][(j + 1)::INT] WHEN 2 THEN [1, 1, n, 0][(j + 1)::INT] ELSE [p, p + 1, n, p - 1][(j + 1)::INT] END AS x,
+ CASE kind WHEN 0 THEN [n, p, n, n - 1][(j + 1)::INT] WHEN 2 THEN [p + 2, p + 3, p, p][(j + 1)::INT] WHEN 3 THEN [n, n, p + 2, n][(j + 1)::INT] END AS y FROM v),
+h AS (SELECT id, any_value(kind) AS kind, any_value(p) AS p, any_value(n) AS n, coalesce(list_sort(list(letter) FILTER (CASE kind WHEN 0 THEN 2 * x + 3 * y = 2 * p + 3 * n AND x - y = p - n WHEN 1 THEN 3 * x = 3 * p WHEN 2 THEN y > 2 * x + p ELSE x + y = p + n END)), []) AS hits FROM w GROUP BY id)
+SELECT id, CASE WHEN len(hits) = 1 THEN hits[1] END AS answer, ['system', 'scalar', 'pair', 'pair'][(kind + 1)::INT] AS kind, CASE WHEN kind = 0 THEN 2 ELSE 1 END AS n_equations, array_to_string(hits, '') AS hits, CASE WHEN kind = 0 THEN p::DOUBLE END AS x, CASE WHEN kind = 0 THEN n::DOUBLE END AS y FROM h"""
+
+
 def numeral_isomorphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every problem's options with redrawn numerals, in both arms, and what the redraw kept; the draws have no SQL."""
     items, out = part_problems(spark, sf_dir).select("id", "options"), None
@@ -127,7 +157,7 @@ def numeral_isomorphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {"elimination": elimination, "elimination_shares": elimination_shares, "hub_answers": hub_answers, "strategy_channels": strategy_channels, "hub_tie_null": hub_tie_null, "closure_tie_null": closure_tie_null, "numeral_isomorphs": numeral_isomorphs}
+QUERIES = {"elimination": elimination, "elimination_shares": elimination_shares, "hub_answers": hub_answers, "strategy_channels": strategy_channels, "hub_tie_null": hub_tie_null, "closure_tie_null": closure_tie_null, "numeral_isomorphs": numeral_isomorphs, "equation_answers": equation_answers}
 ORACLES = {
     "elimination": f"WITH {PROBLEMS_SQL} SELECT id, answer, round(chance, 6) AS chance, 1 AS n_constraints, n_left, array_to_string(letters, '') AS letters FROM el",
     "elimination_shares": f"""WITH {PROBLEMS_SQL} SELECT authority, claim, count(*) AS n_items, round(avg(n_left), 6) AS mean_left, round(avg((n_left = 1)::INT), 6) AS one_left, round(avg(list_contains(letters, key)::INT), 6) AS key_left, 1.0::DOUBLE AS constrained,
@@ -135,4 +165,5 @@ ORACLES = {
     "hub_answers": f"WITH {PROBLEMS_SQL} SELECT id, answer, CASE WHEN answer IS NULL THEN '' ELSE array_to_string(tied, '') END AS tied FROM item LEFT JOIN hu USING (id)",
     "strategy_channels": _CHANNELS_SQL,
     "hub_tie_null": _TIE_SQL,
+    "equation_answers": _SYSTEMS_SQL,
 }
