@@ -96,3 +96,24 @@ def overlay(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in base.columns if c not in keys]
     j = base.alias("o").join(new.alias("n"), keys, "full")
     return j.select(*keys, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in rest])
+
+
+def prioritised(rows: DataFrame, id_: str, keys: list[Column], index: DataFrame, index_key: str) -> DataFrame:
+    """``rows`` with ``rank`` (from 0) and the columns of ``index`` of the first of ``keys`` that it holds; nulls where it holds none.
+
+    All keys of a row are looked up in one join, whatever their number, and the least rank stays; of index rows that share a
+    key the one with the smallest other columns counts. ``id_`` tells rows apart; null keys and empty ones hold nothing."""
+    others = [c for c in index.columns if c != index_key]
+    held = index.filter(F.col(index_key).isNotNull() & (F.col(index_key) != "")).groupBy(index_key).agg(F.min(F.struct(*others)).alias("_row"))
+    tried = rows.select(F.col(id_).alias("_id"), F.posexplode(F.array(*keys)).alias("rank", index_key))
+    best = tried.join(held, index_key).groupBy("_id").agg(F.min(F.struct("rank", "_row")).alias("_b")).select("_id", "_b.rank", "_b._row.*")
+    return rows.join(best, rows[id_] == best["_id"], "left").drop("_id")
+
+
+def best_match(left: DataFrame, right: DataFrame, on: list[str], score: Column, order: str) -> DataFrame:
+    """``left`` with the columns of the best row of ``right`` under its keys: the highest score, then the smallest ``order``.
+
+    The right side is reduced to a row for each key before the join, so that no pair is made that is not kept."""
+    others = [c for c in right.columns if c not in on]
+    best = right.withColumn("_s", score).groupBy(*on).agg(F.min_by(F.struct(*others), F.struct(-F.col("_s"), F.col(order))).alias("_b")).select(*on, "_b.*")
+    return left.join(best, on, "left")
