@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,13 +68,67 @@ def temporal_halves(df: DataFrame, key: str) -> DataFrame:
     return ranked.select(key, F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 2)), "train").otherwise("late").alias("half"))
 
 
-def multiset_f1(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    """(a_id, b_id, shared, recall, precision, f1) of token counts (id, t, c), for pairs that share a token."""
-    na, nb = a.groupBy(a_id).agg(F.sum("c").alias("_na")), b.groupBy(b_id).agg(F.sum("c").alias("_nb"))
-    x = a.withColumnRenamed("c", "_ca").join(b.withColumnRenamed("c", "_cb"), "t").groupBy(a_id, b_id).agg(F.sum(F.least("_ca", "_cb")).alias("shared"))
-    x = x.join(na, a_id).join(nb, b_id)
+#: Rows (item, token) of a table of items that goes to every task; more are joined.
+MOST_TERMS = 1_000_000
+
+
+def shared_tokens(rows: DataFrame, id_: str, items: DataFrame, item_id: str, best: bool = False, most: int = MOST_TERMS) -> DataFrame:
+    """(id_, item_id, shared, n_row, n_item): how many tokens a row shares with an item, each as often as the rarer side has it,
+    for pairs that share any; with ``best`` only the item that shares most, the smallest of equal ones.
+
+    ``rows`` and ``items`` are (id, tokens: array), ids whole numbers that tell rows apart. Items whose tokens are counted as no
+    more than ``most`` go to every task as an index, and each row is scored where it is: a frequent token is no key of a
+    shuffle. Larger item tables are joined by token."""
+    counts = items.select(F.col(item_id).cast("long").alias("_item"), F.explode("tokens").alias("_t")).groupBy("_item", "_t").agg(F.count("*").alias("_c"))
+    schema = f"{id_} {dict(rows.dtypes)[id_]}, {item_id} {dict(items.dtypes)[item_id]}, shared long, n_row long, n_item long"
+    held = counts.limit(most + 1).collect()
+    if len(held) > most:
+        return _joined_tokens(rows, id_, counts, items, item_id, best).select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")))
+    names = sorted({r._item for r in held})
+    place = {x: i for i, x in enumerate(names)}
+    index: dict[str, tuple[list[int], list[int]]] = {}
+    sizes = np.zeros(len(names), np.int64)
+    for r in held:
+        at, c = index.setdefault(r._t, ([], []))
+        at.append(place[r._item])
+        c.append(r._c)
+        sizes[place[r._item]] += r._c
+    packed = {t: (np.array(at, np.int32), np.array(c, np.int32)) for t, (at, c) in index.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            rows_at = []
+            for i, tokens in enumerate(b.column(1).to_pylist()):
+                own = Counter(tokens or ())
+                hits = [(packed[t], c) for t, c in own.items() if t in packed]
+                if not hits:
+                    continue
+                at = np.concatenate([h[0][0] for h in hits])
+                shared = np.bincount(at, np.concatenate([np.minimum(h[0][1], h[1]) for h in hits]), len(names)).astype(np.int64)
+                which = np.array([int(shared.argmax())]) if best else np.flatnonzero(shared)
+                rows_at += [i] * len(which)
+                for k, v in enumerate(([names[j] for j in which], shared[which].tolist(), [sum(own.values())] * len(which), sizes[which].tolist())):
+                    out[k] += v
+            yield pa.record_batch([b.column(0).take(pa.array(rows_at, pa.int64())), *(pa.array(v, pa.int64()) for v in out)], names=[id_, item_id, "shared", "n_row", "n_item"])
+
+    told = rows.select(id_, "tokens").mapInArrow(run, f"{id_} {dict(rows.dtypes)[id_]}, {item_id} long, shared long, n_row long, n_item long")
+    return told.withColumn(item_id, F.col(item_id).cast(dict(items.dtypes)[item_id]))
+
+
+def _joined_tokens(rows: DataFrame, id_: str, counts: DataFrame, items: DataFrame, item_id: str, best: bool) -> DataFrame:
+    own = rows.select(id_, F.explode("tokens").alias("_t")).groupBy(id_, "_t").agg(F.count("*").alias("_ca"))
+    na, nb = own.groupBy(id_).agg(F.sum("_ca").alias("n_row")), counts.groupBy("_item").agg(F.sum("_c").alias("n_item"))
+    x = own.join(counts, "_t").groupBy(id_, "_item").agg(F.sum(F.least("_ca", "_c")).alias("shared"))
+    if best:
+        x = x.groupBy(id_).agg(F.min_by(F.struct("_item", "shared"), F.struct(-F.col("shared"), F.col("_item"))).alias("_b")).select(id_, "_b.*")
+    return x.join(na, id_).join(nb, "_item").withColumnRenamed("_item", item_id)
+
+
+def multiset_f1(shared: DataFrame, id_: str, item_id: str) -> DataFrame:
+    """(id_, item_id, shared, recall, precision, f1) of shared_tokens()."""
     r = lambda c: F.round(c, 6)
-    return x.select(a_id, b_id, "shared", r(F.col("shared") / F.col("_nb")).alias("recall"), r(F.col("shared") / F.col("_na")).alias("precision"), r(2 * F.col("shared") / (F.col("_na") + F.col("_nb"))).alias("f1"))
+    return shared.select(id_, item_id, "shared", r(F.col("shared") / F.col("n_item")).alias("recall"), r(F.col("shared") / F.col("n_row")).alias("precision"), r(2 * F.col("shared") / (F.col("n_row") + F.col("n_item"))).alias("f1"))
 
 
 def log_ratio_scores(train: DataFrame, held: DataFrame, id_: str, token: str, positive: Column) -> DataFrame:

@@ -16,9 +16,7 @@ def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, order: list[str],
 
     Replicate b takes at position i the value numbered floor(u * n), u the draw b * n + i + 1. Rows are numbered within their
     group, draws are counted by the number they hit and joined with it, so that no group is ever gathered."""
-    w = W.partitionBy(*keys)
-    held = rows.select(*keys, *order, F.col(value).cast("double").alias("_v"))
-    held = held.select(*keys, "_v", (F.row_number().over(w.orderBy(*order, "_v")) - 1).cast("long").alias("_at"), F.count("*").over(w).alias("_n"))
+    held = numbered(rows.select(*keys, *order, F.col(value).cast("double").alias("_v")), keys, [*order, "_v"]).select(*keys, "_v", "_at", "_n")
     drawn = held.select(*keys, "_n", F.col("_at").alias("_i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("_b"))
     hit = F.floor(mulberry32(F.lit(seed), F.col("_b") * F.col("_n") + F.col("_i") + 1) * F.col("_n")).cast("long")
     drawn = drawn.select(*keys, "_b", "_n", hit.alias("_at")).groupBy(*keys, "_b", "_n", "_at").agg(F.count("*").alias("_c"))
@@ -32,6 +30,40 @@ def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, order: list[str],
     return rate.join(bounds, same).select(*(F.col(f"d.{k}").alias(k) for k in keys), "n", "rate", "lo", "hi")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], width: int = 1 << 16) -> DataFrame:
+    """``rows`` with _at (from 0) and _n: their number in their group by ``order``, and the group's size.
+
+    Where the first of ``order`` is a whole number its group is cut into ranges of ``width`` of it; rows are numbered within
+    their range, and the sizes of the ranges before are added, so that no group is sorted in one task."""
+    whole = dict(rows.dtypes)[order[0]] in ("bigint", "int", "smallint", "tinyint")
+    t = rows.withColumn("_range", F.floor(F.col(order[0]) / width) if whole else F.lit(0).cast("long"))
+    sizes = t.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
+    w = W.partitionBy(*keys)
+    before = F.sum("_c").over(w.orderBy(F.asc_nulls_first("_range")).rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    t = t.withColumn("_at", (F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)) - 1).cast("long"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range").eqNullSafe(F.col("_r"))]
+    return t.join(sizes, same).select(*rows.columns, (F.col("_at") + F.col("_before")).alias("_at"), "_n")
+
+
+def value_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by.., value, c, before, n, rank): of each value of a group how many rows have it, how many less, how many there are, and
+    the mean rank of its rows. Rows are counted before anything is ordered, so that a group costs its distinct values."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("c"))
+    w = W.partitionBy(*by)
+    before = F.coalesce(F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    t = counts.select(*by, value, "c", before.alias("before"), F.sum("c").over(w).alias("n"))
+    return t.withColumn("rank", F.col("before") + 1 + (F.col("c") - 1) / 2.0)
+
+
+def lowest_mean(rows: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
+    """(by.., mean): the mean of the lowest ceil(share n) values of a group."""
+    t = value_ranks(rows, by, value)
+    most = F.ceil(F.col("n") * share)
+    taken = F.greatest(F.lit(0), F.least(F.col("c"), most - F.col("before")))
+    return t.groupBy(*by).agg((F.sum(F.col(value) * taken) / F.sum(taken)).alias("mean"))
+
+
 def holm(tests: DataFrame, p: str, alpha: float = 0.05, ties: list[str] | None = None, family: list[str] | None = None) -> DataFrame:
     """Adds m, rank (from 0), holm and bonferroni flags, within each ``family`` of tests (all are one if None).
 

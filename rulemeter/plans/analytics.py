@@ -59,14 +59,14 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(m, "event_type").select("event_type", F.col("k").alias("clusters"), _r(total("s").cast("double") / total("n") / 100).alias("rate"), _r(F.get("ms", F.lit(2))).alias("lo"), _r(F.get("ms", F.lit(97))).alias("hi"))
 
 
-@query("""WITH t AS (SELECT o_orderpriority || '/' || year(o_orderdate) AS test, round(1.0::DOUBLE / (1 + count(*)) * (1 + year(o_orderdate) % 7), 9) AS p FROM orders GROUP BY o_orderpriority, year(o_orderdate)),
-r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, test) - 1 AS rank FROM t)
+@query("""WITH k AS (SELECT o_orderpriority || '/' || year(o_orderdate) AS test, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS k FROM orders GROUP BY o_orderpriority, year(o_orderdate)),
+t AS (SELECT test, least(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE)))) AS p FROM (SELECT *, unnest(range(k, n + 1)) AS i FROM k) GROUP BY test),
+r AS (SELECT test, round(p, 9) AS p, count(*) OVER () AS m, row_number() OVER (ORDER BY round(p, 9), test) - 1 AS rank FROM t)
 SELECT test, p, m, rank, max((p > 0.05 / (m - rank))::INT) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING) = 0 AS holm, p <= 0.05 / m AS bonferroni FROM r""")
 def holm_bonferroni(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step-down and plain correction over a family of tests (a stand-in p for each priority and year)."""
-    y = F.year("o_orderdate")
-    t = read(spark, sf_dir, "orders").groupBy("o_orderpriority", y.alias("y")).agg(F.count("*").alias("n"))
-    t = t.select(F.concat("o_orderpriority", F.lit("/"), F.col("y").cast("string")).alias("test"), _r(F.lit(1.0) / (1 + F.col("n")) * (1 + F.col("y") % 7), 9).alias("p"))
+    """Step-down and plain correction over a family of tests: is a priority's share of open orders in a year over one half?"""
+    t = read(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("k")).withColumn("half", F.lit(0.5))
+    t = S.binomial_sf(t, "k", "n", "half").select(F.concat("o_orderpriority", F.lit("/"), F.col("y").cast("string")).alias("test"), _r("tail", 9).alias("p"))
     return S.holm(t, "p", ties=["test"]).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -93,10 +93,16 @@ SELECT c_nationkey, count(*) AS n, count(*) FILTER (q = 1) AS q1, count(*) FILTE
 def rank_quartiles_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance against number of orders, by nation: quartile sizes and the correlation of average ranks."""
     n = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = read(spark, sf_dir, "customer").join(n, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    c = read(spark, sf_dir, "customer").join(n, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_nationkey", "c_acctbal", F.coalesce("n", F.lit(0)).alias("orders"))
     by = ["c_nationkey"]
-    r = c.select("c_nationkey", S.average_rank("c_acctbal", by).alias("ra"), S.average_rank("n", by).alias("rb"), S.rank_quartile(W.partitionBy(*by).orderBy("c_acctbal", "c_custkey"), by).alias("q"))
-    return r.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("q") == 1).alias("q1"), F.count_if(F.col("q") == 4).alias("q4"), _r(F.when(F.count("*") >= 3, F.corr("ra", "rb"))).alias("spearman"))
+    x, y = S.value_ranks(c, by, "c_acctbal"), S.value_ranks(c, by, "orders")
+    # how many of a value's places lie in the first and in the last quarter of the ranks
+    within = lambda lo, hi: F.sum(F.greatest(F.lit(0), F.least(F.col("before") + F.col("c"), hi) - F.greatest("before", lo)))
+    first, last = F.ceil(F.col("n") / 4), F.ceil(3 * F.col("n") / 4)
+    sizes = x.groupBy("c_nationkey").agg(F.max("n").alias("n"), within(F.lit(0), first).alias("q1"), within(last, F.col("n")).alias("q4"))
+    r = c.join(x.select("c_nationkey", "c_acctbal", F.col("rank").alias("ra")), ["c_nationkey", "c_acctbal"]).join(y.select("c_nationkey", "orders", F.col("rank").alias("rb")), ["c_nationkey", "orders"])
+    told = r.groupBy("c_nationkey").agg(_r(F.when(F.count("*") >= 3, F.corr("ra", "rb"))).alias("spearman"))
+    return sizes.join(told, "c_nationkey").select("c_nationkey", "n", "q1", "q4", "spearman")
 
 
 @query("""WITH o AS (SELECT l_orderkey AS id, l_linenumber AS k, min(l_extendedprice) AS v FROM lineitem GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v, k) AS r, count(*) OVER (PARTITION BY id) AS m, avg(v) OVER (PARTITION BY id) AS a FROM o)
@@ -226,9 +232,8 @@ def mask_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT doc_id, item_id, count(*) AS shared FROM w JOIN b USING (t) GROUP BY ALL) SELECT doc_id, arg_min(item_id, (-shared, item_id)) AS item_id, max(shared) AS shared FROM s GROUP BY doc_id""")
 def tokenize_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark item that shares most long words with a document, the first on a tie."""
-    words = lambda t, k: read(spark, sf_dir, t).select(k, F.explode(F.array_distinct(T.tokens(F.col("text"), 6))).alias("t"))
-    s = words("documents", "doc_id").join(words("benchmark", "item_id"), "t").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    return s.groupBy("doc_id").agg(F.min_by("item_id", F.struct((-F.col("shared")).alias("s"), "item_id")).alias("item_id"), F.max("shared").alias("shared"))
+    words = lambda t, k: read(spark, sf_dir, t).select(k, F.array_distinct(T.tokens(F.col("text"), 6)).alias("tokens"))
+    return R.shared_tokens(words("documents", "doc_id"), "doc_id", words("benchmark", "item_id"), "item_id", best=True).select("doc_id", "item_id", "shared")
 
 
 @query("""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 2)) AS t FROM benchmark)
@@ -246,8 +251,8 @@ x AS (SELECT doc_id, item_id, sum(least(dc.c, bc.c)) AS i FROM dc JOIN bc USING
 SELECT doc_id, item_id, i::BIGINT AS shared, round(i::DOUBLE / bn.n, 6) AS recall, round(i::DOUBLE / dn.n, 6) AS precision, round(2.0::DOUBLE * i / (bn.n + dn.n), 6) AS f1 FROM x JOIN dn USING (doc_id) JOIN bn USING (item_id)""")
 def multiset_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token precision, recall and F1 on multisets, every document that shares a token with an item, every item."""
-    count = lambda df, k: df.select(k, F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(k, "t").agg(F.count("*").alias("c"))
-    return R.multiset_f1(count(read(spark, sf_dir, "documents"), "doc_id"), count(read(spark, sf_dir, "benchmark"), "item_id"), "doc_id", "item_id")
+    words = lambda t, k: read(spark, sf_dir, t).select(k, T.tokens(F.col("text")).alias("tokens"))
+    return R.multiset_f1(R.shared_tokens(words("documents", "doc_id"), "doc_id", words("benchmark", "item_id"), "item_id"), "doc_id", "item_id")
 
 
 @query("""WITH d AS (SELECT DISTINCT doc_id, toxic, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: len(t) >= 3)) AS t FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
@@ -315,9 +320,8 @@ def character_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, round(avg(v), 6) AS min_k FROM (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r <= ceil(n * 20 / 100.0) GROUP BY user_id""")
 def min_k_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the lowest fifth of a user's values."""
-    g = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    low = F.slice("v", 1, F.ceil(F.size("v") * 20 / 100.0).cast("int"))
-    return g.select("user_id", _r(F.aggregate(low, F.lit(0.0), lambda a, x: a + x) / F.size(low)).alias("min_k"))
+    t = S.lowest_mean(read(spark, sf_dir, "events"), ["user_id"], "value", 0.2)
+    return t.select("user_id", _r("mean").alias("min_k"))
 
 
 @query("""SELECT o_orderpriority, s AS stage, count(*) AS n, round(avg(ok::INT), 6) AS rate FROM (SELECT o_orderpriority, unnest([CASE WHEN o_orderstatus = 'F' THEN 'final' END, CASE WHEN o_totalprice > 250000 THEN 'dear' END, 'any']) AS s, o_custkey % 2 = 0 AS ok FROM orders) WHERE s IS NOT NULL GROUP BY ALL""")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import items as I
+from ..operators import programs as P
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,25 +121,20 @@ CASE WHEN regexp_matches(trim(stem), '(?i)\\ban(\\s+_+)?\\s*$') THEN regexp_matc
 round(1 - CASE WHEN k > 1 THEN s / (k - 1) ELSE 0 END, 6) AS distinctive FROM v JOIN g USING (id) JOIN stok USING (id) JOIN item USING (id) JOIN j ON j.id = v.id AND j.letter = v.letter"""
 
 
-def program_table(spark: SparkSession) -> DataFrame:
-    """Single features and signed pairs, made on the driver: (program, feature, weight)."""
-    from itertools import combinations
-
-    names = ["longest", "position_c", "overlap", "num_repeat", "no_absolute", "numeric_min", "numeric_med", "numeric_max", "specificity", "grammar_agree", "distinctive"]
-    rows = [(n, n, 1.0) for n in names]
-    for a, b in combinations(names, 2):
-        rows += [(f"{a}+{b}", a, 1.0), (f"{a}+{b}", b, 1.0), (f"{a}-{b}", a, 1.0), (f"{a}-{b}", b, -1.0)]
-    return spark.createDataFrame(rows, "program string, feature string, weight double")
+def pair_programs() -> list[P.Program]:
+    """Single features, their sums and their differences."""
+    out = [P.Program(f, "w", {f: 1.0}) for f in _F]
+    for a, b in combinations(_F, 2):
+        out += [P.Program(f"{a}+{b}", "w", {a: 1.0, b: 1.0}), P.Program(f"{a}-{b}", "w", {a: 1.0, b: -1.0})]
+    return out
 
 
 def program_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on even ids, the twelve best programs with eight or more answers (ties by name), judged on odd ids."""
-    items = order_items(spark, sf_dir)
-    feats = I.features(items, COMMON, ["key"])
-    feats = feats.withColumn("distinctive", F.round("distinctive", 6)).withColumn("specificity", F.round("specificity", 6))
-    told = I.apply_programs(feats, program_table(spark), ["key"]).filter("answer is not null").withColumn("ok", (F.col("answer") == F.col("key")).cast("int"))
-    even, odd = F.col("id") % 2 == 0, F.col("id") % 2 == 1
-    rates = told.groupBy("program").agg(F.count_if(even).alias("train_n"), F.sum(F.when(even, F.col("ok")).otherwise(0)).alias("train_ok"), F.count_if(odd).alias("held_n"), F.sum(F.when(odd, F.col("ok")).otherwise(0)).alias("held_ok"))
+    feats = I.feature_arrays(order_items(spark, sf_dir), COMMON, ["key"])
+    feats = feats.withColumn("features", F.transform("features", lambda x: x.withField("distinctive", F.round(x["distinctive"], 6)).withField("specificity", F.round(x["specificity"], 6))))
+    told = P.tally(feats.withColumn("train", F.col("id") % 2 == 0), pair_programs(), ["train"])
+    rates = told.groupBy("program").agg(*(F.sum(F.when(F.col("train") == on, F.col(c)).otherwise(0)).alias(f"{half}_{c}") for half, on in (("train", True), ("held", False)) for c in ("n", "ok")))
     rates = rates.filter("train_n >= 8").withColumn("train_rate", F.round(F.col("train_ok") / F.col("train_n"), 6)).withColumn("held_rate", F.round(F.try_divide("held_ok", "held_n"), 6))
     return rates.orderBy(F.desc("train_rate"), "program").limit(12).select("program", "train_n", "train_rate", "held_n", "held_rate")
 
