@@ -100,3 +100,39 @@ def mask_quantities(s: Column) -> Column:
 
 def character_error_rate(expected: Column, got: Column) -> Column:
     return F.levenshtein(expected, got) / F.greatest(F.length(expected), F.lit(1))
+
+
+# fixed values: the steps between the numbers of an axis, the fewest that make one, and what counts as a number there
+RUN_STEPS, RUN_LEAST = (1, 2, 5, 10, 15), 4
+INTEGER_TOKEN = r"(?<![0-9.])([0-9]+)(?![0-9.])"
+# end of fixed values
+
+
+def run_places(values: Column) -> Column:
+    """Of an array of numbers, 1 at the first and 2 at the others of each run of equally spaced ones that is taken out, else 0.
+
+    Runs are taken greedily from the left: from each number the longest that one of the steps makes, if it has enough."""
+    state = lambda out, n, last, d: F.struct(out.alias("out"), n.alias("n"), last.alias("last"), d.alias("d"))
+    none = F.lit(None).cast("long")
+    told = lambda s: F.concat(s["out"], F.when(s["n"] >= RUN_LEAST, F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(2), s["n"] - 1))).otherwise(F.array_repeat(F.lit(0), s["n"])))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = x - s["last"]
+        fits = F.coalesce(gap.isin(*RUN_STEPS), F.lit(False))
+        grown = state(s["out"], s["n"] + 1, x, gap)
+        short = F.concat(s["out"], F.array_repeat(F.lit(0), s["n"] - 1))
+        return (
+            F.when((s["n"] >= 2) & F.coalesce(gap == s["d"], F.lit(False)), grown).when((s["n"] == 1) & fits, grown)
+            .when((s["n"] == 0) | (s["n"] >= RUN_LEAST), state(told(s), F.lit(1), x, none))
+            .when(fits, state(short, F.lit(2), x, gap)).otherwise(state(told(s), F.lit(1), x, none))
+        )
+
+    return F.aggregate(values, state(F.array().cast("array<int>"), F.lit(0), none, none), step, told)
+
+
+def drop_arithmetic_runs(s: Column) -> Column:
+    """A text in which each run of four or more equally spaced whole numbers, with what stands between them, is one space."""
+    tokens = F.regexp_extract_all(s, F.lit(INTEGER_TOKEN), F.lit(1))
+    parts, places = F.split(s, INTEGER_TOKEN), run_places(F.transform(tokens, lambda t: t.try_cast("long")))
+    piece = lambda p, i: F.when(F.get(places, i) == 0, F.concat(p, F.get(tokens, i))).when(F.get(places, i) == 1, F.concat(p, F.lit(" "))).when(F.get(places, i) == 2, F.lit("")).otherwise(p)
+    return F.array_join(F.transform(parts, piece), "")

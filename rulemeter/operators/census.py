@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def first_claims(claims: DataFrame, order: list[str]) -> DataFrame:
-    """One row for each (authority, code), the first in the given order."""
-    return claims.withColumn("_n", F.row_number().over(W.partitionBy("authority", "code").orderBy(*order))).filter("_n = 1").drop("_n")
+def first_claims(claims: DataFrame, order: str) -> DataFrame:
+    """(authority, claim, operations): of claims that share an (authority, code) the first in the given order."""
+    return claims.groupBy("authority", F.col("code").alias("claim")).agg(F.min_by("operations", order).alias("operations"))
 
 
-def item_operations(items: DataFrame, claims: DataFrame) -> DataFrame:
+def item_operations(items: DataFrame, claims: DataFrame, order: str | None = None) -> DataFrame:
     """(id, authority, claim, operation): the operations of an item's claim; an item whose claim is unknown or asks for
-    nothing keeps a row with a null operation. Of claims that share an (authority, code) the least operations are taken."""
-    ops = claims.groupBy("authority", F.col("code").alias("claim")).agg(F.min("operations").alias("operations"))
-    return items.join(ops, ["authority", "claim"], "left").select("id", "authority", "claim", F.explode_outer("operations").alias("operation"))
+    nothing keeps a row with a null operation. Of claims that share an (authority, code) the first by ``order`` counts
+    (by place, if they have it, else by their operations)."""
+    order = order or ("place" if "place" in claims.columns else "operations")
+    return items.join(first_claims(claims, order), ["authority", "claim"], "left").select("id", "authority", "claim", F.explode_outer("operations").alias("operation"))
 
 
 def cells(items: DataFrame, claims: DataFrame, scored: DataFrame, eligible: DataFrame, programs: DataFrame) -> DataFrame:

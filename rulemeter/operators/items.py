@@ -140,6 +140,47 @@ def answers(items: DataFrame, names: list[str] | None = None) -> DataFrame:
     return _with_rules(prepared(items, "id")).select("id", F.explode(_told(names)).alias("t")).select("id", "t.program", "t.answer", F.col("t.answer").isNull().alias("skipped"))
 
 
+#: What each view shows: the stem, its numbers, the options, and the surface that is worked out of both or of the options only.
+VIEWS = {
+    "item-cues": ("options", "surface"), "choices-only": ("options", "bare surface"), "stem-ngram": ("stem", "numbers", "options", "surface"), "unbound": ("stem", "numbers", "options"), "instruction-only": ("worked example", "numbers", "options"),
+}
+STEM_RULES = ("stem-option-overlap", "option-repeating-stem-numbers")
+
+
+def view_of(channel: Column, program: Column) -> Column:
+    """The view that a rule gets: by its channel, and of the partial-input ones by whether it reads the stem."""
+    return F.when(channel == "item-cues", "item-cues").when(channel == "unbound-exec", "unbound").when(program.isin(*STEM_RULES), "stem-ngram").when(channel == "partial-input", "choices-only").otherwise("unbound")
+
+
+def views(items: DataFrame, rules: DataFrame, worked: Column | None = None) -> DataFrame:
+    """(id, program, view, stem, numbers, options, surface) of each item and rule (program, channel), none of it with the key.
+
+    What a view does not show is null. ``surface`` holds the letters of the longest options, of the middle values, of those that
+    repeat a number of the stem, and the stem words in each option; of the options alone the stem counts as empty. ``worked`` is
+    the worked example that instruction-only rules see in place of the stem. The rules are a catalog."""
+    p = F.col("p")
+    o = p["o"]
+    held = F.array_sort(F.filter(F.transform(o, lambda x: x["v"]), lambda v: v.isNotNull()))
+    letters = lambda on: F.transform(F.filter(o, on), lambda x: x["letter"])
+    top = F.array_max(F.transform(o, lambda x: x["n"]))
+    middle = F.when(F.size(held) >= 3, F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")))
+
+    def surface(stem: bool) -> Column:
+        none = F.array().cast("array<string>")
+        repeated = letters(lambda x: F.exists(p["numbers"], lambda k: F.contains(x["text"], k))) if stem else none
+        overlap = F.transform(o, lambda x: F.size(F.filter(x["t"], lambda w: F.array_contains(p["tokens"], w)))) if stem else F.transform(o, lambda x: F.lit(0))
+        return F.struct(letters(lambda x: x["n"] == top).alias("longest"), F.coalesce(letters(lambda x: x["v"] == middle), none).alias("middle"), repeated.alias("repeated"), overlap.alias("overlap"))
+
+    keep = items.withColumn("_worked", worked if worked is not None else F.lit(None).cast("string"))
+    t = _stage(prepared(keep, "id", "options", "_worked"), "s", whole=surface(True), bare=surface(False))
+    t = t.crossJoin(F.broadcast(rules.select("program", view_of(F.col("channel"), F.col("program")).alias("view"))))  # a catalog of rules
+    shows = lambda what: F.col("view").isin(*(v for v, parts in VIEWS.items() if what in parts))
+    return t.select(
+        "id", "program", "view", F.when(shows("stem"), p["stem"]).when(shows("worked example"), F.col("_worked")).alias("stem"), F.when(shows("numbers"), p["numbers"]).alias("numbers"), F.when(shows("options"), F.col("options")).alias("options"),
+        F.when(shows("surface"), F.col("s.whole")).when(shows("bare surface"), F.col("s.bare")).alias("surface"),
+    )
+
+
 def score(items: DataFrame, trials: DataFrame) -> DataFrame:
     """Trials joined with what they are judged by: correct is null where skipped, chance is 1 / options."""
     judged = items.select("id", "authority", "claim", "key", F.try_divide(F.lit(1.0), F.size("options")).alias("chance"))

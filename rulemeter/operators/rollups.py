@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stats import with_interval
+
 
 def _share(ok: Column) -> Column:
     return F.avg(ok.cast("double"))
@@ -59,6 +61,35 @@ def modal_split(scored: DataFrame, modal: DataFrame, by: list[str]) -> DataFrame
     )
 
 
+def enriched_cells(answered: DataFrame, by: list[str], least: int = 10) -> DataFrame:
+    """By cell of ``least`` answered trials: n, n_correct, rate, chance, lo, hi, the modal key with its count and frequency, whether
+    the interval lies above chance, above that frequency and above both (the double bar), and n, rate, chance, lo and hi of
+    the trials whose key is another letter."""
+    t = answered.filter("correct is not null")
+    modal = modal_letters(t, by).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("letter").alias("modal"), F.col("n").alias("modal_n"), F.col("share").alias("modal_share"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    t = t.join(modal, same).withColumn("_other", ~F.col("key").eqNullSafe(F.col("modal")))
+    o = F.col("_other")
+    rows = t.groupBy(*by, "modal", "modal_n", "modal_share").agg(
+        F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), _share(F.col("correct")).alias("rate"), F.avg("chance").alias("chance"),
+        F.count_if(o).alias("other_n"), F.count_if(o & F.col("correct")).alias("other_correct"), F.avg(F.when(o, F.col("correct").cast("double"))).alias("other_rate"), F.avg(F.when(o, F.col("chance"))).alias("other_chance"),
+    ).filter(F.col("n") >= least)
+    rows = with_interval(rows, "n", "n_correct").withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+    rows = with_interval(rows, "other_n", "other_correct").withColumnsRenamed({"lo": "other_lo", "hi": "other_hi"}).withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
+    above = {"above_chance": F.col("lo") > F.col("chance"), "above_modal": F.col("lo") > F.col("modal_share")}
+    return rows.withColumns(above).withColumn("double_bar", F.col("above_chance") & F.col("above_modal"))
+
+
+def residual_items(items: DataFrame, cues: dict[str, DataFrame]) -> DataFrame:
+    """(id): items (id, key) whose key none of the cues' answers (id, answer) is."""
+    hit = None
+    for t in cues.values():
+        t = t.select("id", "answer").filter("answer is not null")
+        hit = t if hit is None else hit.unionByName(t)
+    right = items.select("id", F.lower(F.trim("key")).alias("_k")).join(hit, "id").filter(F.lower(F.trim("answer")) == F.col("_k"))
+    return items.select("id").join(right.select("id"), "id", "left_anti")
+
+
 def residual(scored: DataFrame, cues: list[str]) -> DataFrame:
     """(id): items whose key no cue program answers."""
     hit = F.max(F.coalesce(F.col("correct") & F.col("program").isin(cues), F.lit(False)).cast("int"))

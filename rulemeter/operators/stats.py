@@ -86,6 +86,23 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return told.select("n", "observed", "expected", F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected")).alias("kappa"))
 
 
+def confusion(rows: DataFrame, a: str, b: str, known: list[str] | None = None) -> DataFrame:
+    """(a, b, n) of every value of a with every value of b, those in ``known`` even if no row has them; nulls are left out.
+
+    Rows are counted first; what is filled in is a small table of labels."""
+    counts = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
+    labels = counts.agg(F.collect_set(b).alias("bs")).select(F.array_union("bs", F.array(*map(F.lit, known or [])).cast("array<string>")).alias("bs"))
+    every = counts.select(a).distinct().crossJoin(labels).select(a, F.explode("bs").alias(b))  # labels are one row
+    return every.join(counts, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def binary_agreement(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+    """(n, yes_yes, no_no, yes_no, no_yes, agreement) of rows that both conditions judge."""
+    t = rows.select(a.alias("a"), b.alias("b")).filter("a is not null and b is not null")
+    t = t.agg(F.count("*").alias("n"), F.count_if(F.expr("a and b")).alias("yes_yes"), F.count_if(F.expr("not a and not b")).alias("no_no"), F.count_if(F.expr("a and not b")).alias("yes_no"), F.count_if(F.expr("not a and b")).alias("no_yes"))
+    return t.withColumn("agreement", F.try_divide(F.col("yes_yes") + F.col("no_no"), "n"))
+
+
 def mcnemar(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     """2x2 counts of two flags and chi-square without continuity; null if they never differ."""
     cell = lambda x, y: F.count_if((a == x) & (b == y))

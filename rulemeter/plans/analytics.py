@@ -205,10 +205,11 @@ def transcript_last_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("replies"), F.max(said)["text"].alias("last_text"))
 
 
-@query("""SELECT page_id, count(*) AS links, count(DISTINCT h) AS distinct_links, min(h) AS first_link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages) GROUP BY page_id""")
+@query("""SELECT page_id, count(h) AS links, count(DISTINCT h) AS distinct_links, min(h) AS first_link, count(h) FILTER (regexp_matches(h, '(?i)en|de')) AS keyword_links FROM (SELECT page_id, unnest(CASE WHEN len(hs) = 0 THEN [NULL] ELSE hs END) AS h FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1) AS hs FROM pages)) GROUP BY page_id""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
-    return h.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("h").alias("distinct_links"), F.min("h").alias("first_link"))
+    """Links of every page, those that hold a keyword counted; pages without links keep a row."""
+    h = read(spark, sf_dir, "pages").select("page_id", F.explode_outer(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
+    return h.groupBy("page_id").agg(F.count("h").alias("links"), F.count_distinct("h").alias("distinct_links"), F.min("h").alias("first_link"), F.count_if(F.col("h").rlike("(?i)en|de")).alias("keyword_links"))
 
 
 @query("""SELECT doc_id, regexp_matches(text, '[0-9]{3}-[0-9]{4}') AS phone, contains(text, '@') AS mail, regexp_matches(text, '(?i)license') AS license, regexp_matches(text, '([!%#$&*])\\1\\1') AS junk, len(text) > 20000 AS long,
@@ -236,13 +237,15 @@ def tokenize_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.shared_tokens(words("documents", "doc_id"), "doc_id", words("benchmark", "item_id"), "item_id", best=True).select("doc_id", "item_id", "shared")
 
 
-@query("""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 2)) AS t FROM benchmark)
-SELECT a.item_id, round(1 - avg(len(list_intersect(a.t, b.t))::DOUBLE / greatest(len(list_distinct(list_concat(a.t, b.t))), 1)), 6) AS distinctive FROM t a JOIN t b ON a.item_id // 8 = b.item_id // 8 AND a.item_id <> b.item_id GROUP BY a.item_id""")
+@query("""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: len(t) >= 2)) AS t FROM benchmark)
+SELECT a.item_id, round(1 - avg(len(list_intersect(a.t, b.t))::DOUBLE / greatest(len(list_distinct(list_concat(a.t, b.t))), 1)), 6) AS distinctive FROM t a JOIN t b ON a.item_id <> b.item_id GROUP BY a.item_id""")
 def jaccard_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How little an item shares with the seven others of its block."""
-    t = read(spark, sf_dir, "benchmark").select("item_id", F.floor(F.col("item_id") / 8).alias("g"), F.array_distinct(T.tokens(F.col("text"))).alias("t"))
-    b = t.select("g", F.col("item_id").alias("other"), F.col("t").alias("u"))
-    return t.join(b, "g").filter("item_id <> other").groupBy("item_id").agg(_r(1 - F.avg(T.jaccard(F.col("t"), F.col("u")))).alias("distinctive"))
+    """How little an item shares with all others: one less its mean Jaccard similarity, over the pairs that share a word."""
+    t = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("tokens"))
+    pairs = R.shared_tokens(t, "item_id", t.withColumnRenamed("item_id", "other"), "other").filter("item_id <> other")
+    like = pairs.groupBy("item_id").agg(F.sum(F.col("shared") / (F.col("n_row") + F.col("n_item") - F.col("shared"))).alias("s"))
+    n = t.agg(F.count("*").alias("n"))
+    return t.select("item_id").join(like, "item_id", "left").crossJoin(n).filter("n > 1").select("item_id", _r(1 - F.coalesce("s", F.lit(0.0)) / (F.col("n") - 1)).alias("distinctive"))  # n is one row
 
 
 @query("""WITH d AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: len(t) >= 2)) AS t FROM documents), b AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 2)) AS t FROM benchmark),
@@ -271,10 +274,23 @@ def margin_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), _r(F.sum(F.round(F.col(x) * 100).cast("long")).cast("double") / F.count("*") / 100).alias("mean"), _r(F.min(x), 2).alias("low"), _r(F.max(x), 2).alias("high"), _r(F.median(x), 3).alias("median"), F.count_if(F.col("l_discount") < 0.02).alias("near_ties"))
 
 
-@query("""SELECT c_mktsegment, coalesce(sum((o_orderpriority = '1-URGENT')::INT), 0)::BIGINT AS "1-URGENT", sum((o_orderpriority = '2-HIGH')::INT)::BIGINT AS "2-HIGH", sum((o_orderpriority = '5-LOW')::INT)::BIGINT AS "5-LOW" FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment""")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"""WITH j AS (SELECT c_mktsegment, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey), p AS (SELECT unnest({PRIORITIES!r}) AS p UNION SELECT o_orderpriority FROM j)
+SELECT s AS c_mktsegment, coalesce(p, 'none') AS priority, count(j.o_orderpriority) AS n FROM (SELECT DISTINCT c_mktsegment AS s FROM j) CROSS JOIN p LEFT JOIN j ON j.c_mktsegment = s AND j.o_orderpriority IS NOT DISTINCT FROM p WHERE p IS NOT NULL GROUP BY ALL""")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every pair of segment and priority, zeros where a pair never stands together."""
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return o.groupBy("c_mktsegment").pivot("o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.count(F.lit(1))).na.fill(0)
+    return S.confusion(o, "c_mktsegment", "o_orderpriority", PRIORITIES).withColumnRenamed("o_orderpriority", "priority")
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (quality = 1 AND toxic = 1) AS yes_yes, count(*) FILTER (quality = 0 AND toxic = 0) AS no_no, count(*) FILTER (quality = 1 AND toxic = 0) AS yes_no, count(*) FILTER (quality = 0 AND toxic = 1) AS no_yes FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)
+SELECT *, round((yes_yes + no_no)::DOUBLE / n, 6) AS agreement FROM c""")
+def binary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two yes-or-no judgments of the same rows: the four cells and the share on which they agree."""
+    t = S.binary_agreement(read(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+    return t.withColumn("agreement", _r("agreement"))
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier), c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer)

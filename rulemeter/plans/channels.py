@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..functions import text as T
 from ..operators import channels as C
 from ..operators import isomorphs as N
+from ..operators import items as I
+from ..operators import rollups as R
 from ..operators import strategies as S
 from ..operators import systems as Y
-from .exam import edges_sql, read
-from .programs import INTERVAL_SQL
+from .exam import INTERVAL_SQL, edges_sql, read
 
 #: Stems of the six kinds of problems: parts between which p, n and p + n stand.
 STEMS = [
@@ -157,7 +159,23 @@ def numeral_isomorphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {"elimination": elimination, "elimination_shares": elimination_shares, "hub_answers": hub_answers, "strategy_channels": strategy_channels, "hub_tie_null": hub_tie_null, "closure_tie_null": closure_tie_null, "numeral_isomorphs": numeral_isomorphs, "equation_answers": equation_answers}
+def residual_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems by kind, and how many of them neither the lower central value, the modal letter, the hub nor the longest option answers."""
+    items = part_problems(spark, sf_dir)
+    modal = items.join(R.modal_letters(items, ["claim"]).select("claim", F.col("letter").alias("answer")), "claim").select("id", "answer")
+    o = F.transform("options", lambda x: F.struct(x["letter"].alias("letter"), T.option_number(T.clean_number(x["text"])).alias("v")))
+    lower = items.select("id", S.lower_central(F.filter(o, lambda x: x["v"].isNotNull())).alias("answer"))
+    longest = I.answers(items, ["longest-option"]).select("id", "answer")
+    rest = R.residual_items(items, {"lower": lower, "modal": modal, "hub": S.hub(items), "longest": longest}).withColumn("rest", F.lit(1))
+    return items.select("id", "claim").join(rest, "id", "left").groupBy("claim").agg(F.count("*").alias("n_items"), F.count("rest").alias("n_rest"))
+
+
+_RESIDUAL_SQL = f"""WITH {PROBLEMS_SQL}, mc AS (SELECT claim, key, count(*) AS c FROM item GROUP BY ALL), mo AS (SELECT claim, arg_min(key, (-c, key)) AS modal FROM mc GROUP BY claim),
+lg AS (SELECT id, arg_min(letter, (-len(t), letter)) AS longest FROM opt GROUP BY id), lo AS (SELECT id, list_sort(list({{'v': v, 'letter': letter}})) AS l FROM num GROUP BY id), lc AS (SELECT id, list_filter(l, lambda x: x.v = l[3].v)[1].letter AS central FROM lo),
+j AS (SELECT claim, key IN (modal, longest, central) OR coalesce(key = hu.answer, false) AS hit FROM item JOIN mo USING (claim) JOIN lg USING (id) JOIN lc USING (id) LEFT JOIN hu USING (id))
+SELECT claim, count(*) AS n_items, count(*) FILTER (NOT hit) AS n_rest FROM j GROUP BY claim"""
+
+QUERIES = {"elimination": elimination, "elimination_shares": elimination_shares, "hub_answers": hub_answers, "strategy_channels": strategy_channels, "hub_tie_null": hub_tie_null, "closure_tie_null": closure_tie_null, "numeral_isomorphs": numeral_isomorphs, "equation_answers": equation_answers, "residual_problems": residual_problems}
 ORACLES = {
     "elimination": f"WITH {PROBLEMS_SQL} SELECT id, answer, round(chance, 6) AS chance, 1 AS n_constraints, n_left, array_to_string(letters, '') AS letters FROM el",
     "elimination_shares": f"""WITH {PROBLEMS_SQL} SELECT authority, claim, count(*) AS n_items, round(avg(n_left), 6) AS mean_left, round(avg((n_left = 1)::INT), 6) AS one_left, round(avg(list_contains(letters, key)::INT), 6) AS key_left, 1.0::DOUBLE AS constrained,
@@ -166,4 +184,5 @@ ORACLES = {
     "strategy_channels": _CHANNELS_SQL,
     "hub_tie_null": _TIE_SQL,
     "equation_answers": _SYSTEMS_SQL,
+    "residual_problems": _RESIDUAL_SQL,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import items as I
 from ..operators import programs as P
+from ..operators import stats as ST
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,17 +88,30 @@ WITNESS_SQL = f"""WITH {ITEMS_SQL}, {TRIALS_SQL}
 SELECT id, arg_min(program, list_position({ORDER!r}, program)) AS witness, count(*) AS n_witnesses FROM trial JOIN item USING (id) WHERE answer = key GROUP BY id"""
 
 
+#: Binomial quantiles of distinct (n, c): the first count whose cumulated probability reaches the share.
+INTERVAL_SQL = """nc AS (SELECT DISTINCT n, c FROM rated), term AS (SELECT n, c, unnest(range(n + 1)) AS k FROM nc WHERE c > 0 AND c < n),
+cum AS (SELECT n, c, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(c::DOUBLE / n) + (n - k) * ln(1 - c::DOUBLE / n))) OVER (PARTITION BY n, c ORDER BY k) AS p FROM term),
+bound AS (SELECT n, c, min(k) FILTER (p >= 0.025)::DOUBLE / n AS lo, min(k) FILTER (p >= 0.975)::DOUBLE / n AS hi FROM cum GROUP BY n, c UNION ALL SELECT n, c, c::DOUBLE / n, c::DOUBLE / n FROM nc WHERE c = 0 OR c = n)"""
+#: Programs whose interval lies above chance in a cell, with ten answers or more.
+GOOD_SQL = f"""rated AS (SELECT authority, claim, program, count(*) AS n, count(*) FILTER (answer = key) AS c, avg(1.0::DOUBLE / k) AS chance FROM trial JOIN item USING (id) JOIN n USING (id) WHERE answer IS NOT NULL GROUP BY ALL), {INTERVAL_SQL},
+good AS (SELECT authority, claim, program FROM rated JOIN bound USING (n, c) WHERE n >= 10 AND lo > chance)"""
+
+
+def _good(scored: DataFrame) -> DataFrame:
+    """(authority, claim, program) of programs whose interval lies above chance, with ten answers or more."""
+    return ST.with_interval(I.rule_chance(scored)).filter("n_scored >= 10 and lo > chance").select("authority", "claim", "program")
+
+
 def eligible_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items answered by a program that beats chance in its cell with at least ten trials: semi-join, then roll-up by cell."""
+    """Items answered by a program that beats chance in its cell, by the lower end of its interval and with at least ten trials: semi-join, then roll-up by cell."""
     items = order_items(spark, sf_dir)
     scored = I.judged(items)
-    good = I.rule_chance(scored).filter("n_scored >= 10 and pass_rate > chance + 1e-9").select("authority", "claim", "program")
-    hit = scored.filter("correct").join(good, ["authority", "claim", "program"], "left_semi").select("id").distinct().withColumn("hit", F.lit(1))
+    hit = scored.filter("correct").join(_good(scored), ["authority", "claim", "program"], "left_semi").select("id").distinct().withColumn("hit", F.lit(1))
     return items.select("id", "authority", "claim").join(hit, "id", "left").groupBy("authority", "claim").agg(F.count("*").alias("items"), F.count("hit").alias("bypassed"), F.round(F.count("hit") / F.count("*"), 6).alias("bypass_rate"))
 
 
 ELIGIBLE_SQL = f"""WITH {ITEMS_SQL}, {TRIALS_SQL}, n AS (SELECT id, count(*) AS k FROM opt GROUP BY id),
-good AS (SELECT authority, claim, program FROM trial JOIN item USING (id) JOIN n USING (id) WHERE answer IS NOT NULL GROUP BY ALL HAVING count(*) >= 10 AND avg((answer = key)::INT) > avg(1.0::DOUBLE / k) + 1e-9),
+{GOOD_SQL},
 hit AS (SELECT DISTINCT id FROM trial JOIN item USING (id) JOIN good USING (authority, claim, program) WHERE answer = key)
 SELECT authority, claim, count(*) AS items, count(h.id) AS bypassed, round(count(h.id)::DOUBLE / count(*), 6) AS bypass_rate FROM item LEFT JOIN hit h USING (id) GROUP BY ALL"""
 
@@ -249,10 +263,11 @@ def _census(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     items = order_items(spark, sf_dir)
     scored = I.judged(items)
-    good = I.rule_chance(scored).filter("n_scored >= 10 and pass_rate > chance + 1e-9")
-    claims = spark.createDataFrame([(a, c, ops) for a in "FOP" for c, ops in OPERATIONS.items()], "authority string, code string, operations array<string>")
+    # a claim that is listed twice counts as it is listed first
+    listed = [(a, c, ops) for a in "FOP" for c, ops in OPERATIONS.items()] + [("O", "1-URGENT", ["bind"])]
+    claims = spark.createDataFrame([(*row, i) for i, row in enumerate(listed)], "authority string, code string, operations array<string>, place int")
     programs = spark.createDataFrame([(p, i, LACKS[p]) for i, p in enumerate(ORDER)], "program string, ord int, lacks array<string>")
-    return items, C.cells(items, claims, scored, good, programs)
+    return items, C.cells(items, claims, scored, _good(scored), programs)
 
 
 def census_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +283,7 @@ def census_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CELLS_SQL = f"""WITH {ITEMS_SQL}, {TRIALS_SQL}, n AS (SELECT id, count(*) AS k FROM opt GROUP BY id),
-good AS (SELECT authority, claim, program FROM trial JOIN item USING (id) JOIN n USING (id) WHERE answer IS NOT NULL GROUP BY ALL HAVING count(*) >= 10 AND avg((answer = key)::INT) > avg(1.0::DOUBLE / k) + 1e-9),
+{GOOD_SQL},
 ops AS ({" UNION ALL ".join(f"SELECT '{c}' AS claim, unnest({o!r}) AS operation" for c, o in OPERATIONS.items())}),
 lacks AS ({" UNION ALL ".join(f"SELECT '{p}' AS program, {i} AS ord, unnest({LACKS[p]!r}) AS operation" for i, p in enumerate(ORDER))}),
 w AS (SELECT id, operation, arg_min(program, ord) AS witness FROM trial JOIN item USING (id) JOIN good USING (authority, claim, program) JOIN lacks USING (program) WHERE answer = key GROUP BY ALL),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..operators import fitted as M
-from .exam import ITEMS_SQL, PART_STEMS, order_items, part_items
-from .programs import DIRECTIONS, INTERVAL_SQL
+from .exam import INTERVAL_SQL, ITEMS_SQL, PART_STEMS, order_items, part_items
+from .programs import DIRECTIONS
 
 
 def _sides(spark: SparkSession, sf_dir: str):

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import items as I
 from ..operators import programs as P
-from ..operators.search import _Draws
-from .exam import _F, COMMON, FEATURES_SQL, ITEMS_SQL, ORDER, TRIALS_SQL, order_items
+from .exam import _F, COMMON, FEATURES_SQL, INTERVAL_SQL, ITEMS_SQL, TRIALS_SQL, order_items
 
 #: Directions of fitting: what programs are chosen on, and what they are judged on.
 DIRECTIONS = {"open-to-rest": ("authority = 'O'", "authority <> 'O'", 20260916), "rest-to-open": ("authority <> 'O'", "authority = 'O'", 20260917)}
@@ -94,12 +93,6 @@ def rule_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("direction", F.coalesce("direction", F.lit("none"))).select("authority", "claim", "direction", "program", "n_scored", "n_correct", "chance", "pass_rate", "lo", "hi", "beats", "p95", "eligible", "note")
 
 
-#: Binomial quantiles of distinct (n, c): the first count whose cumulated probability reaches the share.
-INTERVAL_SQL = """nc AS (SELECT DISTINCT n, c FROM rated), term AS (SELECT n, c, unnest(range(n + 1)) AS k FROM nc WHERE c > 0 AND c < n),
-cum AS (SELECT n, c, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(c::DOUBLE / n) + (n - k) * ln(1 - c::DOUBLE / n))) OVER (PARTITION BY n, c ORDER BY k) AS p FROM term),
-bound AS (SELECT n, c, min(k) FILTER (p >= 0.025)::DOUBLE / n AS lo, min(k) FILTER (p >= 0.975)::DOUBLE / n AS hi FROM cum GROUP BY n, c UNION ALL SELECT n, c, c::DOUBLE / n, c::DOUBLE / n FROM nc WHERE c = 0 OR c = n)"""
-
-
 def _fits_sql() -> str:
     """Trials of the selected and random programs of both directions: (direction, program, id, answer)."""
     every, parts = f"pick AS ({_sql_picks(EVERY)}), ord AS {_sql_programs(EVERY)}", []

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import items as I
 from ..operators import rollups as R
-from .exam import ITEMS_SQL, ORDER, TRIALS_SQL, order_items, read
+from .exam import INTERVAL_SQL, ITEMS_SQL, ORDER, TRIALS_SQL, order_items, read
 
 QUERIES, ORACLES = {}, {}
 
@@ -131,3 +132,44 @@ SELECT o_custkey, min(v) AS start, d AS step, count(*) + 1 AS n FROM g WHERE d I
 def arithmetic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of equally spaced order keys of a customer, two or more long."""
     return R.arithmetic_runs(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", least=2)
+
+
+# fixed values: channels of the rules
+CHANNELS = {
+    "longest-option": "item-cues", "stem-option-overlap": "partial-input", "option-repeating-stem-numbers": "partial-input", "avoid-absolute-terms": "partial-input", "middle-value-option": "item-cues", "position-c": "item-cues",
+}
+# end of fixed values
+
+
+@query(f""", ch AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{'item-cues' if c == 'item-cues' else 'stem-ngram' if p in I.STEM_RULES else 'choices-only'}')" for p, c in CHANNELS.items())}) AS v(program, view)),
+lo AS (SELECT id, string_agg(letter, '' ORDER BY letter) AS longest FROM (SELECT *, max(len(text)) OVER (PARTITION BY id) AS m FROM opt) WHERE len(text) = m GROUP BY id),
+re AS (SELECT opt.id, string_agg(letter, '' ORDER BY letter) FILTER (len(list_filter(sn, lambda k: contains(text, k))) > 0) AS repeated, sum(len(list_filter(t, lambda x: list_contains(st, x)))) AS overlap FROM opt JOIN tok USING (id, letter, text) JOIN stok ON stok.id = opt.id GROUP BY opt.id)
+SELECT id, program, view, CASE WHEN view = 'stem-ngram' THEN stem END AS stem, CASE WHEN view = 'stem-ngram' THEN len(sn) ELSE -1 END AS n_numbers, k AS n_options, longest, CASE WHEN view = 'choices-only' THEN '' ELSE coalesce(repeated, '') END AS repeated, CASE WHEN view = 'choices-only' THEN 0 ELSE overlap END::BIGINT AS overlap
+FROM item JOIN stok USING (id) JOIN n USING (id) JOIN lo USING (id) JOIN re USING (id) CROSS JOIN ch""")
+def item_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule is shown of each item: never the key, the stem only where its channel has it."""
+    rules = spark.createDataFrame(list(CHANNELS.items()), "program string, channel string")
+    t = I.views(order_items(spark, sf_dir), rules)
+    s = F.col("surface")
+    return t.select("id", "program", "view", "stem", F.coalesce(F.size("numbers"), F.lit(-1)).alias("n_numbers"), F.size("options").cast("long").alias("n_options"), F.array_join(s["longest"], "").alias("longest"), F.array_join(s["repeated"], "").alias("repeated"), F.aggregate(s["overlap"], F.lit(0).cast("long"), lambda a, x: a + x).alias("overlap"))
+
+
+@query(f""", a AS (SELECT * FROM scored WHERE program = 'longest-option' AND correct IS NOT NULL), kc AS (SELECT authority, claim, key, count(*) AS c FROM a GROUP BY ALL), mo AS (SELECT authority, claim, arg_min(key, (-c, key)) AS modal, max(c) AS modal_n, max(c)::DOUBLE / sum(c) AS share FROM kc GROUP BY ALL),
+g AS (SELECT authority, claim, any_value(modal) AS modal, any_value(modal_n) AS modal_n, any_value(share) AS share, count(*) AS n1, count(*) FILTER (correct) AS c1, avg(chance) AS chance, count(*) FILTER (key <> modal) AS n2, count(*) FILTER (correct AND key <> modal) AS c2, avg(chance) FILTER (key <> modal) AS chance2 FROM a JOIN mo USING (authority, claim) GROUP BY ALL HAVING count(*) >= 10),
+rated AS (SELECT n1 AS n, c1 AS c FROM g UNION SELECT n2, c2 FROM g), {INTERVAL_SQL}
+SELECT authority, claim, modal, modal_n, round(share, 6) AS modal_share, n1 AS n, c1 AS n_correct, round(c1::DOUBLE / n1, 6) AS rate, round(chance, 6) AS chance, n2 AS other_n, c2 AS other_correct, round(c2::DOUBLE / n2, 6) AS other_rate, round(chance2, 6) AS other_chance,
+round(x.lo, 6) AS lo, round(x.hi, 6) AS hi, round(y.lo, 6) AS other_lo, round(y.hi, 6) AS other_hi, x.lo > chance AS above_chance, x.lo > share AS above_modal, x.lo > chance AND x.lo > share AS double_bar FROM g JOIN bound x ON x.n = n1 AND x.c = c1 LEFT JOIN bound y ON y.n = n2 AND y.c = c2""")
+def enriched_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of one rule with their modal key, the double bar, and the items whose key is another letter."""
+    t = R.enriched_cells(I.judged(order_items(spark, sf_dir), ["longest-option"]), ["authority", "claim"])
+    return _rounded(t, "modal_share", "rate", "chance", "other_rate", "other_chance", "lo", "hi", "other_lo", "other_hi")
+
+
+def run_free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of numbers that axes leave; the greedy walk has no SQL."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    t = d.select("doc_id", F.length("text").alias("n_chars"), T.drop_arithmetic_runs(F.col("text")).alias("kept"))
+    return t.select("doc_id", (F.col("n_chars") - F.length("kept")).cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["run_free_texts"] = run_free_texts

@@ -87,6 +87,23 @@ def split_capped(rows: DataFrame, split: str, order: list[str], caps: dict[str,
     return ranked.filter(F.col("_n") <= cap).drop("_n")
 
 
+def train_and_hold(rows: DataFrame, split: str, order: str, train: int = 1500, hold: int = 400, least: int = 32) -> DataFrame:
+    """``rows`` with part: the first ``train`` rows of split train, and as hold the first ``hold`` of test, validation and dev; if
+    those are fewer than ``least``, hold is topped up with the first rows of any split but train, which may count twice.
+
+    ``order`` is a column that tells the rows' order. Caps are the feature here; ranks are taken by partial limits."""
+
+    def first(t: DataFrame, n: int, part: str) -> DataFrame:
+        return t.orderBy(order).limit(n).withColumn("part", F.lit(part))
+
+    held = first(rows.filter(F.col(split).isin("test", "validation", "dev")), hold, "hold")
+    told = first(rows.filter(F.col(split) == "train"), train, "train").unionByName(held)
+    n = held.count()  # at most ``hold``
+    if n < least:
+        told = told.unionByName(first(rows.filter(~F.col(split).eqNullSafe("train")), hold - n, "hold"))
+    return told
+
+
 def append_new(rows: DataFrame, path: str, kind: str = "trial") -> int:
     """Append the rows whose key the log at ``path`` lacks, one for each key, and return how many there were."""
     spark, keys = rows.sparkSession, KEYS[kind]
