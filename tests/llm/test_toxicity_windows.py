@@ -2,17 +2,17 @@ import numpy as np
 
 from rulemeter.llm import toxicity
 
-TOXIC, ORDINARY = b"\x01 vermin\x01 grubby\x01 rotten\x01 bad ", b"\x01 window\x01 garden\x01 yellow\x01 cup "
+TOXIC, ORDINARY = b"\x01  vermin\x01  grubby\x01  rotten\x01  bad  \x01  loser ", b"\x01  window\x01  garden\x01  yellow\x01  cup  "
 
 
 def test_one_word_of_a_dictionary_shows_in_a_short_text():
     rest = "q7 zx kj vb 93 lw py 51 mh dt 08 ce gu oi 64 nf"
     assert toxicity.features(rest, TOXIC, ORDINARY)[:2] == [0, 0]
-    for at in (0, 5, 20, 38):
+    for at in (0, 5, 20, 38, len(rest)):
         text = rest[:at] + " vermin " + rest[at:]
-        saved, lost, _ = toxicity.features(text, TOXIC, ORDINARY)
+        saved, lost, *_ = toxicity.features(text, TOXIC, ORDINARY)
         assert saved > 0 and lost == 0
-        saved, lost, _ = toxicity.features(text.replace("vermin", "window"), TOXIC, ORDINARY)
+        saved, lost, *_ = toxicity.features(text.replace("vermin", "window"), TOXIC, ORDINARY)
         assert saved == 0 and lost > 0
         assert toxicity.features(text.replace("vermin", "bad"), TOXIC, ORDINARY)[0] > 0
 
@@ -25,11 +25,28 @@ def test_savings_are_those_of_the_windows_one_by_one():
         text = " ".join(r.choice(words, n))
         saved = lost = windows = 0
         rest = toxicity.plain(text)
-        while len(rest) > 1:
-            end = rest.find(b" ", toxicity.WINDOW)
-            w = rest if end < 0 else rest[: end + 1]
-            d = len(by_ordinary(toxicity._SAVES + w)) - len(by_toxic(toxicity._SAVES + w))
+        while len(rest) > 2:
+            end = rest.find(b"  ", toxicity.WINDOW)
+            w = rest if end < 0 else rest[: end + 2]
+            d = len(by_ordinary(toxicity._SAVES + w + toxicity._END)) - len(by_toxic(toxicity._SAVES + w + toxicity._END))
             saved, lost, windows = saved + max(0, d), lost + max(0, -d), windows + 1
-            rest = rest[len(w) - 1 :] if end >= 0 else b""
-        assert np.allclose(toxicity.features(text, TOXIC, ORDINARY), np.log1p([saved, lost, windows]))
-    assert toxicity.features("", TOXIC, ORDINARY) == toxicity.features(" .!", TOXIC, ORDINARY) == [0.0] * 3
+            rest = rest[len(w) - 2 :] if end >= 0 else b""
+        assert np.allclose(toxicity.features(text, TOXIC, ORDINARY), [*np.log1p([saved, lost, windows]), saved > 0, saved >= toxicity.TWO])
+    assert toxicity.features("", TOXIC, ORDINARY) == toxicity.features(" .!", TOXIC, ORDINARY) == [0.0] * 5
+
+
+def test_no_other_word_is_taken_for_an_entry():
+    for text in ("he came closer to the house", "a bade badly abad ba", "closers verm averminx", "grub rott loses"):
+        assert toxicity.features(text, TOXIC, ORDINARY)[0] == 0, text
+    assert toxicity.features("what a loser", TOXIC, ORDINARY)[0] > 0 and toxicity.features("loser", TOXIC, ORDINARY)[0] > 0
+
+
+def test_words_show_wherever_they_stand():
+    r = np.random.default_rng(5)
+    filler = ["zq", "xylo", "ok", "a", "longerword", "plain", "seven", "q7"]
+    missed = 0
+    for n in range(400):
+        words = list(r.choice(filler, r.integers(1, 60)))
+        words.insert(int(r.integers(0, len(words) + 1)), ["vermin", "grubby", "rotten", "loser"][n % 4])
+        missed += toxicity.features(" ".join(words), TOXIC, ORDINARY)[0] == 0
+    assert missed == 0
