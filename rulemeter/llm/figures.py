@@ -17,7 +17,7 @@ def toxicity_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels)
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     entries = {e for e in bytes.fromhex(model["toxic"]).split(toxicity._GAP) if e}
-    hits = F.udf(lambda t: sum(toxicity.plain(t or "").count(e) for e in entries), "long")
+    hits = F.udf(lambda t: sum((b" " + w + b" ")[: toxicity.PREFIX] in entries for w in toxicity.words_of(t or "")), "long")
     counted = docs.join(known, "doc_id").filter(toxicity.is_held_out()).select("doc_id", hits("text").alias("hits"))
     t = toxicity.score(docs, model).filter("held_out").join(known, "doc_id").join(counted, "doc_id")
     rate = lambda on, toxic: F.avg(F.when(F.col("toxic") == toxic, on.cast("double")))

@@ -2,14 +2,17 @@
 
 Two zstandard dictionaries, one of toxic and one of ordinary text: each holds the word beginnings that stand in many
 different contexts of its class and far fewer of the other's. Counting contexts (pairs of a word and the one before it),
-not documents, keeps copied passages out. Two spaces stand between words, and a beginning takes them along: a match of
-MIN_MATCH bytes within an entry of PREFIX holds a space before the word, so that no word's middle or end matches, only a word that begins alike. Their content
-is chosen by this contrast because zstandard's own trainer, which knows one class only, fills both with the prose that
-the classes share (its held-out recall is 0.03, see the README). A text is cut into windows at spaces, each is compressed
-with either dictionary, a run of one byte before and another behind it, and the differences of the lengths are the only features: the bytes that
-the toxic dictionary saves, those that the ordinary one saves, the number of windows, and whether the toxic savings reach
-those of one match and of two. A logistic curve fitted on other labelled documents turns them into a score. Literals are left uncompressed, so a window's difference is what its matches
-with the dictionaries save."""
+not documents, keeps copied passages out. An entry has the MIN_MATCH bytes that a match needs, the space before the word
+among them, so that only whole entries match: a word of four letters or fewer as it stands (short ones are filled up), or
+the first five letters of a longer one. Their content is chosen by this contrast because zstandard's own trainer, which
+knows one class only, fills both with the prose that the classes share (its held-out recall is 0.03, see the README).
+
+A text is cut into windows of WINDOW words, in each of which a word stands once: a match with the window's own text would
+hide one with a dictionary. Each window is compressed with either dictionary, a run of one byte before and another behind
+it, and the differences of the lengths are the only features: the bytes that the toxic dictionary saves, those that the
+ordinary one saves, the number of windows, and whether the toxic dictionary is ahead in one window and in two. A logistic
+curve fitted on other labelled documents turns them into a score. Literals are left uncompressed, so a window's difference
+is what its matches with the dictionaries save."""
 
 from __future__ import annotations
 
@@ -27,16 +30,14 @@ from .common import bound_batches, materialize
 #: Labelled documents that the dictionaries (of each class) and the curve are fitted on. Their texts stay on the executors
 #: and are taken whole; the driver gets ids, chosen beginnings and five features a document.
 DICT_DOCS, CURVE_DOCS = 1500, 6000
-WINDOW, DICT_BYTES, MIN_MATCH = 48, 4096, 7
+WINDOW, DICT_BYTES, MIN_MATCH = 4, 4096, 6
 #: A beginning is a class's own if it is RATIO times as frequent as in the other, in enough contexts, and SIGMAS standard
 #: deviations above the count that the other's rate would give.
-RATIO, MIN_CONTEXTS, CONTEXT_SHARE, SIGMAS, PREFIX = 5.0, 3, 7.5e-5, 4.0, 8
-THRESHOLD = 0.3
-#: Bytes that two matches save at least; chosen, like the features, on a quarter of the labels that is not the held-out one.
-TWO = 8
+RATIO, MIN_CONTEXTS, CONTEXT_SHARE, SIGMAS, PREFIX = 5.0, 3, 7.5e-5, 4.0, 6
+THRESHOLD = 0.3  # given; the window, the features and the form of entries were chosen on a quarter of the labels that is not held out
 
 _SPACED = bytes(32 if c < 32 or chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
-#: Between the segments of a dictionary; plain() gives no such byte.
+#: Between the segments of a dictionary; no word holds such a byte.
 _GAP = b"\x01"
 #: Ends a dictionary, whose last bytes zstandard doesn't look up.
 _TAIL = b"\x03" * 16
@@ -44,18 +45,24 @@ _TAIL = b"\x03" * 16
 _SAVES = b"\x02" * 128
 #: Stands behind every window, whose own end would not be looked up either.
 _END = b"\x04" * 16
-_SPACE = b"  "
+#: Words of fewer letters are filled up to so many.
+_SHORT, _FILL = 4, b"\x05"
 
 
-def plain(text: str) -> bytes:
-    """Lower case, one byte for each code point, ASCII punctuation and white space as two spaces, two at either end."""
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words, one byte for each code point, cut at ASCII punctuation and white space, short ones filled up."""
     low = text.lower()
     try:
         b = low.encode("latin-1")
     except UnicodeEncodeError:  # other scripts share the upper half
         c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
         b = np.where(c < 256, c, 128 + c % 128).astype(np.uint8).tobytes()
-    return _SPACE + _SPACE.join(b.translate(_SPACED).split()) + _SPACE
+    return [w.ljust(_SHORT, _FILL) for w in b.translate(_SPACED).split()]
+
+
+def window(words: list[bytes]) -> bytes:
+    """What is compressed of a window: its words, each once, between spaces."""
+    return _SAVES + b" " + b" ".join(dict.fromkeys(words)) + b" " + _END
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
@@ -66,8 +73,8 @@ def _contexts(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             for use, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = plain(text or "").split()
-                told = {((_SPACE + w + _SPACE)[:PREFIX], xxhash.xxh64_intdigest(v + b" " + w) - (1 << 63)) for v, w in zip([b"", *words], words, strict=False)}
+                words = words_of(text or "")
+                told = {((b" " + w + b" ")[:PREFIX], xxhash.xxh64_intdigest(v + b" " + w) - (1 << 63)) for v, w in zip([b"", *words], words, strict=False)}
                 yield pa.record_batch([pa.array([use] * len(told), pa.int32()), pa.array([w for w, _ in told], pa.binary()), pa.array([c for _, c in told], pa.int64())], names=["use", "begin", "context"])
 
     return texts.mapInArrow(run, "use int, begin binary, context long")
@@ -106,15 +113,13 @@ def _coders(toxic: bytes, ordinary: bytes):
 
 def features(text: str, toxic: bytes, ordinary: bytes) -> list[float]:
     by_toxic, by_ordinary = _coders(toxic, ordinary)
-    b = plain(text)
-    saved = lost = n = at = 0
-    while at < len(b) - len(_SPACE) and len(b) > 2 * len(_SPACE):  # windows share the spaces between them
-        end = b.find(_SPACE, at + WINDOW)
-        w = _SAVES + b[at : end + len(_SPACE) if end >= 0 else len(b)] + _END
+    words = words_of(text)
+    saved = lost = n = ahead = 0
+    for at in range(0, len(words), WINDOW):
+        w = window(words[at : at + WINDOW])
         d = len(by_ordinary(w)) - len(by_toxic(w))
-        saved, lost, n = saved + max(d, 0), lost + max(-d, 0), n + 1
-        at = end if end >= 0 else len(b)
-    return [*(float(np.log1p(x)) for x in (saved, lost, n)), float(saved > 0), float(saved >= TWO)]
+        saved, lost, n, ahead = saved + max(d, 0), lost + max(-d, 0), n + 1, ahead + (d > 0)
+    return [*(float(np.log1p(x)) for x in (saved, lost, n)), float(ahead > 0), float(ahead > 1)]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> dict:
