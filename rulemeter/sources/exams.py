@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 _LETTER = re.compile(r"^\(?([A-HJ]|[1-4])[.)\]]?(?:\s+(.*))?$")
 _CHROME = re.compile(r"^(page \d+|go on|stop|use this space)\b", re.I)
-_RENAMED = dict(zip("FGHJ1234", "ABCDABCD", strict=True))
+# fixed values: letters and digits of choices that other forms call A to D
+_RENAMED = {"F": "A", "G": "B", "H": "C", "J": "D", "1": "A", "2": "B", "3": "C", "4": "D"}
+# end of fixed values
 
 
 def parse_block(text: str | None) -> tuple[str, dict[str, str]]:
