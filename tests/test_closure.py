@@ -1,3 +1,6 @@
+import math
+import random
+
 from rulemeter.operators import strategies as S
 
 
@@ -14,3 +17,37 @@ def test_closure_takes_all_numbers_breaks_ties_and_knows_geometry(spark):
     got = {r.id: (r.answer, r.depth) for r in S.closure_answers(df).collect()}
     assert got["tie"] == ("B", 1) and got["even tie"] == ("B", 1) and got["seventh"] == ("A", 1)
     assert got["root"] == ("A", 1) and got["triangle"] == ("A", 1) and got["no triangle"] != ("A", 1)
+
+
+def by_loops(numbers, geometry):
+    """Values and least depths of two steps, made by plain loops, without a bound."""
+    depth = {round(x, 8): 0 for x in numbers}
+    for d in (1, 2):
+        have, made = list(depth), []
+        for a in have:
+            for b in have:
+                made += [a + b, a - b, a * b]
+                if abs(b) > 1e-12:
+                    made.append(a / b)
+                if d == 1 and geometry:
+                    made.append(a * b / 2)
+            if d == 1 and a >= 0:
+                made.append(math.sqrt(a))
+            if d == 1 and geometry:
+                made.append(a * math.pi)
+        for v in made:
+            if abs(v) <= 1e12:
+                depth.setdefault(round(v, 8), d)
+    return depth
+
+
+def test_closure_equals_plain_loops():
+    r = random.Random(2)
+    for n in (0, 1, 2, 3):
+        for _ in range(12):
+            numbers = [r.choice([0.0, 1.0, -2.5, r.randint(-9, 99) * 1.0, r.random() * 10]) for _ in range(n)]
+            for geometry in (False, True):
+                want = by_loops(numbers, geometry)
+                assert S.closure(numbers, most=10**7, geometry=geometry) == want
+                few = S.closure(numbers, most=30, geometry=geometry)
+                assert len(few) == min(len(want), max(30, len(set(round(x, 8) for x in numbers)))) and all(want[v] == d for v, d in few.items())
