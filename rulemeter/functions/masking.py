@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import once
+
 # fixed values: words and forms of quantities
 PLACEHOLDER = "[N]"
 CARDINALS = (
@@ -78,22 +80,18 @@ def masked_stems(items: DataFrame, version: int = 1, least: int = 0, stem: str =
     figures, right sides of assignments and coefficients as well. Status is dropped if a flag is left, below_min with fewer
     than ``least`` placeholders, else kept."""
 
-    def step(df: DataFrame, **parts: Column) -> DataFrame:
-        """Columns that are worked out once, behind a generator: patterns are run once for each text."""
-        return df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in parts.items())))).alias("_s")).select(*[c for c in df.columns if c not in parts], "_s.*")
-
     t = items.withColumn("_o", F.coalesce(F.col(stem), F.lit("")))
-    t = step(t, masked=_rewritten(F.col("_o"), PASS))
-    t = step(t, flags=leak_flags(F.col("masked")))
+    t = once(t, masked=_rewritten(F.col("_o"), PASS))
+    t = once(t, flags=leak_flags(F.col("masked")))
     t = t.withColumn("second_sweep", F.size("flags") > 0)
-    t = step(t, masked=F.when(F.col("second_sweep"), _rewritten(F.col("masked"), PASS + SWEEP)).otherwise(F.col("masked")))
+    t = once(t, masked=F.when(F.col("second_sweep"), _rewritten(F.col("masked"), PASS + SWEEP)).otherwise(F.col("masked")))
     if version == 2:
         extras = [(FIGURE, PLACEHOLDER), *((p, "$1" + PLACEHOLDER) for p in ASSIGNMENTS), (COEFFICIENT, PLACEHOLDER), (r"[ \t]{2,}", " ")]
         s = F.col("masked")
         for pattern, to in extras:
             s = F.regexp_replace(s, _FLAGS + pattern, to)
-        t = step(step(t, masked=s), masked=_rewritten(F.col("masked"), PASS))
-    t = step(t, flags=leak_flags(F.col("masked")))
+        t = once(once(t, masked=s), masked=_rewritten(F.col("masked"), PASS))
+    t = once(t, flags=leak_flags(F.col("masked")))
     n = F.regexp_count("masked", F.lit(r"\[N\]"))
     status = F.when(F.size("flags") > 0, "dropped").when(F.col("n_placeholders") < least, "below_min").otherwise("kept")
     return t.withColumn("n_placeholders", n).withColumn("share", masked_share(F.col("_o"), F.col("masked"))).withColumn("status", status).drop("_o")

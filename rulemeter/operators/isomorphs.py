@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import mulberry32
+from ..functions.staging import once
 
 # fixed values: the forms of numerals, in the order in which they are tried
 SIGNS = "-−–"
@@ -62,11 +63,6 @@ def _form(text: Column) -> Column:
     return F.struct(*(c.alias(k) for k, c in parts.items()))
 
 
-def _once(df: DataFrame, **parts: Column) -> DataFrame:
-    """``df`` with columns that are worked out once, behind a generator."""
-    return df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in parts.items())))).alias("_s")).select(*df.columns, "_s.*")
-
-
 def _find(atoms: Column, text: Column) -> Column:
     return F.get(F.filter(atoms, lambda a: a["text"] == text), F.lit(0))
 
@@ -74,13 +70,13 @@ def _find(atoms: Column, text: Column) -> Column:
 def _scanned(items: DataFrame, arm: str) -> DataFrame:
     """(id, spans, atoms, leads, fractions, seed): numerals of each option, and of the item the distinct atoms, the first numerals
     of its options and its fractions, both as pairs of atoms (the second null if it is no fraction)."""
-    t = _once(items.select("id", "options"), spans=F.transform("options", lambda o: numerals(o["text"])))
+    t = once(items.select("id", "options"), spans=F.transform("options", lambda o: numerals(o["text"])))
     every = F.flatten("spans")
     pair = lambda s: F.struct(F.get(_atoms_of(s), F.lit(0)).alias("a"), F.get(_atoms_of(s), F.lit(1)).alias("b"))
     first = F.array_compact(F.transform("spans", lambda s: F.get(s, F.lit(0))))
     digits = F.substring(F.sha2(F.concat(F.lit(f"{SEED}:{arm}:"), F.col("id").cast("string")), 256), 1, 8)
-    t = _once(t, texts=F.array_distinct(F.flatten(F.transform(every, _atoms_of))), leads=F.array_distinct(F.transform(first, pair)), fractions=F.array_distinct(F.transform(F.filter(every, lambda s: s.contains("/")), pair)), seed=F.conv(digits, 16, 10).cast("long"))
-    return _once(t, atoms=F.transform("texts", _form)).drop("texts")
+    t = once(t, texts=F.array_distinct(F.flatten(F.transform(every, _atoms_of))), leads=F.array_distinct(F.transform(first, pair)), fractions=F.array_distinct(F.transform(F.filter(every, lambda s: s.contains("/")), pair)), seed=F.conv(digits, 16, 10).cast("long"))
+    return once(t, atoms=F.transform("texts", _form)).drop("texts")
 
 
 def _value(atoms: Column, pair: Column, field: str) -> Column:
@@ -95,17 +91,17 @@ def _drawn(t: DataFrame, arm: str) -> DataFrame:
     span = lambda a: (a["high"] - a["low"] + 1).cast("double")
     mark = lambda a: F.when(a["sign"] != "", -1).otherwise(1)
     draw = lambda a, j: a.withField("drawn", mark(a) * (a["low"] + F.least(span(a) - 1, F.floor((u(j, 1) + u(j, 2) / 4294967296.0) * span(a))).cast("long")))
-    t = _once(t, new=F.transform("atoms", draw))
+    t = once(t, new=F.transform("atoms", draw))
     if arm == KEPT:
         # of the leads with one form the k-th smallest takes the k-th smallest draw: as good as redrawing until the order is right
         alone = F.transform(F.filter("leads", lambda x: x["b"].isNull()), lambda x: x["a"])
         same = lambda a, b: (a["sign"] == b["sign"]) & (a["kind"] == b["kind"]) & (a["whole"] == b["whole"]) & (a["places"] == b["places"])
-        t = _once(t, alone=alone)
+        t = once(t, alone=alone)
         peers = lambda a: F.filter("new", lambda b: same(a, b) & F.array_contains("alone", b["text"]))
         at = lambda a: F.size(F.filter(peers(a), lambda b: b["value"] < a["value"]))
         placed = lambda a: F.when(F.array_contains("alone", a["text"]), F.get(F.array_sort(F.transform(peers(a), lambda b: b["drawn"])), at(a))).otherwise(a["drawn"])
-        t = _once(t, placed=F.transform("new", lambda a: a.withField("drawn", placed(a)))).drop("new", "alone").withColumnRenamed("placed", "new")
-    return _once(t, told=F.transform("new", lambda a: a.withField("fresh", a["drawn"] / F.pow(F.lit(10.0), a["places"])))).drop("new").withColumnRenamed("told", "new")
+        t = once(t, placed=F.transform("new", lambda a: a.withField("drawn", placed(a)))).drop("new", "alone").withColumnRenamed("placed", "new")
+    return once(t, told=F.transform("new", lambda a: a.withField("fresh", a["drawn"] / F.pow(F.lit(10.0), a["places"])))).drop("new").withColumnRenamed("told", "new")
 
 
 def _valid(arm: str) -> Column:
@@ -174,9 +170,9 @@ def checked(items: DataFrame, told: DataFrame) -> DataFrame:
     value = lambda s: _value(F.transform(_atoms_of(s), _form), F.struct(F.get(_atoms_of(s), F.lit(0)).alias("a"), F.get(_atoms_of(s), F.lit(1)).alias("b")), "value")
     both = items.select("id", F.col("options").alias("old")).join(told.select("id", "state", F.col("options").alias("new")), "id")
     pairs = F.zip_with("old", "new", lambda a, b: F.struct(a["text"].alias("a"), b["text"].alias("b")))
-    t = _once(both, pairs=pairs)
+    t = once(both, pairs=pairs)
     first = lambda s: F.get(numerals(s), F.lit(0))
-    t = _once(t, leads=F.transform(F.filter("pairs", lambda p: first(p["a"]).isNotNull()), lambda p: F.struct(value(first(p["a"])).alias("old"), value(first(p["b"])).alias("new"))))
+    t = once(t, leads=F.transform(F.filter("pairs", lambda p: first(p["a"]).isNotNull()), lambda p: F.struct(value(first(p["a"])).alias("old"), value(first(p["b"])).alias("new"))))
     bare = lambda s: F.translate(s, "0123456789", "9999999999")
     form = F.forall("pairs", lambda p: bare(p["a"]).eqNullSafe(bare(p["b"])))
     rank = F.forall("leads", lambda x: F.forall("leads", lambda y: F.signum(x["old"] - y["old"]).eqNullSafe(F.signum(x["new"] - y["new"]))))

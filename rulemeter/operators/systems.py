@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.staging import once
 
 # fixed values: what equations and options look like
 MINUS = "−–—‐‑‒­"
@@ -80,11 +81,6 @@ def _holds(e: Column, names: Column, x: Column, y: Column) -> Column:
     return F.when(rel == "=", near).when(rel == "!=", ~near).when(rel == "<", (left < right) & ~near).when(rel == ">", (left > right) & ~near).when(rel == "<=", (left < right) | near).when(rel == ">=", (left > right) | near)
 
 
-def _once(df: DataFrame, **parts: Column) -> DataFrame:
-    """``df`` with columns that are worked out once, behind a generator."""
-    return df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in parts.items())))).alias("_s")).select(*df.columns, "_s.*")
-
-
 def substitution(items: DataFrame) -> DataFrame:
     """(id, answer, kind, n_equations, hits, solution) of items (id, stem, options).
 
@@ -93,14 +89,14 @@ def substitution(items: DataFrame) -> DataFrame:
     satisfies what decides; kind is scalar, pair or system, null where nothing could be put in. ``solution`` is (x, y) by
     elimination from the first two equations of a system, where they are equalities with one solution."""
     o = F.transform(F.coalesce("options", F.array().cast("array<struct<letter:string,text:string>>")), lambda x: F.struct(x["letter"].alias("letter"), strict_option(x["text"]).alias("p")))
-    t = _once(items.select("id", "stem", "options"), eqs=equations(F.col("stem")), o=o).select("id", "eqs", "o")
+    t = once(items.select("id", "stem", "options"), eqs=equations(F.col("stem")), o=o).select("id", "eqs", "o")
     one, two = F.filter("eqs", lambda e: F.size(e["vars"]) == 1), F.filter("eqs", lambda e: F.size(e["vars"]) == 2)
     scalars, pairs = F.filter("o", lambda x: x["p"]["x"].isNotNull() & x["p"]["y"].isNull()), F.filter("o", lambda x: x["p"]["y"].isNotNull())
-    t = _once(t, one=one, two=two, scalars=scalars, pairs=pairs)
+    t = once(t, one=one, two=two, scalars=scalars, pairs=pairs)
     names = lambda es: F.array_sort(F.array_distinct(F.flatten(F.transform(es, lambda e: e["vars"]))))
     system = F.when((F.size("one") >= 2) & (F.size(names(F.col("one"))) == 2), F.concat("one", "two")).otherwise(F.col("two"))
-    t = _once(t, system=system)
-    t = _once(t, names=names(F.col("system")), first=F.get("one", F.lit(0)))
+    t = once(t, system=system)
+    t = once(t, names=names(F.col("system")), first=F.get("one", F.lit(0)))
     scalar = (F.size("one") > 0) & (F.size("scalars") > 0)
     paired = (F.size("system") > 0) & (F.size("pairs") > 0) & (F.size("names") == 2)
     letters = lambda xs: F.transform(xs, lambda x: x["letter"])
@@ -113,6 +109,6 @@ def substitution(items: DataFrame) -> DataFrame:
     det = a * e - b * d
     equal = lambda i: F.get("system", F.lit(i))["rel"] == "="
     solved = F.struct(F.try_divide(b * f - c * e, det).alias("x"), F.try_divide(c * d - a * f, det).alias("y"))
-    t = _once(t, hits=F.when(scalar, by_one).when(paired, by_all), kind=kind, solution=F.when((F.size("system") >= 2) & (F.size("names") == 2) & equal(0) & equal(1) & (F.abs(det) > 1e-12), solved))
+    t = once(t, hits=F.when(scalar, by_one).when(paired, by_all), kind=kind, solution=F.when((F.size("system") >= 2) & (F.size("names") == 2) & equal(0) & equal(1) & (F.abs(det) > 1e-12), solved))
     answer = F.when(F.size("hits") == 1, F.get("hits", F.lit(0)))
     return t.select("id", answer.alias("answer"), "kind", F.size("eqs").alias("n_equations"), "hits", "solution")
