@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +32,14 @@ def mulberry32(seed: Column, k: Column) -> Column:
     return _let(_let(_let((seed + k * F.lit(STEP)).bitwiseAND(F.lit(MASK)), first), second), last)
 
 
+def draws(seed: int, k: np.ndarray) -> np.ndarray:
+    """mulberry32() of an array of whole numbers."""
+    a = ((np.uint64(seed) + k.astype(np.uint64) * np.uint64(STEP)) & np.uint64(MASK)).astype(np.uint32)
+    t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+    t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+    return (t ^ (t >> np.uint32(14))) / 4294967296.0
+
+
 def sql(seed: str, k: str) -> str:
     """DuckDB expression of the draw."""
     imul = lambda x, y: f"((((({x}) >> 16) * ({y})) % 65536 * 65536 + (({x}) & 65535) * ({y})) & 4294967295)"

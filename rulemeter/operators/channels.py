@@ -6,11 +6,16 @@ claim, stem, key, options)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.rng import mulberry32
+from ..functions.rng import draws as draws_of
+from ..functions.staging import once
 from .stats import binomial_sf, holm, with_interval
 from .strategies import lower_central
 
@@ -56,7 +61,8 @@ def survivors(items: DataFrame) -> DataFrame:
         return v.isNull() | out
 
     n = sum((on.cast("int") for on in (c["count"], c["probability"], c["percent"], c["length"], c["interior"], c["angle"], mean)), F.lit(0))
-    return t.select("id", F.size("o").alias("n_options"), n.alias("n_constraints"), F.filter("o", lambda x: allowed(x["v"])).alias("left"))
+    t = once(t, n_constraints=n, left=F.filter("o", lambda x: allowed(x["v"])))
+    return t.select("id", F.size("o").alias("n_options"), "n_constraints", "left")
 
 
 def elimination(items: DataFrame) -> DataFrame:
@@ -67,7 +73,8 @@ def elimination(items: DataFrame) -> DataFrame:
     numeric = F.forall(left, lambda x: x["v"].isNotNull())
     first = F.array_min(F.transform(left, lambda x: x["letter"]))
     answer = F.when(n == 1, first).when((n > 1) & numeric, lower_central(left)).when(n > 1, first)
-    return t.select("id", answer.alias("answer"), F.try_divide(F.lit(1.0), n).alias("chance"), "n_options", "n_constraints", n.alias("n_left"), F.transform(left, lambda x: x["letter"]).alias("letters"))
+    t = once(t, n_left=n, answer=answer, letters=F.transform(left, lambda x: x["letter"]))
+    return t.select("id", "answer", F.try_divide(F.lit(1.0), "n_left").alias("chance"), "n_options", "n_constraints", "n_left", "letters")
 
 
 def hub_channel(items: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -120,20 +127,35 @@ def tie_null(rows: DataFrame, seed: int, n_draws: int = 1000) -> DataFrame:
     """(n, n_tied, rule_rate, expected_rate, lo, hi) of answered rows (number, key, answer, tied): the rate of the rule, and the rates
     of ``n_draws`` redraws in which each item with several tied letters takes one of them at random.
 
-    Draw b of an item is the draw b * 2^21 + number of the generator, so that every task makes its own; only counts by draw
-    leave it. ``number`` is a long that tells items apart; lo and hi are the draws floor(.025 B) and floor(.975 B)."""
+    Draw b of an item is the draw b * 2^21 + number of the generator, so that every task makes its own in one pass over its
+    items; only counts by draw leave it. ``number`` is a long that tells items apart; lo and hi are the draws floor(.025 B) and floor(.975 B)."""
     same = lambda letter: F.coalesce(F.lower(letter) == F.lower(F.trim("key")), F.lit(False))
     tied = F.col("tied")
     rows = rows.filter("answer is not null").select(F.col("number").cast("long").alias("number"), same(F.col("answer")).alias("ok"), F.transform(tied, same).alias("hits"))
-    several = F.size("hits") > 1
-    hits = F.size(F.filter("hits", lambda h: h))
-    expected = F.when(several, hits / F.size("hits")).otherwise(F.col("ok").cast("double"))
-    base = rows.agg(F.count("*").alias("n"), F.count_if(several).alias("n_tied"), F.avg(F.col("ok").cast("double")).alias("rule_rate"), F.avg(expected).alias("expected_rate"), F.count_if(~several & F.col("ok")).alias("sure"))
-    draws = rows.sparkSession.range(n_draws).select(F.col("id").alias("b"), F.lit(0).alias("zero"))  # a row for each draw, so that draws without a hit count too
-    taken = rows.filter(several).select("number", "hits", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_draws - 1).cast("long"))).alias("b"))
-    at = F.floor(mulberry32(F.lit(seed), F.col("b") * (1 << 21) + F.col("number")) * F.size("hits")).cast("int")
-    right = taken.groupBy("b").agg(F.count_if(F.get("hits", at)).alias("c"))
-    rates = F.array_sort(F.collect_list(F.coalesce("c", F.lit(0))))
-    spread = draws.join(right, "b", "left").agg(rates.alias("r"))  # n_draws numbers
+    kinds = {"n": -1, "n_tied": -2, "ok": -3, "sure": -4, "expected": -5}  # what is counted beside the draws
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, told, expected = np.zeros(n_draws, np.int64), dict.fromkeys(kinds, 0), 0.0
+        for whole in batches:
+            for first in range(0, whole.num_rows, 4096):
+                t = whole.slice(first, 4096)
+                numbers, ok, hits = (t.column(i) for i in range(3))
+                ok = ok.to_numpy(zero_copy_only=False).astype(bool)
+                flat, sizes = hits.flatten().to_numpy(zero_copy_only=False).astype(bool), hits.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                starts, several = np.cumsum(sizes) - sizes, sizes > 1
+                right = np.concatenate(([0], np.cumsum(flat)))
+                share = (right[starts + sizes] - right[starts])[several] / sizes[several]
+                for k, v in (("n", len(ok)), ("n_tied", several.sum()), ("ok", ok.sum()), ("sure", (ok & ~several).sum())):
+                    told[k] += int(v)
+                expected += float(share.sum()) + float((ok & ~several).sum())
+                numbers, starts, sizes = (v[several] for v in (numbers.to_numpy(zero_copy_only=False), starts, sizes))
+                for b in range(n_draws):
+                    counts[b] += np.count_nonzero(flat[starts + (draws_of(seed, b * (1 << 21) + numbers) * sizes).astype(np.int64)])
+        b, c = [*kinds.values(), *range(n_draws)], [*told.values(), *counts.tolist()]
+        yield pa.record_batch([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array([expected if k == kinds["expected"] else 0.0 for k in b], pa.float64())], names=["b", "c", "x"])
+
+    counted = rows.mapInArrow(run, "b long, c long, x double").groupBy("b").agg(F.sum("c").alias("c"), F.sum("x").alias("x"))
+    one = lambda k, c="c": F.max(F.when(F.col("b") == kinds[k], F.col(c))).alias(k)
+    t = counted.agg(one("n"), one("n_tied"), one("ok"), one("sure"), one("expected", "x"), F.array_sort(F.collect_list(F.when(F.col("b") >= 0, F.col("c")))).alias("r"))  # n_draws numbers
     bound = lambda q: (F.get("r", F.lit(min(n_draws - 1, int(q * n_draws)))) + F.col("sure")) / F.col("n")
-    return base.crossJoin(spread).filter("n > 0").select("n", "n_tied", "rule_rate", "expected_rate", bound(0.025).alias("lo"), bound(0.975).alias("hi"))  # one row each
+    return t.filter("n > 0").select("n", "n_tied", (F.col("ok") / F.col("n")).alias("rule_rate"), (F.col("expected") / F.col("n")).alias("expected_rate"), bound(0.025).alias("lo"), bound(0.975).alias("hi"))

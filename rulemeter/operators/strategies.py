@@ -6,14 +6,18 @@ import math
 import re
 from itertools import chain, product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.staging import once
 
 #: Values that the closure makes at most, in order of depth; the bound is part of the rule.
 MOST_VALUES = 4000
+#: Values by which a count of rounded values may be off.
+SPARE = 64
 # fixed values: words of stems of which pi and halved products belong to the closure
 GEOMETRY = re.compile(
     r"\b(triangle|circle|radius|diameter|circumference|rectangle|square|trapezoid|parallelogram|prism|cylinder|sphere|hypotenuse|base|height|width|length|perimeter|area|volume)\b", re.I
@@ -61,17 +65,17 @@ def transform_edges(items: DataFrame) -> DataFrame:
 def lower_central(options: Column) -> Column:
     """Of (letter, v) options that are all numbers, the first letter that has the lower central value; null if there are none."""
     pairs = F.array_sort(F.transform(options, lambda x: F.struct(x["v"].alias("v"), x["letter"].alias("letter"))))
-    middle = F.get(pairs, F.floor((F.size(pairs) - 1) / 2).cast("int"))["v"]
-    return F.get(F.filter(pairs, lambda x: x["v"] == middle), F.lit(0))["letter"]
+    # the pairs stand in one lambda's argument, so that they are sorted once
+    first = lambda p: F.get(F.filter(p, lambda x: x["v"] == F.get(p, F.floor((F.size(p) - 1) / 2).cast("int"))["v"]), F.lit(0))["letter"]
+    return F.get(F.transform(F.array(pairs), first), F.lit(0))
 
 
 def hub(items: DataFrame, least: int = 3) -> DataFrame:
     """(id, answer, tied) of items with ``least`` numeric options: the option with the most edges, the lower central one by value
     where several have them, null where there is no edge. ``tied`` are those options' letters, in order."""
-    t = _degrees(_numeric_options(items)).filter(F.size("o") >= least)
-    top = F.array_max(F.transform("o", lambda x: x["out_degree"]))
-    t = t.select("id", F.filter("o", lambda x: (x["out_degree"] == top) & (top > 0)).alias("best"))
-    return t.select("id", lower_central(F.col("best")).alias("answer"), F.array_sort(F.transform("best", lambda x: x["letter"])).alias("tied"))
+    t = once(_degrees(_numeric_options(items)).filter(F.size("o") >= least), top=F.array_max(F.transform("o", lambda x: x["out_degree"])))
+    t = once(t, best=F.filter("o", lambda x: (x["out_degree"] == F.col("top")) & (F.col("top") > 0)))
+    return once(t, answer=lower_central(F.col("best")), tied=F.array_sort(F.transform("best", lambda x: x["letter"]))).select("id", "answer", "tied")
 
 
 def closure(numbers: list[float], depth: int = 2, most: int = MOST_VALUES, geometry: bool = False) -> dict[float, int]:
@@ -94,6 +98,38 @@ def closure(numbers: list[float], depth: int = 2, most: int = MOST_VALUES, geome
     return found
 
 
+def depths(numbers: list[float], asked: list[float], depth: int = 2, most: int = MOST_VALUES, geometry: bool = False) -> dict[float, int]:
+    """Of the values ``asked``, rounded to 8 digits, those that closure() holds, with their depth.
+
+    Where its last step can't reach the bound, the order of making doesn't matter: that step is then not made, but looked up
+    among all sums, differences, products and quotients, and only values beside an asked one are rounded."""
+    if depth < 2:
+        have = closure(numbers, depth, most, geometry)
+        return {x: have[x] for x in asked if x in have}
+    have = closure(numbers, depth - 1, most, geometry)
+    v = np.fromiter(have, float, len(have))
+    made = np.empty(0)
+    if len(have) ** 2 <= most:  # beyond that the differences alone may reach the bound
+        with np.errstate(over="ignore", invalid="ignore"):
+            made = np.concatenate([np.add.outer(v, v), np.subtract.outer(v, v), np.multiply.outer(v, v), np.divide.outer(v, v[np.abs(v) > 1e-12])], axis=1).ravel()
+        made = made[np.abs(made) <= 1e12]
+    # doubles from 9e7 on have no ninth digit; SPARE is for what numpy rounds otherwise
+    many = len(have) + (len(made) if len(have) + len(made) <= most else len(np.unique(np.where(np.abs(made) < 9e7, np.round(made, 8), made))) + SPARE)
+    if len(have) ** 2 > most or many > most:
+        have = closure(numbers, depth, most, geometry)
+        return {x: have[x] for x in asked if x in have}
+    out = {x: have[x] for x in asked if x in have}
+    want = np.array(sorted({x for x in asked if x not in have and abs(x) <= 1e12 + 1}))
+    if len(want) and len(made):
+        after = np.searchsorted(want, made)
+        close = np.zeros(len(made), bool)
+        for at in (np.maximum(after - 1, 0), np.minimum(after, len(want) - 1)):
+            close |= np.abs(made - want[at]) <= 1e-8 + 1e-15 * np.abs(want[at])
+        asked_for = set(want.tolist())
+        out |= {r: depth for x in made[close].tolist() if (r := round(x, 8)) in asked_for}
+    return out
+
+
 def closure_answers(items: DataFrame, depth: int = 2) -> DataFrame:
     """(id, answer, depth, tied): the option that the closure of all the stem's numbers reaches at the least depth; of several
     (tied, in order) the lower central one by value, the first letter where values are equal.
@@ -105,15 +141,17 @@ def closure_answers(items: DataFrame, depth: int = 2) -> DataFrame:
     def run(stems: pd.Series, numbers: pd.Series, options: pd.Series) -> pd.DataFrame:
         out = []
         for stem, ns, opts in zip(stems, numbers, options, strict=True):
-            have = closure([float(x) for x in (ns if ns is not None else []) if x == x], depth, geometry=bool(GEOMETRY.search(stem or "")))
-            hits = [(have[round(x["v"], 8)], x["v"], x["letter"]) for x in (opts if opts is not None else []) if x["v"] is not None and round(x["v"], 8) in have]
+            asked = [(round(x["v"], 8), x["v"], x["letter"]) for x in (opts if opts is not None else []) if x["v"] is not None]
+            have = depths([float(x) for x in (ns if ns is not None else []) if x == x], [a[0] for a in asked], depth, geometry=bool(GEOMETRY.search(stem or "")))
+            hits = [(have[r], v, letter) for r, v, letter in asked if r in have]
             least = min((h[0] for h in hits), default=None)
             tied = sorted(h[1:] for h in hits if h[0] == least)
             middle = tied[(len(tied) - 1) // 2][0] if tied else None
             out.append((next((letter for v, letter in tied if v == middle), None), least, sorted(letter for _, letter in tied)))
         return pd.DataFrame(out, columns=["answer", "depth", "tied"])
 
-    return items.select("id", run(F.col("stem"), T.numbers(F.col("stem")), o).alias("r")).select("id", "r.*")
+    # not deterministic, so that a filter over the answer doesn't work it out a second time
+    return items.select("id", run.asNondeterministic()(F.col("stem"), T.numbers(F.col("stem")), o).alias("r")).select("id", "r.*")
 
 
 def portfolio(items: DataFrame, branches: list[tuple[str, DataFrame]], fallback: str = "B") -> DataFrame:

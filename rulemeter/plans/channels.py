@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions import text as T
+from ..functions.staging import once
 from ..operators import channels as C
 from ..operators import isomorphs as N
 from ..operators import items as I
 from ..operators import rollups as R
 from ..operators import strategies as S
 from ..operators import systems as Y
-from .exam import INTERVAL_SQL, edges_sql, read
+from .exam import INTERVAL_SQL, edges_sql, read, spread
 
 #: Stems of the six kinds of problems: parts between which p, n and p + n stand.
 STEMS = [
@@ -26,7 +27,8 @@ TIE_SEED = 20260918
 
 def part_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A problem for each part: six kinds of stems, five options in ten-thousandths, the right one at a place of its own."""
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("authority"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"))
+    part = spread(read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size"), "p_partkey")
+    part = part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("authority"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"))
     part = part.withColumn("s", F.col("p") + F.col("n")).withColumn("kind", (F.col("id") % 6).cast("int"))
     told = [F.concat(*(F.col(x).cast("string") if x in ("p", "n", "s") else F.lit(x) for x in row if x)) for row in STEMS]
     right = F.element_at(F.array(F.expr("(n - p) * 10000"), F.expr("p * 10000 div s"), F.expr("p * 1000000 div n"), F.expr("p * 10000 div n"), F.expr("(180 - s) * 10000"), F.expr("s * 20000 div 3")), F.col("kind") + 1)
@@ -121,7 +123,8 @@ def closure_tie_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item with equations for each part: a system, a line, an inequality, one equation of two variables; four options."""
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"), (F.col("p_partkey") % 4).cast("int").alias("kind"))
+    part = spread(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    part = part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"), (F.col("p_partkey") % 4).cast("int").alias("kind"))
     say = lambda *xs: F.concat(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in xs))
     p, n = F.col("p"), F.col("n")
     stems = F.array(say("If 2x + 3y = ", 2 * p + 3 * n, " and x - y = ", p - n, ", what is (x, y)?"), say("Solve 3x + 4 = ", 3 * p + 4, "."), say("Which pair satisfies y > 2x + ", p, "?"), say("If a + b = ", p + n, ", which (a, b) is right?"))
@@ -164,7 +167,8 @@ def residual_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = part_problems(spark, sf_dir)
     modal = items.join(R.modal_letters(items, ["claim"]).select("claim", F.col("letter").alias("answer")), "claim").select("id", "answer")
     o = F.transform("options", lambda x: F.struct(x["letter"].alias("letter"), T.option_number(T.clean_number(x["text"])).alias("v")))
-    lower = items.select("id", S.lower_central(F.filter(o, lambda x: x["v"].isNotNull())).alias("answer"))
+    valued = once(items.select("id", "options"), o=F.filter(o, lambda x: x["v"].isNotNull()))
+    lower = once(valued, answer=S.lower_central(F.col("o"))).select("id", "answer")
     longest = I.answers(items, ["longest-option"]).select("id", "answer")
     rest = R.residual_items(items, {"lower": lower, "modal": modal, "hub": S.hub(items), "longest": longest}).withColumn("rest", F.lit(1))
     return items.select("id", "claim").join(rest, "id", "left").groupBy("claim").agg(F.count("*").alias("n_items"), F.count("rest").alias("n_rest"))

@@ -16,6 +16,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt over all tasks by a hash of ``key``: a small file is few tasks, however much is worked out for each row."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item for each order: its lines are the options, the dearest line is the key."""
     line, orders, part = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
@@ -171,7 +176,8 @@ ORACLES = {"rule_chance": RULE_CHANCE_SQL, "first_witness": WITNESS_SQL, "eligib
 
 def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Computation items made of parts: a stem of one of four kinds, four numbers to choose from."""
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"))
+    part = spread(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    part = part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"))
     kinds = [F.concat(F.lit(a), F.col(x).cast("string"), F.lit(b), F.col(y).cast("string"), F.lit(c)) for a, x, b, y, c in PART_STEMS]
     stem = F.element_at(F.array(*kinds), (F.col("id") % 4 + 1).cast("int"))
     cents = [F.col("p") * F.col("n"), F.col("n") * (100 - F.col("p")), F.col("p") * F.col("n") * 100, (F.col("p") + F.col("n")) * 50]

@@ -12,7 +12,7 @@ from ..operators import items as I
 from ..operators import relational as R
 from ..operators import systems as Y
 from ..sources import tables as S
-from .exam import ITEMS_SQL, TRIALS_SQL, order_items, read
+from .exam import ITEMS_SQL, TRIALS_SQL, order_items, read, spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -39,7 +39,7 @@ TEXTS = [
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): what a transcriber made of each part's problem, in five forms, one of them broken."""
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"))
+    part = spread(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("p"), (F.col("p_partkey") % 90 + 10).alias("n"))
     text = F.element_at(F.array(*map(F.lit, TEXTS)), (F.col("id") % len(TEXTS) + 1).cast("int"))
     p, n = F.col("p"), F.col("n")
     for mark, value in {"p": p, "n": n, "q": p + 1, "s": 2 * p + 3 * n, "d": p - n, "t": 3 * p + 4}.items():
@@ -96,7 +96,7 @@ def blinded_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def masked_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document masked in both versions; SQL engines differ in the patterns these take."""
-    docs, out = read(spark, sf_dir, "documents").select("doc_id", "text"), None
+    docs, out = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), None
     for version in (1, 2):
         t = K.masked_stems(docs, version, 1, "text").select("doc_id", F.lit(version).alias("version"), "status", "n_placeholders", "second_sweep", F.array_join("flags", ",").alias("flags"), F.round("share", 6).alias("share"), F.sha2("masked", 256).alias("masked_sha256"))
         out = t if out is None else out.unionByName(t)

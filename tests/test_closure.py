@@ -51,3 +51,34 @@ def test_closure_equals_plain_loops():
                 assert S.closure(numbers, most=10**7, geometry=geometry) == want
                 few = S.closure(numbers, most=30, geometry=geometry)
                 assert len(few) == min(len(want), max(30, len(set(round(x, 8) for x in numbers)))) and all(want[v] == d for v, d in few.items())
+
+
+def test_depths_of_asked_values_equal_the_closure():
+    r = random.Random(4)
+    for n in (0, 1, 2, 3, 4, 6):
+        for most in (10, 400, 4000):
+            numbers = [r.choice([0.0, 1e12, -2.5, r.randint(-9, 99) * 1.0, r.random() * 1e7]) for _ in range(n)]
+            for geometry in (False, True):
+                for depth in (1, 2):
+                    have = S.closure(numbers, depth, most, geometry)
+                    some = r.sample(list(have), min(len(have), 40))
+                    asked = some + [x + d for x in some for d in (1e-8, -1e-8, 3e-8, 0.5)] + [7.25, float("nan"), float("inf"), 3e12]
+                    asked = [round(x, 8) for x in asked]
+                    assert S.depths(numbers, asked, depth, most, geometry) == {x: have[x] for x in asked if x in have}
+
+
+def test_a_small_file_is_worked_on_in_all_tasks(spark):
+    from rulemeter.plans import channels, exam, transcripts
+
+    at = "/root/testdata/sf0.001"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 1
+    for made in (exam.part_items, channels.part_problems, channels.part_systems, transcripts.transcripts):
+        assert made(spark, at).rdd.getNumPartitions() == n
+
+
+def test_a_filter_does_not_make_the_closure_twice(spark):
+    from rulemeter.plans import exam
+
+    t = S.closure_answers(exam.part_items(spark, "/root/testdata/sf0.001")).filter("answer is not null")
+    assert t._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
