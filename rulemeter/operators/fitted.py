@@ -6,14 +6,15 @@ are ties. Items are (id, stem, key, options); the key is read by the training fu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.rng import mulberry32
+from ..functions.rng import draws
 from .items import prepared
 from .stats import with_interval
 
@@ -32,22 +33,31 @@ def option_features(items: DataFrame, *keep: str) -> DataFrame:
     letters and digits (c3:), cues (longest, middle value, a number of the stem), place and length; repeats stay.
 
     ``place`` numbers an item's options from 0. Items without options have no rows."""
+    t, s, x = _shared_values(items, *keep), F.col("s"), F.col("x")
+    t = t.select(*keep, F.col("p.numbers").alias("numbers"), "s", F.posexplode("p.o").alias("place", "x"))
+    words, plain, last = _parts(x, s, F.col("numbers"))
+    t = t.select(*keep, "place", "x", words.alias("words"), plain.alias("c"), last.alias("last"))
+    n = F.least(F.length("c") - 2, F.lit(GRAMS))
+    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("c3:"), F.substring("c", i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return t.select(*keep, x["letter"].alias("letter"), "place", F.concat("words", grams, "last").alias("features"))
+
+
+def _shared_values(items: DataFrame, *keep: str) -> DataFrame:
+    """Prepared items with what their options share: the greatest length, the middle value, the stem's words."""
     p = F.col("p")
     o = p["o"]
     values = F.array_sort(F.filter(F.transform(o, lambda x: x["v"]), lambda v: v.isNotNull()))
     shared = F.struct(F.array_max(F.transform(o, lambda x: x["n"])).alias("top"), F.when(F.size(values) >= 3, F.get(values, F.floor((F.size(values) - 1) / 2).cast("int"))).alias("middle"), _long(T.tokens(p["stem"])).alias("words"))
-    t = prepared(items, *keep).select(*keep, "p", F.explode(F.array(shared)).alias("s"))
-    s = F.col("s")
-    t = t.select(*keep, p["numbers"].alias("numbers"), "s", F.posexplode(o).alias("place", "x"))
-    x = F.col("x")
+    return prepared(items, *keep).select(*keep, "p", F.explode(F.array(shared)).alias("s"))
+
+
+def _parts(x: Column, s: Column, numbers: Column) -> tuple[Column, Column, Column]:
+    """Of an option its word features, its letters and digits with single spaces (a-z, 0-9), and its cues, place and length."""
     words = F.flatten(F.transform(_long(x["t"]), lambda w: F.when(F.array_contains(s["words"], w), F.array(F.concat(F.lit("o:"), w), F.concat(F.lit("ov:"), w))).otherwise(F.array(F.concat(F.lit("o:"), w)))))
-    t = t.select(*keep, "place", "x", "s", "numbers", words.alias("words"), F.regexp_replace(F.lower(x["text"]), "[^a-z0-9]+", " ").alias("c"))
-    n = F.least(F.length("c") - 2, F.lit(GRAMS))
-    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("c3:"), F.substring("c", i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
     cue = lambda name, on: F.when(on, F.lit(f"cue:{name}"))
-    cues = F.array_compact(F.array(cue("longest", x["n"] == s["top"]), cue("middle", x["v"] == s["middle"]), cue("numrepeat", F.exists("numbers", lambda k: F.contains(x["text"], k)))))
+    cues = F.array_compact(F.array(cue("longest", x["n"] == s["top"]), cue("middle", x["v"] == s["middle"]), cue("numrepeat", F.exists(numbers, lambda k: F.contains(x["text"], k)))))
     last = F.array(F.concat(F.lit("pos:"), x["letter"]), F.concat(F.lit("len:"), F.least(F.lit(8), F.floor(x["n"] / 12)).cast("string")))
-    return t.select(*keep, x["letter"].alias("letter"), "place", F.concat("words", grams, cues, last).alias("features"))
+    return words, F.regexp_replace(F.lower(x["text"]), "[^a-z0-9]+", " "), F.concat(cues, last)
 
 
 def _is_key(letter: str = "letter") -> Column:
@@ -81,13 +91,53 @@ def apply_ngram(model: DataFrame, items: DataFrame) -> DataFrame:
 
 def random_ngram(items: DataFrame, seed: int) -> DataFrame:
     """(id, answer, score): the same features with weights between -1 and 1 that are drawn anew for each item, the first draw for
-    its first feature, the next for the first that differs from it, and so on. An item's rows meet in one partition once."""
-    place = F.col("place") * 100_000 + F.col("at")
-    rows = option_features(items, "id").select("id", "letter", "place", F.posexplode("features").alias("at", "feature")).select("id", "letter", place.alias("place"), "feature").repartition("id")
-    rows = rows.withColumn("first", F.min("place").over(W.partitionBy("id", "feature")))
-    draw = F.dense_rank().over(W.partitionBy("id").orderBy("first"))
-    rows = rows.withColumn("draw", draw).withColumn("w", F.rint(UNIT * (mulberry32(F.lit(seed), F.col("draw").cast("long")) * 2 - 1)).cast("long"))
-    return _first_best(rows.groupBy("id", "letter").agg(F.sum("w").alias("s")))
+    its first feature, the next for the first that differs from it, and so on.
+
+    An item's options stay in its row, so nothing is shuffled; a batch's features are numbered, and a sort of (item, feature)
+    gives each one's first place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                options = b.column(1)
+                sizes = np.asarray(options.value_lengths())
+                flat = options.flatten()
+                letters, plain = flat.field("letter").to_pylist(), flat.field("plain").to_pylist()
+                owner = np.repeat(np.arange(b.num_rows), sizes)  # of each option
+                coded = pa.chunked_array([flat.field("words").flatten(), flat.field("last").flatten()]).combine_chunks().dictionary_encode()
+                codes = np.asarray(coded.indices.fill_null(len(coded.dictionary))).astype(np.int64) + (1 << 24)
+                n = [np.asarray(flat.field("words").value_lengths()), np.clip(np.array([len(c) - 2 for c in plain]), 0, GRAMS), np.asarray(flat.field("last").value_lengths())]
+                within = [np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) for k in n]
+                text, ends = np.frombuffer("".join(plain).encode(), np.uint8).astype(np.int64), np.cumsum([len(c) for c in plain])
+                g = np.repeat(np.concatenate(([0], ends[:-1])), n[1]) + within[1]
+                parts = [codes[: n[0].sum()], (text[g] << 16) + (text[g + 1] << 8) + text[g + 2], codes[n[0].sum() :]]
+                counts = n[0] + n[1] + n[2]
+                starts, features = np.cumsum(counts) - counts, np.empty(counts.sum(), np.int64)
+                for lead, k, j, part in zip((0, n[0], n[0] + n[1]), n, within, parts, strict=True):
+                    features[np.repeat(starts + lead, k) + j] = part
+                whose = np.repeat(owner, counts)
+                _, first, which = np.unique(whose * (features.max() + 1) + features, return_index=True, return_inverse=True)
+                place = np.sort(first)  # first places of an item's features, item by item
+                before = np.searchsorted(whose[place], np.arange(b.num_rows))
+                draw = np.empty(len(first), np.int64)
+                draw[np.argsort(first)] = np.arange(len(first)) - before[whose[place]]
+                weight = np.rint(UNIT * (draws(seed, draw + 1) * 2 - 1)).astype(np.int64)[which]
+                sums = np.add.reduceat(weight, np.cumsum(counts) - counts)  # every option has a place and a length at least
+                best: dict[int, tuple[int, str]] = {}
+                for i, s, letter in zip(owner.tolist(), sums.tolist(), letters, strict=True):
+                    if i not in best or (-s, letter) < best[i]:
+                        best[i] = -s, letter
+                yield pa.record_batch([b.column(0).take(pa.array(list(best), pa.int64())), pa.array([x for _, x in best.values()], pa.string()), pa.array([-s for s, _ in best.values()], pa.int64())], names=["id", "answer", "score"])
+
+    t, s = _shared_values(items, "id"), F.col("s")
+
+    def option(x: Column) -> Column:
+        words, plain, last = _parts(x, s, F.col("p.numbers"))
+        return F.struct(x["letter"].alias("letter"), words.alias("words"), plain.alias("plain"), last.alias("last"))
+
+    t = t.select("id", F.transform("p.o", option).alias("options")).filter(F.size("options") > 0)
+    return t.mapInArrow(run, f"id {dict(items.dtypes)['id']}, answer string, score long")
 
 
 def _shared(items: DataFrame, *keep: str, repeats: bool) -> DataFrame:

@@ -38,3 +38,12 @@ def test_bootstrap_draws_in_all_tasks(spark):
     assert "_b" not in " ".join(line for line in plan.splitlines() if "SortMergeJoin" in line)
     (row,) = t.collect()
     assert row.n == 2000 and row.lo < row.rate < row.hi
+
+
+def test_random_weights_shuffle_no_features(spark):
+    from rulemeter.operators import fitted as M
+
+    items = spark.range(50).selectExpr("id", "'of 12 red rings' as stem", "array(named_struct('letter', 'A', 'text', concat(id, ' red rings')), named_struct('letter', 'B', 'text', '12 bolts'), named_struct('letter', 'C', 'text', '')) as options")
+    t = M.random_ngram(items, 7)
+    assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
+    assert t.count() == 50
