@@ -154,12 +154,16 @@ def near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.select("doc_id", "cls").join(member, "cls").select("doc_id", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that are the first of their group: doc_id = component_id.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id stay."""
+    ``links`` (a, b) are further links between doc_ids that make groups. Of rows that share a doc_id one stays; rows with a
+    null doc_id stay."""
     found = materialize(near_copies(docs))
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    if links is not None:
+        edges = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(links)
+        gone = components(edges).filter("node <> component").select(F.col("node").alias("doc_id"))
     kept = docs.join(materialize(gone), "doc_id", "left_anti").select(*docs.columns)
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return kept

@@ -60,3 +60,24 @@ def test_the_stage_drops_copies_of_many_bits(spark, docs):
     rows = [(1, " ".join(words), "s"), (2, " ".join(other), "s"), (None, " ".join(words), "s"), (4, "something else that is quite unlike them", "s"), (4, "a second text under the same id", "s")]
     got = corpus_pipeline.drop_near_duplicates(spark, docs(rows), "").collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 1, 4]
+
+
+def test_the_stage_takes_the_links_of_simhash_too(spark, docs, monkeypatch):
+    texts = {1: "one two three four", 2: "five six seven eight", 3: "nine ten eleven twelve"}
+    rows = [(i, t, "s") for i, t in texts.items()]
+    made = []
+
+    def linked(d):
+        made.append(d)
+        return spark.createDataFrame([(1, "", 1), (2, "", 2), (3, "", 2)], "doc_id long, fingerprint string, component_id long")
+
+    monkeypatch.setattr(corpus_pipeline.simhash, "near_duplicates", linked)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(rows), "").collect()
+    assert made and sorted(r.doc_id for r in got) == [1, 2]
+
+
+def test_a_chain_over_both_kinds_of_links_is_one_group(docs, spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, "an unlike text of its own", "s"), (2, " ".join(words), "s"), (3, " ".join([*words[:100], "new", *words[101:]]), "s")]
+    links = spark.createDataFrame([(2, 1)], "a long, b long")
+    assert [r.doc_id for r in near_copies.keep_first(docs(rows), links).collect()] == [1]
