@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import mulberry32
-from ..functions.staging import once
+from ..functions.staging import once, stored
 
 # fixed values: the forms of numerals, in the order in which they are tried
 SIGNS = "-−–"
@@ -141,15 +141,18 @@ def isomorphs(items: DataFrame, arm: str = KEPT, rounds: tuple[int, ...] = ROUND
     """(id, options, state, map) of items (id, options): options with their numerals redrawn, and what became what.
 
     ``state`` is redrawn, no numerals, or failed: a fraction over 0, a numeral of more than 15 digits, or no valid attempt in
-    the last round; those keep their options. Ids must tell items apart."""
-    t = _scanned(items, arm)
+    the last round; those keep their options. Ids must tell items apart.
+
+    The scan and each round's finds are stored, as every later step names them: the plan would double with each round. Joins are
+    merged, since what is stored is larger in memory than its files tell."""
+    t = stored(_scanned(items, arm))
     fit = F.forall("fractions", lambda p: _find(F.col("atoms"), p["b"])["units"] != 0) & F.forall("atoms", lambda a: a["n"] <= MOST_DIGITS) & (F.size("atoms") <= STRIDE // 2 - 1)
     open_, told, first = t.filter(fit & (F.size("atoms") > 0)), None, 0
     for last in rounds:
-        found = _attempts(open_, arm, first, last)
+        found = stored(_attempts(open_, arm, first, last))
         told = found if told is None else told.unionByName(found)
-        open_, first = open_.join(found.select("id"), "id", "left_anti"), last
-    t = t.select("id", "options", "spans", F.size("atoms").alias("n")).join(told, "id", "left")
+        open_, first = open_.join(found.select("id").hint("merge"), "id", "left_anti"), last
+    t = t.select("id", "options", "spans", F.size("atoms").alias("n")).join(told.hint("merge"), "id", "left")
 
     def renamed(span: Column) -> Column:
         part = lambda g: F.regexp_extract(span, FRACTION, g)
@@ -168,7 +171,7 @@ def checked(items: DataFrame, told: DataFrame) -> DataFrame:
     """(id, state, form_kept, rank_kept, n_changed): what a redraw left of its item: whether all but the digits is the same, whether
     the order of the options' first numbers is, and how many options differ."""
     value = lambda s: _value(F.transform(_atoms_of(s), _form), F.struct(F.get(_atoms_of(s), F.lit(0)).alias("a"), F.get(_atoms_of(s), F.lit(1)).alias("b")), "value")
-    both = items.select("id", F.col("options").alias("old")).join(told.select("id", "state", F.col("options").alias("new")), "id")
+    both = items.select("id", F.col("options").alias("old")).join(told.select("id", "state", F.col("options").alias("new")).hint("merge"), "id")
     pairs = F.zip_with("old", "new", lambda a, b: F.struct(a["text"].alias("a"), b["text"].alias("b")))
     t = once(both, pairs=pairs)
     first = lambda s: F.get(numerals(s), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions import text as T
-from ..functions.staging import once
+from ..functions.staging import once, stored
 from ..operators import channels as C
 from ..operators import isomorphs as N
 from ..operators import items as I
@@ -155,9 +155,9 @@ def numeral_isomorphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every problem's options with redrawn numerals, in both arms, and what the redraw kept; the draws have no SQL."""
     items, out = part_problems(spark, sf_dir).select("id", "options"), None
     for arm in (N.KEPT, N.SCRAMBLED):
-        told = N.isomorphs(items, arm)
+        told = stored(N.isomorphs(items, arm))
         texts = told.select("id", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options"))
-        t = N.checked(items, told).join(texts, "id").withColumn("arm", F.lit(arm))
+        t = N.checked(items, told).join(texts.hint("merge"), "id").withColumn("arm", F.lit(arm))
         out = t if out is None else out.unionByName(t)
     return out
 
