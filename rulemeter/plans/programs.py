@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import stored
 from ..operators import items as I
 from ..operators import programs as P
 from .exam import _F, COMMON, FEATURES_SQL, INTERVAL_SQL, ITEMS_SQL, TRIALS_SQL, order_items
@@ -83,7 +84,7 @@ def _judged_programs(arrays: DataFrame, by: list[str]) -> tuple[DataFrame, DataF
 
 def rule_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule, searched and random program by cell: rate, interval, random percentile, and whether its passes are claimed."""
-    arrays = _arrays(spark, sf_dir)
+    arrays = stored(_arrays(spark, sf_dir))
     selected, randoms = _judged_programs(arrays, ["authority", "claim"])
     rules = I.rule_chance(I.judged(order_items(spark, sf_dir))).filter("n_scored > 0").select("authority", "claim", F.lit(None).cast("string").alias("direction"), "program", "n_scored", "n_correct", "chance")
     counted = selected.unionByName(randoms).select("authority", "claim", "direction", "program", F.col("n").alias("n_scored"), F.col("ok").alias("n_correct"), (F.col("chance") / F.col("n")).alias("chance"))
@@ -131,7 +132,7 @@ SELECT direction, claim, k, len(r) AS n, round(r[1], 6) AS low, round(r[ceil(0.5
 
 def search_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fit by direction (twelve best, a greedy and an evolved program), judged on the other side; no SQL walks so."""
-    arrays, told = _arrays(spark, sf_dir), None
+    arrays, told = stored(_arrays(spark, sf_dir)), None  # each step of a search is a job over them
     for name, (train, judge, seed) in DIRECTIONS.items():
         selected, _ = P.fit_search(arrays.filter(train), _F, seed)
         t = P.tally(arrays.filter(judge), selected, []).withColumn("direction", F.lit(name))

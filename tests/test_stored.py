@@ -16,3 +16,10 @@ def test_isomorphs_do_not_double_their_plan_with_each_round(spark):
     t = N.isomorphs(items)
     assert leaves(t) <= 4  # the scan and three rounds
     assert t.filter(F.col("state") == "redrawn").count() == 20
+
+
+def test_a_search_walks_over_stored_features(spark, monkeypatch):
+    seen, fit = [], P.fit_search
+    monkeypatch.setattr(P, "fit_search", lambda train, *a: seen.append(leaves(train)) or fit(train, *a))
+    assert programs.search_fit(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [1, 1]
