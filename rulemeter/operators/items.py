@@ -1,11 +1,11 @@
-"""Items with lettered options, and the scoring rules as one pass of array expressions over each item.
+"""Items with lettered options, and the scoring rules in one pass over Arrow batches of items.
 
 An item is (id, authority, claim, stem, key, options), options an array of (letter, text) in letter order. The key never
 reaches a rule: answers() drops it before scoring and score() joins it back."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
+from .rules import RULES, Option, option_parts, remembered, stem_parts
 
 
 def unique_max(scores: Column, positive: bool = True) -> Column:
@@ -74,70 +75,36 @@ def _stage(df: DataFrame, name: str, **parts: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in parts.items())))).alias(name))
 
 
-def _with_rules(t: DataFrame) -> DataFrame:
-    """Prepared items with what the rules need, in three steps: scores of options, their best values, who holds them."""
-    p = F.col("p")
-    o = p["o"]
-    wants_an, wants_a = p["bare"].rlike(r"(?i)\ban(\s+_+)?\s*$"), p["bare"].rlike(r"(?i)\ba(\s+_+)?\s*$")
-    vowel, consonant = (lambda x: F.trim(x).rlike("(?i)^[aeiou]")), (lambda x: F.trim(x).rlike("(?i)^[b-df-hj-np-tv-z]"))
-    both = lambda x: F.aggregate(o, F.lit(0), lambda acc, y: acc + F.when(y["letter"] != x["letter"], F.size(F.array_intersect(x["e"], y["e"]))).otherwise(0))
-    t = _stage(
-        t,
-        "a",
-        length=_scored(o, lambda x: x["n"]),
-        overlap=_scored(o, lambda x: F.size(F.filter(x["t"], lambda w: F.array_contains(p["tokens"], w)))),
-        hedge=_scored(o, lambda x: F.regexp_count(x["text"], F.lit(T.HEDGE))),
-        shared=_scored(o, both),
-        held=F.filter(_scored(o, lambda x: x["v"]), lambda x: x["s"].isNotNull()),
-        total=F.aggregate(o, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["v"], F.lit(0.0))),
-        without=F.filter(o, lambda x: ~x["absolute"]),
-        fits=F.filter(o, lambda x: (wants_an & vowel(x["text"])) | (wants_a & consonant(x["text"]))),
-    )
-    a = F.col("a")
-    best = lambda name: F.array_max(F.transform(a[name], lambda x: x["s"]))
-    n = F.size(a["held"])
-    away = F.transform(a["held"], lambda x: F.struct(x["letter"].alias("letter"), (-F.abs(x["s"] - (a["total"] - x["s"]) / (n - 1))).alias("s")))
-    t = _stage(t, "b", length=best("length"), overlap=best("overlap"), hedge=best("hedge"), shared=best("shared"), values=F.array_sort(F.transform(a["held"], lambda x: x["s"])), away=F.when(n >= 3, away))
-    b = F.col("b")
-    top = lambda name: F.filter(a[name], lambda x: x["s"] == b[name])
-    nearest = F.array_max(F.transform(b["away"], lambda x: x["s"]))
-    middle = F.get(b["values"], F.floor((n - 1) / 2).cast("int"))
-    t = _stage(t, "c", **{k: top(k) for k in ("length", "overlap", "hedge", "shared")}, middle=middle, nearest=nearest)
-    c = F.col("c")
-    return _stage(t, "d", middle=F.filter(a["held"], lambda x: x["s"] == c["middle"]), away=F.filter(b["away"], lambda x: x["s"] == c["nearest"]))
-
-
-def rules() -> dict[str, Column]:
-    """Answer letter of each rule over an item of _with_rules(), or null where it does not apply."""
-    p, a, b, c, d = (F.col(x) for x in "pabcd")
-    o = p["o"]
-    letters = F.transform(o, lambda x: x["letter"])
-    first = lambda xs: F.get(xs, F.lit(0))["letter"]
-    alone = lambda xs: F.when(F.size(xs) == 1, first(xs))
-    return {
-        "longest-option": first(c["length"]),
-        "stem-option-overlap": F.when(b["overlap"] > 0, first(c["overlap"])),
-        "option-repeating-stem-numbers": first(F.filter(o, lambda x: F.exists(p["numbers"], lambda k: F.contains(x["text"], k)))),
-        "avoid-absolute-terms": F.when(F.size(a["without"]) < F.size(o), alone(a["without"])),
-        "middle-value-option": F.when(F.size(a["held"]) >= 3, first(d["middle"])),
-        "position-c": F.when(F.array_contains(letters, "C"), "C").otherwise(F.get(letters, F.floor((F.size(o) - 1) / 2).cast("int"))),
-        "most-qualified-hedged-option": F.when(b["hedge"] > 0, alone(c["hedge"])),
-        "convergence-option": F.when(b["shared"] > 0, alone(c["shared"])),
-        "grammatical-fit-option": F.when(F.size(o) > 1, alone(a["fits"])),
-        "mean-of-other-options": alone(d["away"]),
-    }
-
-
-def _told(names: list[str] | None) -> Column:
-    every = rules()
-    return F.array(*[F.struct(F.lit(k).alias("program"), every[k].alias("answer")) for k in (names or every)])
+def rules() -> dict[str, Callable]:
+    """The rules by name, each from the parts of a stem and of options to a letter, or to None where it does not apply."""
+    return dict(RULES)
+
+
+def _answered(items: DataFrame, names: Sequence[str] | None, *keep: str) -> DataFrame:
+    """(keep.., t): an array of (program, answer) for each rule; the columns to keep travel beside, out of the rules' sight."""
+    names = list(names or RULES)
+    told = [RULES[k] for k in names]
+    rows = items.select(*keep, "stem", F.transform("options", lambda x: x["letter"]).alias("_letters"), F.transform("options", lambda x: x["text"]).alias("_texts"))
+    schema = T_.StructType([*rows.schema.fields[: len(keep)], T_.StructField("_a", T_.ArrayType(T_.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        option, stem = remembered(option_parts), remembered(stem_parts)
+        for b in batches:
+            out = []
+            for s, letters, texts in zip(*(b.column(len(keep) + i).to_pylist() for i in range(3)), strict=True):
+                q, o = stem(s), [Option(x, *option(t)) for x, t in zip(letters or (), texts or (), strict=True)]
+                out += [rule(q, o) for rule in told]
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(names))
+            yield pa.record_batch([*b.columns[: len(keep)], pa.ListArray.from_arrays(ends, pa.array(out, pa.string()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema).select(*keep, F.array(*[F.struct(F.lit(k).alias("program"), F.get("_a", F.lit(i)).alias("answer")) for i, k in enumerate(names)]).alias("t"))
 
 
 def answers(items: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Trials without the key: (id, program, answer, skipped), one row for each item and rule.
 
     An item with empty options is skipped by every rule; null option texts are empty."""
-    return _with_rules(prepared(items, "id")).select("id", F.explode(_told(names)).alias("t")).select("id", "t.program", "t.answer", F.col("t.answer").isNull().alias("skipped"))
+    return _answered(items, names, "id").select("id", F.explode("t").alias("t")).select("id", "t.program", "t.answer", F.col("t.answer").isNull().alias("skipped"))
 
 
 #: What each view shows: the stem, its numbers, the options, and the surface that is worked out of both or of the options only.
@@ -190,7 +157,7 @@ def score(items: DataFrame, trials: DataFrame) -> DataFrame:
 def judged(items: DataFrame, names: list[str] | None = None) -> DataFrame:
     """score(items, answers(items)) in one pass: the key travels beside the prepared item, out of the rules' sight."""
     beside = items.withColumn("chance", F.try_divide(F.lit(1.0), F.size("options")))
-    t = _with_rules(prepared(beside, "id", "authority", "claim", "key", "chance")).select("id", "authority", "claim", "key", "chance", F.explode(_told(names)).alias("t"))
+    t = _answered(beside, names, "id", "authority", "claim", "key", "chance").select("id", "authority", "claim", "key", "chance", F.explode("t").alias("t"))
     t = t.select("id", "t.program", "t.answer", F.col("t.answer").isNull().alias("skipped"), "authority", "claim", "key", "chance")
     return t.withColumn("correct", F.when(~F.col("skipped"), F.lower(F.trim("answer")) == F.lower(F.trim("key"))))
 
