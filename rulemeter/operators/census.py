@@ -28,7 +28,7 @@ def cells(items: DataFrame, claims: DataFrame, scored: DataFrame, eligible: Data
     found = good.join(F.broadcast(programs), "program").select("id", F.explode("lacks").alias("operation"), "program", "ord")  # a catalog of programs
     first = found.groupBy("id", "operation").agg(F.min_by("program", "ord").alias("witness"))
     tried = scored.groupBy("id").agg(F.max((~F.col("skipped")).cast("int")).alias("_tried"))
-    t = item_operations(items, claims).filter("operation is not null").join(first, ["id", "operation"], "left").join(tried, "id", "left")
+    t = item_operations(items, claims).filter("operation is not null").join(first.hint("merge"), ["id", "operation"], "left").join(tried.hint("merge"), "id", "left")
     return t.select("id", "authority", "claim", "operation", F.when(F.col("witness").isNull(), 1).otherwise(0).alias("value"), "witness", (F.coalesce("_tried", F.lit(0)) == 1).alias("attempted"))
 
 
@@ -37,7 +37,7 @@ def comparisons(items: DataFrame, told: DataFrame) -> DataFrame:
 
     A positive control is an attempted item of whose cells none was bypassed. The share is 0 where nothing was attempted."""
     by_item = told.groupBy("id").agg(F.count_if("attempted").alias("a"), F.count_if(F.col("attempted") & (F.col("value") == 0)).alias("z"), F.min("value").alias("low"))
-    t = items.select("id", "authority", "claim").join(by_item, "id", "left")
+    t = items.select("id", "authority", "claim").join(by_item.hint("merge"), "id", "left")
     share = F.coalesce(F.try_divide(F.sum("z"), F.sum("a")), F.lit(0.0))
     return t.groupBy("authority", "claim").agg(
         F.count("*").alias("n_items"), F.count_if(F.col("a") > 0).alias("n_attempted"), share.alias("bypass_rate"), F.coalesce(F.sum("z"), F.lit(0)).alias("n_witnesses"), F.count_if((F.col("low") == 1) & (F.col("a") > 0)).alias("n_positive")

@@ -154,14 +154,24 @@ def score(items: DataFrame, trials: DataFrame) -> DataFrame:
     return trials.join(judged, "id").withColumn("correct", F.when(~F.col("skipped"), F.lower(F.trim("answer")) == F.lower(F.trim("key"))))
 
 
-def judged(items: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """score(items, answers(items)) in one pass: the key travels beside the prepared item, out of the rules' sight."""
+def told(items: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(id, authority, claim, key, chance, t): each item with its answers; the key travels beside the item, out of the rules' sight."""
     beside = items.withColumn("chance", F.try_divide(F.lit(1.0), F.size("options")))
-    t = _answered(beside, names, "id", "authority", "claim", "key", "chance").select("id", "authority", "claim", "key", "chance", F.explode("t").alias("t"))
+    return _answered(beside, names, "id", "authority", "claim", "key", "chance")
+
+
+def trials(answered: DataFrame) -> DataFrame:
+    """What score() gives, of the rows of told()."""
+    t = answered.select("id", "authority", "claim", "key", "chance", F.explode("t").alias("t"))
     t = t.select("id", "t.program", "t.answer", F.col("t.answer").isNull().alias("skipped"), "authority", "claim", "key", "chance")
     return t.withColumn("correct", F.when(~F.col("skipped"), F.lower(F.trim("answer")) == F.lower(F.trim("key"))))
 
 
+def judged(items: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """score(items, answers(items)) in one pass. What reads it several times stores told() first."""
+    return trials(told(items, names))
+
+
 def rule_chance(scored: DataFrame) -> DataFrame:
     """By (authority, claim, program): scored, correct, pass rate (0 where nothing was scored), mean chance."""
     return scored.groupBy("authority", "claim", "program").agg(

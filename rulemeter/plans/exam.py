@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import stored
 from ..operators import items as I
 from ..operators import programs as P
 from ..operators import stats as ST
@@ -109,10 +110,10 @@ def _good(scored: DataFrame) -> DataFrame:
 
 def eligible_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items answered by a program that beats chance in its cell, by the lower end of its interval and with at least ten trials: semi-join, then roll-up by cell."""
-    items = order_items(spark, sf_dir)
-    scored = I.judged(items)
+    items = stored(I.told(order_items(spark, sf_dir)))
+    scored = I.trials(items)
     hit = scored.filter("correct").join(_good(scored), ["authority", "claim", "program"], "left_semi").select("id").distinct().withColumn("hit", F.lit(1))
-    return items.select("id", "authority", "claim").join(hit, "id", "left").groupBy("authority", "claim").agg(F.count("*").alias("items"), F.count("hit").alias("bypassed"), F.round(F.count("hit") / F.count("*"), 6).alias("bypass_rate"))
+    return items.select("id", "authority", "claim").join(hit.hint("merge"), "id", "left").groupBy("authority", "claim").agg(F.count("*").alias("items"), F.count("hit").alias("bypassed"), F.round(F.count("hit") / F.count("*"), 6).alias("bypass_rate"))
 
 
 ELIGIBLE_SQL = f"""WITH {ITEMS_SQL}, {TRIALS_SQL}, n AS (SELECT id, count(*) AS k FROM opt GROUP BY id),
@@ -267,8 +268,8 @@ LACKS = {
 def _census(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from ..operators import census as C
 
-    items = order_items(spark, sf_dir)
-    scored = I.judged(items)
+    items = stored(I.told(order_items(spark, sf_dir)))
+    scored = I.trials(items)
     # a claim that is listed twice counts as it is listed first
     listed = [(a, c, ops) for a in "FOP" for c, ops in OPERATIONS.items()] + [("O", "1-URGENT", ["bind"])]
     claims = spark.createDataFrame([(*row, i) for i, row in enumerate(listed)], "authority string, code string, operations array<string>, place int")

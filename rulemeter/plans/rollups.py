@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.staging import stored
 from ..operators import items as I
 from ..operators import rollups as R
 from .exam import INTERVAL_SQL, ITEMS_SQL, ORDER, TRIALS_SQL, order_items, read
@@ -48,7 +49,7 @@ m AS (SELECT s.*, pass_rate, coalesce(pass_rate > c + 1e-9, false) AS above_chan
 SELECT program, above_chance, count(*) AS n, count(*) FILTER (correct) AS n_correct, round(min(pass_rate), 6) AS low, round(max(pass_rate), 6) AS high FROM m GROUP BY ALL""")
 def trial_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials marked by whether their cell's program beats chance, counted."""
-    scored = _scored(spark, sf_dir)
+    scored = I.trials(stored(I.told(order_items(spark, sf_dir))))
     t = R.trial_marks(scored, I.rule_chance(scored))
     return t.groupBy("program", "above_chance").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.round(F.min("pass_rate"), 6).alias("low"), F.round(F.max("pass_rate"), 6).alias("high"))
 
@@ -90,7 +91,7 @@ def residual_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n, round(avg(x::INT), 6) AS rate_a, round(avg(y::INT), 6) AS rate_b, round(avg(x::INT - y::INT), 6) AS difference, count(*) FILTER (x AND y) AS n11, count(*) FILTER (x AND NOT y) AS n10, count(*) FILTER (NOT x AND y) AS n01, count(*) FILTER (NOT x AND NOT y) AS n00 FROM x""")
 def paired_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two programs over the items that both answered."""
-    return _rounded(R.paired(_scored(spark, sf_dir), "longest-option", "stem-option-overlap"), "rate_a", "rate_b", "difference")
+    return _rounded(R.paired(I.trials(stored(I.told(order_items(spark, sf_dir), ["longest-option", "stem-option-overlap"]))), "longest-option", "stem-option-overlap"), "rate_a", "rate_b", "difference")
 
 
 @query(_MODAL + """, r AS (SELECT 'chance' AS rung, 0 AS step, 1.0::DOUBLE / k AS ok FROM n UNION ALL SELECT 'modal', 1, (key = letter)::INT FROM item JOIN modal USING (authority)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rulemeter.operators import isomorphs as N
 from rulemeter.operators import programs as P
-from rulemeter.plans import programs
+from rulemeter.plans import exam, programs, rollups
 
 
 def leaves(df):
@@ -23,3 +23,8 @@ def test_a_search_walks_over_stored_features(spark, monkeypatch):
     monkeypatch.setattr(P, "fit_search", lambda train, *a: seen.append(leaves(train)) or fit(train, *a))
     assert programs.search_fit(spark, "/root/testdata/sf0.001").count() > 0
     assert seen == [1, 1]
+
+
+def test_queries_that_read_the_trials_several_times_work_them_out_once(spark):
+    for query in (exam.QUERIES["census_cells"], exam.QUERIES["census_comparisons"], exam.QUERIES["eligible_bypass"], rollups.trial_marks, rollups.paired_programs):
+        assert "l_orderkey" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
