@@ -96,11 +96,9 @@ def blinded_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def masked_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document masked in both versions; SQL engines differ in the patterns these take."""
-    docs, out = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), None
-    for version in (1, 2):
-        t = K.masked_stems(docs, version, 1, "text").select("doc_id", F.lit(version).alias("version"), "status", "n_placeholders", "second_sweep", F.array_join("flags", ",").alias("flags"), F.round("share", 6).alias("share"), F.sha2("masked", 256).alias("masked_sha256"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    flags, share = F.array_join("flags", ",").alias("flags"), F.round("share", 6).alias("share")
+    return K.both_versions(docs, 1, "text").select("doc_id", "version", "status", "n_placeholders", "second_sweep", flags, share, F.sha2("masked", 256).alias("masked_sha256"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '/([0-9]+)/?(?:[?#].*)?$', 1) AS a, regexp_extract(url, '[?&]page=([0-9]+)', 1) AS b FROM pages), h AS (SELECT p_partkey::VARCHAR AS k, p_name FROM part WHERE p_size <= 25)
