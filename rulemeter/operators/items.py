@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
-from .rules import RULES, Option, option_parts, remembered, stem_parts
+from .rules import _CONSONANTS, _VOWELS, RULES, Option, Stem, option_parts, remembered, stem_parts
 
 
 def unique_max(scores: Column, positive: bool = True) -> Column:
@@ -195,41 +195,64 @@ def feature_arrays(items: DataFrame, common: Sequence[str] = (), keep: Sequence[
 
     ``common`` are the everyday words that count for specificity; beside them every word of an option adds a tenth.
     Columns to ``keep`` travel along, unseen by the features."""
-    p = F.col("p")
-    o, stem_tokens, stem_numbers = p["o"], p["tokens"], p["numbers"]
-    top = F.array_max(F.transform(o, lambda x: x["n"]))
-    vals = F.filter(F.transform(o, lambda x: x["v"]), lambda v: v.isNotNull())
-    wants_an, wants_a = p["bare"].rlike(r"(?i)\ban(\s+_+)?\s*$"), p["bare"].rlike(r"(?i)\ba(\s+_+)?\s*$")
-    # what all options of an item share is worked out once
-    s = F.struct(top.alias("top"), F.size(F.filter(o, lambda y: y["n"] == top)).alias("longest"), F.array_sort(vals).alias("vals"), wants_an.alias("an"), wants_a.alias("a"))
-    t = prepared(items, "id", *keep).select("id", *keep, "p", F.explode(F.array(s)).alias("s"))
-    s = F.col("s")
-    vals, n = s["vals"], F.size(s["vals"])
-    alone = lambda v: F.size(F.filter(vals, lambda x: x == v)) == 1
-    low, high, mid = F.get(vals, F.lit(0)), F.get(vals, n - 1), F.get(vals, F.floor((n - 1) / 2).cast("int"))
-
-    def one(x: Column) -> Column:
-        v = x["v"]
-        like = F.aggregate(o, F.lit(0.0), lambda acc, y: acc + F.when(y["letter"] != x["letter"], T.jaccard(x["u"], y["u"])).otherwise(0.0))
-        flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
-        first = F.trim(x["text"])
-        vowel = first.rlike("(?i)^[aeiou]")
-        return F.struct(
-            x["letter"].alias("letter"),
-            flag((x["n"] == s["top"]) & (s["longest"] == 1)).alias("longest"),
-            flag(x["letter"] == "C").alias("position_c"),
-            F.size(F.array_intersect(x["u"], stem_tokens)).alias("overlap"),
-            flag(F.exists(stem_numbers, lambda k: F.contains(x["text"], k))).alias("num_repeat"),
-            flag(~x["absolute"]).alias("no_absolute"),
-            flag((n >= 2) & (v == low) & alone(low)).alias("numeric_min"),
-            flag((n >= 3) & (v == mid) & alone(mid)).alias("numeric_med"),
-            flag((n >= 2) & (v == high) & alone(high)).alias("numeric_max"),
-            (F.size(F.array_intersect(x["u"], F.array(*map(F.lit, common)).cast("array<string>"))) + F.size(x["u"]) * 0.1).alias("specificity"),
-            F.when(s["an"], flag(vowel)).when(s["a"], flag(first.rlike("(?i)^[a-z]") & ~vowel)).otherwise(0).alias("grammar_agree"),
-            (1 - F.coalesce(F.try_divide(like, F.size(o) - 1), F.lit(0.0))).alias("distinctive"),
-        )
-
-    return t.select("id", *keep, F.transform(o, one).alias("features"))
+    everyday = frozenset(common)
+    rows = items.select("id", *keep, "stem", F.transform("options", lambda x: x["letter"]).alias("_letters"), F.transform("options", lambda x: x["text"]).alias("_texts"))
+    width, kinds = 1 + len(keep), [(name, pa.float64() if name in ("specificity", "distinctive") else pa.int32()) for name in FEATURES]
+    fields = T_.StructType([T_.StructField("letter", T_.StringType()), *(T_.StructField(name, T_.DoubleType() if pa.types.is_floating(kind) else T_.IntegerType()) for name, kind in kinds)])
+    schema = T_.StructType([*rows.schema.fields[:width], T_.StructField("features", T_.ArrayType(fields))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(text: str | None) -> tuple:
+            told = option_parts(text)
+            u = frozenset(told[1])
+            return told[0], len(told[0]), u, told[2], int(not told[3]), len(u & everyday) + len(u) * 0.1, told[6]
+
+        option, stem = remembered(parts), remembered(stem_parts)
+        for b in batches:
+            letters = b.column(width + 1)
+            cells = []
+            for s, ls, ts in zip(*(b.column(width + i).to_pylist() for i in range(3)), strict=True):
+                if ls:
+                    cells += _features_of(stem(s), ls, [option(t) for t in ts])
+            columns = list(zip(*cells, strict=True)) or [()] * len(kinds)
+            flat = pa.StructArray.from_arrays([letters.flatten(), *(pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True))], names=["letter", *FEATURES])
+            ends = np.concatenate(([0], np.cumsum(letters.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int32)
+            told = pa.ListArray.from_arrays(pa.array(ends), flat, mask=letters.is_null())
+            yield pa.record_batch([*b.columns[:width], told], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+#: The features of an option, in the order of their columns.
+FEATURES = ("longest", "position_c", "overlap", "num_repeat", "no_absolute", "numeric_min", "numeric_med", "numeric_max", "specificity", "grammar_agree", "distinctive")
+
+
+def _features_of(stem: Stem, letters: list[str | None], o: list[tuple]) -> list[tuple]:
+    """FEATURES of each option (text, length, words, value, without absolute terms, specificity, first sign) of an item."""
+    k, sizes = len(o), [x[1] for x in o]
+    top = max(sizes)
+    longest = sizes.count(top) == 1
+    vals = sorted(x[3] for x in o if x[3] is not None)
+    n = len(vals)
+    alone = lambda at, least: vals[at] if n >= least and vals.count(vals[at]) == 1 else None
+    low, mid, high = alone(0, 2), alone((n - 1) // 2, 3), alone(-1, 2)
+    agree = _VOWELS if stem.wants_an else _CONSONANTS if stem.wants_a else frozenset()
+    alike = [[0.0] * k for _ in o]
+    for i in range(k):
+        for j in range(i):
+            a, b = letters[i], letters[j]
+            if a is not None and b is not None and a != b and (same := len(o[i][2] & o[j][2])):
+                alike[i][j] = alike[j][i] = same / (len(o[i][2]) + len(o[j][2]) - same)
+    out = []
+    for letter, (text, size, words, v, plain, specific, first), near in zip(letters, o, alike, strict=True):
+        like = 0.0
+        for x in near:  # one after another, as sum() rounds otherwise
+            like += x
+        out.append((
+            int(longest and size == top), int(letter == "C"), len(words & stem.tokens), int(any(m in text for m in stem.numbers)), plain, int(v is not None and v == low), int(v is not None and v == mid), int(v is not None and v == high),
+            specific, int(first in agree), 1 - like / (k - 1) if k > 1 else 1.0,
+        ))
+    return out
 
 
 def apply_programs(feature_rows: DataFrame, programs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
