@@ -6,21 +6,29 @@ are ties. Items are (id, stem, key, options); the key is read by the training fu
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import text as T
 from ..functions.rng import draws
 from .items import prepared
+from .rules import REMEMBERED, option_parts, remembered, stem_parts
 from .stats import with_interval
 
 #: Letters of a feature word at least; character 3-grams of an option at most.
 LETTERS, GRAMS = 3, 60
 UNIT = 1e9
+#: Features of a model that every task holds at most; a larger model stays a table, which is joined.
+FEATURES_HELD = 200_000
+_OTHER = re.compile("[^a-z0-9]+")
 LEAST_WITNESS = 10
 
 
@@ -64,10 +72,91 @@ def _is_key(letter: str = "letter") -> Column:
     return F.coalesce(F.upper(letter) == F.upper("key"), F.lit(False))
 
 
+class _Text(NamedTuple):
+    """What an option's text says by itself: its signs, words, leading number, and its features that nothing else has a part in."""
+
+    text: str
+    size: int
+    words: tuple[str, ...]
+    value: float | None
+    own: list[str]
+
+
+def _text_parts(text: str | None) -> _Text:
+    text, tokens, value, *_ = option_parts(text)
+    words = tuple(w for w in tokens if len(w) >= LETTERS)
+    plain = _OTHER.sub(" ", text.lower())
+    grams = [f"c3:{plain[i : i + 3]}" for i in range(min(len(plain) - 2, GRAMS))]
+    return _Text(text, len(text), words, value, [*(f"o:{w}" for w in words), *grams, f"len:{min(8, len(text) // 12)}"])
+
+
+def _stem_words(text: str | None) -> tuple[frozenset[str], tuple[str, ...]]:
+    """Words of a stem that features know, and its numbers."""
+    words = option_parts(text)[1]
+    return frozenset(w for w in words if len(w) >= LETTERS), stem_parts(text).numbers
+
+
+def _met(stem: tuple, letters: list[str | None], o: list[_Text]) -> list[list[str | None]]:
+    """Of each option the features that come of its stem, of the other options and of its letter."""
+    words, numbers = stem
+    top, values = max(x.size for x in o), sorted(x.value for x in o if x.value is not None)
+    middle = values[(len(values) - 1) // 2] if len(values) >= 3 else None
+    out = []
+    for letter, x in zip(letters, o, strict=True):
+        told = [None if letter is None else f"pos:{letter}"]
+        if not words.isdisjoint(x.words):
+            told += [f"ov:{w}" for w in x.words if w in words]
+        if x.size == top:
+            told.append("cue:longest")
+        if middle is not None and x.value == middle:
+            told.append("cue:middle")
+        if any(k in x.text for k in numbers):
+            told.append("cue:numrepeat")
+        out.append(told)
+    return out
+
+
+def _rows(items: DataFrame, *more: Column | str) -> DataFrame:
+    """(stem, letters, texts, more..) of items."""
+    return items.select("stem", F.transform("options", lambda x: x["letter"]).alias("letters"), F.transform("options", lambda x: x["text"]).alias("texts"), *more)
+
+
 def train_ngram(items: DataFrame) -> DataFrame:
-    """(feature, in_key, in_rest): how often each feature stands in keys, and in the other options."""
-    t = option_features(items, "id", "key").select(_is_key().alias("hit"), F.explode("features").alias("feature"))
-    return t.groupBy("feature").agg(F.count_if("hit").alias("in_key"), F.count_if(~F.col("hit")).alias("in_rest"))
+    """(feature, in_key, in_rest): how often each feature of option_features() stands in keys, and in the other options.
+
+    A task counts the texts it meets and their features once for each distinct text; sums of it are shuffled, no feature rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        option, stem = remembered(_text_parts), remembered(_stem_words)
+        texts, others = (Counter(), Counter()), (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            sums = others
+            for count, own in zip(sums, texts, strict=True):
+                for text, n in own.items():
+                    for f in option(text).own:
+                        count[f] += n
+                own.clear()
+            names = list(sums[0].keys() | sums[1].keys())
+            columns = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in sums)]
+            for c in sums:
+                c.clear()
+            return pa.record_batch(columns, names=["feature", "in_rest", "in_key"])
+
+        for b in batches:
+            for s, letters, ts, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not letters:
+                    continue
+                for x, more, hit in zip(ts, _met(stem(s), letters, [option(t) for t in ts]), hits, strict=True):
+                    texts[hit][x] += 1
+                    others[hit].update(more)
+            if sum(map(len, (*texts, *others))) > REMEMBERED:
+                yield told()
+        yield told()
+
+    hits = F.transform("options", lambda x: F.coalesce(F.upper(x["letter"]) == F.upper("key"), F.lit(False)))
+    t = _rows(items, hits.alias("hits")).mapInArrow(run, "feature string, in_rest long, in_key long")
+    return t.groupBy("feature").agg(F.sum("in_key").alias("in_key"), F.sum("in_rest").alias("in_rest"))
 
 
 def _first_best(scores: DataFrame) -> DataFrame:
@@ -84,11 +173,44 @@ def apply_ngram(model: DataFrame, items: DataFrame) -> DataFrame:
     k, d = k or 1, d or 1
     ratio = lambda a, b: F.rint(UNIT * (F.ln((a + 1) / F.lit(float(k + v))) - F.ln((b + 1) / F.lit(float(d + v))))).cast("long")
     weights = model.select("feature", ratio(F.col("in_key"), F.col("in_rest")).alias("w"))
+    if v <= FEATURES_HELD:  # counted: every task can hold the model
+        plain = weights.sparkSession.range(1).select(ratio(F.lit(0), F.lit(0)).alias("w")).first()[0]
+        return _first_best(_scored_in_place(items, {r.feature: r.w for r in weights.collect()}, plain))
     rows = option_features(items, "id").select("id", "letter", F.explode("features").alias("feature"))
     scored = rows.join(weights, "feature", "left").withColumn("w", F.coalesce("w", ratio(F.lit(0), F.lit(0))))
     return _first_best(scored.groupBy("id", "letter").agg(F.sum("w").alias("s")))
 
 
+def _scored_in_place(items: DataFrame, weights: dict[str | None, int], plain: int) -> DataFrame:
+    """(id, letter, s) of every option by a model that each task holds; an item is one row until its id's rows have met."""
+    weights.pop(None, None)  # a feature that is null is equal to none
+    shared = items.sparkSession.sparkContext.broadcast(weights)
+    kind = items.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+
+        def parts(text: str | None) -> tuple[_Text, int]:
+            x = _text_parts(text)
+            return x, sum(known.get(f, plain) for f in x.own)
+
+        option, stem = remembered(parts), remembered(_stem_words)
+        for b in batches:
+            sums = []
+            for s, letters, ts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if letters:
+                    o = [option(t) for t in ts]
+                    sums += [own + sum(known.get(f, plain) for f in more) for (_, own), more in zip(o, _met(stem(s), letters, [x for x, _ in o]), strict=True)]
+            letters = b.column(1)
+            ends = np.concatenate(([0], np.cumsum(letters.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int32)
+            cells = pa.StructArray.from_arrays([letters.flatten(), pa.array(sums, pa.int64())], names=["letter", "s"])
+            yield pa.record_batch([b.column(3), pa.ListArray.from_arrays(pa.array(ends), cells)], names=["id", "o"])
+
+    schema = S.StructType([S.StructField("id", kind), S.StructField("o", S.ArrayType(S.StructType([S.StructField("letter", S.StringType()), S.StructField("s", S.LongType())])))])
+    met = _rows(items, "id").mapInArrow(run, schema).repartition("id").select("id", F.explode("o").alias("x")).select("id", "x.*")
+    return met.groupBy("id", "letter").agg(F.sum("s").alias("s"))
+
+
 def random_ngram(items: DataFrame, seed: int) -> DataFrame:
     """(id, answer, score): the same features with weights between -1 and 1 that are drawn anew for each item, the first draw for
     its first feature, the next for the first that differs from it, and so on.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..functions.staging import stored
 from ..operators import fitted as M
 from .exam import INTERVAL_SQL, ITEMS_SQL, PART_STEMS, order_items, part_items
 from .programs import DIRECTIONS
@@ -13,7 +14,7 @@ from .programs import DIRECTIONS
 
 def _sides(spark: SparkSession, sf_dir: str):
     """(direction, training items, judged items, seed)."""
-    items = order_items(spark, sf_dir)
+    items = stored(order_items(spark, sf_dir))  # read four times
     return [(name, items.filter(train), items.filter(judge), seed) for name, (train, judge, seed) in DIRECTIONS.items()]
 
 
