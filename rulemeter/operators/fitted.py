@@ -19,6 +19,7 @@ from pyspark.sql import types as S
 
 from ..functions import text as T
 from ..functions.rng import draws
+from ..functions.staging import stored
 from .items import prepared
 from .rules import REMEMBERED, option_parts, remembered, stem_parts
 from .stats import with_interval
@@ -169,6 +170,7 @@ def apply_ngram(model: DataFrame, items: DataFrame) -> DataFrame:
     """(id, answer, score) of items with options: the option with the largest sum of Laplace log-ratios of its features.
 
     A feature that the model does not know weighs what one that was seen in neither class does."""
+    model = stored(model)  # its counts are read, then its rows
     k, d, v = model.agg(F.sum("in_key"), F.sum("in_rest"), F.count("*") + 1).first()
     k, d = k or 1, d or 1
     ratio = lambda a, b: F.rint(UNIT * (F.ln((a + 1) / F.lit(float(k + v))) - F.ln((b + 1) / F.lit(float(d + v))))).cast("long")

@@ -44,3 +44,15 @@ def test_model_in_every_task_scores_as_the_joined_one(items):
 def test_no_feature_row_is_shuffled(items):
     plan = M.apply_ngram(M.train_ngram(items), items)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_model_is_fitted_once(spark, items):
+    told = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(stem):
+        told.add(1)
+        return stem
+
+    M.apply_ngram(M.train_ngram(items.withColumn("stem", seen("stem"))), items).collect()
+    assert told.value == items.count()
