@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+
 from rulemeter.operators import items as I
 
 SCHEMA = "id long, authority string, claim string, stem string, key string, options array<struct<letter:string,text:string>>"
