@@ -152,7 +152,8 @@ def near_words(words: DataFrame, least_chars: int = LEAST_CHARS, block: int = BL
         rows = scan()
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
-    sorted_ = blocks(words, least_chars, block).repartition("key").sortWithinPartitions("key", "word")
+    # dealt by a hash of the key: by the key itself the joins' exchange would do, which AQE drops where it makes them broadcasts
+    sorted_ = blocks(words, least_chars, block).repartition(F.xxhash64("key")).sortWithinPartitions("key", "word")
     found = sorted_.mapInArrow(run, "word string, c long, near string, near_n long")
     best = F.min_by(F.struct("near", "near_n"), F.struct(-F.col("near_n"), F.col("near")))
     return found.groupBy("word").agg(F.sum("c").alias("n_near"), best.alias("b")).select("word", "n_near", "b.near", "b.near_n")

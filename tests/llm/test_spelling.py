@@ -87,3 +87,20 @@ def test_one_hot_prefix(spark):
 
 def test_an_empty_table(docs):
     assert S.variants(docs([])).count() == 0
+
+
+def test_blocks_stay_whole_when_joins_change_while_running(spark):
+    """Joins planned as merges become broadcasts once their sides turn out small; words must still meet those of their block."""
+    words = brute_words(some_rows())
+    want = {w: sorted((-words[v], v) for v in words if one_edit(w, v)) for w in words}
+    want = {(w, len(vs), vs[0][1], -vs[0][0]) for w, vs in want.items() if vs}
+    t = spark.createDataFrame(list(words.items()), "word string, n long").repartition(4)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1MB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for _ in range(3):  # the order in which the stages end decides
+            assert {tuple(r) for r in S.near_words(t, block=20).collect()} == want
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
