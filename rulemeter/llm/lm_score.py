@@ -16,9 +16,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,6 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _hash(word: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
@@ -73,7 +73,7 @@ class Words:
 
     def __init__(self, known: list[tuple[bytes, int]], mass: list[int], types: list[int], vocabulary: int = VOCABULARY) -> None:
         self.known, self.mass, self.types, self.size = known, mass, types, min(vocabulary, len(known))
-        self._index: dict[bytes, tuple[int, float]] | None = None
+        self._index: tuple[dict[bytes, int], np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
         return {**self.__dict__, "_index": None}
@@ -82,26 +82,29 @@ class Words:
         """Log share of its group of a word that occurs n times; 0 for any word never seen."""
         return float(np.log((n + 1) / (self.mass[group] + self.types[group] + 1)))
 
-    def index(self) -> dict[bytes, tuple[int, float]]:
-        """Id and log share of each known word; ids 1.. are the vocabulary, then come the groups, 0 pads the ends."""
+    def index(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """Place of each known word, and by place its id and log share; ids 1.. are the vocabulary, then come the groups, 0 pads the ends."""
         if self._index is None:
-            first = 1 + self.size
-            self._index = {w: (i + 1, 0.0) if i < self.size else (first + (g := _group(w)), self.share(g, n)) for i, (w, n) in enumerate(self.known)}
+            rare = [(_group(w), n) for w, n in self.known[self.size :]]
+            ids = [*range(1, 1 + self.size), *(1 + self.size + g for g, _ in rare)]
+            shares = [0.0] * self.size + [self.share(g, n) for g, n in rare]
+            self._index = {w: i for i, (w, _) in enumerate(self.known)}, np.array(ids, np.uint16), np.array(shares, np.float64)
         return self._index
 
     def read(self, text: str | None) -> tuple[np.ndarray, float, Counter]:
         """Ids of a text's tokens, the log shares of its known words, and its other words' counts."""
-        index, rare, own, ids = self.index(), Counter(), 0.0, []
-        first = 1 + self.size
-        for w in _words(text):
-            hit = index.get(w)
-            if hit is None:
-                rare[w] += 1
-                ids.append(first + _group(w))
-            else:
-                ids.append(hit[0])
-                own += hit[1]
-        return np.array(ids, np.uint16), own, rare
+        (index, ids, shares), words = self.index(), _words(text)
+        at = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
+        other = np.flatnonzero(at < 0)
+        rare = [words[i] for i in other.tolist()]
+        if not rare:
+            return ids[at], float(shares[at].sum()), Counter()
+        out, counts = np.empty(len(at), np.uint16), Counter(rare)
+        known = at[at >= 0]
+        out[at >= 0] = ids[known]
+        group = {w: 1 + self.size + _group(w) for w in counts}
+        out[other] = [group[w] for w in rare]
+        return out, float(shares[known].sum()), counts
 
 
 class Network:
@@ -146,13 +149,13 @@ class Network:
         pad = np.zeros(self.width, np.int64)
         return np.concatenate([pad, *(x for t in texts for x in (t.astype(np.int64), pad))])
 
-    def _hidden(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors of all ids, and the hidden layer of those that have WIDTH ids on either side."""
+    def _hidden(self, ids: np.ndarray) -> np.ndarray:
+        """The hidden layer of the ids that have WIDTH ids on either side, a row each."""
         v, k, n = self.e[ids], self.width, len(ids) - 2 * self.width
         a = np.zeros((n, self.dim), np.float32)
         for d, m in zip((*range(-k, 0), *range(1, k + 1)), self.m, strict=True):
             a += v[k + d : k + d + n] @ m
-        return v, np.tanh(a)
+        return np.tanh(a)
 
     def _class_of(self, centre: np.ndarray) -> np.ndarray:
         return np.where(centre <= self.size, (centre - 1) // self.per, centre - 1 - self.size + self.classes)
@@ -178,7 +181,7 @@ class Network:
         for s in range(k, len(ids) - k, BATCH * 4):
             part = ids[s - k : min(s + BATCH * 4, len(ids) - k) + k]
             centre = part[k : len(part) - k]
-            _, h = self._hidden(part)
+            h = self._hidden(part)
             real = np.flatnonzero(centre)
             centre, h = centre[real], h[real]
             cls = self._class_of(centre)
@@ -188,39 +191,69 @@ class Network:
             out[s + real] = got
         return out
 
+    def _columns(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the ids that have WIDTH ids on either side: their neighbours' vectors, and the hidden layer, of each a column that ends in 1."""
+        v, k, n, dim = self.e[ids], self.width, len(ids) - 2 * self.width, self.dim
+        near = np.empty((n, 2 * k * dim), np.float32)
+        for i, d in enumerate((*range(-k, 0), *range(1, k + 1))):
+            near[:, i * dim : (i + 1) * dim] = v[k + d : k + d + n]
+        h = np.ones((dim + 1, n), np.float32)
+        np.tanh(self.m.reshape(-1, dim).T @ near.T, out=h[:-1])
+        return near, h
+
+    @staticmethod
+    def _share(z: np.ndarray) -> np.ndarray:
+        """The softmax of each column, in place of z."""
+        z -= z.max(axis=0)
+        np.exp(z, out=z)
+        z /= z.sum(axis=0)
+        return z
+
+    def _dealt(self, centre: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice, np.ndarray]]]:
+        """Places of the tokens by class; (rows of w, which of these places, which of the class's words each is)."""
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        order = order[: ends[-1]]
+        which = (centre[order] - 1) % self.per
+        return order, [(slice(c * self.per, (c + 1) * self.per), slice(a, b), which[a:b]) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+
     def step(self, ids: np.ndarray, rate: float = RATE) -> int:
         """One step on a piece of a stream; its first and last WIDTH ids are context only. How many tokens it predicted."""
-        k = self.width
-        v, full = self._hidden(ids)
+        k, dim = self.width, self.dim
+        near, full = self._columns(ids)
         real = np.flatnonzero(ids[k : len(ids) - k])
-        centre, h = ids[k : len(ids) - k][real], full[real]
+        centre, h = ids[k : len(ids) - k][real], full[:, real]
         n = len(centre)
         if not n:
             return 0
         cls = self._class_of(centre)
-        p = np.exp(self._soft(h @ self.u[:, :-1].T + self.u[:, -1]))
-        p[np.arange(n), cls] -= 1
-        g = p @ self.u[:, :-1]
-        self.u[:, :-1] -= rate / n * (p.T @ h)
-        self.u[:, -1] -= rate / n * p.sum(axis=0)
-        for rows, at, which in self._by_class(centre, cls):
-            x = h[at]
-            q = np.exp(self._soft(x @ self.w[rows, :-1].T + self.w[rows, -1]))
-            q[np.arange(len(at)), which] -= 1
-            g[at] += q @ self.w[rows, :-1]
-            self.w[rows, :-1] -= rate / len(at) * (q.T @ x)
-            self.w[rows, -1] -= rate / len(at) * q.sum(axis=0)
-            self.used[self.n + rows.start : self.n + rows.stop] += len(at)
-        a = np.zeros_like(full)
-        a[real] = g * (1 - h * h)
-        back, m = np.zeros_like(v), self.m.copy()
+        p = self._share(self.u @ h)
+        p[cls, np.arange(n)] -= 1
+        g = self.u.T @ p
+        self.u -= rate / n * (p @ h.T)
+        order, parts = self._dealt(centre, cls)
+        x = h[:, order]
+        more = np.empty_like(x)
+        for rows, at, which in parts:
+            m = len(which)
+            q = self._share(self.w[rows] @ x[:, at])
+            q[which, np.arange(m)] -= 1
+            more[:, at] = self.w[rows].T @ q
+            self.w[rows] -= rate / m * (q @ x[:, at].T)
+            self.used[self.n + rows.start : self.n + rows.stop] += m
+        g[:, order] += more
+        a = np.zeros((dim, full.shape[1]), np.float32)
+        a[:, real] = (g * (1 - h * h))[:-1]
+        m = self.m.reshape(-1, dim)
+        to, back = a.T @ m.T, np.zeros((len(ids), dim), np.float32)
         for i, d in enumerate((*range(-k, 0), *range(1, k + 1))):
-            at = slice(k + d, k + d + len(a))
-            back[at] += a @ m[i].T
-            self.m[i] -= rate / n * (v[at].T @ a)
+            back[k + d : k + d + len(to)] += to[:, i * dim : (i + 1) * dim]
+        self.m = self.m - (rate / n * (near.T @ a.T)).reshape(self.m.shape)
         # a word's row moves by the mean of its own gradients in the batch
-        order = np.argsort(ids, kind="stable")
-        words, first, times = np.unique(ids[order], return_index=True, return_counts=True)
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        words = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+        words, times = words[first], np.diff(np.append(first, len(ids)))
         self.e[words] -= rate * np.add.reduceat(back[order], first, axis=0) / times[:, None]
         self.used[words] += times
         return n
@@ -336,9 +369,12 @@ def _tokens(docs: DataFrame, words: Words, trainers: int) -> DataFrame:
         know = shared.value
         for b in batches:
             read = [know.read(t) for t in b.column(3).to_pylist()]
-            rare = [[{"hash": _hash(w), "grp": _group(w), "times": n} for w, n in r.items()] for _, _, r in read]
+            words = [(_hash(w), _group(w), n) for _, _, r in read for w, n in r.items()]
+            kinds = {"hash": pa.int64(), "grp": pa.int32(), "times": pa.int32()}
+            cells = pa.StructArray.from_arrays([pa.array([w[i] for w in words], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r) for _, _, r in read)]), pa.int32()), cells)
             yield pa.record_batch(
-                [b.column(0), b.column(1), b.column(2), pa.array([len(i) for i, _, _ in read], pa.int64()), pa.array([i.tobytes() for i, _, _ in read], pa.binary()), pa.array([o for _, o, _ in read], pa.float64()), pa.array(rare, pa.list_(pa.struct([("hash", pa.int64()), ("grp", pa.int32()), ("times", pa.int32())])))],
+                [b.column(0), b.column(1), b.column(2), pa.array([len(i) for i, _, _ in read], pa.int64()), pa.array([i.tobytes() for i, _, _ in read], pa.binary()), pa.array([o for _, o, _ in read], pa.float64()), rare],
                 names=["row", "doc_id", "place", "n_tokens", "ids", "own", "rare"],
             )
 

@@ -70,3 +70,20 @@ def test_context_decides_between_words(docs):
     assert got[1004].log_prob == got[1005].log_prob > got[1003].log_prob
     assert got[1006].n_tokens == 80_000
     assert L.score(docs([])).count() == 0
+
+
+def test_reading_equals_a_plain_loop():
+    known = [(f"w{i}".encode(), 90 - i) for i in range(40)]
+    words = L.Words(known, [500] * L.GROUPS, [7] * L.GROUPS, 30)
+    place = {w: i for i, (w, _) in enumerate(known)}
+    for text in (None, "", " ", "W1 w39 w2 w35", "w3 new w31 other new ÉT", "new"):
+        ids, own, rare = [], 0.0, []
+        for w in (text or "").lower().encode().split():
+            at = place.get(w)
+            ids.append(at + 1 if at is not None and at < 30 else 31 + L._group(w))
+            if at is None:
+                rare.append(w)
+            elif at >= 30:
+                own += words.share(L._group(w), known[at][1])
+        got = words.read(text)
+        assert got[0].tolist() == ids and got[0].dtype == np.uint16 and abs(got[1] - own) < 1e-9 and got[2] == {w: rare.count(w) for w in rare}
