@@ -103,7 +103,7 @@ def channel_rows(channels: dict[str, DataFrame], items: DataFrame, least: int =
     scored = told.join(judged, "id").groupBy("channel", *cell).agg(F.count("*").alias("n_scored"), F.count_if(ok).alias("n_correct"), F.avg("chance").alias("chance"))
     t = every.join(scored, ["channel", *cell], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_scored", "n_correct")} | {"chance": F.coalesce("chance", F.lit(0.0))})
     t = t.withColumn("rate", F.coalesce(F.try_divide("n_correct", "n_scored"), F.lit(0.0))).withColumn("coverage", F.col("n_scored") / F.col("n_items"))
-    t = binomial_sf(with_interval(t), "n_correct", "n_scored", "chance").withColumn("p", F.when(F.col("n_scored") > 0, F.col("tail")).otherwise(1.0)).drop("tail")
+    t = binomial_sf(with_interval(t), "n_correct", "n_scored", "chance").withColumn("p", F.when(F.col("n_correct") > 0, F.col("tail")).otherwise(1.0)).drop("tail")
     enough = (F.col("n_scored") >= least) & (F.col("chance") > 0)
     t = t.withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(0.0))}).withColumn("clears", enough & (F.col("lo") > F.col("chance"))).withColumn("in_family", enough)
     flags = lambda t, family: holm(t, "p", alpha, ["channel", *cell], family).drop("m", "rank")
