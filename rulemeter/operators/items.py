@@ -6,6 +6,7 @@ reaches a rule: answers() drops it before scoring and score() joins it back."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
-from .rules import _CONSONANTS, _VOWELS, RULES, Option, Stem, option_parts, remembered, stem_parts
+from .rules import _CONSONANTS, _VOWELS, RULES, Option, option_parts, remembered, stem_parts
 
 
 def unique_max(scores: Column, positive: bool = True) -> Column:
@@ -195,64 +196,140 @@ def feature_arrays(items: DataFrame, common: Sequence[str] = (), keep: Sequence[
 
     ``common`` are the everyday words that count for specificity; beside them every word of an option adds a tenth.
     Columns to ``keep`` travel along, unseen by the features."""
-    everyday = frozenset(common)
-    rows = items.select("id", *keep, "stem", F.transform("options", lambda x: x["letter"]).alias("_letters"), F.transform("options", lambda x: x["text"]).alias("_texts"))
+    rows = items.select("id", *keep, "stem", F.transform("options", lambda x: F.struct(x["letter"].alias("letter"), x["text"].alias("text"))).alias("_o"))
     width, kinds = 1 + len(keep), [(name, pa.float64() if name in ("specificity", "distinctive") else pa.int32()) for name in FEATURES]
     fields = T_.StructType([T_.StructField("letter", T_.StringType()), *(T_.StructField(name, T_.DoubleType() if pa.types.is_floating(kind) else T_.IntegerType()) for name, kind in kinds)])
     schema = T_.StructType([*rows.schema.fields[:width], T_.StructField("features", T_.ArrayType(fields))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(text: str | None) -> tuple:
-            told = option_parts(text)
-            u = frozenset(told[1])
-            return told[0], len(told[0]), u, told[2], int(not told[3]), len(u & everyday) + len(u) * 0.1, told[6]
-
-        option, stem = remembered(parts), remembered(stem_parts)
+        option, stem = _option_of(common), remembered(stem_parts)
         for b in batches:
-            letters = b.column(width + 1)
-            cells = []
-            for s, ls, ts in zip(*(b.column(width + i).to_pylist() for i in range(3)), strict=True):
-                if ls:
-                    cells += _features_of(stem(s), ls, [option(t) for t in ts])
-            columns = list(zip(*cells, strict=True)) or [()] * len(kinds)
-            flat = pa.StructArray.from_arrays([letters.flatten(), *(pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True))], names=["letter", *FEATURES])
-            ends = np.concatenate(([0], np.cumsum(letters.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int32)
-            told = pa.ListArray.from_arrays(pa.array(ends), flat, mask=letters.is_null())
+            sizes, letters, texts = _flat(b.column(width + 1))
+            columns = _feature_columns(b.column(width), letters, texts, sizes, option, stem)
+            flat = pa.StructArray.from_arrays([letters, *(pa.array(c).cast(kind) for c, (_, kind) in zip(columns, kinds, strict=True))], names=["letter", *FEATURES])
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            told = pa.ListArray.from_arrays(pa.array(ends), flat, mask=b.column(width + 1).is_null())
             yield pa.record_batch([*b.columns[:width], told], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def patterns(items: DataFrame, common: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """(by.., hits, x, items): which options are right and their FEATURES one after another, in millionths of six rounded digits; items
+    in which these are equal are one row, with their number. Items without options have none.
+
+    What judges programs needs no more of an item, and has as many rows as differ."""
+    rows = items.select(*by, "key", "stem", F.transform("options", lambda x: F.struct(x["letter"].alias("letter"), x["text"].alias("text"))).alias("_o"))
+    schema = T_.StructType([*rows.schema.fields[: len(by)], T_.StructField("hits", T_.ArrayType(T_.BooleanType())), T_.StructField("x", T_.ArrayType(T_.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        option, stem = _option_of(common), remembered(stem_parts)
+        for b in batches:
+            sizes, letters, texts = _flat(b.column(len(by) + 2))
+            columns = _feature_columns(b.column(len(by) + 1), letters, texts, sizes, option, stem)
+            x = np.stack([_millionths(c) for c in columns], axis=1)
+            hits = _same_letters(letters, b.column(len(by)), sizes)
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            told = [pa.ListArray.from_arrays(pa.array(ends), pa.array(hits)), pa.ListArray.from_arrays(pa.array(ends * len(FEATURES)), pa.array(x.ravel()))]
+            yield pa.record_batch([*b.columns[: len(by)], *told], names=schema.names).filter(pa.array(sizes > 0))
+
+    return rows.mapInArrow(run, schema).groupBy(*schema.names).agg(F.count("*").alias("items"))
+
+
+def _flat(options: pa.ListArray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """The sizes of lists of options, and all their letters and texts."""
+    sizes = options.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, *options.flatten().flatten()
+
+
+def _coded(values: pa.Array) -> tuple[np.ndarray, list]:
+    """Of each value the place in a list of the distinct ones."""
+    coded = values.dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def _same_letters(letters: pa.Array, keys: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """Whether the options' letters are their item's key, in either case and without the blanks around."""
+    numbers: dict[str, int] = {}
+    place = lambda x: -1 if x is None else numbers.setdefault(x.strip(" ").lower(), len(numbers))
+    (a, names), (b, others) = _coded(letters), _coded(keys)
+    a, b = np.array([place(x) for x in names], np.int64)[a], np.array([place(x) for x in others], np.int64)[b]
+    return (a >= 0) & (a == np.repeat(b, sizes))
+
+
+def _millionths(values: np.ndarray) -> np.ndarray:
+    """Values in millionths, rounded as Spark rounds six digits: halves of the shortest decimal form away from zero."""
+    out = np.rint(values * 1e6)
+    for i in np.flatnonzero(np.abs(np.abs(values * 1e6 - np.floor(values * 1e6)) - 0.5) < 1e-4):
+        out[i] = int((Decimal(repr(float(values[i]))) * 1_000_000).quantize(Decimal(1), ROUND_HALF_UP))
+    return out.astype(np.int64)
+
+
 #: The features of an option, in the order of their columns.
 FEATURES = ("longest", "position_c", "overlap", "num_repeat", "no_absolute", "numeric_min", "numeric_med", "numeric_max", "specificity", "grammar_agree", "distinctive")
 
 
-def _features_of(stem: Stem, letters: list[str | None], o: list[tuple]) -> list[tuple]:
-    """FEATURES of each option (text, length, words, value, without absolute terms, specificity, first sign) of an item."""
-    k, sizes = len(o), [x[1] for x in o]
-    top = max(sizes)
-    longest = sizes.count(top) == 1
-    vals = sorted(x[3] for x in o if x[3] is not None)
-    n = len(vals)
-    alone = lambda at, least: vals[at] if n >= least and vals.count(vals[at]) == 1 else None
-    low, mid, high = alone(0, 2), alone((n - 1) // 2, 3), alone(-1, 2)
-    agree = _VOWELS if stem.wants_an else _CONSONANTS if stem.wants_a else frozenset()
-    alike = [[0.0] * k for _ in o]
-    for i in range(k):
-        for j in range(i):
-            a, b = letters[i], letters[j]
-            if a is not None and b is not None and a != b and (same := len(o[i][2] & o[j][2])):
-                alike[i][j] = alike[j][i] = same / (len(o[i][2]) + len(o[j][2]) - same)
-    out = []
-    for letter, (text, size, words, v, plain, specific, first), near in zip(letters, o, alike, strict=True):
-        like = 0.0
-        for x in near:  # one after another, as sum() rounds otherwise
-            like += x
-        out.append((
-            int(longest and size == top), int(letter == "C"), len(words & stem.tokens), int(any(m in text for m in stem.numbers)), plain, int(v is not None and v == low), int(v is not None and v == mid), int(v is not None and v == high),
-            specific, int(first in agree), 1 - like / (k - 1) if k > 1 else 1.0,
-        ))
-    return out
+def _option_of(common: Sequence[str]) -> Callable:
+    """What features need of a text: the text, its length, words, leading number, whether it has no absolute term, specificity, first sign."""
+    everyday = frozenset(common)
+
+    def parts(text: str | None) -> tuple:
+        told = option_parts(text)
+        u = frozenset(told[1])
+        return told[0], len(told[0]), u, told[2], int(not told[3]), len(u & everyday) + len(u) * 0.1, told[6]
+
+    return remembered(parts)
+
+
+def _feature_columns(stems: pa.Array, letters: pa.Array, texts: pa.Array, sizes: np.ndarray, option: Callable, stem: Callable) -> list[np.ndarray]:
+    """FEATURES of the options of items with ``sizes`` of them, a column each; items with as many options are worked out together."""
+    code, names = _coded(texts)
+    parts = [option(t) for t in names]
+    of = lambda at, kind: np.array([x[at] for x in parts], kind)[code] if parts else np.zeros(0, kind)
+    length, value = of(1, np.int64), of(3, np.float64)  # no number is nan
+    which, asked = _coded(stems)
+    asked = [stem(s) for s in asked]
+    q = np.repeat(which, sizes)
+    words = [x[2] for x in parts]
+    # a stem meets a text several times in a batch
+    pair, met = np.unique(q * max(1, len(parts)) + code, return_inverse=True)
+    both = [(asked[i // len(parts)], parts[i % len(parts)]) for i in pair.tolist()]
+    overlap = np.array([len(x[2] & s.tokens) for s, x in both], np.int64)[met]
+    repeated = np.array([any(m in x[0] for m in s.numbers) for s, x in both], np.int64)[met]
+    vowel, consonant = (np.array([x[6] in signs for x in parts], bool)[code] for signs in (_VOWELS, _CONSONANTS))
+    an, a = (np.array([getattr(s, c) for s in asked], bool)[q] for c in ("wants_an", "wants_a"))
+    letter, told = _coded(letters)
+    out = {name: np.zeros(len(code), np.float64 if name in ("specificity", "distinctive") else np.int64) for name in FEATURES}
+    out |= {"position_c": (np.array([x == "C" for x in told], bool)[letter]).astype(np.int64), "overlap": overlap, "num_repeat": repeated, "no_absolute": of(4, np.int64), "specificity": of(5, np.float64)}
+    out["grammar_agree"] = np.where(an, vowel, a & consonant).astype(np.int64)
+    named = np.array([-1 if x is None else i for i, x in enumerate(told)], np.int64)[letter]
+    starts = np.cumsum(sizes) - sizes
+    for k in np.unique(sizes[sizes > 0]).tolist():
+        at = starts[sizes == k][:, None] + np.arange(k)
+        n, v = length[at], value[at]
+        top = n == n.max(axis=1, keepdims=True)
+        out["longest"][at] = top & (top.sum(axis=1, keepdims=True) == 1)
+        held, order = (~np.isnan(v)).sum(axis=1), np.sort(v, axis=1)  # nan last
+        for name, place, least in (("numeric_min", 0 * held, 2), ("numeric_med", (held - 1) // 2, 3), ("numeric_max", held - 1, 2)):
+            same = v == np.take_along_axis(order, np.maximum(place, 0)[:, None], 1)
+            out[name][at] = same & ((held >= least) & (same.sum(axis=1) == 1))[:, None]
+        if k == 1:
+            out["distinctive"][at] = 1.0
+            continue
+        l, c = named[at], code[at]
+        alike = np.zeros((len(at), k, k))
+        for i in range(k):
+            for j in range(i):
+                on = np.flatnonzero((l[:, i] != l[:, j]) & (l[:, i] >= 0) & (l[:, j] >= 0))
+                x, y = c[on, i].tolist(), c[on, j].tolist()
+                shared = np.array([len(words[m] & words[o]) for m, o in zip(x, y, strict=True)], np.int64)
+                every = np.array([len(words[m]) + len(words[o]) for m, o in zip(x, y, strict=True)], np.int64) - shared
+                alike[on, i, j] = alike[on, j, i] = shared / np.maximum(every, 1)
+        like = np.zeros(at.shape)
+        for j in range(k):  # one after another, as sums round otherwise
+            like += alike[:, :, j]
+        out["distinctive"][at] = 1 - like / (k - 1)
+    return [out[name] for name in FEATURES]
 
 
 def apply_programs(feature_rows: DataFrame, programs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .items import FEATURES
 from .search import LEAST_ANSWERS, _Draws
 from .stats import with_interval
 
@@ -83,21 +84,25 @@ def tally(arrays: DataFrame, programs: list[Program], by: list[str]) -> DataFram
     """(by.., program, n, ok, chance): by group and program the items it answers, those it answers rightly, and the sum over
     the answered ones of 1 / options.
 
-    ``arrays`` has by.., key and features (items.feature_arrays). Items without options are answered by none. Features count in
-    millionths, so that sums are exact and ties are ties."""
-    names = [f.name for f in arrays.schema["features"].dataType.elementType.fields if f.name != "letter"]
+    ``arrays`` has by.., key and features (items.feature_arrays), or is a table of items.patterns. Items without options are answered
+    by none. Features count in millionths, so that sums are exact and ties are ties."""
+    if "features" in arrays.columns:
+        names = [f.name for f in arrays.schema["features"].dataType.elementType.fields if f.name != "letter"]
+        letter = F.transform("features", lambda x: F.lower(F.trim(x["letter"])) == F.lower(F.trim("key")))
+        x = F.flatten(F.transform("features", lambda x: F.array(*(F.coalesce(F.rint(x[c] * 1e6), F.lit(0.0)) for c in names)))).cast("array<long>")
+        arrays = arrays.filter(F.size("features") > 0).withColumns({"hits": F.transform(letter, lambda b: F.coalesce(b, F.lit(False))), "x": x, "items": F.lit(1).cast("long")})
+    else:
+        names = list(FEATURES)
     weights = np.zeros((len(names), len(programs)))
     for j, p in enumerate(programs):
         for f, w in p.weights.items():
             weights[names.index(f), j] = w
     both = [(j, [names.index(f) for f in p.weights]) for j, p in enumerate(programs) if p.kind == "and"]
     loose = np.array([j for j, p in enumerate(programs) if p.kind == "random"], np.int64)
-    ids, step = [p.id for p in programs], max(1, CELLS // (4 * max(1, len(programs))))
+    ids, step = [p.id for p in programs], max(16, CELLS // (4 * max(1, len(programs))))
     fields = [T.StructField(c, arrays.schema[c].dataType) for c in by]
     schema = T.StructType([*fields, T.StructField("program", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ok", T.LongType()), T.StructField("chance", T.DoubleType())])
-    letter = F.transform("features", lambda x: F.lower(F.trim(x["letter"])) == F.lower(F.trim("key")))
-    x = F.transform("features", lambda x: F.array(*(F.coalesce(F.rint(x[c] * 1e6), F.lit(0.0)) for c in names)))
-    held = arrays.filter(F.size("features") > 0).select(*by, F.transform(letter, lambda b: F.coalesce(b, F.lit(False))).alias("_hit"), x.alias("_x"))
+    held = arrays.select(*by, "hits", "x", "items")
 
     def told(sums: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for group, s in sums.items():
@@ -109,26 +114,31 @@ def tally(arrays: DataFrame, programs: list[Program], by: list[str]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                hits, xs = b.column(len(by)), b.column(len(by) + 1)
-                sizes = np.asarray(hits.value_lengths())
-                hit = np.asarray(hits.flatten().to_numpy(zero_copy_only=False), bool)
-                values = np.asarray(xs.flatten().flatten()).reshape(len(hit), len(names))
-                answered, right = _judge(values, hit, sizes, weights, both, loose)
-                groups = list(zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * b.num_rows
-                codes: dict[tuple, list[int]] = {}
-                for i, g in enumerate(groups):
-                    codes.setdefault(g, []).append(i)
-                chance = answered / sizes[:, None]
-                for g, rows in codes.items():
-                    if g not in sums:
-                        sums[g] = np.zeros((3, len(programs)))
-                    sums[g] += np.stack([answered[rows].sum(axis=0), right[rows].sum(axis=0), chance[rows].sum(axis=0)])
-                if len(sums) > GROUPS:
-                    yield from told(sums)
-                    sums = {}
+        for b in batches:
+            hits, xs, counts = (b.column(len(by) + i) for i in range(3))
+            sizes, counts = np.asarray(hits.value_lengths()).astype(np.int64), np.asarray(counts)
+            hit, values = hits.flatten().to_numpy(zero_copy_only=False).astype(bool), np.asarray(xs.flatten()).reshape(-1, len(names))
+            groups, whose = {}, np.zeros(b.num_rows, np.int64)
+            for i, g in enumerate(zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True) if by else ()):
+                whose[i] = groups.setdefault(g, len(groups))
+            groups, starts = list(groups) if by else [()], np.cumsum(sizes) - sizes
+            for k in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == k)
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    places = starts[some] + np.arange(k)[:, None]
+                    answered, right = _judge(values[places], hit[places], weights, both, loose)
+                    present, which = np.unique(whose[some], return_inverse=True)
+                    share = np.zeros((len(present), len(some)))
+                    share[which, np.arange(len(some))] = counts[some]
+                    n, ok = share @ answered, share @ right
+                    for i, g in enumerate(present.tolist()):
+                        if groups[g] not in sums:
+                            sums[groups[g]] = np.zeros((3, len(programs)))
+                        sums[groups[g]] += np.stack([n[i], ok[i], n[i] / k])
+            if len(sums) > GROUPS:
+                yield from told(sums)
+                sums = {}
         yield from told(sums)
 
     return held.mapInArrow(run, schema).groupBy(*by, "program").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum("chance").alias("chance"))
@@ -140,19 +150,41 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _judge(x: np.ndarray, hit: np.ndarray, sizes: np.ndarray, weights: np.ndarray, both: list, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of items (runs of ``sizes`` options) and programs: which are answered, and which rightly."""
-    s, starts = x @ weights, np.cumsum(sizes) - sizes
-    for j, fs in both:
-        s[:, j] = np.where(x[:, fs].min(axis=1) > 0, s[:, j], 0.0)
-    top = np.maximum.reduceat(s, starts)
-    best = s == np.repeat(top, sizes, axis=0)
-    answered = (np.add.reduceat(best, starts, dtype=np.int32) == 1) & (top > 0)
-    right = answered & (np.add.reduceat(best & hit[:, None], starts, dtype=np.int32) > 0)
-    if len(loose):
-        first = np.minimum.reduceat(np.where(best[:, loose], np.arange(len(x))[:, None], len(x)), starts)
-        answered[:, loose], right[:, loose] = True, hit[first]
-    return answered, right
+def _judge(x: np.ndarray, hit: np.ndarray, weights: np.ndarray, both: list, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of items of k options, x of (k, items, features) and hit of (k, items), and of programs: 1 where an item is answered, and where rightly.
+
+    Sums are whole numbers, so single floats hold them exactly as long as they stay below 2^24."""
+    exact = np.array_equal(weights, np.rint(weights)) and (np.abs(x).reshape(-1, x.shape[-1]).max(axis=0) @ np.abs(weights)).max(initial=0) < 1 << 24
+    kind = np.float32 if exact else np.float64
+    weights, x = weights.astype(kind), x.astype(kind)
+    parts = {n: np.array([fs for _, fs in both if len(fs) == n]).T for n in {len(fs) for _, fs in both}}
+    places = {n: np.array([j for j, fs in both if len(fs) == n]) for n in parts}
+    scores = []
+    for option in x:
+        s = option @ weights
+        for n, fs in parts.items():
+            on = option[:, fs[0]] > 0
+            for f in fs[1:]:
+                on &= option[:, f] > 0
+            s[:, places[n]] *= on
+        scores.append(s)
+    top = scores[0].copy()
+    for s in scores[1:]:
+        np.maximum(top, s, out=top)
+    number, right, first, open_ = np.zeros(top.shape, np.int8 if len(x) < 128 else np.int64), np.zeros(top.shape, bool), np.zeros((len(top), len(loose)), bool), np.ones((len(top), len(loose)), bool)
+    for s, h in zip(scores, hit, strict=True):
+        best = s == top
+        number += best
+        if len(loose):
+            first |= best[:, loose] & open_ & h[:, None]
+            open_ &= ~best[:, loose]
+        best &= h[:, None]
+        right |= best
+    answered = number == 1
+    answered &= top > 0
+    right &= answered
+    answered[:, loose], right[:, loose] = True, first
+    return answered.astype(np.float64), right.astype(np.float64)
 
 
 Rates = Callable[[list[Program]], dict[str, tuple[int, float]]]

@@ -15,10 +15,9 @@ DIRECTIONS = {"open-to-rest": ("authority = 'O'", "authority <> 'O'", 20260916),
 LETTERS = "ABCDEFG"
 
 
-def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with the features of their options, in the six digits that DuckDB's rounding gives too."""
-    t = I.feature_arrays(order_items(spark, sf_dir), COMMON, ["authority", "claim", "key"])
-    return t.withColumn("features", F.transform("features", lambda x: x.withField("distinctive", F.round(x["distinctive"], 6)).withField("specificity", F.round(x["specificity"], 6))))
+def _patterns(items: DataFrame, *by: str) -> DataFrame:
+    """Distinct items by their options' features, in the six digits that DuckDB's rounding gives too."""
+    return I.patterns(items, COMMON, by)
 
 
 def _sql_programs(programs: list[P.Program]) -> str:
@@ -51,7 +50,7 @@ EVERY = P.enumerate_programs(_F)
 def program_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 1,562 programs over all items: answers and right ones on open orders and on the rest, with what their ids say."""
     side = F.when(F.col("authority") == "O", "open").otherwise("rest")
-    told = P.tally(_arrays(spark, sf_dir).withColumn("side", side), EVERY, ["side"])
+    told = P.tally(_patterns(order_items(spark, sf_dir).withColumn("side", side), "side"), EVERY, ["side"])
     t = told.groupBy("program").agg(*(F.sum(F.when(F.col("side") == s, F.col(c)).otherwise(0)).alias(f"{s}_{c}") for s in ("open", "rest") for c in ("n", "ok")))
     parsed = P.parse_ids(t)
     return parsed.select("program", "kind", F.size("weights").alias("k"), F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x).alias("weight"), "open_n", "open_ok", "rest_n", "rest_ok")
@@ -84,9 +83,10 @@ def _judged_programs(arrays: DataFrame, by: list[str]) -> tuple[DataFrame, DataF
 
 def rule_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule, searched and random program by cell: rate, interval, random percentile, and whether its passes are claimed."""
-    arrays = stored(_arrays(spark, sf_dir))
+    items = stored(order_items(spark, sf_dir))  # the rules read them, and the programs
+    arrays = stored(_patterns(items, "authority", "claim"))
     selected, randoms = _judged_programs(arrays, ["authority", "claim"])
-    rules = I.rule_chance(I.judged(order_items(spark, sf_dir))).filter("n_scored > 0").select("authority", "claim", F.lit(None).cast("string").alias("direction"), "program", "n_scored", "n_correct", "chance")
+    rules = I.rule_chance(I.judged(items)).filter("n_scored > 0").select("authority", "claim", F.lit(None).cast("string").alias("direction"), "program", "n_scored", "n_correct", "chance")
     counted = selected.unionByName(randoms).select("authority", "claim", "direction", "program", F.col("n").alias("n_scored"), F.col("ok").alias("n_correct"), (F.col("chance") / F.col("n")).alias("chance"))
     t = P.eligibility(rules.unionByName(counted), randoms, ["authority", "claim"])
     for c in ("chance", "pass_rate", "lo", "hi", "p95"):
@@ -117,7 +117,7 @@ CASE WHEN eligible THEN 'eligible' WHEN beats AND n < {P.LEAST_WITNESS} THEN 'to
 
 def random_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The random programs' pass rates by direction, claim and number of features: how many, and four order statistics."""
-    arrays = _arrays(spark, sf_dir)
+    arrays = stored(_patterns(order_items(spark, sf_dir), "authority", "claim"))  # read for both directions
     told = [P.tally(arrays.filter(judge), P.random_programs(_F, seed), ["claim"]).withColumn("direction", F.lit(name)) for name, (_, judge, seed) in DIRECTIONS.items()]
     r = F.col("rates")
     t = P.random_rates(told[0].unionByName(told[1]), ["direction", "claim"])
@@ -132,7 +132,7 @@ SELECT direction, claim, k, len(r) AS n, round(r[1], 6) AS low, round(r[ceil(0.5
 
 def search_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fit by direction (twelve best, a greedy and an evolved program), judged on the other side; no SQL walks so."""
-    arrays, told = stored(_arrays(spark, sf_dir)), None  # each step of a search is a job over them
+    arrays, told = stored(_patterns(order_items(spark, sf_dir), "authority")), None  # each step of a search is a job over them
     for name, (train, judge, seed) in DIRECTIONS.items():
         selected, _ = P.fit_search(arrays.filter(train), _F, seed)
         t = P.tally(arrays.filter(judge), selected, []).withColumn("direction", F.lit(name))
