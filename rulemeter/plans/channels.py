@@ -153,7 +153,7 @@ SELECT id, CASE WHEN len(hits) = 1 THEN hits[1] END AS answer, ['system', 'scala
 
 def numeral_isomorphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every problem's options with redrawn numerals, in both arms, and what the redraw kept; the draws have no SQL."""
-    items, out = part_problems(spark, sf_dir).select("id", "options"), None
+    items, out = stored(part_problems(spark, sf_dir).select("id", "options")), None  # read four times
     for arm in (N.KEPT, N.SCRAMBLED):
         told = stored(N.isomorphs(items, arm))
         texts = told.select("id", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options"))

@@ -192,3 +192,9 @@ def test_redraws_equal_the_rule_written_out(spark, arm):
 def test_no_items(spark):
     assert X.isomorphs(spark.createDataFrame([], SCHEMA), rounds=(4,)).count() == 0
     assert X.isomorphs(spark.createDataFrame([(1, None)], SCHEMA), rounds=(4,)).first().state == "no numerals"
+
+
+def test_attempts_are_made_where_the_item_is(spark):
+    t = spark.createDataFrame([(1, [("A", "12"), ("B", "34")])], SCHEMA)
+    plan = X.isomorphs(t)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1
