@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -69,10 +69,15 @@ def _parts(x: Column, s: Column, numbers: Column) -> tuple[Column, Column, Colum
     return words, F.regexp_replace(F.lower(x["text"]), "[^a-z0-9]+", " "), F.concat(cues, last)
 
 
-def _is_key(letter: str = "letter") -> Column:
+def _is_key(letter: Column | str = "letter") -> Column:
     return F.coalesce(F.upper(letter) == F.upper("key"), F.lit(False))
 
 
+def _hits() -> Column:
+    """Whether each option is the key."""
+    return F.transform("options", lambda x: _is_key(x["letter"]))
+
+
 class _Text(NamedTuple):
     """What an option's text says by itself: its signs, words, leading number, and its features that nothing else has a part in."""
 
@@ -155,8 +160,7 @@ def train_ngram(items: DataFrame) -> DataFrame:
                 yield told()
         yield told()
 
-    hits = F.transform("options", lambda x: F.coalesce(F.upper(x["letter"]) == F.upper("key"), F.lit(False)))
-    t = _rows(items, hits.alias("hits")).mapInArrow(run, "feature string, in_rest long, in_key long")
+    t = _rows(items, _hits().alias("hits")).mapInArrow(run, "feature string, in_rest long, in_key long")
     return t.groupBy("feature").agg(F.sum("in_key").alias("in_key"), F.sum("in_rest").alias("in_rest"))
 
 
@@ -170,17 +174,22 @@ def apply_ngram(model: DataFrame, items: DataFrame) -> DataFrame:
     """(id, answer, score) of items with options: the option with the largest sum of Laplace log-ratios of its features.
 
     A feature that the model does not know weighs what one that was seen in neither class does."""
+    weights, plain, size = _log_ratios(model)
+    if size <= FEATURES_HELD:  # counted: every task can hold the model
+        return _first_best(_scored_in_place(items, {r.feature: r.w for r in weights.collect()}, plain))
+    rows = option_features(items, "id").select("id", "letter", F.explode("features").alias("feature"))
+    scored = rows.join(weights, "feature", "left").withColumn("w", F.coalesce("w", F.lit(plain)))
+    return _first_best(scored.groupBy("id", "letter").agg(F.sum("w").alias("s")))
+
+
+def _log_ratios(model: DataFrame) -> tuple[DataFrame, int, int]:
+    """(feature, w) of a model, the weight of a feature that it does not know, and how many it knows."""
     model = stored(model)  # its counts are read, then its rows
     k, d, v = model.agg(F.sum("in_key"), F.sum("in_rest"), F.count("*") + 1).first()
     k, d = k or 1, d or 1
     ratio = lambda a, b: F.rint(UNIT * (F.ln((a + 1) / F.lit(float(k + v))) - F.ln((b + 1) / F.lit(float(d + v))))).cast("long")
-    weights = model.select("feature", ratio(F.col("in_key"), F.col("in_rest")).alias("w"))
-    if v <= FEATURES_HELD:  # counted: every task can hold the model
-        plain = weights.sparkSession.range(1).select(ratio(F.lit(0), F.lit(0)).alias("w")).first()[0]
-        return _first_best(_scored_in_place(items, {r.feature: r.w for r in weights.collect()}, plain))
-    rows = option_features(items, "id").select("id", "letter", F.explode("features").alias("feature"))
-    scored = rows.join(weights, "feature", "left").withColumn("w", F.coalesce("w", ratio(F.lit(0), F.lit(0))))
-    return _first_best(scored.groupBy("id", "letter").agg(F.sum("w").alias("s")))
+    plain = model.sparkSession.range(1).select(ratio(F.lit(0), F.lit(0)).alias("w")).first()[0]
+    return model.select("feature", ratio(F.col("in_key"), F.col("in_rest")).alias("w")), plain, v
 
 
 def _scored_in_place(items: DataFrame, weights: dict[str | None, int], plain: int) -> DataFrame:
@@ -215,53 +224,49 @@ def _scored_in_place(items: DataFrame, weights: dict[str | None, int], plain: in
 
 def random_ngram(items: DataFrame, seed: int) -> DataFrame:
     """(id, answer, score): the same features with weights between -1 and 1 that are drawn anew for each item, the first draw for
-    its first feature, the next for the first that differs from it, and so on.
-
-    An item's options stay in its row, so nothing is shuffled; a batch's features are numbered, and a sort of (item, feature)
-    gives each one's first place."""
+    its first feature, the next for the first that differs from it, and so on. An item is one row, and nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                options = b.column(1)
-                sizes = np.asarray(options.value_lengths())
-                flat = options.flatten()
-                letters, plain = flat.field("letter").to_pylist(), flat.field("plain").to_pylist()
-                owner = np.repeat(np.arange(b.num_rows), sizes)  # of each option
-                coded = pa.chunked_array([flat.field("words").flatten(), flat.field("last").flatten()]).combine_chunks().dictionary_encode()
-                codes = np.asarray(coded.indices.fill_null(len(coded.dictionary))).astype(np.int64) + (1 << 24)
-                n = [np.asarray(flat.field("words").value_lengths()), np.clip(np.array([len(c) - 2 for c in plain]), 0, GRAMS), np.asarray(flat.field("last").value_lengths())]
-                within = [np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) for k in n]
-                text, ends = np.frombuffer("".join(plain).encode(), np.uint8).astype(np.int64), np.cumsum([len(c) for c in plain])
-                g = np.repeat(np.concatenate(([0], ends[:-1])), n[1]) + within[1]
-                parts = [codes[: n[0].sum()], (text[g] << 16) + (text[g + 1] << 8) + text[g + 2], codes[n[0].sum() :]]
-                counts = n[0] + n[1] + n[2]
-                starts, features = np.cumsum(counts) - counts, np.empty(counts.sum(), np.int64)
-                for lead, k, j, part in zip((0, n[0], n[0] + n[1]), n, within, parts, strict=True):
-                    features[np.repeat(starts + lead, k) + j] = part
-                whose = np.repeat(owner, counts)
-                _, first, which = np.unique(whose * (features.max() + 1) + features, return_index=True, return_inverse=True)
-                place = np.sort(first)  # first places of an item's features, item by item
-                before = np.searchsorted(whose[place], np.arange(b.num_rows))
-                draw = np.empty(len(first), np.int64)
-                draw[np.argsort(first)] = np.arange(len(first)) - before[whose[place]]
-                weight = np.rint(UNIT * (draws(seed, draw + 1) * 2 - 1)).astype(np.int64)[which]
-                sums = np.add.reduceat(weight, np.cumsum(counts) - counts)  # every option has a place and a length at least
-                best: dict[int, tuple[int, str]] = {}
-                for i, s, letter in zip(owner.tolist(), sums.tolist(), letters, strict=True):
-                    if i not in best or (-s, letter) < best[i]:
-                        best[i] = -s, letter
-                yield pa.record_batch([b.column(0).take(pa.array(list(best), pa.int64())), pa.array([x for _, x in best.values()], pa.string()), pa.array([-s for s, _ in best.values()], pa.int64())], names=["id", "answer", "score"])
-
-    t, s = _shared_values(items, "id"), F.col("s")
-
-    def option(x: Column) -> Column:
-        words, plain, last = _parts(x, s, F.col("p.numbers"))
-        return F.struct(x["letter"].alias("letter"), words.alias("words"), plain.alias("plain"), last.alias("last"))
-
-    t = t.select("id", F.transform("p.o", option).alias("options")).filter(F.size("options") > 0)
-    return t.mapInArrow(run, f"id {dict(items.dtypes)['id']}, answer string, score long")
+        option, stem, scores = remembered(_text_parts), remembered(_stem_words), _random_scores(seed)
+        for b in batches:
+            told = []
+            for i, (s, letters, ts) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+                if letters:
+                    told.append((i, *_best(letters, scores(stem(s), letters, [option(t) for t in ts]))))
+            at, answers, sums = zip(*told, strict=True) if told else ((), (), ())
+            yield pa.record_batch([b.column(3).take(pa.array(at, pa.int64())), pa.array(answers, pa.string()), pa.array(sums, pa.int64())], names=["id", "answer", "score"])
+
+    return _rows(items, "id").mapInArrow(run, f"id {dict(items.dtypes)['id']}, answer string, score long")
+
+
+def _random_scores(seed: int) -> Callable:
+    """A function from a stem, letters and texts to the options' sums of an item's random weights."""
+    weights: list[int] = []
+
+    def scores(stem: tuple, letters: list[str | None], o: list[_Text]) -> list[int]:
+        features = [_in_order(stem[0], x, more) for x, more in zip(o, _met(stem, letters, o), strict=True)]
+        first = dict.fromkeys(f for fs in features for f in fs)
+        while len(weights) < len(first):
+            weights.extend(np.rint(UNIT * (draws(seed, np.arange(len(weights), len(weights) + 256) + 1) * 2 - 1)).astype(np.int64).tolist())
+        drawn = dict(zip(first, weights, strict=False))
+        return [sum(map(drawn.__getitem__, fs)) for fs in features]
+
+    return scores
+
+
+def _in_order(stem: frozenset[str], x: _Text, more: list[str | None]) -> list[str | None]:
+    """An option's features in the order of option_features(): words with those that the stem has, 3-grams, cues, place, length."""
+    words = x.own[: len(x.words)]
+    if not stem.isdisjoint(x.words):
+        words = [f for w in x.words for f in ((f"o:{w}", f"ov:{w}") if w in stem else (f"o:{w}",))]
+    cues = [f for f in more[1:] if f[0] == "c"]  # more begins with the place; the rest are words and cues
+    return [*words, *x.own[len(x.words) : -1], *cues, more[0], x.own[-1]]
+
+
+def _best(letters: list[str | None], sums: list[int]) -> tuple[str | None, int]:
+    """The letter with the largest sum, the first of equal ones, as Spark orders them: none before all others."""
+    s, letter = min(zip((-x for x in sums), ((x is not None, x or "") for x in letters), strict=True))
+    return (letter[1] if letter[0] else None), -s
 
 
 def _shared(items: DataFrame, *keep: str, repeats: bool) -> DataFrame:
@@ -273,10 +278,31 @@ def _shared(items: DataFrame, *keep: str, repeats: bool) -> DataFrame:
 
 
 def train_overlap(items: DataFrame) -> DataFrame:
-    """(token, w): log((keys + 1) / (other options + 1)) of those that share the token with their stem, in billionths."""
-    t = _shared(items, "id", "key", repeats=False).select(_is_key().alias("hit"), F.explode("words").alias("token"))
-    w = F.rint(UNIT * F.ln((F.count_if("hit") + 1) / (F.count_if(~F.col("hit")) + 1))).cast("long")
-    return t.groupBy("token").agg(w.alias("w"))
+    """(token, w): log((keys + 1) / (other options + 1)) of those that share the token with their stem, in billionths.
+
+    A task counts its options; sums for each token are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        option, stem, counts = remembered(_text_parts), remembered(_stem_words), (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            names = list(counts[0].keys() | counts[1].keys())
+            columns = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)]
+            for c in counts:
+                c.clear()
+            return pa.record_batch(columns, names=["token", "rest", "keys"])
+
+        for b in batches:
+            for s, ts, hits in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                words = stem(s)[0]
+                for t, hit in zip(ts or (), hits or (), strict=True):
+                    counts[hit].update(words.intersection(option(t).words))
+            if sum(map(len, counts)) > REMEMBERED:
+                yield told()
+        yield told()
+
+    t = _rows(items, _hits().alias("hits")).mapInArrow(run, "token string, rest long, keys long").groupBy("token")
+    return t.agg(F.rint(UNIT * F.ln((F.sum("keys") + 1) / (F.sum("rest") + 1))).cast("long").alias("w"))
 
 
 def apply_overlap(model: DataFrame, items: DataFrame) -> DataFrame:
@@ -325,6 +351,62 @@ def fitted_trials(program: str, answers: DataFrame, items: DataFrame) -> DataFra
     return t.withColumn("correct", F.when(~F.col("skipped"), F.lower(F.trim("answer")) == F.lower(F.trim("key")))).drop("key")
 
 
+def all_trials(train: DataFrame, items: DataFrame, seed: int, direction: str) -> DataFrame:
+    """fitted_trials() of fitted-ngram, fitted-overlap and random-ngram, each with /direction: models of ``train`` answer ``items``.
+
+    Where every task can hold the models all three answer in one pass beside what an item is judged by: nothing is joined or
+    shuffled. Ids must tell items apart."""
+    weights, plain, size = _log_ratios(train_ngram(train))
+    shared = stored(train_overlap(train))
+    if max(size, shared.count()) > FEATURES_HELD:
+        told = {"fitted-ngram": apply_ngram(train_ngram(train), items), "fitted-overlap": apply_overlap(shared, items), "random-ngram": random_ngram(items, seed)}
+        tables = [fitted_trials(f"{name}/{direction}", t, items) for name, t in told.items()]
+        return tables[0].unionByName(tables[1]).unionByName(tables[2])
+    grams = {r.feature: r.w for r in weights.collect()}
+    grams.pop(None, None)  # a feature that is null is equal to none
+    models = items.sparkSession.sparkContext.broadcast((grams, {r.token: r.w for r in shared.collect()}))
+    keep = [c for c in items.columns if c not in ("options", "stem")]
+    rows = _rows(items, *keep)
+    schema = S.StructType([*rows.schema.fields[3:], S.StructField("chance", S.DoubleType()), S.StructField("_a", S.ArrayType(S.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, overlap = models.value
+
+        def parts(text: str | None) -> tuple[_Text, int]:
+            x = _text_parts(text)
+            return x, sum(known.get(f, plain) for f in x.own)
+
+        def asked(text: str | None) -> tuple[tuple, list[str]]:
+            return _stem_words(text), [w for w in option_parts(text)[1] if len(w) >= LETTERS]
+
+        option, stem, random = remembered(parts), remembered(asked), _random_scores(seed)
+        for b in batches:
+            told, on, chance = [], [], []
+            for i, (s, letters, ts) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+                if not letters:
+                    continue
+                q, words = stem(s)
+                o = [option(t) for t in ts]
+                texts = [x for x, _ in o]
+                ngram = [own + sum(known.get(f, plain) for f in more) for (_, own), more in zip(o, _met(q, letters, texts), strict=True)]
+                common = [sum(overlap.get(w, 0) for w in words if w in x.words) for x in texts]
+                if len(set(letters)) < len(letters):  # options of one letter count together
+                    ngram, common = ([sum(v for v, y in zip(sums, letters, strict=True) if y == x) for x in letters] for sums in (ngram, common))
+                letter, score = _best(letters, common)
+                told += [_best(letters, ngram)[0], letter if score > 0 else None, _best(letters, random(q, letters, texts))[0]]
+                on.append(i)
+                chance.append(1.0 / len(letters))
+            kept = pa.array(on, pa.int64())
+            answers = pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1, dtype=np.int32) * 3), pa.array(told, pa.string()))
+            yield pa.record_batch([*(c.take(kept) for c in b.columns[3:]), pa.array(chance, pa.float64()), answers], names=schema.names)
+
+    programs = ("fitted-ngram", "fitted-overlap", "random-ngram")
+    told = F.explode(F.array(*(F.struct(F.lit(f"{p}/{direction}").alias("program"), F.get("_a", F.lit(i)).alias("answer")) for i, p in enumerate(programs))))
+    t = rows.mapInArrow(run, schema).select(*keep, "chance", told.alias("t")).select(*keep, "chance", "t.program", "t.answer")
+    t = t.withColumn("skipped", F.col("answer").isNull())
+    return t.withColumn("correct", F.when(~F.col("skipped"), F.lower(F.trim("answer")) == F.lower(F.trim("key")))).drop("key")
+
+
 def held_out_ladder(trials: DataFrame, slices: dict[str, Column], rungs: DataFrame) -> DataFrame:
     """The rows of ``rungs`` (step, program, train_slice, n_train, slice, random_program) with what their trials gave.
 

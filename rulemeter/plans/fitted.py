@@ -80,8 +80,7 @@ def held_out_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     trials, sizes = [], {}
     for d, train, judge, seed in _sides(spark, sf_dir):
         sizes[d] = train.count()
-        told = {"fitted-ngram": M.apply_ngram(M.train_ngram(train), judge), "fitted-overlap": M.apply_overlap(M.train_overlap(train), judge), "random-ngram": M.random_ngram(judge, seed)}
-        trials += [M.fitted_trials(f"{name}/{d}", t, judge) for name, t in told.items()]
+        trials.append(M.all_trials(train, judge, seed, d))
     rows = [(i, p, d, 0 if p.startswith("random") else sizes[d], s, r) for i, (p, r, s) in enumerate(RUNGS) for d in [p.split("/")[1]]]
     rungs = spark.createDataFrame(rows, "step int, program string, train_slice string, n_train long, slice string, random_program string")
     open_ = F.col("authority") == "O"
