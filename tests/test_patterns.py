@@ -57,3 +57,15 @@ def test_sums_beyond_single_floats_stay_exact():
     x = np.array([[[20_000_001, 0]], [[20_000_000, 1]]])  # two options of one item; the sums differ by 1, or are equal
     answered, right = P._judge(x, np.array([[True], [False]]), np.array([[1.0, 1.0], [0.0, 1.0]]), [], np.array([], int))
     assert answered.tolist() == [[1, 0]] and right.tolist() == [[1, 0]]
+
+
+def test_eligibility_makes_the_items_once_and_reads_patterns(spark, monkeypatch):
+    from rulemeter.plans import programs
+
+    made, read = [], []
+    items, tally = programs.order_items, P.tally
+    monkeypatch.setattr(programs, "order_items", lambda *a: made.append(1) or items(*a))
+    monkeypatch.setattr(P, "tally", lambda arrays, *a: read.append(arrays.columns) or tally(arrays, *a))
+    programs.rule_eligibility(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+    assert len(read) == 4 and all(c == ["authority", "claim", "hits", "x", "items"] for c in read)
