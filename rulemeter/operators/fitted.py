@@ -417,6 +417,7 @@ def held_out_ladder(trials: DataFrame, slices: dict[str, Column], rungs: DataFra
     counted = trials.withColumn("slice", F.explode(names)).groupBy("program", "slice").agg(
         F.count("*").alias("attempted"), F.count("correct").alias("n_scored"), F.count_if("skipped").alias("skipped"), F.count_if("correct").alias("n_correct"), F.avg(F.when(F.col("correct").isNotNull(), F.coalesce("chance", F.lit(0.0)))).alias("chance"), F.avg(F.col("correct").cast("double")).alias("rate")
     )
+    counted = stored(counted)  # a few rows that are read twice: all trials would be made as often
     null = counted.select(F.col("program").alias("random_program"), "slice", F.col("rate").alias("random_rate"))
     t = rungs.join(counted, ["program", "slice"], "left").join(null, ["random_program", "slice"], "left")
     t = t.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("attempted", "n_scored", "skipped", "n_correct")} | {"pass_rate": F.coalesce("rate", F.lit(0.0)), "chance": F.coalesce("chance", F.lit(0.0))})

@@ -38,3 +38,14 @@ def test_trials_are_those_of_each_program(items, monkeypatch, held):
 def test_nothing_is_joined_or_shuffled(items):
     plan = M.all_trials(items.filter("id < 100"), items.filter("id >= 100"), 9, "d")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashpartitioning" not in plan
+
+
+def test_trials_are_counted_once(spark):
+    from pyspark.sql import functions as F
+
+    met = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: met.add(1) or x, "string")
+    trials = spark.range(40).select("id", seen(F.lit("p/d")).alias("program"), F.lit("A").alias("answer"), F.lit(False).alias("skipped"), (F.col("id") % 2 == 0).alias("correct"), F.lit(0.25).alias("chance"))
+    rungs = spark.createDataFrame([(0, "p/d", "d", 5, "all", "p/d")], "step int, program string, train_slice string, n_train long, slice string, random_program string")
+    (row,) = M.held_out_ladder(trials, {"all": F.lit(True)}, rungs).collect()
+    assert (row.n_scored, row.n_correct, row.random_baseline) == (40, 20, 0.5) and met.value == 40
